@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from factloom.llm import mixing, sharding, topk
+from factloom.llm import chat, langid, mixing, packing, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_topk": topk.op2_topk,
+        "op3_quality": quality.op3_quality,
         "op5_mixing": mixing.op5_mixing,
+        "op7_langid": langid.op7_langid,
+        "op8_chat": chat.op8_chat,
+        "op9_packing": packing.op9_packing,
     }
 
 
