@@ -21,15 +21,15 @@ from factloom.llm.common import cut, slices, table, words
 MAX_TOKENS, END = 2048, 0
 #: Words whose ids a task remembers, at most; it then begins anew.
 CACHE = 400_000
-#: A special token of the tokenizer, which only its own string gives.
-SEPARATOR = "<|startoftext|>"
+#: Words encoded at once, and marks after a word of letters, which the tokenizer splits from it.
+LINE, MARKS = 1000, "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own.
 
     The tokenizer's words never hold white space, so each stretch between ASCII white space is encoded by itself, once
-    for all its occurrences.
+    for all its occurrences; letters and the marks after them are words of their own.
     """
 
     def __init__(self, path: str):
@@ -39,34 +39,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.between = self.tokenizer.token_to_id(SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.stems: dict[str, bytes] = {}
         self.ids, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stems(self, new: list[str]) -> None:
+        """Learns words of letters only: many to a line, for each gives one token that ends a word, its last."""
+        for at in range(0, len(new), LINE):
+            part = new[at : at + LINE]
+            ids = self._encode([" ".join(part)])[0]
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                self.stems.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(part, [0, *ends[:-1]], ends, strict=True))
+            else:  # letters that the tokenizer takes apart
+                self.stems.update(zip(part, (x.tobytes() for x in self._encode(part)), strict=True))
+
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            if any("<|" in w for w in part):  # these may hold the separator itself
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            else:  # many words at once, a special token between them
-                lines = [SEPARATOR.join(part[i : i + 50]) for i in range(0, len(part), 50)]
-                ids = [i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in (*e.ids, self.between)]
-                ends = np.flatnonzero(np.array(ids) == self.between).tolist()
-                got = [ids[i + 1 : j] for i, j in zip([-1, *ends[:-1]], ends, strict=True)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            k = len(self.known)
-            while k + len(part) + 1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.start[k + 1 : k + 1 + len(part)] = self.used + np.cumsum(n)
-            self.used += len(flat)
-            self.known.update(zip(part, range(k, k + len(part)), strict=True))
+        cut_ = [w.rstrip(MARKS) for w in new]
+        whole = [not s.isalpha() for s in cut_]
+        stems = [w if odd else s for w, s, odd in zip(new, cut_, whole, strict=True)]
+        marks = [w[len(s) :] for w, s in zip(new, stems, strict=True)]
+        self._stems(list(dict.fromkeys(s for s, odd in zip(stems, whole, strict=True) if not odd and s not in self.stems)))
+        others = list(dict.fromkeys(w for w in (*(s for s, odd in zip(stems, whole, strict=True) if odd), *marks) if w not in self.stems))
+        self.stems.update(zip(others, (x.tobytes() for x in self._encode(others)), strict=True))
+        got = [self.stems[s] + self.stems[m] for s, m in zip(stems, marks, strict=True)]
+        n, flat = np.fromiter(map(len, got), np.int64, len(got)) // 4, np.frombuffer(b"".join(got), np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        k = len(self.known)
+        while k + len(new) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.start[k + 1 : k + 1 + len(new)] = self.used + np.cumsum(n)
+        self.used += len(flat)
+        self.known.update(zip(new, range(k, k + len(new)), strict=True))
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and each text's bounds."""
