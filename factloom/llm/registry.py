@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, langid, mixing, packing, quality, sharding, topk
+from factloom.llm import chat, jaccard, langid, mixing, packing, quality, sharding, topk
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_langid": langid.op7_langid,
         "op8_chat": chat.op8_chat,
         "op9_packing": packing.op9_packing,
+        "op10_jaccard": jaccard.op10_jaccard,
     }
 
 
