@@ -247,7 +247,7 @@ class Scan:
     left: int
     restart: int
     tables: tuple
-    segments: list[tuple[int, int]]
+    starts: np.ndarray  # of the entropy-coded segments between restart markers
 
     def kind(self) -> tuple:
         return self.comps, self.low, self.high, self.before, self.left, self.restart, self.tables
@@ -267,8 +267,11 @@ class Image:
         return max(c[1] for c in self.comps), max(c[2] for c in self.comps)
 
 
-def parse(data: bytes, base: int, marks: np.ndarray) -> Image:
-    """Headers and the places of entropy-coded segments; marks: places of all markers in the buffer data begins at base of."""
+def parse(data: bytes, base: int, marks: np.ndarray, stops: np.ndarray) -> Image:
+    """Headers and the places of entropy-coded segments.
+
+    marks: places of all markers in the buffer in which data begins at base; stops: of those that end a scan.
+    """
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     out, at, tables, restart = Image(), 2, {}, 0
@@ -308,18 +311,11 @@ def parse(data: bytes, base: int, marks: np.ndarray) -> Image:
             ids = [c[0] for c in out.comps]
             comps = tuple((ids.index(body[1 + 2 * i]), body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0]))
             low, high, approx = body[-3:]
-            starts, k = [at], int(np.searchsorted(marks, base + at))
-            ends = []
-            while k < len(marks) and (p := int(marks[k]) - base) + 1 < len(data):
-                ends.append(p)
-                if not 0xD0 <= data[p + 1] <= 0xD7:
-                    break
-                starts.append(p + 2)
-                k += 1
-            if len(ends) < len(starts):
-                ends.append(len(data))
-            at = ends[-1]
-            out.scans.append(Scan(comps, low, high, approx >> 4, approx & 15, restart, tuple(sorted(tables.items())), [(base + a, base + z) for a, z in zip(starts, ends, strict=True)]))
+            k = int(np.searchsorted(stops, base + at))
+            stop = int(stops[k]) if k < len(stops) and stops[k] < base + len(data) - 1 else base + len(data)
+            inner = marks[np.searchsorted(marks, base + at) : np.searchsorted(marks, stop)]
+            out.scans.append(Scan(comps, low, high, approx >> 4, approx & 15, restart, tuple(sorted(tables.items())), np.concatenate([[base + at], inner + 2])))
+            at = stop - base
     return out
 
 
@@ -430,6 +426,7 @@ def decode(files: list[bytes]) -> list[Image]:
     """All files' coefficients.  Files whose headers agree (but for the size) are read side by side."""
     raw = np.frombuffer(b"".join(files) + b"\0" * 8, np.uint8)
     marks = np.flatnonzero((raw[:-1] == 255) & (raw[1:] != 0) & (raw[1:] != 255))
+    stops = marks[(raw[marks + 1] & 0xF8) != 0xD0]
     stuffing = np.zeros(len(raw), bool)
     stuffing[1:] = (raw[:-1] == 255) & (raw[1:] == 0)
     plain = raw[~stuffing]
@@ -438,7 +435,7 @@ def decode(files: list[bytes]) -> list[Image]:
     words = wide[:-4] << 24 | wide[1:-3] << 16 | wide[2:-2] << 8 | wide[3:-1]
     images, base = [], 0
     for f in files:
-        images.append(parse(f, base, marks))
+        images.append(parse(f, base, marks, stops))
         base += len(f)
     alike: dict[tuple, list[int]] = {}
     for i, im in enumerate(images):
@@ -461,35 +458,40 @@ def decode(files: list[bytes]) -> list[Image]:
     return images
 
 
+def _places(size: tuple[int, int], units: tuple[int, int], scanned: tuple[int, ...], comps, most) -> np.ndarray:
+    """Block indices (in each component's own rows of whole units) of every unit of a scan, a row each."""
+    x, y = units
+    if len(scanned) == 1:
+        _, h, v, _ = comps[scanned[0]]
+        cols, rows = -(-(-(-size[0] * h // most[0])) // 8), -(-(-(-size[1] * v // most[1])) // 8)
+        return (np.arange(rows)[:, None] * (x * h) + np.arange(cols)).reshape(-1, 1)
+    uy, ux = np.divmod(np.arange(x * y), x)
+    return np.stack([(uy * comps[c][2] + b) * (x * comps[c][1]) + ux * comps[c][1] + a for c in scanned for b in range(comps[c][2]) for a in range(comps[c][1])], 1)
+
+
 def _read_scan(words, new_place, scans: list[Scan], ims: list[Image], comps, most, units, stores) -> None:
     s = scans[0]
     tables = dict(s.tables)
     lookups = {key: _lookup(tables[key]) for c, dc, ac in s.comps for key in ((dc,) if s.low == 0 and not s.before else (16 | ac,) if s.low else ())}
-    # blocks of each image in the order of the scan: (store, index), a list of as many for each unit of the scan
-    plans, lanes_of = [], []
+    # the scan's units of each image, one after the other: places of their blocks in the stores
+    which = [c for c, _, _ in s.comps for _ in range(comps[c][1] * comps[c][2])] if len(s.comps) > 1 else [s.comps[0][0]]
+    local: dict[tuple[int, int], np.ndarray] = {}
+    plans = []
     for j, im in enumerate(ims):
-        x, y = units[j]
-        if len(s.comps) == 1:
-            c = s.comps[0][0]
-            _, h, v, _ = comps[c]
-            cols, rows = -(-(-(-im.width * h // most[0])) // 8), -(-(-(-im.height * v // most[1])) // 8)
-            at = (np.arange(rows)[:, None] * (x * h) + np.arange(cols)).ravel()[:, None] + stores[c][2][j]
-        else:
-            uy, ux = np.divmod(np.arange(x * y), x)
-            at = np.stack([(uy * comps[c][2] + b) * (x * comps[c][1]) + ux * comps[c][1] + a + stores[c][2][j] for c, _, _ in s.comps for b in range(comps[c][2]) for a in range(comps[c][1])], 1)
-        plans.append(at)
-        step = s.restart or len(at)
-        first = np.arange(0, len(at), max(step, 1))
-        lanes_of.append((first, np.minimum(step, len(at) - first)))
-    base = np.concatenate([[0], np.cumsum([len(p) for p in plans])])
-    first = np.concatenate([f + b for (f, _), b in zip(lanes_of, base, strict=False)])
-    size = np.concatenate([n for _, n in lanes_of])
-    plan = np.concatenate(plans)
-    start = np.concatenate([new_place[[a for a, _ in sc.segments[: len(f)]]] for sc, (f, _) in zip(scans, lanes_of, strict=True)])
-    if len(start) != len(first):
+        size = im.width, im.height
+        if size not in local:
+            local[size] = _places(size, units[j], tuple(c for c, _, _ in s.comps), comps, most)
+        plans.append(local[size] + np.array([stores[c][2][j] for c in which]))
+    plan, count = np.concatenate(plans), np.array([len(p) for p in plans])
+    step = s.restart or int(count.max())
+    lanes_in = -(-count // step)
+    within = np.arange(lanes_in.sum()) - np.repeat(np.cumsum(lanes_in) - lanes_in, lanes_in)
+    first = np.repeat(np.cumsum(count) - count, lanes_in) + within * step
+    size = np.minimum(step, np.repeat(count, lanes_in) - within * step)
+    if any(len(sc.starts) < n for sc, n in zip(scans, lanes_in, strict=True)):
         raise ValueError("restart segments are missing")
+    start = new_place[np.concatenate([sc.starts[:n] for sc, n in zip(scans, lanes_in.tolist(), strict=True)])]
     r = _Reader(words, start)
-    which = [c for c, _, _ in s.comps for _ in range(comps[c][1] * comps[c][2])] if len(s.comps) > 1 else [s.comps[0][0]]
     table = {c: (dc, ac) for c, dc, ac in s.comps}
     eob = np.zeros(len(first), np.int64)
     last = {c: np.zeros(len(first), np.int64) for c in table}

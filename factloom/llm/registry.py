@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, jaccard, langid, mixing, packing, quality, sharding, topk
+from factloom.llm import chat, jaccard, langid, media, mixing, packing, quality, sharding, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sharding": sharding.op1_sharding,
         "op2_topk": topk.op2_topk,
         "op3_quality": quality.op3_quality,
+        "op4_media": media.op4_media,
         "op5_mixing": mixing.op5_mixing,
         "op7_langid": langid.op7_langid,
         "op8_chat": chat.op8_chat,
