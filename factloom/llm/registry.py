@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import chat, jaccard, langid, media, mixing, packing, quality, sharding, topk
+from factloom.llm import chat, jaccard, langid, maxent, media, mixing, packing, quality, sharding, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.op3_quality,
         "op4_media": media.op4_media,
         "op5_mixing": mixing.op5_mixing,
+        "op6_lm": maxent.op6_lm,
         "op7_langid": langid.op7_langid,
         "op8_chat": chat.op8_chat,
         "op9_packing": packing.op9_packing,
