@@ -1,10 +1,70 @@
-"""The corpus pipeline: stages that each read what the stage before has written."""
+"""The corpus pipeline: stages that each read what the stage before has written.
+
+Each stage takes the rows that its predecessor kept, with the columns of `documents`, and returns those that it keeps;
+the last returns packed token pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import jaccard, langid, mixing, packing, quality
+from factloom.llm.common import checkpoint_dir, is_remainder, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _learned():
+    return ~is_remainder(F.col("doc_id"), 3, 1)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter, and those whose language the model can't tell apart from another."""
+    return langid.recognised(docs.select(*COLUMNS), _learned())
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts with a quality score below 0.5, learned from the labels."""
+    return quality.good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), _learned())
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return jaccard.one_of_each(docs.select(*COLUMNS))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out or repeats documents so that sources meet their target weights."""
+    return mixing.mixed(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences."""
+    return packing.pack(docs.select(*COLUMNS))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: SQL can't express the models and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table `documents`; what each but the last returns is written to the shared folder."""
+    docs, base = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{base}/{k}-{name}")
+            docs = spark.read.parquet(f"{base}/{k}-{name}")
+    return docs

@@ -361,5 +361,24 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def one_of_each(df: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
+    """The rows of df (doc_id, text and others) without near duplicates: of each group the row with the smallest id.
+
+    Null ids come last; rows that share an id go by a hash of all columns; of wholly equal rows one stays.  Rows without
+    words link with nothing, so all of them stay.
+    """
+    columns = df.columns
+    key = F.xxhash64(*(F.col(c) for c in columns))
+    ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
+    found = cut(jaccard_groups(df.select(ids.alias("row"), "text"), "row", "text", p).filter("n_shingles > 0"))
+    goes = found.filter("row <> component_id").select(F.col("row.key").alias("__key")).distinct()
+    again = cut(found.filter("row = component_id").groupBy("row.key").count().filter("count > 1").select(F.col("key").alias("__key")))
+    keyed = df.withColumn("__key", key)
+    out = keyed.join(goes.union(again), "__key", "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(*columns)
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))

@@ -151,6 +151,13 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
     return kept.withColumn("__letter", has_letter(F.col(text))).mapInArrow(predict, schema)
 
 
+def recognised(docs: DataFrame, learn_from: Column) -> DataFrame:
+    """The rows of docs in a language that the model knows and tells apart, learned where learn_from holds."""
+    model = train(docs.filter(learn_from))
+    out = identify(docs, model)
+    return out.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = is_remainder(F.col("doc_id"), 3, 1)

@@ -45,18 +45,15 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, ma
     return out
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """How often each document enters a mix in which sources share all words by weight.
+def measured(df: DataFrame) -> DataFrame:
+    """df and its rows' size (words, 0 for null) and hash h."""
+    return df.withColumns({"size": word_count(F.col("text")), "h": row_hash(F.col("doc_id"), F.col("text"))})
 
-    Returns doc_id, source, size (words, 0 for null), source_size, target (words of its source), copies, taken
-    (size * copies).  Every document of a source enters floor(target / source_size) times; of the rest of the budget,
-    those with the smallest hashes enter once more.  The document at the threshold enters if that brings the source
-    nearer to its target.  Null is a source of its own, last in order.  Rows that share id and text share a hash and
-    are taken or left together.  A source without words has target 0 and copies 0.  Other columns are ignored.
-    The driver sees one line a source.
-    """
-    spark = df.sparkSession
-    rows = cut(df.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")))
+
+def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """One line a source from rows of source, size and h, which are read several times: s, source_size, target, whole
+    (copies of each document) and threshold (documents with a smaller hash get one more)."""
+    spark = rows.sparkSession
     sizes = {r.source: int(r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     target = targets(sizes, weights, max_repeat)
     whole = {s: math.floor(target[s] / n) if n else 0 for s, n in sizes.items()}
@@ -84,12 +81,38 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX
     for s in sizes:
         h, done, n = cross.get(s, (0, 0, 0))
         threshold.append((s, sizes[s], target[s], whole[s], h + (done + n - extra[s] < extra[s] - done)))
-    plan = spark.createDataFrame(threshold, "s string, source_size long, target double, whole int, threshold long")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    out = out.withColumn("copies", F.col("whole") + (F.col("h") < F.col("threshold")).cast("int"))
+    return spark.createDataFrame(threshold, "s string, source_size long, target double, whole int, threshold long")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (measured) with source_size, target and copies."""
+    out = rows.join(plan, F.col("source").cast("string").eqNullSafe(F.col("s")))
+    return out.withColumn("copies", F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")).drop("s", "whole", "threshold")
+
+
+def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """How often each document enters a mix in which sources share all words by weight.
+
+    Returns doc_id, source, size (words, 0 for null), source_size, target (words of its source), copies, taken
+    (size * copies).  Every document of a source enters floor(target / source_size) times; of the rest of the budget,
+    those with the smallest hashes enter once more.  The document at the threshold enters if that brings the source
+    nearer to its target.  Null is a source of its own, last in order.  Rows that share id and text share a hash and
+    are taken or left together.  A source without words has target 0 and copies 0.  Other columns are ignored.
+    The driver sees one line a source.
+    """
+    rows = cut(measured(df.select("doc_id", "text", F.col("source").cast("string").alias("source"))).drop("text"))
+    out = with_copies(rows, thresholds(rows, weights, max_repeat))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def mixed(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """The mix itself: df's columns, each row as often as `mix` says."""
+    small = cut(measured(df.select("doc_id", "text", F.col("source").cast("string").alias("source"))).drop("text"))
+    plan = thresholds(small, weights, max_repeat)
+    rows = with_copies(df.withColumn("h", row_hash(F.col("doc_id"), F.col("text"))), plan).filter("copies > 0")
+    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*df.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

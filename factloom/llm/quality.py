@@ -235,6 +235,13 @@ def judge(docs: DataFrame, labels: DataFrame, learn_from, keep: tuple[str, ...]
     return score(rows, model)
 
 
+def good(docs: DataFrame, labels: DataFrame, learn_from) -> DataFrame:
+    """The rows of docs (doc_id, text and others) with a score of KEEP_FROM or more."""
+    model = train(with_statistics(docs.filter(learn_from), ["doc_id"]).join(labels.select("doc_id", "quality").distinct(), "doc_id"))
+    rows = with_statistics(docs, docs.columns)
+    return score(rows, model, "__score").filter(F.col("__score") >= KEEP_FROM).select(*docs.columns)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = is_remainder(F.col("doc_id"), 3, 1)
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
