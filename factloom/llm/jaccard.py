@@ -55,9 +55,14 @@ def shingle_sets(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]
             live = n[short] > k
             more[live] = more[live] * np.uint64(0x9E3779B97F4A7C15) + own[bounds[:-1][short][live] + k]
         more += n[short].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    h, doc = mix64(np.concatenate([h, more])), np.concatenate([doc, short])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    h = mix64(np.concatenate([h, more]))
+    ends = np.concatenate([[0], np.cumsum(count)])
+    for i in np.flatnonzero(count > 1).tolist():  # each text by itself: short sorts are the quickest
+        h[ends[i] : ends[i + 1]].sort()
+    if len(short):  # sets of one go where their texts are
+        doc = np.concatenate([doc, short])
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
@@ -226,8 +231,9 @@ def _key(dig: np.ndarray, id_hash: np.ndarray) -> np.ndarray:
     return dig ^ id_hash
 
 
-def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.ndarray) -> DataFrame:
-    """dig, n, map (bitmap) and members of the nodes whose first document passes the filter."""
+def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.ndarray, full: bool) -> DataFrame:
+    """dig, n, map (bitmap) and, if full, members of the nodes whose first document passes the filter."""
+    names = ["dig", "n", "map", *["members"] * full]
 
     def run(batches):
         fresh = _Fresh()
@@ -238,9 +244,9 @@ def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.nd
             keep = fresh(dig, ok)
             h, bounds = _take(h, bounds, keep)
             maps = [bitmap(h[a:z]).tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(dig[keep]), pa.array(np.diff(bounds)), pa.array(maps, pa.binary()), _binary(h, bounds)], ["dig", "n", "map", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(dig[keep]), pa.array(np.diff(bounds)), pa.array(maps, pa.binary()), *([_binary(h, bounds)] if full else [])], names)
 
-    return df.select(F.xxhash64(id_col).alias("id_hash"), text_col).mapInArrow(run, "dig long, n long, map binary, members binary")
+    return df.select(F.xxhash64(id_col).alias("id_hash"), text_col).mapInArrow(run, "dig long, n long, map binary" + ", members binary" * full)
 
 
 def candidate_links(members: DataFrame, sets: DataFrame, units: int) -> DataFrame:
@@ -341,18 +347,23 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.agg(F.sum("n")).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, int(total * 0.21 * 21 / p.unit_bytes))
+
+    def keys(found: DataFrame) -> DataFrame:
+        return found.select(F.col("dig").bitwiseXOR(F.xxhash64("first")).alias("key"))
+
     nodes = docs.filter("n > 0").groupBy("dig").agg(F.min("id").alias("first"))
     met = cut(groups(prefixes(df, p, text_col, hot, buckets), p))
     members = cut(met.filter("gid IS NOT NULL").select("gid", F.col("a").alias("dig")).distinct())
     edges = met.filter("gid IS NULL").select("a", "b")
     survivors = cut(members.select("dig").union(edges.select("a")).union(edges.select("b")).distinct().join(nodes, "dig"))
-    filter_ = bloom(survivors.select(F.col("dig").bitwiseXOR(F.xxhash64("first")).alias("key")))
-    sets = cut(sets_of(df, p, id_col, text_col, filter_))
+    filter_ = bloom(keys(survivors))
+    maps = cut(sets_of(df, p, id_col, text_col, filter_, False))
+    size = members.join(maps, "dig").agg(F.sum(F.length("map") + 32)).first()[0] or 0
+    candidates = connected_components(edges.union(candidate_links(members, maps, max(parts, int(size / p.unit_bytes) + 1))))
+    filter_ = bloom(keys(survivors.join(candidates.select(F.col("node").alias("dig")), "dig")))
+    sets = cut(sets_of(df, p, id_col, text_col, filter_, True))
     size = sets.agg(F.sum(F.length("members") + F.length("map"))).first()[0] or 0
-    tested = members.count() * 300
-    units = max(parts, int(max(size, tested) / p.unit_bytes) + 1)
-    candidates = connected_components(edges.union(candidate_links(members, sets, units)))
-    labels = link_components(candidates, sets, p, units).toDF("dig", "root")
+    labels = link_components(candidates, sets, p, max(parts, int(size / p.unit_bytes) + 1)).toDF("dig", "root")
     linked = labels.join(survivors, "dig")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
     component = linked.join(smallest, "root").select("dig", "component")
