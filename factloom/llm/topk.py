@@ -53,7 +53,7 @@ def scatter_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         weights, values = queries[rows, term].astype(kind), candidates[posting, term].astype(kind)
         if len(posting) * 2 > len(candidates):  # a long posting is added as a whole line; its zeros add nothing
             values, posting = candidates[:, term].astype(kind), slice(None)
-        if len(rows) == len(queries) and posting == slice(None):
+        if len(rows) == len(queries) and isinstance(posting, slice):
             scores += weights[:, None] * values
         elif isinstance(posting, slice):
             scores[rows] += weights[:, None] * values
