@@ -2,10 +2,533 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom import schema as S
+from factloom.functions import expr as X
+from factloom.operators import analytics as A
+from factloom.operators import dedup, mutations, reports, triples, windows
+from factloom.operators import retrieval as R
+from factloom.sources import exports
+from factloom.sources import fixtures as T
+
+AS_OF, ME = T.AS_OF, T.SELF
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name; sql goes on from the common tables of fixtures.SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = T.SQL + sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def us(c: str, name: str | None = None):
+    return X.micros(F.col(c)).alias(name or f"{c}_us")
+
+
+LIVE = "superseded_by IS NULL AND source_type <> 'user_deletion'"
+PRUNE = "NOT decay_locked AND NOT is_correction AND (eff < 0.15 OR importance < 0.1)"
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+
+
+@query(f""", pool AS (SELECT * FROM decayed WHERE {LIVE} ORDER BY last_reinforced DESC, id LIMIT 30)
+SELECT id, subject_id, predicate, round(0.3 * eff + 0.2 * importance, 6) AS score FROM pool WHERE NOT ({PRUNE}) ORDER BY 0.3 * eff + 0.2 * importance DESC, last_reinforced DESC, id LIMIT 6""")
+def relevant_context(spark: SparkSession, d: str) -> DataFrame:
+    return R.relevant_context(T.edges(spark, d), AS_OF).select("id", "subject_id", "predicate", F.round("score", 6).alias("score"))
+
+
+@query(f""", pool AS (SELECT * FROM decayed WHERE {LIVE} ORDER BY last_reinforced DESC, id LIMIT 200)
+SELECT id, round(0.3 * eff + 0.2 * importance, 6) AS score FROM pool ORDER BY 0.3 * eff + 0.2 * importance DESC, last_reinforced DESC, id LIMIT 50""")
+def relevant_context_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return R.relevant_context(T.edges(spark, d), AS_OF, top=50, include_pruned=True).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""SELECT e.id, subject_id, predicate, importance FROM edges e JOIN entities s ON s.id = subject_id
+WHERE {LIVE} AND (contains(lower(canonical_name), '00001') OR contains(lower(predicate), '00001') OR contains(lower(object_literal), '00001') OR contains(lower(predicate), 'goal'))
+ORDER BY importance DESC, first_seen DESC, e.id LIMIT 50""")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    edges, people = T.edges(spark, d), T.entities(spark, d)
+    both = R.keyword_search(edges, people, "00001", 10**9).unionByName(R.keyword_search(edges, people, "GOAL", 10**9)).dropDuplicates(["id"])
+    return both.orderBy(F.desc("importance"), X.micros(F.col("first_seen")).desc(), "id").limit(50).select("id", "subject_id", "predicate", "importance")
+
+
+@query("SELECT id, subject_id, object_id, epoch_us(first_seen) AS first_seen_us FROM edges WHERE subject_id = 7 OR object_id = 7")
+def relationship_history(spark: SparkSession, d: str) -> DataFrame:
+    return R.history(T.edges(spark, d), 7).select("id", "subject_id", "object_id", us("first_seen"))
+
+
+@query("SELECT id, round(eff, 9) AS eff FROM decayed")
+def effective_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return T.edges(spark, d).select("id", F.round(X.effective_confidence(AS_OF), 9).alias("eff"))
+
+
+@query(f"SELECT id FROM decayed WHERE {PRUNE}")
+def prune_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return T.edges(spark, d).filter(R.prunable(AS_OF)).select("id")
+
+
+@query("SELECT id, round(eff, 9) AS effective_confidence FROM decayed WHERE superseded_by IS NULL")
+def batch_decay(spark: SparkSession, d: str) -> DataFrame:
+    return A.batch_decay(T.edges(spark, d), AS_OF).select("id", F.round("effective_confidence", 9).alias("effective_confidence"))
+
+
+@query("SELECT id, round(confidence * CASE source_type WHEN 'voice_transcript' THEN 0.95 ELSE 1.0 END, 9) AS weighted FROM edges WHERE source_type NOT LIKE 'user%'")
+def source_weighted(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.edges(spark, d).filter(~F.col("source_type").startswith("user"))
+    return rows.select("id", F.round(X.weighted_confidence(F.col("confidence"), F.col("source_type")), 9).alias("weighted"))
+
+
+_DISTANCE = "list_cosine_similarity(vector::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[])"
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    return T.embeddings(spark, d).filter("message_id = 0").first().vector
+
+
+@query(f"""SELECT message_id, round(similarity, 5) AS similarity FROM (SELECT vec_id AS message_id, {_DISTANCE.replace("vector", "embedding", 1)} AS similarity FROM embeddings JOIN messages m ON m.id = vec_id)
+ORDER BY similarity DESC, message_id LIMIT 10""")
+def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
+    found = R.semantic_search(T.embeddings(spark, d), T.messages(spark, d), _query_vector(spark, d))
+    return found.select("message_id", F.round(1 - F.col("distance"), 5).alias("similarity"))
+
+
+_BEST = f""", near AS (SELECT vec_id AS message_id, {_DISTANCE.replace("vector", "embedding", 1)} AS s FROM embeddings),
+best AS (SELECT e.id, max(s) AS similarity FROM (SELECT id, unnest(source_message_ids) AS message_id FROM edges) e LEFT JOIN near USING (message_id) GROUP BY e.id)"""
+
+
+@query(_BEST + " SELECT id, round(similarity, 5) AS similarity FROM best")
+def edge_best_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return R.best_similarity(T.edges(spark, d), T.embeddings(spark, d), _query_vector(spark, d)).select("id", F.round("similarity", 5).alias("similarity"))
+
+
+@query(_BEST + f""", pool AS (SELECT d.*, coalesce(similarity, 0) AS sim, similarity FROM decayed d JOIN best USING (id) WHERE {LIVE} ORDER BY similarity DESC NULLS LAST, last_reinforced DESC, id LIMIT 50)
+SELECT id, round(0.5 * sim + 0.3 * eff + 0.2 * importance, 5) AS score FROM pool WHERE NOT ({PRUNE}) ORDER BY 0.5 * sim + 0.3 * eff + 0.2 * importance DESC, sim DESC, last_reinforced DESC, id LIMIT 10""")
+def relevant_context_vector(spark: SparkSession, d: str) -> DataFrame:
+    got = R.relevant_context(T.edges(spark, d), AS_OF, top=10, embeddings=T.embeddings(spark, d), query=_query_vector(spark, d))
+    return got.select("id", F.round("score", 5).alias("score"))
+
+
+# --- lookups -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, canonical_name FROM entities WHERE id IN (3, 5, 8)")
+def entities_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    return R.by_ids(T.entities(spark, d), [3, 5, 8]).select("id", "canonical_name")
+
+
+@query("SELECT id, canonical_name FROM entities WHERE lower(canonical_name) = (SELECT lower(min(canonical_name)) FROM entities WHERE id = 3) ORDER BY id LIMIT 1")
+def entity_by_name(spark: SparkSession, d: str) -> DataFrame:
+    name = T.entities(spark, d).filter("id = 3").first().canonical_name
+    return R.entity_by_name(T.entities(spark, d), name.upper()).select("id", "canonical_name")
+
+
+@query("SELECT id, (SELECT count(*) FROM entities WHERE is_self) AS selves FROM entities WHERE is_self ORDER BY id LIMIT 1")
+def self_entity(spark: SparkSession, d: str) -> DataFrame:
+    people = T.entities(spark, d)
+    return R.self_entity(people).select("id", people.agg(F.count_if("is_self")).scalar().alias("selves"))
+
+
+@query("SELECT id, superseded_by FROM edges WHERE subject_id = 7 AND predicate = 'likes'")
+def facts_by_subject_predicate(spark: SparkSession, d: str) -> DataFrame:
+    return R.facts_about(T.edges(spark, d), 7, "likes").select("id", "superseded_by")
+
+
+@query(f"SELECT id FROM edges WHERE subject_id = 7 AND predicate = 'likes' AND {LIVE}")
+def live_facts_by_subject_predicate(spark: SparkSession, d: str) -> DataFrame:
+    return R.facts_about(T.edges(spark, d), 7, "likes", only_live=True).select("id")
+
+
+@query(f""", w AS (SELECT DISTINCT subject_id, predicate, object_id FROM edges WHERE object_id < 10)
+SELECT id, subject_id, predicate FROM (SELECT e.*, row_number() OVER (PARTITION BY e.subject_id, e.predicate, e.object_id ORDER BY first_seen, id) AS n FROM edges e JOIN w ON e.subject_id = w.subject_id AND e.predicate = w.predicate AND e.object_id = w.object_id WHERE {LIVE}) WHERE n = 1""")
+def matching_live_facts(spark: SparkSession, d: str) -> DataFrame:
+    edges = T.edges(spark, d)
+    wanted = edges.filter("object_id < 10").select("subject_id", "predicate", "object_id", F.lit(None).cast("string").alias("object_literal")).distinct()
+    return R.matching_live(edges, wanted).select("id", "subject_id", "predicate")
+
+
+@query("""SELECT e.id FROM edges e WHERE superseded_by IS NOT NULL AND EXISTS (SELECT 1 FROM edges w WHERE w.subject_id = e.subject_id AND w.predicate = e.predicate AND w.object_id = e.object_id AND w.object_id < 10)""")
+def superseded_matching_facts(spark: SparkSession, d: str) -> DataFrame:
+    edges = T.edges(spark, d)
+    wanted = edges.filter("object_id < 10").select("subject_id", "predicate", "object_id", F.lit(None).cast("string").alias("object_literal")).distinct()
+    return R.superseded_matches(edges, wanted).select("id")
+
+
+@query("SELECT id, epoch_us(timestamp) AS timestamp_us FROM messages WHERE conversation_id = 7 AND timestamp >= TIMESTAMP '2024-01-10'")
+def conversation_range(spark: SparkSession, d: str) -> DataFrame:
+    return R.conversation_range(T.messages(spark, d), 7, "2024-01-10 00:00:00").select("id", us("timestamp"))
+
+
+# --- messages ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT lower(canonical_name) AS name, count(*) AS n FROM (SELECT canonical_name FROM entities UNION ALL SELECT upper(canonical_name) FROM entities WHERE id % 50 = 0) GROUP BY 1 HAVING count(*) > 1")
+def dup_name_audit(spark: SparkSession, d: str) -> DataFrame:
+    e = T.entities(spark, d).select("id", "canonical_name")
+    return A.repeated_names(e.union(e.filter("id % 50 = 0").select("id", F.upper("canonical_name")))).select("name", "n")
+
+
+@query("SELECT id FROM messages m WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = m.id)")
+def unembedded_messages(spark: SparkSession, d: str) -> DataFrame:
+    return A.without_embedding(T.messages(spark, d), T.embeddings(spark, d)).select("id")
+
+
+_TEXT = "((raw_text IS NOT NULL AND raw_text <> '') OR (transcript IS NOT NULL AND transcript <> ''))"
+
+
+@query(f"SELECT id, coalesce(nullif(raw_text, ''), nullif(transcript, '')) AS text FROM messages WHERE {_TEXT}")
+def messages_with_text(spark: SparkSession, d: str) -> DataFrame:
+    return T.messages(spark, d).select("id", X.usable_text().alias("text")).filter("text IS NOT NULL")
+
+
+@query(f"SELECT id, conversation_id FROM messages WHERE NOT processed AND {_TEXT}")
+def unprocessed_with_text(spark: SparkSession, d: str) -> DataFrame:
+    return A.unprocessed_with_text(T.messages(spark, d)).select("id", "conversation_id")
+
+
+@query(f"SELECT count(*) AS n FROM messages WHERE NOT processed AND NOT {_TEXT}")
+def unprocessed_no_text_count(spark: SparkSession, d: str) -> DataFrame:
+    return T.messages(spark, d).filter(~F.col("processed") & X.usable_text().isNull()).agg(F.count("*").alias("n"))
+
+
+_SINCE = "timestamp >= TIMESTAMP '2024-01-18'"
+
+
+@query(f"SELECT conversation_id, count(*) AS n FROM messages WHERE {_SINCE} GROUP BY 1")
+def count_by_conversation(spark: SparkSession, d: str) -> DataFrame:
+    return A.count_by(T.messages(spark, d), "conversation_id", since=A.since_days(AS_OF))
+
+
+@query(f"SELECT conversation_id, sender_id, count(*) AS n FROM messages WHERE {_SINCE} GROUP BY 1, 2")
+def count_by_conversation_sender(spark: SparkSession, d: str) -> DataFrame:
+    return A.count_by(T.messages(spark, d), "conversation_id", "sender_id", since=A.since_days(AS_OF))
+
+
+@query("SELECT DISTINCT conversation_id, sender_id FROM messages")
+def distinct_senders(spark: SparkSession, d: str) -> DataFrame:
+    return A.distinct_senders(T.messages(spark, d))
+
+
+@query("SELECT DISTINCT conversation_id FROM messages WHERE sender_id = -1")
+def conversations_of_sender(spark: SparkSession, d: str) -> DataFrame:
+    return A.conversations_of(T.messages(spark, d), ME)
+
+
+@query("SELECT conversation_id, max(epoch_us(timestamp)) AS last FROM messages GROUP BY 1")
+def last_message_time(spark: SparkSession, d: str) -> DataFrame:
+    return A.last_time(T.messages(spark, d), "conversation_id")
+
+
+@query("SELECT conversation_id, sender_id, max(epoch_us(timestamp)) AS last FROM messages GROUP BY 1, 2")
+def last_message_time_by_sender(spark: SparkSession, d: str) -> DataFrame:
+    return A.last_time(T.messages(spark, d), "conversation_id", "sender_id")
+
+
+@query("SELECT conversation_id, min(least(epoch_us(timestamp), epoch_us(TIMESTAMP '2024-01-20'))) AS first, max(least(epoch_us(timestamp), epoch_us(TIMESTAMP '2024-01-20'))) AS last FROM messages GROUP BY 1")
+def observed_times(spark: SparkSession, d: str) -> DataFrame:
+    return A.observed_times(T.messages(spark, d), "2024-01-20 00:00:00", "conversation_id")
+
+
+# --- relationships -----------------------------------------------------------------------------------------------
+
+_KINDS = """, kinds AS (SELECT conversation_id, CASE WHEN count(DISTINCT sender_id) > 1 THEN 'group' ELSE 'one_to_one' END AS kind,
+  CASE WHEN count(DISTINCT sender_id) = 1 THEN min(sender_id) END AS owner FROM messages WHERE sender_id <> -1 GROUP BY 1)"""
+_FREQUENCY = _KINDS + f""", credited AS (SELECT CASE WHEN kind = 'one_to_one' THEN owner ELSE nullif(sender_id, -1) END AS contact_id, sum(CASE WHEN kind = 'one_to_one' THEN n ELSE 0.25 * n END)::DOUBLE AS x
+  FROM (SELECT conversation_id, sender_id, count(*) AS n FROM messages WHERE {_SINCE} GROUP BY 1, 2) JOIN kinds USING (conversation_id) GROUP BY 1 HAVING contact_id IS NOT NULL),
+frequency AS (SELECT contact_id, x / (SELECT avg(x) FROM credited) AS frequency FROM credited)"""
+_REPLIES = f""", lagged AS (SELECT *, lag(sender_id) OVER w AS before, lag(timestamp) OVER w AS earlier FROM messages WHERE {_SINCE} WINDOW w AS (PARTITION BY conversation_id ORDER BY timestamp, id)),
+replies AS (SELECT before AS contact_id, conversation_id, kind, (epoch_us(timestamp) - epoch_us(earlier)) / 1e6 AS seconds FROM lagged JOIN kinds USING (conversation_id)
+  WHERE sender_id = -1 AND before <> -1 AND (kind <> 'group' OR epoch_us(timestamp) - epoch_us(earlier) <= 1800000000))"""
+_RECENCY = """, recent AS (SELECT CASE WHEN kind = 'one_to_one' THEN owner ELSE nullif(sender_id, -1) END AS contact_id, max(epoch_us(timestamp)) AS last FROM messages JOIN kinds USING (conversation_id) GROUP BY 1 HAVING contact_id IS NOT NULL)"""
+
+
+@query(_KINDS + " SELECT * FROM kinds")
+def classify_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return A.classify_conversations(T.messages(spark, d), ME)
+
+
+@query(_FREQUENCY + " SELECT contact_id, round(frequency, 9) AS frequency FROM frequency")
+def contact_frequency(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    return A.frequency(m, A.classify_conversations(m, ME), ME, AS_OF).select("contact_id", F.round("frequency", 9).alias("frequency"))
+
+
+def _latencies(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    return A.reply_latencies(m, A.classify_conversations(m, ME), ME, AS_OF)
+
+
+@query(_KINDS + _REPLIES + " SELECT contact_id, conversation_id, round(seconds, 6) AS seconds FROM replies")
+def reply_latency(spark: SparkSession, d: str) -> DataFrame:
+    return _latencies(spark, d).select("contact_id", "conversation_id", F.round("seconds", 6).alias("seconds"))
+
+
+@query(_KINDS + _REPLIES + " SELECT contact_id, round(median(seconds), 3) AS reply_seconds FROM replies GROUP BY 1")
+def reply_speed_median(spark: SparkSession, d: str) -> DataFrame:
+    return A.reply_speed(_latencies(spark, d)).select("contact_id", F.round("reply_seconds", 3).alias("reply_seconds"))
+
+
+@query(_KINDS + _RECENCY + " SELECT * FROM recent")
+def recency(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    return A.recency(m, A.classify_conversations(m, ME), ME)
+
+
+@query(f"SELECT subject_id AS contact_id, count(*) AS signals FROM edges WHERE {LIVE} AND predicate IN ('nickname_is', 'inside_joke_ref') GROUP BY 1")
+def explicit_signals(spark: SparkSession, d: str) -> DataFrame:
+    return A.explicit_signals(T.edges(spark, d))
+
+
+@query(_FREQUENCY + _REPLIES + _RECENCY + f""", speed AS (SELECT contact_id, median(seconds) AS s FROM replies GROUP BY 1),
+signals AS (SELECT subject_id AS contact_id, count(*) AS n FROM edges WHERE {LIVE} AND predicate IN ('nickname_is', 'inside_joke_ref') GROUP BY 1)
+SELECT contact_id, round(0.30 * coalesce(frequency, 0) / (coalesce(frequency, 0) + 1) + 0.25 * coalesce(1 / (1 + s / 1800), 0)
+  + 0.15 * exp(-greatest(0, epoch_us(TIMESTAMP '2024-02-15') - last) / 86400000000.0 / 14) + 0.10 * least(1, coalesce(n, 0) / 5), 6) AS closeness
+FROM recent LEFT JOIN frequency USING (contact_id) LEFT JOIN speed USING (contact_id) LEFT JOIN signals USING (contact_id)""")
+def closeness(spark: SparkSession, d: str) -> DataFrame:
+    return A.relationship_stats(T.messages(spark, d), T.edges(spark, d), ME, AS_OF).select("contact_id", F.round("closeness", 6).alias("closeness"))
+
+
+# --- provenance and reports --------------------------------------------------------------------------------------
+
+_SOURCES = """, src AS (SELECT e.id AS edge_id, m.timestamp::DATE AS day, coalesce(s.canonical_name, '') AS sender, media_type
+  FROM (SELECT id, unnest(source_message_ids) AS mid FROM edges) e JOIN messages m ON m.id = e.mid LEFT JOIN entities s ON s.id = m.sender_id)"""
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return R.sources_of(T.edges(spark, d), T.messages(spark, d), T.entities(spark, d))
+
+
+@query(_SOURCES + " SELECT edge_id, string_agg(DISTINCT day::VARCHAR, ',' ORDER BY day::VARCHAR) AS days FROM src GROUP BY 1")
+def provenance_seen(spark: SparkSession, d: str) -> DataFrame:
+    return R.seen_days(_sources(spark, d)).select("edge_id", F.array_join(F.transform("days", lambda x: x.cast("string")), ",").alias("days"))
+
+
+@query(_SOURCES + " SELECT edge_id, string_agg(sender || '=' || n, ',' ORDER BY n DESC, sender) AS senders FROM (SELECT edge_id, sender, count(*) AS n FROM src GROUP BY 1, 2) GROUP BY 1")
+def provenance_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return R.tally(_sources(spark, d), "sender").select("edge_id", F.array_join(F.transform("senders", lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), ",").alias("senders"))
+
+
+@query(_SOURCES + " SELECT edge_id, string_agg(media_type || '=' || n, ',' ORDER BY n DESC, media_type) AS media FROM (SELECT edge_id, media_type, count(*) AS n FROM src GROUP BY 1, 2) GROUP BY 1")
+def provenance_media(spark: SparkSession, d: str) -> DataFrame:
+    return R.tally(_sources(spark, d), "media_type").select("edge_id", F.array_join(F.transform("media_types", lambda x: F.concat(x["name"], F.lit("="), x["n"].cast("string"))), ",").alias("media"))
+
+
+@query("SELECT event_type AS model, user_id % 3 AS path, count(*) AS requests, coalesce(sum(user_id), 0)::BIGINT AS total_tokens, round(coalesce(sum(value), 0), 4) AS cost, count(*) FILTER (value > 50) AS priced FROM events GROUP BY 1, 2")
+def usage_rollup(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("user_id")
+    usage = T.read(spark, d, "events").select(F.col("event_type").alias("model"), (n % 3).alias("path"), n.alias("prompt_tokens"), n.alias("completion_tokens"), n.alias("total_tokens"), F.col("value").alias("cost"), (F.col("value") > 50).alias("price_found"))
+    return reports.usage_rollup(usage).select("model", "path", "requests", "total_tokens", F.round("cost", 4).alias("cost"), "priced")
+
+
+@query("""SELECT count(*) AS n, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most, round(avg(confidence), 6) AS mean,
+  (SELECT round(confidence, 6) FROM edges ORDER BY confidence LIMIT 1 OFFSET (SELECT count(*) // 2 FROM edges)) AS median FROM edges""")
+def confidence_distribution(spark: SparkSession, d: str) -> DataFrame:
+    got = reports.distribution(T.edges(spark, d))
+    return got.select("n", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean", "median")])
+
+
+@query("(SELECT id, round(confidence, 6) AS confidence, 'low' AS side FROM edges ORDER BY edges.confidence, id LIMIT 10) UNION ALL (SELECT id, round(confidence, 6), 'high' FROM edges ORDER BY edges.confidence DESC, id LIMIT 10)")
+def confidence_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return reports.outliers(T.edges(spark, d)).select("id", F.round("confidence", 6).alias("confidence"), "side")
+
+
+@query("SELECT CASE event_id % 7 WHEN 0 THEN 'group' WHEN 1 THEN 'edit' ELSE 'unsupported_type' END AS drop_reason, count(*) AS n FROM events WHERE event_id % 7 < 3 GROUP BY 1")
+def drop_reason_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id") % 7
+    return reports.drop_counts(T.read(spark, d, "events").select(F.when(e == 0, "group").when(e == 1, "edit").when(e == 2, "unsupported_type").alias("drop_reason")))
+
+
+# --- windows and identifiers -------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // 3)::INTEGER AS window_index FROM conversations")
+def count_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windows.count_windows(T.read(spark, d, "conversations"), "conv_id", "turn", "role", "text", size=3).select("conv_id", "turn", "window_index")
+
+
+@query()
+def live_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windows.live_windows(T.messages(spark, d)).select("id", "conversation_id", "window_index")
+
+
+_SQL["live_windows"] = T.SQL.replace("WITH messages", "WITH RECURSIVE messages", 1) + """, ordered AS (SELECT id, conversation_id, epoch_us(timestamp) AS us, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, id) AS k FROM messages),
+fold AS (
+  SELECT id, conversation_id, k, us AS first, 1 AS n, 0 AS window_index FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT o.id, o.conversation_id, o.k,
+         CASE WHEN f.n >= 10 OR o.us - f.first > 300000000 THEN o.us ELSE f.first END,
+         CASE WHEN f.n >= 10 OR o.us - f.first > 300000000 THEN 1 ELSE f.n + 1 END,
+         CASE WHEN f.n >= 10 OR o.us - f.first > 300000000 THEN f.window_index + 1 ELSE f.window_index END
+  FROM fold f JOIN ordered o ON o.conversation_id = f.conversation_id AND o.k = f.k + 1)
+SELECT id, conversation_id, window_index::INTEGER AS window_index FROM fold"""
+
+
+@query(""", w AS (SELECT conversation_id, media_type, (row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, id) - 1) // 8 AS i FROM messages WHERE media_type IN ('text', 'voice'))
+SELECT conversation_id, i::INTEGER AS window_index, CASE WHEN bool_or(media_type = 'voice') THEN 'voice_transcript' ELSE 'whatsapp_text' END AS source_type FROM w GROUP BY 1, 2""")
+def window_source_type(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.messages(spark, d).filter(F.col("media_type").isin("text", "voice"))
+    return windows.window_rows(windows.count_windows(rows, "conversation_id", "timestamp", "id")).select("conversation_id", "window_index", "source_type")
+
+
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.messages(spark, d).select("id", F.col("conversation_id").cast("string").alias("conversation_id"), F.col("sender_id").cast("string").alias("sender"), F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("stamp"), F.coalesce("raw_text", F.lit("")).alias("body"))
+    return exports.with_external_ids(rows, exports.TEXT_PREFIX, F.col("body"), "id")
+
+
+_IDS = """, ids AS (SELECT id, 'wa-export:' || sha256(conversation_id || '|' || sender_id || '|' || strftime(date_trunc('day', timestamp), '%Y-%m-%dT%H:%M:%SZ') || '|' || coalesce(raw_text, '')) AS base, conversation_id FROM messages)"""
+
+
+@query(_IDS + " SELECT id, base AS external_id FROM ids")
+def external_ids(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    stamp = F.concat(F.date_format(F.date_trunc("day", "timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return m.select("id", X.external_id(exports.TEXT_PREFIX, F.col("conversation_id").cast("string"), F.col("sender_id").cast("string"), stamp, F.coalesce("raw_text", F.lit(""))).alias("external_id"))
+
+
+@query(_IDS + ", n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM ids) SELECT id, CASE WHEN k > 1 THEN 'wa-export:' || sha256(base || '#' || k) ELSE base END AS external_id FROM n")
+def external_id_disambiguation(spark: SparkSession, d: str) -> DataFrame:
+    return _identified(spark, d).select("id", "external_id")
+
+
+@query()
+def conversation_uuid5(spark: SparkSession, d: str) -> DataFrame:
+    return T.messages(spark, d).select("conversation_id").distinct().select("conversation_id", X.conversation_id(F.lit("whatsapp"), F.col("conversation_id").cast("string")).alias("uuid"))
+
+
+_SQL["conversation_uuid5"] = T.SQL + f""", h AS (SELECT conversation_id, sha1(unhex('{X.NAMESPACE.hex}') || encode('whatsapp:' || conversation_id)) AS h FROM (SELECT DISTINCT conversation_id FROM messages))
+SELECT conversation_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab'[('0x' || h[17:17])::INTEGER % 4 + 1] || h[18:20] || '-' || h[21:32] AS uuid FROM h"""
+
+
+# --- duplicates and changes --------------------------------------------------------------------------------------
+
+_PAIRS = f""", words AS (SELECT id, subject_id, predicate, object_id, epoch_us(first_seen) AS us, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(object_literal), '[^\\p{{L}}\\p{{Nd}}\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS w
+  FROM edges WHERE {LIVE} AND NOT decay_locked AND NOT is_correction),
+pairs AS (SELECT a.id AS a, b.id AS b FROM words a JOIN words b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.id < b.id AND abs(a.us - b.us) <= 86400000000
+  AND CASE WHEN a.object_id IS NOT NULL OR b.object_id IS NOT NULL THEN coalesce(a.object_id = b.object_id, false)
+      ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) >= 0.85 END)"""
+
+
+@query(_PAIRS + " SELECT a, b FROM pairs")
+def literal_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.duplicate_pairs(T.edges(spark, d))
+
+
+_CLUSTERS = T.SQL.replace("WITH messages", "WITH RECURSIVE messages", 1) + _PAIRS + """, both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT reach.id, b FROM reach JOIN both_ways ON both_ways.a = reach.r),
+clusters AS (SELECT id, min(r) AS cluster FROM reach GROUP BY id)"""
+
+
+@query()
+def dedup_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.clusters(dedup.duplicate_pairs(T.edges(spark, d)))
+
+
+_SQL["dedup_clusters"] = _CLUSTERS + " SELECT id, cluster FROM clusters"
+
+
+@query()
+def merge_survivors(spark: SparkSession, d: str) -> DataFrame:
+    edges = T.edges(spark, d)
+    members = dedup.cluster_members(edges, dedup.duplicate_pairs(edges))
+    out, _ = mutations.merge_duplicates(edges, members)
+    return out.join(members.filter("rank = 1").select("id"), "id", "left_semi").select("id", us("last_reinforced"), F.size("source_message_ids").cast("long").alias("sources"))
+
+
+_SQL["merge_survivors"] = _CLUSTERS + """, m AS (SELECT c.cluster, e.*, row_number() OVER (PARTITION BY c.cluster ORDER BY first_seen, e.id) AS rank FROM clusters c JOIN edges e USING (id))
+SELECT min(id) FILTER (rank = 1) AS id, max(epoch_us(last_reinforced)) AS last_reinforced_us, len(list_distinct(flatten(list(source_message_ids)))) AS sources FROM m GROUP BY cluster"""
+
+
+@query("SELECT e.id, greatest(epoch_us(last_reinforced), epoch_us(hi)) AS last_us, least(epoch_us(first_seen), epoch_us(lo)) AS first_us FROM edges e JOIN (SELECT event_id // 10 AS id, max(ts) AS hi, min(ts) AS lo FROM events GROUP BY 1) USING (id)")
+def reinforce_fold(spark: SparkSession, d: str) -> DataFrame:
+    ops = T.read(spark, d, "events").select(F.floor(F.col("event_id") / 10).cast("long").alias("id"), F.col("ts").alias("at"))
+    return mutations.reinforce(T.edges(spark, d), ops).join(ops.select("id").distinct(), "id", "left_semi").select("id", us("last_reinforced", "last_us"), us("first_seen", "first_us"))
+
+
+def _ops(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return T.read(spark, d, "events").filter(e % 13 == 0).select((F.floor(e / 2)).cast("long").alias("target"), e.alias("seq"), (e + 10_000_000_000).alias("new_id"))
+
+
+_OPS = """, ops AS (SELECT event_id // 2 AS target, event_id AS seq, event_id + 10000000000 AS new_id FROM events WHERE event_id % 13 = 0),
+judged AS (SELECT ops.*, e.superseded_by AS old, e.predicate, e.importance, e.id IS NULL AS missing, row_number() OVER (PARTITION BY target ORDER BY seq) AS n FROM ops LEFT JOIN edges e ON e.id = target),
+good AS (SELECT * FROM judged WHERE NOT missing AND old IS NULL AND n = 1)"""
+
+
+@query(_OPS + """ SELECT edges.id, coalesce(superseded_by, new_id) AS superseded_by, confidence, edges.importance, source_type FROM edges LEFT JOIN good ON target = edges.id
+UNION ALL SELECT new_id, NULL, 1.0, importance, 'user_correction' FROM good""")
+def correct_fold(spark: SparkSession, d: str) -> DataFrame:
+    edges, none = T.edges(spark, d), F.lit(None)
+    ops = _ops(spark, d).select("*", none.cast("long").alias("subject_id"), none.cast("string").alias("predicate"), none.cast("long").alias("object_id"), F.lit("new").alias("object_literal"), none.cast("double").alias("importance"), none.cast("timestamp_ntz").alias("at"))
+    return mutations.correct(edges, ops, AS_OF)[0].select("id", "superseded_by", "confidence", "importance", "source_type")
+
+
+@query(_OPS + """ SELECT edges.id, coalesce(superseded_by, new_id) AS superseded_by, confidence, edges.importance, source_type FROM edges LEFT JOIN good ON target = edges.id
+UNION ALL SELECT new_id, NULL, 0.0, 0.0, 'user_deletion' FROM good""")
+def soft_delete_fold(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.soft_delete(T.edges(spark, d), _ops(spark, d), AS_OF)[0].select("id", "superseded_by", "confidence", "importance", "source_type")
+
+
+@query(_OPS + " SELECT target, seq, CASE WHEN missing THEN 'not_found' ELSE 'already_superseded' END AS reason FROM judged WHERE missing OR old IS NOT NULL OR n > 1")
+def change_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return mutations.soft_delete(T.edges(spark, d), _ops(spark, d), AS_OF)[1]
+
+
+@query(f""", latest AS (SELECT e.id, max(epoch_us(m.timestamp)) AS t FROM (SELECT id, unnest(source_message_ids) AS mid FROM edges) e JOIN messages m ON m.id = e.mid GROUP BY 1),
+facts AS (SELECT e.*, e.superseded_by IS NULL AND e.source_type <> 'user_deletion' AS alive, coalesce(l.t, epoch_us(b.first_seen)) AS until FROM edges e LEFT JOIN edges b ON b.id = e.superseded_by LEFT JOIN latest l ON l.id = b.id),
+claims AS (SELECT id AS claim_id, subject_id, predicate, object_id, object_literal, epoch_us(first_seen) AS us FROM edges WHERE id % 5 = 0)
+SELECT claim_id, coalesce(NOT bool_or(alive) AND bool_or(superseded_by IS NOT NULL AND us <= until), false) AS stale
+FROM claims c LEFT JOIN facts f ON f.subject_id = c.subject_id AND f.predicate = c.predicate AND coalesce(f.object_id = c.object_id, f.object_literal = c.object_literal, false) GROUP BY claim_id""")
+def stale_guard(spark: SparkSession, d: str) -> DataFrame:
+    edges = T.edges(spark, d)
+    claims = edges.filter("id % 5 = 0").select(F.col("id").alias("claim_id"), "subject_id", "predicate", "object_id", "object_literal", F.col("first_seen").alias("at"))
+    return mutations.stale_claims(claims, edges, T.messages(spark, d), AS_OF).select("claim_id", "stale")
+
+
+@query("""SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, external_id ORDER BY id) AS n FROM messages m WHERE id % 2 = 1 AND (external_id IS NULL OR NOT EXISTS
+  (SELECT 1 FROM messages s WHERE s.id % 2 = 0 AND s.conversation_id = m.conversation_id AND s.external_id = m.external_id))) WHERE external_id IS NULL OR n = 1""")
+def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    return mutations.insert_if_absent(m.filter("id % 2 = 0"), m.filter("id % 2 = 1")).select("id")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown_predicate' WHEN event_id % 7 = 0 THEN 'unknown_object_type' WHEN event_id % 11 = 0 THEN 'empty_subject' WHEN event_id % 13 = 0 THEN 'empty_object' WHEN value / 100 > 1 THEN 'confidence_out_of_range' END AS reject_reason FROM events""")
+def triple_validation(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = T.read(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", "mood").otherwise("likes").alias("predicate"), F.when(e % 7 == 0, "thing").otherwise("literal").alias("object_type"), F.when(e % 11 == 0, " ").otherwise("a").alias("subject"), F.when(e % 13 == 0, "").otherwise("b").alias("object"), (F.col("value") / 100).alias("confidence"))
+    return rows.select("event_id", triples.reject_reason().alias("reject_reason"))
+
+
+@query(""", s AS (SELECT DISTINCT epoch_us(timestamp) // 1000000 AS a FROM messages), g AS (SELECT a, coalesce(lead(a) OVER (ORDER BY a), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS b FROM s),
+idle AS (SELECT a + 2100 AS at FROM g WHERE b - a >= 2100), runs AS (SELECT at, coalesce(lead(at) OVER (ORDER BY at), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS nxt FROM idle)
+SELECT at, 'idle_threshold' AS reason FROM idle
+UNION ALL SELECT at + k * 72000, 'max_interval_fallback' FROM runs, unnest(generate_series(1, (nxt - at - 1) // 72000)) AS t(k)""")
+def idle_trigger_points(spark: SparkSession, d: str) -> DataFrame:
+    return A.idle_points(T.messages(spark, d), until=AS_OF)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN length(regexp_replace(c_name, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 THEN regexp_replace(c_name, '[^0-9]', '', 'g') || '@s.whatsapp.net' END AS identity FROM customer")
+def identity_normalisation(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), X.normalise_identity(F.concat(F.lit("+"), F.regexp_replace("c_name", "[^0-9]", ""))).alias("identity"))
+
+
+@query("SELECT id, CASE WHEN object_id IS NULL = (object_literal IS NULL) THEN 'object_xor' END AS rule FROM edges WHERE (object_id IS NULL) = (object_literal IS NULL)")
+def edge_audit(spark: SparkSession, d: str) -> DataFrame:
+    return S.edge_violations(T.edges(spark, d))
