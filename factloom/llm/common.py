@@ -106,3 +106,39 @@ def word_hashes(flat: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     codes = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     own = np.fromiter(map(xxhash.xxh3_64_intdigest, d.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(d.dictionary))
     return own[codes], codes, d.dictionary
+
+
+def _release() -> None:
+    """Gives memory that this worker no longer needs back to the system: workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(f):
+    """f, a function over batches, with memory given back at its end."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _release()
+
+    return run
+
+
+def tidy_table(f):
+    """f, a function from table to table, with memory given back at its end."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return f(t)
+        finally:
+            _release()
+
+    return run

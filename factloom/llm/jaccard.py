@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, mix64, slices, table, word_hashes, words
+from factloom.llm.common import cut, mix64, slices, table, tidy, tidy_table, word_hashes, words
 from factloom.llm.components import connected_components
 from factloom.llm.sigtree import OVER, UNDER, Forest, bitmap, link
 
@@ -129,7 +129,7 @@ def measured(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), pa.nulls(k, ids.type), pa.array(count[often]), pa.array(own[often].view(np.int64))], ["kind", "id", "n", "dig"])
 
     rows = df.select(id_col, text_col)
-    return rows.mapInArrow(run, f"kind int, id {dict(rows.dtypes)[id_col]}, n long, dig long")
+    return rows.mapInArrow(tidy(run), f"kind int, id {dict(rows.dtypes)[id_col]}, n long, dig long")
 
 
 def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets: int) -> DataFrame:
@@ -172,7 +172,7 @@ def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets:
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), _binary(h[order], cut_), _binary(dig[node][order], cut_), _binary(n[node][order].astype(np.int32), cut_), _binary(sure[order].astype(np.uint8), cut_)], ["bucket", "h", "dig", "n", "sure"])
 
-    return df.select(text_col).mapInArrow(run, "bucket int, h binary, dig binary, n binary, sure binary")
+    return df.select(text_col).mapInArrow(tidy(run), "bucket int, h binary, dig binary, n binary, sure binary")
 
 
 def groups(packed: DataFrame, p: Params) -> DataFrame:
@@ -205,7 +205,7 @@ def groups(packed: DataFrame, p: Params) -> DataFrame:
         gids, none = np.repeat(gid, size)[row_test], int(row_star.sum())
         return pa.table({"gid": pa.concat_arrays([pa.array(gids), pa.nulls(none, pa.int64())]), "a": pa.array(np.concatenate([dig[row_test], lead[row_star]])), "b": pa.concat_arrays([pa.nulls(len(gids), pa.int64()), pa.array(dig[row_star])])})
 
-    return packed.groupBy("bucket").applyInArrow(run, "gid long, a long, b long")
+    return packed.groupBy("bucket").applyInArrow(tidy_table(run), "gid long, a long, b long")
 
 
 def bloom(keys: DataFrame) -> np.ndarray:
@@ -246,7 +246,7 @@ def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.nd
             maps = [bitmap(h[a:z]).tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(dig[keep]), pa.array(np.diff(bounds)), pa.array(maps, pa.binary()), *([_binary(h, bounds)] if full else [])], names)
 
-    return df.select(F.xxhash64(id_col).alias("id_hash"), text_col).mapInArrow(run, "dig long, n long, map binary" + ", members binary" * full)
+    return df.select(F.xxhash64(id_col).alias("id_hash"), text_col).mapInArrow(tidy(run), "dig long, n long, map binary" + ", members binary" * full)
 
 
 def candidate_links(members: DataFrame, sets: DataFrame, units: int) -> DataFrame:
@@ -268,7 +268,7 @@ def candidate_links(members: DataFrame, sets: DataFrame, units: int) -> DataFram
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     rows = members.join(sets.select("dig", "n", "map"), "dig").select(F.pmod(F.xxhash64("gid"), F.lit(units)).alias("unit"), "gid", "dig", "n", "map")
-    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
+    return rows.groupBy("unit").applyInArrow(tidy_table(run), "a long, b long")
 
 
 def exact_links(rows: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def exact_links(rows: DataFrame) -> DataFrame:
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
+    return rows.groupBy("unit").applyInArrow(tidy_table(run), "a long, b long")
 
 
 def link_components(components: DataFrame, sets: DataFrame, p: Params, units: int) -> DataFrame:

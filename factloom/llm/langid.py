@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import is_remainder, slices, table, text_bytes
+from factloom.llm.common import is_remainder, slices, table, text_bytes, tidy
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams, bits of a codeword (at least; twice the languages, if those are more), and pseudo-counts.
@@ -121,7 +121,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model | None
             yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "counts": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))})
 
     rows = df.filter(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(text), F.col(lang).cast("string").alias(lang))
-    part = rows.mapInArrow(count, "lang string, counts array<double>")
+    part = rows.mapInArrow(tidy(count), "lang string, counts array<double>")
     at = part.select("lang", F.posexplode("counts").alias("bucket", "n")).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by = at.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x.n).alias("n")).orderBy("lang").collect()
     return Model([r.lang for r in by], np.array([r.n for r in by])) if by else None
@@ -148,7 +148,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
             yield pa.RecordBatch.from_arrays([*cols, pa.array(named, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(narrow | ~letter)], [*names, "lang_pred", "score", "ambiguous"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.select(*names).dtypes) + ", lang_pred string, score double, ambiguous boolean"
-    return kept.withColumn("__letter", has_letter(F.col(text))).mapInArrow(predict, schema)
+    return kept.withColumn("__letter", has_letter(F.col(text))).mapInArrow(tidy(predict), schema)
 
 
 def recognised(docs: DataFrame, learn_from: Column) -> DataFrame:

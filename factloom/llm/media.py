@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import jpeg
-from factloom.llm.common import slices, table, text_bytes
+from factloom.llm.common import slices, table, text_bytes, tidy
 
 BLOCK = 64
 
@@ -117,7 +117,7 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media", "tensor"] if with_media else [])]
     rows = df.select(id_col, text_col)
     schema = f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(run, schema + ", media binary, tensor binary" * with_media)
+    return rows.mapInArrow(tidy(run), schema + ", media binary, tensor binary" * with_media)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, slices, table, words
+from factloom.llm.common import cut, slices, table, tidy, words
 
 MAX_TOKENS, END = 2048, 0
 #: Words whose ids a task remembers, at most; it then begins anew.
-CACHE = 400_000
+CACHE = 200_000
 #: Words encoded at once, and marks after a word of letters, which the tokenizer splits from it.
 LINE, MARKS = 1000, "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
@@ -184,7 +184,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = df.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, part long, local long" + ", ids array<long>" * with_ids)
+    return rows.mapInArrow(tidy(run), f"`{id_col}` {dict(rows.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long, part long, local long" + ", ids array<long>" * with_ids)
 
 
 def pack(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", room: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -213,7 +213,7 @@ def pack(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(seq, pa.int64()), pa.array(offset, pa.int64())], [*kept, "sequence_id", "offset"])
 
     ranked = made.join(before, ["part", "length"]).withColumn("rank", F.col("local") + F.col("before")).select(*kept, "rank")
-    return ranked.mapInArrow(assign, ", ".join(f"`{c}` {t}" for c, t in ranked.select(*kept).dtypes) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(assign), ", ".join(f"`{c}` {t}" for c, t in ranked.select(*kept).dtypes) + ", sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, is_remainder, slices, sums, table, text_bytes, words
+from factloom.llm.common import cut, is_remainder, slices, sums, table, text_bytes, tidy, words
 
 #: Random features, kernel width (in standard deviations), ridge penalty a row.
 FEATURES, WIDTH, RIDGE = 256, 4.0, 1e-3
@@ -108,7 +108,7 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), stats], [*keep, "stats"])
 
     rows = df.select(*keep, *([] if text in keep else [text]))
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes) + ", stats array<float>")
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{c}` {t}" for c, t in rows.select(*keep).dtypes) + ", stats array<float>")
 
 
 def _rows(col: pa.Array) -> np.ndarray:
@@ -177,7 +177,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Mo
             s += [np.full(d, len(x)), x.sum(0), (x**2).sum(0)]
         yield pa.RecordBatch.from_pydict({"s": pa.array([s.ravel().tolist()], pa.list_(pa.float64()))})
 
-    s = np.sum([np.reshape(r.s, (3, d)) for r in parts.mapInArrow(moments, "s array<double>").collect()], axis=0)
+    s = np.sum([np.reshape(r.s, (3, d)) for r in parts.mapInArrow(tidy(moments), "s array<double>").collect()], axis=0)
     mean = s[1] / s[0]
     scale = np.sqrt(np.maximum(s[2] / s[0] - mean**2, 0))
     scale[scale < 1e-6] = 1.0
@@ -194,7 +194,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Mo
 
     by = {r.y: r["count"] for r in parts.filter(~calibrating).groupBy("y").count().collect()}
     weight = [0.5 * sum(by.values()) / max(by.get(y, 1), 1) for y in (0.0, 1.0)]
-    a = np.sum([np.frombuffer(r.a).reshape(m, m + 1) for r in parts.filter(~calibrating).mapInArrow(normal, "a binary").collect()], axis=0)
+    a = np.sum([np.frombuffer(r.a).reshape(m, m + 1) for r in parts.filter(~calibrating).mapInArrow(tidy(normal), "a binary").collect()], axis=0)
     penalty = RIDGE * max(sum(by.values()), 1) * np.eye(m)
     penalty[-1, -1] = 1e-9
     model.beta = np.linalg.solve(a[:, :m] + penalty, a[:, m])
@@ -203,9 +203,9 @@ def train(rows: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Mo
         for b in batches:
             yield pa.RecordBatch.from_pydict({"x": pa.array(model.raw(_rows(b.column("stats")))), "y": b.column("y")})
 
-    held = parts.filter(calibrating).mapInArrow(judged, "x double, y double").toPandas()  # bounded by MAX_LABELLED
+    held = parts.filter(calibrating).mapInArrow(tidy(judged), "x double, y double").toPandas()  # bounded by MAX_LABELLED
     if not len(held):
-        held = parts.mapInArrow(judged, "x double, y double").toPandas()
+        held = parts.mapInArrow(tidy(judged), "x double, y double").toPandas()
     model.knots, model.levels = isotonic(held.x.to_numpy(), held.y.to_numpy())
     return model
 
@@ -221,7 +221,7 @@ def score(rows: DataFrame, model: Model | None, score_col: str = "score") -> Dat
             got = model.score(_rows(b.column("stats"))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(got)], [*kept, score_col])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + f", `{score_col}` double")
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + f", `{score_col}` double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, learn_from, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import table, tidy
 
 K, EVERY, SCALE = 20, 20, 64
 #: Queries in one broadcast, and the rows and columns of one score array.
@@ -127,7 +127,7 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_co
         width = max(1, int(np.diff(x.offsets.to_numpy(zero_copy_only=False)).max(initial=0)))
         queries = _matrix(x, width)
         own = (queries**2).sum(1)
-        found = rows.mapInArrow(_search(queries, k + 1), "q int, id long, score long")
+        found = rows.mapInArrow(tidy(_search(queries, k + 1)), "q int, id long, score long")
         asked_rows = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(queries)), pa.int32()), "query_id": block.column("id"), "own": pa.array(own, pa.int64()), "n": block.column("count")}))
         w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
         best = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).join(F.broadcast(asked_rows), "q")
