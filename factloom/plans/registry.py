@@ -516,11 +516,11 @@ def triple_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(""", s AS (SELECT DISTINCT epoch_us(timestamp) // 1000000 AS a FROM messages), g AS (SELECT a, coalesce(lead(a) OVER (ORDER BY a), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS b FROM s),
-idle AS (SELECT a + 2100 AS at FROM g WHERE b - a >= 2100), runs AS (SELECT at, coalesce(lead(at) OVER (ORDER BY at), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS nxt FROM idle)
-SELECT at, 'idle_threshold' AS reason FROM idle
-UNION ALL SELECT at + k * 72000, 'max_interval_fallback' FROM runs, unnest(generate_series(1, (nxt - at - 1) // 72000)) AS t(k)""")
+idle AS (SELECT a + 2100 AS run_at FROM g WHERE b - a >= 2100), runs AS (SELECT run_at, coalesce(lead(run_at) OVER (ORDER BY run_at), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS nxt FROM idle)
+SELECT run_at, 'idle_threshold' AS reason FROM idle
+UNION ALL SELECT run_at + k * 72000, 'max_interval_fallback' FROM runs, unnest(generate_series(1, (nxt - run_at - 1) // 72000)) AS t(k)""")
 def idle_trigger_points(spark: SparkSession, d: str) -> DataFrame:
-    return A.idle_points(T.messages(spark, d), until=AS_OF)
+    return A.idle_points(T.messages(spark, d), until=AS_OF).withColumnRenamed("at", "run_at")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN length(regexp_replace(c_name, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 THEN regexp_replace(c_name, '[^0-9]', '', 'g') || '@s.whatsapp.net' END AS identity FROM customer")
