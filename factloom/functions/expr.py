@@ -29,6 +29,11 @@ def lookup(key: Column, values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def nonempty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -115,7 +120,7 @@ def reply_speed_norm(seconds: Column) -> Column:
 
 def recency_norm(last_micros: Column, as_of: str) -> Column:
     days = F.greatest(F.lit(0), as_of_micros(as_of) - last_micros) / F.lit(float(DAY))
-    return F.coalesce(F.exp(-days / 14.0), F.lit(0.0))
+    return F.when(last_micros.isNull(), 0.0).otherwise(F.exp(-days / 14.0))
 
 
 def explicit_norm(n: Column) -> Column:
@@ -195,9 +200,9 @@ def prompt(template: str, lines: Column) -> Column:
 
 def strip_fence(s: Column) -> Column:
     """Model output without the code fence around it."""
-    t = F.trim(s)
+    t = strip(s)
     inner = F.regexp_replace(F.regexp_replace(t, r"^```(json)?", ""), r"```$", "")
-    return F.when(t.startswith("```"), F.trim(inner)).otherwise(t)
+    return F.when(t.startswith("```"), strip(inner)).otherwise(t)
 
 
 def part_name(file: Column) -> Column:
@@ -212,7 +217,7 @@ def repair_mojibake(s: Column) -> Column:
 
 def normalise_identity(s: Column) -> Column:
     """A person's chat id, a phone number as such an id, or a label of three characters or more; else null."""
-    t = F.trim(s)
+    t = strip(s)
     user, server = F.regexp_replace(F.regexp_extract(t, r"^([^@]*)@(.*)$", 1), r"[.:].*$", ""), F.regexp_extract(t, r"^([^@]*)@(.*)$", 2)
     server = F.when(server == "c.us", F.lit("s.whatsapp.net")).otherwise(server)
     digits = F.regexp_replace(t, "[^0-9]", "")

@@ -47,7 +47,7 @@ def triager(call: Callable[[str], str]) -> Callable[[Column], Column]:
 
 
 def is_candidate(response: Column) -> Column:
-    return F.coalesce(F.upper(F.trim(response)).startswith("CANDIDATE"), F.lit(False))
+    return F.coalesce(F.upper(X.strip(response)).startswith("CANDIDATE"), F.lit(False))
 
 
 def extract(windows: DataFrame, call: Callable[[str], str], prompt: str = "prompt") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ def reject_reason() -> Column:
     return (
         F.when(~F.coalesce(F.col("predicate").isin(*S.PREDICATES), F.lit(False)), "unknown_predicate")
         .when(~F.coalesce(F.col("object_type").isin("entity", "literal"), F.lit(False)), "unknown_object_type")
-        .when(F.coalesce(F.trim("subject"), F.lit("")) == "", "empty_subject")
-        .when(F.coalesce(F.trim("object"), F.lit("")) == "", "empty_object")
+        .when(F.coalesce(X.strip(F.col("subject")), F.lit("")) == "", "empty_subject")
+        .when(F.coalesce(X.strip(F.col("object")), F.lit("")) == "", "empty_object")
         .when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence_out_of_range")
     )
 
@@ -145,12 +146,12 @@ def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_o
 
     def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         def rows(p: pd.DataFrame) -> list[dict]:
-            out = p.astype(object).where(p.notna(), None).to_dict("records")
-            for r in out:
-                r["source_message_ids"] = list(r["source_message_ids"]) if r["source_message_ids"] is not None else []
-            return out
+            cols = {c: [None if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else v for v in p[c]] for c in p.columns}
+            out = [dict(zip(cols, r, strict=True)) for r in zip(*cols.values(), strict=True)]
+            return [r | {"source_message_ids": list(r["source_message_ids"] if r["source_message_ids"] is not None else [])} for r in out]
 
-        return pd.DataFrame(list(fold_key(rows(left), rows(right))), columns=[c.split()[0] for c in FOLDED.split(", ")])
+        out = [[r.get(c) for c in names] for r in fold_key(rows(left), rows(right))]
+        return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(names)})
 
     names = [c.split()[0] for c in FOLDED.split(", ")]
     left = facts.select("subject_id", "predicate", *[c for c in names if c in facts.columns and c not in ("subject_id", "predicate")], "until")

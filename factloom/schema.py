@@ -10,16 +10,27 @@ from pyspark.sql import types as T
 
 VERSION = 8
 
-ENTITIES = T._parse_datatype_string("id string, type string, canonical_name string, is_self boolean, metadata map<string,string>, created_at timestamp, updated_at timestamp")
-EDGES = T._parse_datatype_string(
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "int": T.IntegerType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    """A schema from `name type` pairs; no session is needed for it."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+ENTITIES = _table("id string, type string, canonical_name string, is_self boolean, metadata map<string,string>, created_at timestamp, updated_at timestamp")
+EDGES = _table(
     "id string, subject_id string, predicate string, object_id string, object_literal string, confidence double, importance double, source_type string, source_weight double, "
     "source_message_ids array<string>, first_seen timestamp, last_reinforced timestamp, decay_rate double, decay_locked boolean, superseded_by string, is_correction boolean"
 )
-MESSAGES = T._parse_datatype_string("id string, conversation_id string, sender_id string, media_type string, raw_text string, transcript string, transcript_confidence double, media_ref string, processed boolean, timestamp timestamp, external_id string")
-EMBEDDINGS = T._parse_datatype_string("id string, message_id string, vector array<float>")
-RELATIONSHIP_STATS = T._parse_datatype_string("id string, contact_id string, frequency double, reply_speed double, humor_level double, closeness double, computed_at timestamp")
-RAW_MESSAGE = T._parse_datatype_string("external_id string, platform string, conversation_id string, sender_external_id string, timestamp timestamp, media_type string, text string, media_url string")
-TRIPLE = T._parse_datatype_string("subject string, predicate string, object string, object_type string, confidence double, is_correction boolean, correction_source_index int, replaces_object string")
+MESSAGES = _table("id string, conversation_id string, sender_id string, media_type string, raw_text string, transcript string, transcript_confidence double, media_ref string, processed boolean, timestamp timestamp, external_id string")
+EMBEDDINGS = _table("id string, message_id string, vector array<float>")
+RELATIONSHIP_STATS = _table("id string, contact_id string, frequency double, reply_speed double, humor_level double, closeness double, computed_at timestamp")
+RAW_MESSAGE = _table("external_id string, platform string, conversation_id string, sender_external_id string, timestamp timestamp, media_type string, text string, media_url string")
+TRIPLE = _table("subject string, predicate string, object string, object_type string, confidence double, is_correction boolean, correction_source_index int, replaces_object string")
 
 # Vocabularies, weights and rates that results depend on.
 ENTITY_TYPES = ("person", "topic", "place", "project", "event", "object")

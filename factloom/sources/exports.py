@@ -87,13 +87,13 @@ def split_files(files: DataFrame) -> DataFrame:
 
 def classified(body: Column) -> Column:
     """media_type (null: dropped), text and media_url of a body."""
-    bare = F.trim(F.regexp_replace(body, "^\u200e", ""))
+    bare = X.strip(F.regexp_replace(body, "^\u200e", ""))
     first = F.regexp_replace(F.substring_index(body, "\n", 1), "^\u200e", "")
     attached = r"^\x{200E}?(\S+\.(\w+))\s\(file attached\)$"
     file, ending = F.regexp_extract(first, attached, 1), F.lower(F.regexp_extract(first, attached, 2))
     kind = F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv])[ending]
     omitted = F.create_map(*[F.lit(x) for kv in OMITTED.items() for x in kv])[F.lower(bare)]
-    caption = X.nonempty(F.trim(F.when(body.contains("\n"), F.expr("substring(body, instr(body, '\n') + 1)"))))
+    caption = X.nonempty(X.strip(F.when(body.contains("\n"), F.expr("substring(body, instr(body, '\n') + 1)"))))
     nothing = F.lit(None).cast("string")
 
     def row(m: Column, t: Column, u: Column) -> Column:
@@ -171,7 +171,7 @@ def parse_threads(threads: DataFrame) -> DataFrame:
 
 
 def read_threads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Messages of all message_*.json in and below a folder, and the files that can't be read."""
+    """Messages of all message_*.json in and below a folder, and the files that can't be read or have no list of messages."""
     raw = spark.read.schema(THREAD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "message_*.json").option("mode", "PERMISSIVE").json(folder)
     raw = raw.withColumn("file", F.col("_metadata.file_path"))
-    return parse_threads(raw.filter("_corrupt_record IS NULL")), raw.filter("_corrupt_record IS NOT NULL").select("file")
+    return parse_threads(raw.filter("_corrupt_record IS NULL AND messages IS NOT NULL")), raw.filter("_corrupt_record IS NOT NULL OR messages IS NULL").select("file")
