@@ -44,7 +44,7 @@ def is_remainder(col: Column, n: int, k: int) -> Column:
     return F.coalesce(remainder(col, n) == k, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Pieces of the batches with about max_bytes of text each (one row at least), and their text, null as ''."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))

@@ -23,6 +23,10 @@ from factloom.llm.components import connected_components
 from factloom.llm.sigtree import OVER, UNDER, Forest, bitmap, link
 
 
+#: Bytes of text that are hashed at once.
+SLICE = 4 << 20
+
+
 @dataclass(frozen=True)
 class Params:
     width: int = 5
@@ -117,7 +121,7 @@ def measured(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         fresh = _Fresh()
-        for b, col in slices(batches, text_col):
+        for b, col in slices(batches, text_col, SLICE):
             ids = b.column(b.schema.get_field_index(id_col))
             h, bounds = shingle_sets(col, p.width)
             n, dig = np.diff(bounds), digests(h, bounds)
@@ -141,7 +145,7 @@ def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets:
 
     def run(batches):
         fresh, part, count = _Fresh(), TaskContext.get().partitionId(), 0
-        for _, col in slices(batches, text_col):
+        for _, col in slices(batches, text_col, SLICE):
             h, bounds = shingle_sets(col, p.width)
             dig = digests(h, bounds)
             keep = fresh(dig, np.diff(bounds) > 0)
@@ -237,7 +241,7 @@ def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.nd
 
     def run(batches):
         fresh = _Fresh()
-        for b, col in slices(batches, text_col):
+        for b, col in slices(batches, text_col, SLICE):
             h, bounds = shingle_sets(col, p.width)
             dig = digests(h, bounds)
             ok = _passes(filter_, _key(dig, b.column("id_hash").to_numpy())) & (np.diff(bounds) > 0)

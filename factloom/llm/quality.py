@@ -238,8 +238,14 @@ def judge(docs: DataFrame, labels: DataFrame, learn_from, keep: tuple[str, ...]
 def good(docs: DataFrame, labels: DataFrame, learn_from) -> DataFrame:
     """The rows of docs (doc_id, text and others) with a score of KEEP_FROM or more."""
     model = train(with_statistics(docs.filter(learn_from), ["doc_id"]).join(labels.select("doc_id", "quality").distinct(), "doc_id"))
-    rows = with_statistics(docs, docs.columns)
-    return score(rows, model, "__score").filter(F.col("__score") >= KEEP_FROM).select(*docs.columns)
+    if model is None:
+        return docs
+
+    def run(batches):  # texts go through one worker, once
+        for b, col in slices(batches, "text"):
+            yield b.filter(pa.array(model.score(statistics(col).astype(np.float32).astype(np.float64)) >= KEEP_FROM))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
