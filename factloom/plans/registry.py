@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from factloom import schema as S
 from factloom.functions import expr as X
 from factloom.operators import analytics as A
-from factloom.operators import dedup, mutations, reports, triples, windows
+from factloom.operators import dedup, models, mutations, reports, triples, windows
 from factloom.operators import retrieval as R
-from factloom.sources import exports
+from factloom.sources import exports, live
 from factloom.sources import fixtures as T
 
 AS_OF, ME = T.AS_OF, T.SELF
@@ -532,3 +532,105 @@ def identity_normalisation(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, CASE WHEN object_id IS NULL = (object_literal IS NULL) THEN 'object_xor' END AS rule FROM edges WHERE (object_id IS NULL) = (object_literal IS NULL)")
 def edge_audit(spark: SparkSession, d: str) -> DataFrame:
     return S.edge_violations(T.edges(spark, d))
+
+
+# --- more changes, provenance and reports ------------------------------------------------------------------------
+
+
+@query("SELECT e.id, coalesce(o.importance, e.importance) AS importance FROM edges e LEFT JOIN (SELECT event_id // 3 AS id, arg_max((event_id % 7) / 7, event_id) AS importance FROM events WHERE event_id % 5 <> 0 GROUP BY 1) o USING (id)")
+def importance_updates(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    ops = T.read(spark, d, "events").select(F.floor(e / 3).cast("long").alias("id"), e.alias("seq"), F.when(e % 5 != 0, (e % 7) / 7).alias("importance"))
+    return mutations.update_importance(T.edges(spark, d), ops).select("id", "importance")
+
+
+@query("SELECT id, processed OR id % 6 = 0 AS processed FROM messages")
+def mark_processed(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    return mutations.mark_processed(m, m.filter("id % 6 = 0").select("id")).select("id", "processed")
+
+
+@query("SELECT vec_id AS message_id, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE len(embedding) END AS width FROM embeddings")
+def replace_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    e = T.embeddings(spark, d)
+    new = e.filter("message_id % 4 = 0").select("message_id", F.slice("vector", 1, 2).alias("vector"))
+    return mutations.replace_by_key(e, new, "message_id").select("message_id", F.size("vector").cast("long").alias("width"))
+
+
+@query(""", wanted AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'customer#' || lpad((user_id % 40)::VARCHAR, 9, '0') ELSE 'Topic ' || user_id % 30 END AS name, event_type AS type, event_id AS seq FROM events)
+SELECT arg_min(name, seq) AS canonical_name, arg_min(type, seq) AS type FROM wanted WHERE NOT EXISTS (SELECT 1 FROM entities WHERE lower(canonical_name) = lower(name)) GROUP BY lower(name)""")
+def new_entities(spark: SparkSession, d: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    name = F.when(e % 2 == 0, F.concat(F.lit("customer#"), F.lpad((u % 40).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("Topic "), (u % 30).cast("string")))
+    wanted = T.read(spark, d, "events").select(name.alias("name"), F.col("event_type").alias("type"), e.alias("seq"))
+    return mutations.get_or_create(T.entities(spark, d), wanted).select("canonical_name", "type")
+
+
+@query("""SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, external_id ORDER BY id) AS n FROM messages m WHERE id % 2 = 1 AND NOT EXISTS
+  (SELECT 1 FROM messages s WHERE s.id % 2 = 0 AND s.processed AND s.conversation_id = m.conversation_id AND s.external_id = m.external_id)) WHERE external_id IS NULL OR n = 1""")
+def import_resume(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    return mutations.to_process(m.filter("id % 2 = 0"), m.filter("id % 2 = 1")).select("id")
+
+
+@query("""SELECT e.id AS edge_id, coalesce(b.predicate || ': ' || coalesce(b.object_literal, n.canonical_name, ''), 'none') AS superseded_label, e.confidence AS original_confidence
+FROM edges e LEFT JOIN edges b ON b.id = e.superseded_by LEFT JOIN entities n ON n.id = b.object_id WHERE e.id = 77""")
+def why_believed(spark: SparkSession, d: str) -> DataFrame:
+    return R.why(T.edges(spark, d), T.messages(spark, d), T.entities(spark, d), 77).select("edge_id", "superseded_label", "original_confidence")
+
+
+@query(f""", pool AS (SELECT * FROM decayed WHERE {LIVE} AND subject_id = 7 ORDER BY last_reinforced DESC, id LIMIT 50), top AS (SELECT id, 0.3 * eff + 0.2 * importance AS s FROM pool WHERE NOT ({PRUNE}) ORDER BY s DESC, last_reinforced DESC, id LIMIT 10)
+SELECT 7::BIGINT AS id, (SELECT canonical_name FROM entities WHERE id = 7) AS canonical_name, string_agg(id::VARCHAR, ',' ORDER BY s DESC, id) AS facts FROM top""")
+def contact_summary(spark: SparkSession, d: str) -> DataFrame:
+    stats = A.relationship_stats(T.messages(spark, d), T.edges(spark, d), ME, AS_OF).withColumn("id", F.lit(None).cast("long"))
+    got = R.contact_summary(T.entities(spark, d), T.edges(spark, d), stats, 7, AS_OF)
+    return got.select(F.col("id").cast("long").alias("id"), "canonical_name", F.array_join(F.transform("facts", lambda x: x["id"].cast("string")), ",").alias("facts"))
+
+
+@query("SELECT event_type AS model, count(*)::BIGINT AS requests, sum(user_id)::BIGINT AS total_tokens, round(sum(value) * 3, 3) AS extrapolated_cost FROM events GROUP BY 1")
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("user_id")
+    usage = T.read(spark, d, "events").select(F.col("event_type").alias("model"), (n % 3).alias("path"), n.alias("prompt_tokens"), n.alias("completion_tokens"), n.alias("total_tokens"), F.col("value").alias("cost"), (F.col("value") > 50).alias("price_found"))
+    return reports.usage_totals(reports.usage_rollup(usage), 3).select("model", "requests", "total_tokens", F.round("extrapolated_cost", 3).alias("extrapolated_cost"))
+
+
+@query("""SELECT count(*) FILTER (event_id % 6 = 0) AS created, count(*) FILTER (event_id % 6 = 1) AS reinforced, count(*) FILTER (event_id % 6 = 2) AS corrected, count(*) FILTER (event_id % 6 = 3) AS skipped_no_correction_target,
+  count(*) FILTER (event_id % 6 = 4) AS skipped_ambiguous_correction_target, count(*) FILTER (event_id % 6 = 5) AS skipped_stale FROM events""")
+def action_counts(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*[F.lit(a) for a in S.ACTIONS])
+    return reports.action_counts(T.read(spark, d, "events").select(F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")).alias("action")))
+
+
+@query("SELECT conv_id AS window_id FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0 AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 5)")
+def zero_yield_windows(spark: SparkSession, d: str) -> DataFrame:
+    c = T.read(spark, d, "conversations")
+    w = c.select(F.col("conv_id").alias("window_id")).distinct().withColumn("is_candidate", F.col("window_id") % 2 == 0)
+    return reports.zero_yield(w, c.filter("turn = 5").select(F.col("conv_id").alias("window_id"))).select("window_id")
+
+
+@query("""SELECT CASE WHEN k <= 32 THEN user ELSE '(other)' END AS event_type, sum(n)::BIGINT AS n FROM (SELECT user_id::VARCHAR AS user, count(*) AS n, row_number() OVER (ORDER BY min(event_id), user_id::VARCHAR) AS k FROM events GROUP BY 1) GROUP BY 1""")
+def event_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reports.event_counts(T.read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("event_type")))
+
+
+@query("SELECT id, min(window_index)::INTEGER AS window_index FROM (SELECT id, (row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp, id) - 1) // 8 AS window_index FROM messages) GROUP BY id")
+def history_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windows.count_windows(T.messages(spark, d), "conversation_id", "timestamp", "id").select("id", "window_index")
+
+
+@query("""SELECT id, CASE WHEN chat LIKE '%@g.us' THEN 'group' WHEN chat = 'status@broadcast' THEN 'status_broadcast' WHEN chat LIKE '%@broadcast' THEN 'broadcast_list' WHEN is_edit THEN 'edit' END AS drop_reason
+FROM (SELECT event_id::VARCHAR AS id, CASE event_id % 5 WHEN 0 THEN '1@g.us' WHEN 1 THEN 'status@broadcast' WHEN 2 THEN '9@broadcast' ELSE user_id || '@s.whatsapp.net' END AS chat, event_id % 7 = 0 AS is_edit FROM events)""")
+def live_drop_reasons(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    chat = F.when(e % 5 == 0, "1@g.us").when(e % 5 == 1, "status@broadcast").when(e % 5 == 2, "9@broadcast").otherwise(F.concat(F.col("user_id").cast("string"), F.lit("@s.whatsapp.net")))
+    none = F.lit(None)
+    rows = T.read(spark, d, "events").select(e.cast("string").alias("id"), chat.alias("chat"), (e % 7 == 0).alias("is_edit"), F.lit("message").alias("kind"), F.col("props").alias("conversation"), none.cast("struct<text:string>").alias("extended"), none.cast("struct<caption:string,url:string>").alias("image"), none.cast("struct<caption:string,url:string>").alias("video"), none.cast("struct<url:string>").alias("audio"))
+    return rows.select("id", live.drop_reason().alias("drop_reason"))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN true WHEN id % 3 = 1 THEN coalesce(v < -0.7, false) ELSE false END AS larger FROM (SELECT event_id AS id, -value / 100 AS v FROM events)")
+def transcription_escalation(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    language = F.when(e % 3 == 0, " Arabic ").when(e % 3 == 1, "en")
+    logs = F.when(e % 3 != 2, -F.col("value") / 100)
+    return T.read(spark, d, "events").select(e.alias("id"), models.escalate(language, logs).alias("larger"))
