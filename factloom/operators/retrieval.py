@@ -161,11 +161,15 @@ def relevant_context(edges: DataFrame, as_of: str, top: int = 0, f: Filters = Fi
     return kept.withColumn("score", score).orderBy(F.desc("score"), *order).limit(n)
 
 
-def keyword_search(edges: DataFrame, entities: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """Live facts with the query in subject name, predicate or literal; the most important and newest first."""
+def keyword_matches(edges: DataFrame, entities: DataFrame, query: str) -> DataFrame:
+    """Live facts with the query in subject name, predicate or literal."""
     names = entities.select(F.col("id").alias("subject_id"), F.col("canonical_name").alias("subject_name"))
-    hits = edges.filter(live()).join(names, "subject_id").filter(contains(F.col("subject_name"), query) | contains(F.col("predicate"), query) | contains(F.col("object_literal"), query))
-    return hits.orderBy(F.desc("importance"), X.micros(F.col("first_seen")).desc(), "id").limit(limit)
+    return edges.filter(live()).join(names, "subject_id").filter(contains(F.col("subject_name"), query) | contains(F.col("predicate"), query) | contains(F.col("object_literal"), query))
+
+
+def keyword_search(edges: DataFrame, entities: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    """keyword_matches, the most important and newest first."""
+    return keyword_matches(edges, entities, query).orderBy(F.desc("importance"), X.micros(F.col("first_seen")).desc(), "id").limit(limit)
 
 
 def semantic_search(embeddings: DataFrame, messages: DataFrame, query: list[float], k: int = 10, distinct: bool = False) -> DataFrame:

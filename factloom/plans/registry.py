@@ -66,7 +66,7 @@ WHERE {LIVE} AND (contains(lower(canonical_name), '00001') OR contains(lower(pre
 ORDER BY importance DESC, first_seen DESC, e.id LIMIT 50""")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     edges, people = T.edges(spark, d), T.entities(spark, d)
-    both = R.keyword_search(edges, people, "00001", 10**9).unionByName(R.keyword_search(edges, people, "GOAL", 10**9)).dropDuplicates(["id"])
+    both = R.keyword_matches(edges, people, "00001").unionByName(R.keyword_matches(edges, people, "GOAL")).dropDuplicates(["id"])
     return both.orderBy(F.desc("importance"), X.micros(F.col("first_seen")).desc(), "id").limit(50).select("id", "subject_id", "predicate", "importance")
 
 
