@@ -180,12 +180,13 @@ def window_source_type(media_types: Column) -> Column:
 
 
 def keep_last_four(s: Column) -> Column:
-    return F.concat(F.repeat(F.lit("*"), F.greatest(F.length(s) - 4, F.lit(0))), F.right(s, F.lit(4)))
+    """An ellipsis and the last four characters (all, if there are no more)."""
+    return F.concat(F.lit("\u2026"), F.right(s, F.lit(4)))
 
 
 def cut_digits(s: Column) -> Column:
-    """Runs of eight digits or more keep the last four."""
-    return F.regexp_replace(s, r"\d{4,}(\d{4})", "***$1")
+    """Runs of eight digits or more as an ellipsis and their last four."""
+    return F.regexp_replace(s, "[0-9]{4,}([0-9]{4})", "\u2026$1")
 
 
 def prompt_line(i: Column, ts: Column, who: Column, text: Column) -> Column:

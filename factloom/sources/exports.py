@@ -110,10 +110,10 @@ def classified(body: Column) -> Column:
     )
 
 
-def with_external_ids(rows: DataFrame, prefix: str, body: Column, *order: str) -> DataFrame:
-    """external_id of each message; repeated ones are numbered in file order.  rows: conversation_id, sender, stamp."""
+def with_external_ids(rows: DataFrame, prefix: str, body: Column, *order: str, file: str = "conversation_id") -> DataFrame:
+    """external_id of each message; repeated ones of a file are numbered in order.  rows: conversation_id, sender, stamp."""
     base = X.external_id(prefix, F.col("conversation_id"), F.col("sender"), F.concat(F.date_format("stamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), body)
-    n = F.row_number().over(Window.partitionBy("conversation_id", "__base").orderBy(*order))
+    n = F.row_number().over(Window.partitionBy(file, "__base").orderBy(*order))
     return rows.withColumn("__base", base).withColumn("external_id", X.repeated_external_id(prefix, F.col("__base"), n)).drop("__base")
 
 
@@ -165,9 +165,8 @@ def parse_threads(threads: DataFrame) -> DataFrame:
     file = "file" if "file" in threads.columns else "thread_path"
     rows = threads.select(conv.alias("conversation_id"), F.col(file).alias("file"), F.posexplode("messages").alias("position", "m"))
     rows = rows.withColumn("c", classified_json(F.col("m"))).filter("c.media_type IS NOT NULL")
-    rows = rows.select("conversation_id", "file", "position", X.repair_mojibake(F.col("m.sender_name")).alias("sender"), F.timestamp_millis("m.timestamp_ms").cast("timestamp_ntz").alias("stamp"), "c.*")
-    body = F.coalesce("text", "media_url", F.lit(""))
-    return _raw(with_external_ids(rows, JSON_PREFIX, body, "file", "position"), "instagram")
+    rows = rows.select("conversation_id", "file", "position", F.coalesce("m.content", F.lit("")).alias("content"), X.repair_mojibake(F.col("m.sender_name")).alias("sender"), F.timestamp_millis("m.timestamp_ms").cast("timestamp_ntz").alias("stamp"), "c.*")
+    return _raw(with_external_ids(rows, JSON_PREFIX, F.col("content"), "position", file="file"), "instagram")
 
 
 def read_threads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
