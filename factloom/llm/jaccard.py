@@ -397,3 +397,21 @@ def one_of_each(df: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+  FROM d),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS h FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 80 * (p.n + q.n - o)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS r FROM n UNION SELECT reach.a, sides.b FROM reach JOIN sides ON sides.a = reach.r)
+SELECT n.doc_id, n.n AS n_shingles, (SELECT min(r) FROM reach WHERE reach.a = n.doc_id) AS component_id FROM n
+"""

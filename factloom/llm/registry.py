@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.OP2_SQL, "op5_mixing": mixing.OP5_SQL}
+    return {"op2_topk": topk.OP2_SQL, "op5_mixing": mixing.OP5_SQL, "op8_chat": chat.OP8_SQL, "op10_jaccard": jaccard.OP10_SQL}
