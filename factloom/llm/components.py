@@ -9,23 +9,22 @@ from factloom.llm.common import cut
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) for the nodes of edges (a long, b long).
+    """node and root (a node of its component) for the nodes of edges (a long, b long).
 
-    Each round hooks every node to its smallest neighbour, follows the pointers four steps and contracts the graph.  Ids
-    in no order (hashes) make short pointer chains and few rounds.  Minima are summed up before the shuffle, so a node with very many neighbours costs no more
-    than others; edges may repeat or point either way.  A node with an edge to itself only is its own root.
+    Each round hooks every node to its smallest neighbour, follows the pointers one step more and contracts the graph.
+    Ids in no order (hashes) make short pointer chains and few rounds.  Minima are taken before the shuffle, so a node
+    with very many neighbours costs no more than others; edges may repeat or point either way.  A node with an edge to
+    itself only is its own root.  The rounds' pointers are followed once, at the end.
     """
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = cut(edges)
-    labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
-    edges = edges.filter("a <> b")
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        parent = cut(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
-        for _ in range(2):
-            up = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            parent = cut(parent.join(up, "p").select("a", F.col("q").alias("p")))  # else plans double with each jump
-        left, right = parent.toDF("a", "pa"), parent.toDF("b", "pb")
-        edges = cut(edges.join(left, "a").join(right, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        labels = cut(labels.join(parent.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-    return labels
+    all_edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, pointers = all_edges.filter("a <> b"), []
+    while not left.isEmpty():
+        parent = cut(left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
+        parent = cut(parent.join(parent.toDF("p", "q"), "p").select("a", F.col("q").alias("p")))
+        moved = left.join(parent.toDF("a", "pa"), "a").join(parent.toDF("b", "pb"), "b").filter("pa <> pb")
+        left = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        pointers.append(parent)
+    labels = all_edges.select(F.col("a").alias("node")).union(all_edges.select("b")).distinct().withColumn("root", F.col("node"))
+    for parent in pointers:
+        labels = labels.join(parent.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(labels)
