@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, is_remainder, slices, sums, table, text_bytes, tidy, words
+from factloom.llm.common import cut, is_remainder, slices, summed, sums, table, text_bytes, tidy, words
 
 #: Random features, kernel width (in standard deviations), ridge penalty a row.
 FEATURES, WIDTH, RIDGE = 256, 4.0, 1e-3
@@ -175,9 +175,9 @@ def train(rows: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Mo
         for b in batches:
             x = _rows(b.column("stats"))
             s += [np.full(d, len(x)), x.sum(0), (x**2).sum(0)]
-        yield pa.RecordBatch.from_pydict({"s": pa.array([s.ravel().tolist()], pa.list_(pa.float64()))})
+        return s.ravel()
 
-    s = np.sum([np.reshape(r.s, (3, d)) for r in parts.mapInArrow(tidy(moments), "s array<double>").collect()], axis=0)
+    s = summed(parts, moments, 1).reshape(3, d)
     mean = s[1] / s[0]
     scale = np.sqrt(np.maximum(s[2] / s[0] - mean**2, 0))
     scale[scale < 1e-6] = 1.0
@@ -190,11 +190,11 @@ def train(rows: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Mo
             z, y = model.features(_rows(b.column("stats"))), b.column("y").to_numpy()
             w = np.where(y > 0.5, weight[1], weight[0])
             a += (z * w[:, None]).T @ np.hstack([z, y[:, None]])
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a.tobytes()], pa.binary())})
+        return a.ravel()
 
     by = {r.y: r["count"] for r in parts.filter(~calibrating).groupBy("y").count().collect()}
     weight = [0.5 * sum(by.values()) / max(by.get(y, 1), 1) for y in (0.0, 1.0)]
-    a = np.sum([np.frombuffer(r.a).reshape(m, m + 1) for r in parts.filter(~calibrating).mapInArrow(tidy(normal), "a binary").collect()], axis=0)
+    a = summed(parts.filter(~calibrating), normal).reshape(m, m + 1)
     penalty = RIDGE * max(sum(by.values()), 1) * np.eye(m)
     penalty[-1, -1] = 1e-9
     model.beta = np.linalg.solve(a[:, :m] + penalty, a[:, m])
