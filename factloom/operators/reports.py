@@ -5,11 +5,11 @@ from __future__ import annotations
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import schema as S
-from factloom.operators.analytics import upper_median
+from factloom.operators.analytics import relationship_stats, upper_median
 
 
 def usage_rollup(usage: DataFrame, agent: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -90,3 +90,15 @@ def write_report(text: str, path: str) -> None:
     p.touch(mode=0o600)
     p.chmod(0o600)
     p.write_text(text)
+
+
+SPOT_CHECK = "self_name string, contact_name string, now string, messages array<struct<sender:string,at:timestamp>>"
+
+
+def spot_check(spark: SparkSession, path: str) -> DataFrame:
+    """Relationship statistics of the messages in one JSON document: self_name, contact_name, now, messages (sender, at)."""
+    raw = spark.read.schema(SPOT_CHECK).option("multiLine", True).json(path)
+    head = raw.select("self_name", "now").first()
+    rows = raw.select(F.posexplode("messages").alias("id", "m")).select(F.col("id").cast("long").alias("id"), F.lit("spot").alias("conversation_id"), F.col("m.sender").alias("sender_id"), F.col("m.at").alias("timestamp"))
+    none = spark.createDataFrame([], "subject_id string, predicate string, superseded_by string, source_type string")
+    return relationship_stats(rows, none, head.self_name, head.now.replace("T", " ").removesuffix("Z"))
