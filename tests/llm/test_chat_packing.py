@@ -78,15 +78,21 @@ def test_plan_gives_each_piece_a_place_of_its_own(counts):
             k = at[np.searchsorted(p["rank"][at], rank, side="right") - 1]
             past = rank - p["rank"][k]
             used[p["seq"][k] + past // p["each"][k]].append((p["offset"][k] + past % p["each"][k] * n, n))
-    total = sum(n * c for n, c in counts.items())
     for slots in used.values():
         at = 0
         for offset, n in sorted(slots):
             assert offset == at
             at += n
         assert at <= 16
-    large = sum(c for n, c in counts.items() if n > 8)
-    assert len(used) <= max(-(-total // 16), large) * 11 / 9 + 1
+    bins: list[int] = []  # best fit, a piece at a time
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            fits = [i for i, left in enumerate(bins) if left >= n]
+            if fits:
+                bins[min(fits, key=lambda i: bins[i])] -= n
+            else:
+                bins.append(16 - n)
+    assert len(used) == len(bins)
     assert sum(len(s) for s in used.values()) == sum(counts.values())
 
 
