@@ -20,7 +20,7 @@ from factloom.llm.common import cut, slices, table, tidy, words
 
 MAX_TOKENS, END = 2048, 0
 #: Words whose ids a task remembers, at most; it then begins anew.
-CACHE = 200_000
+CACHE = 400_000
 #: Words encoded at once, and marks after a word of letters, which the tokenizer splits from it.
 LINE, MARKS = 1000, "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
@@ -159,7 +159,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         encoder, seen, part = Encoder(path), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
-        for b, col in slices(batches, text_col):
+        for b, col in slices(batches, text_col, 2 << 20):
             ids, ends = encoder(col)
             size = np.diff(ends)
             n = -(-size // room)
