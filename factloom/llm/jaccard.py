@@ -136,11 +136,16 @@ def measured(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"kind int, id {dict(rows.dtypes)[id_col]}, n long, dig long")
 
 
+def _range(n: np.ndarray) -> np.ndarray:
+    """The range of each size.  Sizes of one range differ by a factor under 1.2, so they are in one run of groups()."""
+    return np.floor(np.log(n) / np.log(1.2 - 1e-9)).astype(np.int64)
+
+
 def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets: int) -> DataFrame:
     """The first shingles of each node, packed by bucket of the shingle: (h, dig, n, sure) side by side.
 
-    A very frequent shingle would bring very many nodes together.  Its nodes meet slice by slice, and one node of each
-    slice meets those of other slices; they are joined without a test (sure).
+    A very frequent shingle would bring very many nodes together.  Its nodes meet slice by slice (sure is 1), and one
+    node of each slice and range of sizes meets those of other slices (sure is 2); they are joined without a test.
     """
 
     def run(batches):
@@ -161,13 +166,14 @@ def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets:
             h, sure, node = h[first], sure[first], node[first]
             if sure.any():
                 at = np.flatnonzero(sure)
-                _, lead = np.unique(h[at], return_index=True)
-                lead = at[lead]
+                order = np.lexsort((_range(n[node[at]]), h[at]))
+                own, range_ = h[at][order], _range(n[node[at]])[order]
+                lead = at[order[np.append(True, (own[1:] != own[:-1]) | (range_[1:] != range_[:-1]))]]
                 count += 1
                 keys, leads = h.copy(), h[lead]
                 with np.errstate(over="ignore"):
                     keys[at] = mix64(h[at] + np.uint64((part << 24) + count) * np.uint64(0x9E3779B97F4A7C15))
-                h, sure, node = np.concatenate([keys, leads]), np.concatenate([sure, sure[lead]]), np.concatenate([node, node[lead]])
+                h, sure, node = np.concatenate([keys, leads]), np.concatenate([sure.astype(np.uint8), np.full(len(lead), 2, np.uint8)]), np.concatenate([node, node[lead]])
             bucket = (mix64(h) >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))])
@@ -190,7 +196,8 @@ def groups(packed: DataFrame, p: Params) -> DataFrame:
         new[1:] = (h[1:] != h[:-1]) | (dig[1:] != dig[:-1])
         h, dig, n, sure = h[new], dig[new], n[new], sure[new]
         begin = np.ones(len(h), bool)
-        begin[1:] = (h[1:] != h[:-1]) | (OVER * n[1:] > UNDER * n[:-1])
+        # leads stand for nodes of up to 1.2 times their size or less: of similar nodes they differ by under 1.8
+        begin[1:] = (h[1:] != h[:-1]) | np.where(sure[1:] == 2, n[1:] > 2 * n[:-1], OVER * n[1:] > UNDER * n[:-1])
         start = np.flatnonzero(begin)
         size = np.diff(np.append(start, len(h)))
         with np.errstate(over="ignore"):

@@ -71,6 +71,18 @@ def test_components_equal_brute_force(spark, p):
     assert sorted((repr(None if d is None else int(d)), n, repr(None if c is None else int(c))) for d, n, c in got.values.tolist()) == brute(rows)
 
 
+def test_near_copies_meet_across_slices_that_a_longer_text_leads(spark):
+    # each partition is a slice; in each, texts that go on after the same passage come first
+    rows = []
+    for part in range(6):
+        rows += [(10_000 + 100 * part + k, " ".join([f"p{i}" for i in range(104)] + [f"q{i}" for i in range(34)] + [f"end{part}.{k}"])) for k in range(4)]
+        rows += [(100 * part + k, " ".join(f"x{part}.{k}" if i == 50 else f"p{i}" for i in range(104))) for k in range(5)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    got = jaccard.jaccard_groups(df, p=jaccard.Params(hot=10)).toPandas().values.tolist()
+    assert sorted((repr(d), n, repr(c)) for d, n, c in got) == brute(rows)
+    assert {c for d, _, c in got} == {0, 10_000}
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
