@@ -134,6 +134,16 @@ def test_language_model_is_a_distribution(spark, rows):
     assert symbols.sum() == sum(len(t.split()) + 1 for _, t, *_ in rows[:100]) and s > 0
 
 
+def test_language_model_tells_frequent_words_beyond_511_apart(spark):
+    texts = [" ".join(f"word{i:04d}" for i in range(k, k + 30)) for k in range(0, 900, 30)] * 3
+    model, _ = maxent.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    v = model.vocabulary
+    assert len(v.words) == 900
+    assert len(set(maxent.shapes(pa.array([chr(97 + i) for i in range(26)])).tolist())) == 5
+    logs = model.logs(v.encode(pa.array(["word0701 word0702 word0703", "word0703 word0702 word0701"], pa.large_string())))
+    assert logs[1:3].sum() > logs[5:7].sum() + 1
+
+
 def test_language_model_without_training_texts(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     got = maxent.score(df, F.lit(False)).collect()[0]
