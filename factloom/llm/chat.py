@@ -19,7 +19,8 @@ from factloom.llm.common import table
 
 Turn = tuple[str, str]
 PROBE = "probe"
-#: Turns that are rendered again with each new one; longer conversations go on from the last turn of the full window.
+#: Turns of a turnwise template that are rendered again with each new one; longer conversations go on from the last turn of
+#: the full window.  Other templates may look at any turn, so all turns are rendered again.
 WINDOW = 32
 TRAINED = "assistant"
 
@@ -42,6 +43,10 @@ def marked_turns(turns: list[Turn]) -> str:
     return "<s>" + "".join(f"<|turn|>{escape(r).replace(chr(10), chr(92) + 'n')}\n{escape(t)}<|end|>\n" for r, t in turns)
 
 
+#: What a turn adds depends on the turn alone, and on whether it is the first.
+marked_turns.turnwise = True
+
+
 def read_turn(span: str) -> Turn:
     """Role and text of one rendered turn of marked_turns."""
     if not (span.removeprefix("<s>").startswith("<|turn|>") and span.endswith("<|end|>\n")):
@@ -52,16 +57,20 @@ def read_turn(span: str) -> Turn:
 
 
 class Incremental:
-    """Spans of the turns of one conversation, a turn at a time."""
+    """Spans of the turns of one conversation, a turn at a time.
+
+    Only a template that says so (turnwise) drops turns beyond the window; for any other the whole prefix is rendered with
+    each turn, which takes the conversation's turns in memory and time that grows with their square.
+    """
 
     def __init__(self, template: Callable[[list[Turn]], str] = marked_turns, window: int = WINDOW):
-        self.template, self.window = template, window
+        self.template, self.window = template, window if getattr(template, "turnwise", False) else None
         self.turns: list[Turn] = []
         self.last, self.length, self.rewrites = "", 0, False
 
     def add(self, role: str, text: str) -> tuple[str, int, int | None, int | None]:
         """The new turn's part of the output, where it begins, and where the text lies in it (null if unknown)."""
-        if len(self.turns) >= self.window:
+        if self.window is not None and len(self.turns) >= self.window:
             self.turns = self.turns[-1:]
             self.last = self.template(self.turns)
         now = self.template([*self.turns, (role, text)])
@@ -99,7 +108,8 @@ def format_turns(df: DataFrame, template: Callable[[list[Turn]], str] = marked_t
     text_start, text_end in the span (null if the template rewrites history there, or changes the text's surroundings).
 
     Rows are ordered by turn, then role and text, nulls first; a null role or text counts as empty; a null conv_id is a
-    conversation of its own.  Only `window` turns of a conversation are in memory, however long it is.
+    conversation of its own.  Of a turnwise template only `window` turns of a conversation are in memory, however long it is;
+    of any other, all its turns.
     """
 
     def run(batches):
@@ -129,7 +139,8 @@ def digests(df: DataFrame, template: Callable[[list[Turn]], str] = marked_turns,
     """One row a conversation: what reading the formatted output back gives, as counts and digests.
 
     Rewrites is true if the template changed earlier output; the loss columns are then null.  Turns stream through
-    the digests in order, so a conversation of any length takes the memory of `window` turns.
+    the digests in order, so a conversation of any length takes the memory of `window` turns if the template is turnwise; of any other
+    template, that of all its turns.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]
 

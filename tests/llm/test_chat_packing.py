@@ -43,6 +43,24 @@ def test_templates_that_rewrite_history_are_found():
     assert inc.rewrites
 
 
+def test_templates_that_look_far_back_are_rendered_whole():
+    def numbered(turns):
+        return "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(turns))
+
+    def first_changes_late(turns):
+        return numbered(turns if len(turns) < 50 else [("user", "cut"), *turns[1:]])
+
+    inc, late, out = chat.Incremental(numbered), chat.Incremental(first_changes_late), ""
+    turns = [("user", f"text {i}") for i in range(60)]
+    for i, (role, text) in enumerate(turns):
+        span, at, low, high = inc.add(role, text)
+        assert at == len(out) and span == f"{i} user: {text}\n" and span[low:high] == text
+        out += span
+        late.add(role, text)
+        assert late.rewrites == (i >= 49)
+    assert out == numbered(turns) and not inc.rewrites
+
+
 CONV = "conv_id long, turn long, role string, text string, n_turns int"
 
 
