@@ -19,13 +19,22 @@ from factloom.llm.common import table, tidy
 K, EVERY, SCALE = 20, 20, 64
 #: Queries in one broadcast, and the rows and columns of one score array.
 QUERY_BLOCK, QUERIES, CHUNK = 16_384, 512, 4_096
-#: Components beyond this are set to it, so that sums fit a long.
-LIMIT = 1 << 26
+#: The largest long; scores beyond it are held as it (or its negative), and fail if they are among the results.
+MOST = (1 << 63) - 1
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """id and floor(scale * x) for every component; rows whose id or vector is null, or holds null or non-finite, go."""
-    x = F.transform(F.col(vector_col), lambda v: F.floor(F.least(F.greatest(v.cast("double") * scale, F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("int"))
+    """id and floor(scale * x) for every component; rows whose id or vector is null, or holds null or non-finite, go.
+
+    A component whose floor(scale * x) is no long fails.
+    """
+
+    def whole(v):
+        size = F.abs(v.cast("double"))
+        over = (size >= float(1 << 63) / scale) & (size < float("inf"))
+        return F.when(over, F.raise_error(F.lit("a scaled component does not fit a long")).cast("long")).otherwise(F.floor(v.cast("double") * scale))
+
+    x = F.transform(F.col(vector_col), whole)
     ok = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) != float("inf")))
     return df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ok).select(F.col(id_col).cast("long").alias("id"), x.alias("x"))
 
@@ -42,8 +51,13 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
 
 
 def scatter_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products of all rows, a term at a time: only non-zero query weights meet non-zero postings."""
-    most = np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) * max(1, queries.shape[1])
+    """Inner products of all rows, a term at a time: only non-zero query weights meet non-zero postings.
+
+    Rows whose product may pass a long are multiplied as Python's integers; what does pass it is MOST or -MOST.
+    """
+    large_q, large_c = (np.abs(x.astype(np.float64)).max(1, initial=0) for x in (queries, candidates))
+    width = max(1, queries.shape[1])
+    most = large_q.max(initial=0) * large_c.max(initial=0) * width
     kind = np.int32 if most < 1 << 31 else np.int64
     scores = np.zeros((len(queries), len(candidates)), kind)
     for term in range(queries.shape[1]):
@@ -59,6 +73,11 @@ def scatter_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
             scores[rows] += weights[:, None] * values
         else:
             scores[np.ix_(rows, posting)] += weights[:, None] * values
+    if most >= 1 << 62:
+        for i in np.flatnonzero(large_q * large_c.max() * width >= 1 << 62):
+            q = queries[i].tolist()
+            for j in np.flatnonzero(large_q[i] * large_c * width >= 1 << 62):
+                scores[i, j] = max(-MOST, min(MOST, sum(a * b for a, b in zip(q, candidates[j].tolist(), strict=True))))
     return scores
 
 
@@ -112,13 +131,15 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_co
     id.  A query doesn't find its own row, but does find other rows that share its id.  Each query row has its own
     ranks, also if ids repeat.  Vectors may differ in length: missing components count as 0.  Rows with a null id, or
     a null, NaN or infinite component take no part; an empty vector scores 0.  Fewer than k candidates give fewer rows.
+    Scores are exact sums of longs; a component of 2^63 / SCALE or more fails, and so does a result whose score isn't
+    between -2^63 + 1 and 2^63 - 1, both excluded.
     """
     spark = df.sparkSession
     rows = quantised(df, id_col, vector_col)
     asked = rows.filter(is_query)
     out, after, parts = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"), None, []
     while True:  # bounded blocks of queries, in order of id and vector
-        left = asked if after is None else asked.filter((F.col("id") > after[0]) | ((F.col("id") == after[0]) & (F.col("x") > F.array(*[F.lit(v).cast("int") for v in after[1]]))))
+        left = asked if after is None else asked.filter((F.col("id") > after[0]) | ((F.col("id") == after[0]) & (F.col("x") > F.array(*[F.lit(v).cast("long") for v in after[1]]))))
         ordered = left.groupBy("id", "x").count().orderBy("id", "x").limit(QUERY_BLOCK).toArrow()
         if not ordered.num_rows:
             break
@@ -126,7 +147,7 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_co
         x = block.column("x").combine_chunks()
         width = max(1, int(np.diff(x.offsets.to_numpy(zero_copy_only=False)).max(initial=0)))
         queries = _matrix(x, width)
-        own = (queries**2).sum(1)
+        own = np.array([min(MOST, sum(v * v for v in q)) for q in queries.tolist()], np.int64)
         found = rows.mapInArrow(tidy(_search(queries, k + 1)), "q int, id long, score long")
         asked_rows = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(queries)), pa.int32()), "query_id": block.column("id"), "own": pa.array(own, pa.int64()), "n": block.column("count")}))
         w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
@@ -135,8 +156,9 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_co
         mine = (F.col("id") == F.col("query_id")) & (F.col("score") == F.col("own"))
         self_at = F.min(F.when(mine, F.col("r"))).over(Window.partitionBy("q"))
         best = best.withColumn("self_at", F.coalesce(self_at, F.lit(k + 2))).filter((F.col("r") != F.col("self_at")) & (F.col("r") - (F.col("r") > F.col("self_at")).cast("int") <= k))
+        fits = F.when(F.abs("score") < MOST, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
         best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-        parts.append(best.select("query_id", (F.col("r") - (F.col("r") > F.col("self_at")).cast("int")).cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"))
+        parts.append(best.select("query_id", (F.col("r") - (F.col("r") > F.col("self_at")).cast("int")).cast("int").alias("rank"), F.col("id").alias("vec_id"), fits.alias("score")))
         if block.num_rows < QUERY_BLOCK:
             break
         after = (block.column("id")[-1].as_py(), x[-1].as_py())

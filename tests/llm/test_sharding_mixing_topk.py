@@ -112,3 +112,11 @@ def test_scattered_scores_are_inner_products(seed):
     rng = np.random.default_rng(seed)
     q, c = (rng.integers(-9, 9, (n, 6)) * (rng.random((n, 6)) < 0.4) for n in (5, 9))
     assert (topk.scatter_scores(q, c) == q @ c.T).all()
+
+
+def test_large_components_keep_their_value(spark):
+    df = spark.createDataFrame([(20, [2.0, 0.0]), (1, [2e6, 1.0]), (2, [3e6, 0.0]), (3, [1e12, -1e12])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("id") == 20).orderBy("rank").collect()]
+    assert got == [(20, 1, 3, 128 * 64 * 10**12), (20, 2, 2, 128 * 64 * 3 * 10**6), (20, 3, 1, 128 * 64 * 2 * 10**6)]
+    q, c = np.array([[1 << 40, -(1 << 40)], [3, 0]]), np.array([[1 << 40, (1 << 40) - 1], [1 << 40, 0]])
+    assert topk.scatter_scores(q, c).tolist() == [[1 << 40, topk.MOST], [3 << 40, 3 << 40]]
