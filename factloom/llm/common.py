@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where it names none (tests)."""
+    """The shared folder that the session names.  Where it names none, a session on this machine alone gets a folder of it; on
+    a cluster that is an error, for executors would write to disks that others can't see."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="factloom-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -133,31 +137,44 @@ def tidy(f):
 
 
 def tidy_table(f):
-    """f, a function from table to table, with memory given back at its end."""
+    """f, a function from table to table, with memory given back after large tables: for small ones that would take longer
+    than f itself."""
 
     def run(t: pa.Table) -> pa.Table:
+        large = t.nbytes > 1 << 20
         try:
             return f(t)
         finally:
-            _release()
+            if large:
+                _release()
 
     return run
 
 
-def summed(df: DataFrame, f, pieces: int = 16) -> np.ndarray:
-    """The sum of the arrays (of one length) that f makes of each partition's batches.
+def summed(df: DataFrame, f, kind=np.float64, chunk: int = 8192, fan: int = 64) -> np.ndarray:
+    """The sum of the arrays (of one length) that f makes of each partition's batches; without partitions an empty array.
 
-    Partitions send their arrays in pieces, which meet and are added up piece by piece: the driver gets one array,
-    however many partitions there are.
+    Partitions send their arrays (as `kind`) in chunks, without those of zeros.  The chunks of `fan` partitions at a time are
+    added up first, then these sums: no task reads all arrays, and the driver gets one, however many partitions there are.
     """
 
     def run(batches):
-        parts = np.array_split(np.asarray(f(batches), np.float64), pieces)
-        yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "x"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v) for v in t.column("x").to_pylist())
-        return pa.table({"piece": t.column("piece").slice(0, 1), "x": pa.array([total.tobytes()], pa.binary())})
-
-    got = df.mapInArrow(tidy(run), "piece int, x binary").groupBy("piece").applyInArrow(tidy_table(add), "piece int, x binary").collect()
-    return np.concatenate([np.frombuffer(r.x) for r in sorted(got, key=lambda r: r.piece)])
+        group, x = TaskContext.get().partitionId() // fan, np.asarray(f(batches), kind)
+        parts = [(i, x[i : i + chunk]) for i in range(0, len(x), chunk)]
+        parts = [(i, p) for i, p in parts if p.any() or i + chunk >= len(x)]  # the last one tells the length
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int64()), pa.array([group] * len(parts), pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], ["at", "part", "x"])
+
+    def adder(have):
+        def add(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v.as_buffer(), have).astype(np.float64) for v in t.column("x"))
+            return pa.table({"at": t.column("at").slice(0, 1), "part": t.column("part").slice(0, 1), "x": pa.array([total.tobytes()], pa.binary())})
+
+        return tidy_table(add)
+
+    schema = "at long, part int, x binary"
+    some = df.mapInArrow(tidy(run), schema).groupBy("at", "part").applyInArrow(adder(kind), schema)
+    got = {r.at: np.frombuffer(r.x) for r in some.groupBy("at").applyInArrow(adder(np.float64), schema).collect()}
+    out = np.zeros(max((at + len(x) for at, x in got.items()), default=0))
+    for at, x in got.items():
+        out[at : at + len(x)] = x
+    return out

@@ -3,8 +3,9 @@
 Frequent words are symbols of their own, other words are symbols by shape (letters, length, ending).  A class-factored
 softmax over hashed bigram, skip and trigram features gives each symbol's probability; a word of a shape has the share
 of its count among the shape's words.  Training needs the counts of symbol triples only, which the whole training text
-gives; each update sums the expected feature counts of all partitions.  Word counts are exact: the distinct words of
-each document meet by hash in shards, which count them and return sums to the documents.
+gives; each update sums the expected feature counts of all partitions.  Word counts are exact: counts are added up in
+each task before they meet.  The counts of the most frequent words, a bounded number, are known to all tasks; other words of
+documents are dealt by hash to shards, where they meet their counts, and sums go back to the documents.
 """
 
 from __future__ import annotations
@@ -17,19 +18,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, is_remainder, mix64, slices, summed, sums, table, text_bytes, tidy, tidy_table, word_hashes, words
+from factloom.llm.common import cut, is_remainder, mix64, slices, summed, sums, table, text_bytes, tidy, tidy_table, words
 
-#: Words with a symbol (one is the end of a text), members of a class, and the least share of a slice's words that
-#: makes a word a candidate.
-FREQUENT, MEMBERS, LEAST = 1024, 64, 1 / 20_000
+#: Words with a symbol (one is the end of a text), and members of a class.
+FREQUENT, MEMBERS = 1024, 64
+#: Bytes of a word with a symbol, at most.
+LONGEST = 64
+#: Words whose counts all tasks know: 24 bytes each.
+KNOWN = 1 << 18
 #: Rows of hashed trigram features and of the hashed features within classes.
 TRIGRAMS, WITHIN = 4096, 4096
 #: Updates, their size, and the pseudo-count that holds rare features back.
 STEPS, RATE, DAMP = 6, 0.5, 4.0
 #: Bytes of text that are taken at once.
 SLICE = 4 << 20
-#: Bytes of words that one shard counts, about.
-SHARD_BYTES = 16 << 20
+#: Bytes of words that one shard looks up, about, and of a document's word among them.
+SHARD_BYTES, PAIR = 16 << 20, 22
+#: Triples that one task takes in each update.
+TRIPLES = 500_000
 ENDINGS = (b".,;:!?", b"\"')]}%&*$#|-")
 #: Letters beyond ASCII or not, three endings, three lengths, five groups of first bytes.
 GROUPS = 5
@@ -58,27 +64,23 @@ class Vocabulary:
         self.symbols = self.frequent + SHAPES
         self.start = self.symbols  # before the first word
 
-    def encode(self, col: pa.Array, hashes: bool = True) -> Tokens:
+    def encode(self, col: pa.Array) -> Tokens:
         flat, bounds = words(col)
-        if hashes:
-            own, codes, names = word_hashes(flat)
-        else:
-            d = flat.dictionary_encode()
-            own, codes, names = np.zeros(0, np.uint64), d.indices.to_numpy(zero_copy_only=False), d.dictionary
-        symbol = np.fromiter((self.index.get(w, 0) for w in names.to_pylist()), np.int64, len(names))
+        d = flat.dictionary_encode()
+        codes, names = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+        own = np.fromiter((self.index.get(w, 0) for w in names.to_pylist()), np.int64, len(names))
         if len(names):
-            symbol = np.where(symbol > 0, symbol, self.frequent + shapes(names))
-        s = symbol[codes] if len(codes) else np.zeros(0, np.int64)
+            own = np.where(own > 0, own, self.frequent + shapes(names))
         n = len(bounds) - 1
         ends = bounds + np.arange(n + 1)
         all_ = np.zeros(ends[-1], np.int64)
         doc = np.repeat(np.arange(n), np.diff(bounds))
-        all_[np.arange(len(s)) + doc] = s
+        all_[np.arange(len(codes)) + doc] = own[codes]
         one, two = np.roll(all_, 1), np.roll(all_, 2)
         one[ends[:-1]] = two[ends[:-1]] = self.start
         second = ends[:-1][np.diff(ends) > 1] + 1
         two[second] = self.start
-        return Tokens(all_, one, two, ends, s, own, doc)
+        return Tokens(all_, one, two, ends, names, own, codes, bounds, doc)
 
 
 @dataclass
@@ -86,10 +88,12 @@ class Tokens:
     symbol: np.ndarray  # of all tokens, an end after each text
     before: np.ndarray
     skipped: np.ndarray
-    ends: np.ndarray
-    words: np.ndarray  # symbols of the words alone
-    hashes: np.ndarray
-    doc: np.ndarray  # of the words
+    ends: np.ndarray  # bounds of the texts among all tokens
+    names: pa.Array = None  # distinct words
+    own: np.ndarray = None  # and their symbols
+    codes: np.ndarray = None  # of the words alone: the index among names
+    bounds: np.ndarray = None  # bounds of the texts among the words
+    doc: np.ndarray = None
 
 
 @dataclass
@@ -155,20 +159,77 @@ def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 # --- vocabulary and counts ---------------------------------------------------------------------------------------
 
 
-def frequent_words(docs: DataFrame, text: str = "text", n: int = FREQUENT - 1) -> list[str]:
-    """The words with the highest sums of counts in slices in which they make up LEAST of the words, ties by word."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word and its count n over all texts."""
 
     def run(batches):
         for _, col in slices(batches, text, SLICE):
-            flat, _ = words(col)
-            if len(flat):
-                d = flat.dictionary_encode()
-                count = np.bincount(d.indices.to_numpy(zero_copy_only=False), minlength=len(d.dictionary))
-                often = count >= len(flat) * LEAST
-                yield pa.RecordBatch.from_arrays([d.dictionary.filter(pa.array(often)).cast(pa.string()), pa.array(count[often])], ["word", "n"])
+            d = words(col)[0].dictionary_encode()
+            n = np.bincount(d.indices.to_numpy(zero_copy_only=False), minlength=len(d.dictionary))
+            for i in range(0, len(n), 1 << 16):
+                yield pa.RecordBatch.from_arrays([d.dictionary[i : i + (1 << 16)].cast(pa.string()), pa.array(n[i : i + (1 << 16)])], ["word", "n"])
+
+    return docs.select(text).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, n: int = FREQUENT - 1) -> list[str]:
+    """The words with the highest counts, ties by word; words of more than LONGEST bytes keep to their shapes."""
+    return [r.word for r in counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(n).collect()]
+
+
+def digests(names: pa.Array) -> np.ndarray:
+    """128-bit digests of words, as two columns of 64 bits."""
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names.cast(pa.large_binary()).to_pylist())), np.uint64).reshape(-1, 2)
+
+
+class Table:
+    """Counts by digest; the keys are sorted."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        self.a, self.b, self.n = (np.ascontiguousarray(x) for x in (keys[order, 0], keys[order, 1], n[order]))
+        # keys that share their first 64 bits lie side by side
+        self.run = int(np.diff(np.flatnonzero(np.concatenate([[True], self.a[1:] != self.a[:-1], [True]]))).max()) if len(n) else 0
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The count of each key, -1 for one that isn't there."""
+        out = np.full(len(keys), -1, np.int64)
+        at = np.searchsorted(self.a, keys[:, 0])
+        for k in range(self.run):
+            p = np.minimum(at + k, len(self.a) - 1)
+            hit = (self.a[p] == keys[:, 0]) & (self.b[p] == keys[:, 1])
+            out[hit] = self.n[p[hit]]
+        return out
+
+
+def other_words(counts: DataFrame, v: Vocabulary) -> DataFrame:
+    """a, b (the digest), shape and n of the words without a symbol."""
+
+    def run(batches):
+        for t in batches:
+            names = t.column("word").cast(pa.large_string())
+            rare = np.fromiter((w not in v.index for w in names.to_pylist()), bool, len(names))
+            names, n = names.filter(pa.array(rare)), t.column("n").to_numpy()[rare]
+            keys = digests(names).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(shapes(names) if len(n) else n), pa.array(n)], ["a", "b", "shape", "n"])
 
-    got = docs.select(text).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in got.orderBy(F.desc("n"), "word").limit(n).collect()]
+    return counts.mapInArrow(tidy(run), "a long, b long, shape long, n long")
+
+
+def shape_counts(others: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each shape, counted with and without their repeats."""
+
+    def add(batches):
+        out = np.zeros(2 * SHAPES)
+        for t in batches:
+            shape = t.column("shape").to_numpy()
+            out += np.concatenate([np.bincount(shape, t.column("n").to_numpy(), minlength=SHAPES), np.bincount(shape, minlength=SHAPES)])
+        return out
+
+    got = summed(others, add)
+    return (got[:SHAPES], got[SHAPES:]) if len(got) else (np.zeros(SHAPES), np.zeros(SHAPES))
 
 
 def triple_counts(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
@@ -185,7 +246,7 @@ def triple_counts(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000]), pa.array(n[i : i + 200_000])], ["key", "n"])
 
         for _, col in slices(batches, text, SLICE):
-            t = v.encode(col, hashes=False)
+            t = v.encode(col)
             key, n = np.unique((t.skipped * s + t.before) * s + t.symbol, return_counts=True)
             keys.append(key)
             counts.append(n)
@@ -305,19 +366,20 @@ def _summed(counts: DataFrame, model: Model, seen: bool) -> list[np.ndarray]:
                 held, rows = [], 0
         return total + add() if rows else total
 
-    flat, out = summed(counts, expected), []
+    flat, out = summed(counts, expected, np.float32), []
     for shape in shapes_:
         out.append(flat[: np.prod(shape)].reshape(shape))
         flat = flat[np.prod(shape) :]
     return out
 
 
-def train(docs: DataFrame, text: str = "text", steps: int = STEPS) -> tuple[Model, np.ndarray]:
-    """A model of all texts of docs (null: empty), and the count of each symbol in them."""
-    v = Vocabulary(frequent_words(docs, text))
+def train(docs: DataFrame, text: str = "text", steps: int = STEPS, words_: DataFrame | None = None) -> tuple[Model, np.ndarray]:
+    """A model of all texts of docs (null: empty), and the count of each symbol in them.  words_: their word_counts."""
+    v = Vocabulary(frequent_words(cut(word_counts(docs, text)) if words_ is None else words_))
     s = v.symbols + 1
     counts = triple_counts(docs, v, text)
     counts = cut(counts.repartition(F.floor(F.col("key") / s)))  # all symbols after one context are together
+    counts = counts.coalesce(max(8, counts.count() // TRIPLES))  # each task sends all weights' sums: not more tasks than it takes
     before, skipped = _pairs(counts, "before", s), _pairs(counts, "skipped", s)
     cls, member = classes(before, v)
     model = Model(v, cls, member)
@@ -334,8 +396,11 @@ def train(docs: DataFrame, text: str = "text", steps: int = STEPS) -> tuple[Mode
 # --- scoring -----------------------------------------------------------------------------------------------------
 
 
-FIELDS = ["shard", "kind", "slice", "a", "b", "c", "d", "e"]
-SCHEMA = "shard int, kind int, slice long, a binary, b binary, c binary, d binary, e binary"
+FIELDS = ["shard", "kind", "slice", "a", "b", "c"]
+SCHEMA = "shard long, kind int, slice long, a binary, b binary, c binary"
+SCORED = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: Kinds of rows that meet in shards: words of documents, counts of words, and a slice's own rows.
+WORDS, COUNTS, OWN = 0, 1, 2
 
 
 def short(pieces):
@@ -347,113 +412,149 @@ def short(pieces):
 
 def _rows(shard, kind, slice_, *cols: list) -> pa.RecordBatch:
     n = len(shard)
-    blank = pa.nulls(n, pa.binary())
-    given = [pa.array(c, pa.binary()) for c in cols] + [blank] * (5 - len(cols))
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([slice_] * n, pa.int64()), *given], FIELDS)
+    given = [pa.array(c, pa.binary()) for c in cols] + [pa.nulls(n, pa.binary())] * (3 - len(cols))
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([slice_] * n, pa.int64()), *given], FIELDS)
+
+
+def _dealt(shard: np.ndarray, kind: int, slice_: int, *cols: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard that gets something of the columns."""
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    ends = np.append(at, len(shard))
+    cols = [x[order] for x in cols]
+    return _rows(shard[order][at], kind, slice_, *[[x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)] for x in cols])
+
 
+def _sizes(docs: DataFrame, others: DataFrame, least: int) -> tuple[int, int]:
+    """Shards for words that not all tasks know, and copies of each shard: no word of documents fills more than a shard.
 
-def score(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    A word that isn't among the known ones has at most `least` occurrences; texts that weren't learned from may have as many
+    again for their share of the bytes.
+    """
+    rest = others.agg(F.sum("n").alias("n"), F.count("*").alias("words")).first()
+    size = docs.agg(F.sum(F.octet_length("text")).alias("all"), F.sum(F.when(~F.col("held"), F.octet_length("text"))).alias("own")).first()
+    over = (size["all"] or 0) / max(1, size["own"] or 0)
+    bytes_ = min((size["all"] or 0) * PAIR / 2, ((rest["n"] or 0) + (rest["words"] or 0)) * over * PAIR)
+    return max(12, int(bytes_ // SHARD_BYTES)), 1 + int(min(least * over, size["all"] or 0) * PAIR // SHARD_BYTES)
+
+
+def score(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", known: int = KNOWN) -> DataFrame:
     """Scores every text of docs under a model of the texts of the rows where learn_from (a condition) holds.
 
     Returns id, held_out (learn_from doesn't hold), n_tokens (words and one end), n_known (tokens that occur in the
     training texts), train_tokens, base_score (add-one unigrams) and score, both log10 of the text's probability.  A
     word that doesn't occur in the training texts counts as one of its shape, as base_score counts all as one.  A null
     or empty text is its end alone.  Rows that share an id are scored and learned from each by itself.  Without
-    training texts both scores are those of no counts at all.  Other columns are ignored.
+    training texts both scores are those of no counts at all.  Other columns are ignored.  How rows lie in partitions
+    changes score only by rounding.  known: how many words' counts all tasks hold; it doesn't change results.
     """
     held = ~F.coalesce(learn_from, F.lit(False))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    model, symbols = train(rows.filter(~F.col("held")))
+    learned = rows.filter(~F.col("held"))
+    counts = cut(word_counts(learned))
+    model, symbols = train(learned, words_=counts)
     v = model.vocabulary
-    # bytes of all words' hashes, about: a document has a word for each six or seven bytes
-    size = int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 11 / 8)
-    shards = max(12, size // SHARD_BYTES)
-    log_count = np.log10(symbols + 1.0)
+    others = other_words(counts, v)
+    n_of, kinds_of = shape_counts(others)
+    train_tokens, types = int(symbols.sum()), int((symbols[: v.frequent] > 0).sum() + kinds_of.sum())
+    base_total, shape_total, log_count = np.log10(train_tokens + types + 1.0), np.log10(n_of + kinds_of + 1.0), np.log10(symbols + 1.0)
+    got = others.orderBy(F.desc("n"), "a", "b").limit(known).select("a", "b", "n").toArrow()
+    held_by_all = Table(np.stack([got.column(c).to_numpy().view(np.uint64) for c in "ab"], 1), got.column("n").to_numpy())
+    every = len(held_by_all.n) >= kinds_of.sum()  # then a word that isn't there doesn't occur at all
+
+    def own_rows(b: pa.RecordBatch, col: pa.Array) -> tuple[pa.Table, Tokens, np.ndarray, np.ndarray]:
+        """The slice's rows as far as they are known here, and the words to look up with their digests."""
+        t = v.encode(col)
+        other = np.flatnonzero(t.own >= v.frequent)
+        keys = digests(t.names.take(pa.array(other)))
+        n = symbols[np.minimum(t.own, v.frequent - 1)].astype(np.float64)
+        n[other] = held_by_all(keys)
+        logs, is_other = np.log10(np.maximum(n, 0) + 1), t.own >= v.frequent
+        tokens = np.diff(t.ends)
+        base = sums(logs[t.codes], t.bounds) + log_count[0] - tokens * base_total
+        share = np.where(is_other, logs - shape_total[np.maximum(t.own - v.frequent, 0)], 0.0)
+        own = sums(model.logs(t), t.ends) + sums(share[t.codes], t.bounds)
+        seen = sums((n > 0)[t.codes], t.bounds) + int(symbols[0] > 0)
+        out = pa.table({"id": b.column("id").cast(pa.string()), "held_out": b.column("held"), "n_tokens": tokens, "n_known": seen, "base_score": base, "score": own})
+        lost = n[other] < 0
+        return out, t, other[lost], keys[lost]
+
+    if every:
+
+        def finished(batches):
+            for b, col in short(slices(batches, "text", SLICE)):
+                yield from own_rows(b, col)[0].to_batches()
+
+        return _named(rows.mapInArrow(tidy(finished), SCORED), docs, id_col, train_tokens)
+
+    least = int(held_by_all.n.min()) if len(held_by_all.n) else train_tokens
+    shards, copies = _sizes(rows, others, least)
 
     def emit(batches):
         part, number = TaskContext.get().partitionId(), 0
         for b, col in short(slices(batches, "text", SLICE)):
-            t = v.encode(col)
+            own, t, other, keys = own_rows(b, col)
             slice_ = (part << 24) + number
             number += 1
-            n = len(t.ends) - 1
-            common = t.symbol < v.frequent
-            known = sums(common & (symbols[t.symbol] > 0), t.ends)
-            base = sums(np.where(common, log_count[np.minimum(t.symbol, v.frequent)], 0.0), t.ends)
-            own = sums(model.logs(t), t.ends)
-            rare = t.words >= v.frequent
-            doc, h, shape = t.doc[rare], t.hashes[rare], t.words[rare] - v.frequent
-            by_shape = np.bincount(doc * SHAPES + shape, minlength=n * SHAPES).astype(np.uint32)
-            ids = b.column("id").cast(pa.string())
             sink = pa.BufferOutputStream()
-            meta = pa.table({"id": ids, "held": b.column("held"), "n": np.diff(t.ends), "known": known, "base": base, "own": own})
-            with pa.ipc.new_stream(sink, meta.schema) as w:
-                w.write_table(meta)
-            yield _rows([slice_ % shards], 1, slice_, [sink.getvalue().to_pybytes()], [by_shape.tobytes()])
-            order = np.lexsort((h, doc))
-            doc, h, shape = doc[order], h[order], shape[order]
-            at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
-            times = np.diff(np.append(at, len(h)))
-            doc, h, shape = doc[at], h[at], shape[at]
-            shard = (mix64(h) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
-            learned = ~b.column("held").to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(np.diff(ends))
-            cols = [x[order].astype(k) for x, k in ((h, np.uint64), (doc, np.uint16), (times, np.uint32), (shape, np.uint8), (learned[doc], np.uint8))]
-            yield _rows(some, 0, slice_, *[[x[ends[i] : ends[i + 1]].tobytes() for i in some] for x in cols])
-
-    def count(t: pa.Table) -> pa.Table:
-        """Counts the shard's words, and returns to each slice the sums that its documents need."""
+            with pa.ipc.new_stream(sink, own.schema) as w:
+                w.write_table(own)
+            yield _rows([slice_ % shards * copies], OWN, slice_, [sink.getvalue().to_pybytes()])
+            if len(other):
+                index = np.full(len(t.names), -1)
+                index[other] = np.arange(len(other))
+                word = index[t.codes]
+                pair, times = np.unique(t.doc[word >= 0] * len(other) + word[word >= 0], return_counts=True)
+                doc, word = (pair // len(other)).astype(np.uint16), pair % len(other)
+                shard = (keys[word, 0] % np.uint64(shards)).astype(np.int64) * copies + slice_ % copies
+                yield _dealt(shard, WORDS, slice_, keys[word], doc, times.astype(np.uint32))
+
+    def deal(batches):
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy().view(np.uint64) for c in "ab"], 1)
+            rare = held_by_all(keys) < 0
+            keys, n = keys[rare], b.column("n").to_numpy()[rare]
+            for k in range(copies if len(n) else 0):
+                yield _dealt((keys[:, 0] % np.uint64(shards)).astype(np.int64) * copies + k, COUNTS, -1, keys, n)
+
+    def look_up(t: pa.Table) -> pa.Table:
+        """Returns to each slice the sums that its documents need of the shard's words."""
         kind = t.column("kind").to_numpy()
-        meta, t = t.filter(pa.array(kind == 1)), t.filter(pa.array(kind == 0))
-        h, doc, times, shape, learned = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in zip("abcde", (np.uint64, np.uint16, np.uint32, np.uint8, np.uint8), strict=True))
-        names, first, at = np.unique(h, return_index=True, return_inverse=True)
-        c = np.bincount(at, times * learned, minlength=len(names)) if len(names) else np.zeros(0)
-        n_of, kinds_of = np.bincount(shape[first], c, minlength=SHAPES), np.bincount(shape[first], c > 0, minlength=SHAPES)
-        logs, known = times * np.log10(c + 1)[at], np.where(c[at] > 0, times, 0)
-        out, a = [_rows([0], 2, -1, [n_of.astype(np.int64).tobytes()], [kinds_of.astype(np.int64).tobytes()])], 0
-        for size, slice_ in zip((len(x) // 8 for x in t.column("a").to_pylist()), t.column("slice").to_pylist(), strict=True):
-            z = a + size
-            docs_, of = np.unique(doc[a:z], return_inverse=True)
-            out.append(_rows([0], 0, slice_, [docs_.tobytes()], [np.bincount(of, logs[a:z]).tobytes()], [np.bincount(of, known[a:z]).astype(np.uint32).tobytes()]))
-            a = z
-        return pa.concat_tables([meta, pa.Table.from_batches(out).cast(meta.schema)])
-
-    sent = rows.mapInArrow(tidy(emit), SCHEMA)
-    counted = cut(sent.groupBy("shard").applyInArrow(tidy_table(count), SCHEMA))
-    totals = counted.filter("kind = 2").select("a", "b").collect()
-    n_of = sum((np.frombuffer(r.a, np.int64) for r in totals), np.zeros(SHAPES, np.int64))
-    kinds_of = sum((np.frombuffer(r.b, np.int64) for r in totals), np.zeros(SHAPES, np.int64))
-    train_tokens = int(symbols.sum())
-    types = int((symbols[: v.frequent] > 0).sum() + kinds_of.sum())
-    base_total, shape_total = np.log10(train_tokens + types + 1.0), np.log10(n_of + kinds_of + 1.0)
+        own, counts, t = (t.filter(pa.array(kind == k)) for k in (OWN, COUNTS, WORDS))
+        keys, n = (np.frombuffer(b"".join(counts.column(c).to_pylist()), k) for c, k in (("a", np.uint64), ("b", np.int64)))
+        shard = Table(keys.reshape(-1, 2), n)
+        out = []
+        for slice_, a, b, c in zip(*(t.column(x).to_pylist() for x in ("slice", "a", "b", "c")), strict=True):
+            n = np.maximum(shard(np.frombuffer(a, np.uint64).reshape(-1, 2)), 0)
+            if n.any():
+                docs_, of = np.unique(np.frombuffer(b, np.uint16), return_inverse=True)
+                times = np.frombuffer(c, np.uint32)
+                out.append(_rows([0], WORDS, slice_, [docs_.tobytes()], [np.bincount(of, times * np.log10(n + 1)).tobytes()], [np.bincount(of, times * (n > 0)).astype(np.uint32).tobytes()]))
+        return pa.concat_tables([own, pa.Table.from_batches(out, own.schema)]) if out else own
 
     def finish(t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
-        meta, t = t.filter(pa.array(kind == 1)), t.filter(pa.array(kind == 0))
-        m = pa.ipc.open_stream(meta.column("a")[0].as_buffer()).read_all()
-        n = m.num_rows
-        by_shape = np.frombuffer(meta.column("b")[0].as_py(), np.uint32).reshape(n, SHAPES)
-        logs, known = np.zeros(n), m.column("known").to_numpy().copy()
+        own, t = (t.filter(pa.array(kind == k)) for k in (OWN, WORDS))
+        m = pa.ipc.open_stream(own.column("a")[0].as_buffer()).read_all()
+        logs, seen = np.zeros(m.num_rows), m.column("n_known").to_numpy().copy()
         for a, b, c in zip(*(t.column(x).to_pylist() for x in "abc"), strict=True):
             at = np.frombuffer(a, np.uint16)
             logs[at] += np.frombuffer(b)
-            known[at] += np.frombuffer(c, np.uint32)
-        tokens = m.column("n").to_numpy()
-        return pa.table({
-            "id": m.column("id"),
-            "held_out": m.column("held"),
-            "n_tokens": tokens,
-            "n_known": known,
-            "base_score": m.column("base").to_numpy() + logs - tokens * base_total,
-            "score": m.column("own").to_numpy() + logs - by_shape @ shape_total,
-        })
+            seen[at] += np.frombuffer(c, np.uint32)
+        for name, more in (("n_known", seen), ("base_score", m.column("base_score").to_numpy() + logs), ("score", m.column("score").to_numpy() + logs)):
+            m = m.set_column(m.schema.get_field_index(name), name, pa.array(more))
+        return m
+
+    sent = rows.mapInArrow(tidy(emit), SCHEMA).unionByName(others.mapInArrow(tidy(deal), SCHEMA))
+    met = cut(sent.groupBy("shard").applyInArrow(tidy_table(look_up), SCHEMA))
+    return _named(met.groupBy("slice").applyInArrow(tidy_table(finish), SCORED), docs, id_col, train_tokens)
+
 
-    out = counted.filter("kind < 2").groupBy("slice").applyInArrow(tidy_table(finish), "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+def _named(scored: DataFrame, docs: DataFrame, id_col: str, train_tokens: int) -> DataFrame:
+    return scored.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; those whose crc32 modulo 7 is 2 are held out.  Nulls, repeats and empty texts as in `score`."""
     held = is_remainder(F.col("doc_id"), 7, 2)
     return score(table(spark, sf_dir, "documents"), ~held)

@@ -177,7 +177,7 @@ def train(rows: DataFrame, id_col: str = "doc_id", label: str = "quality") -> Mo
             s += [np.full(d, len(x)), x.sum(0), (x**2).sum(0)]
         return s.ravel()
 
-    s = summed(parts, moments, 1).reshape(3, d)
+    s = summed(parts, moments).reshape(3, d)
     mean = s[1] / s[0]
     scale = np.sqrt(np.maximum(s[2] / s[0] - mean**2, 0))
     scale[scale < 1e-6] = 1.0

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, maxent, quality
-from factloom.llm.common import is_remainder
+from factloom.llm.common import is_remainder, mix64, summed
 
 STEMS = {"aa": ["kel", "mor", "tis"], "bb": ["zou", "vieu", "queé"], "cc": ["schö", "üng", "dern"]}
 
@@ -129,7 +129,7 @@ def test_language_model_is_a_distribution(spark, rows):
     s = v.symbols + 1
     for two, one in ((v.start, v.start), (3, 5), (v.frequent, 0)):
         key = np.arange(v.symbols)
-        t = maxent.Tokens(key, np.full(len(key), one), np.full(len(key), two), np.array([0, len(key)]), key, key, key)
+        t = maxent.Tokens(key, np.full(len(key), one), np.full(len(key), two), np.array([0, len(key)]))
         assert (10 ** model.logs(t)).sum() == pytest.approx(1, abs=1e-3)
     assert symbols.sum() == sum(len(t.split()) + 1 for _, t, *_ in rows[:100]) and s > 0
 
@@ -144,6 +144,73 @@ def test_language_model_tells_frequent_words_beyond_511_apart(spark):
     assert logs[1:3].sum() > logs[5:7].sum() + 1
 
 
+def brute_score(model, symbols, tokens, count, n_of, kinds_of):
+    """log10 of a text's probability, a token at a time from the weights."""
+    v = model.vocabulary
+    n, two, one, total = v.symbols + 1, v.start, v.start, 0.0
+
+    def hashed(x):
+        return int(mix64(np.array([x], np.uint64))[0])
+
+    def share(row, k):
+        e = np.exp(row.astype(np.float64) - row.max())
+        return e[k] / e.sum()
+
+    for w in tokens:
+        shape = None if w is None or w in v.index else int(maxent.shapes(pa.array([w]))[0])
+        s = 0 if w is None else v.index[w] if shape is None else v.frequent + shape
+        c, m = int(model.cls[s]), int(model.member[s])
+        outer = model.first[0] + model.first[1 + one] + model.first[1 + n + two] + model.first[1 + 2 * n + hashed(two * n + one) % maxent.TRIGRAMS]
+        inner = model.bias[c] + model.within[hashed((c * n + one) * 2) % maxent.WITHIN] + model.within[hashed((c * n + two) * 2 + 1) % maxent.WITHIN]
+        total += math.log10(share(outer, c) * share(inner, m))
+        if shape is not None:
+            total += math.log10((count[w] + 1) / (n_of[shape] + kinds_of[shape] + 1))
+        two, one = one, s
+    return total
+
+
+@pytest.mark.parametrize("known", [1 << 18, 40, 0])
+def test_language_model_scores_equal_brute_force_however_rows_lie(spark, rows, known, monkeypatch):
+    monkeypatch.setattr(maxent, "FREQUENT", 60)
+    monkeypatch.setattr(maxent.frequent_words, "__defaults__", (59,))
+    monkeypatch.setattr(maxent, "SHARD_BYTES", 20_000)
+    data = [(i, t) for i, t, *_ in rows[:150]] + [(900, None), (901, "seen once"), (902, "Kelmor " + "w" * 5000), (902, "never é")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    learn = ~is_remainder(F.col("doc_id"), 7, 2)
+    got = maxent.score(df.repartition(3), learn, known=known).toPandas()
+    model, symbols = maxent.train(df.repartition(3).filter(learn))
+    text = {0: [WORD.findall((t or "").translate(LOW)) for _, t in data]}[0]
+    count = collections.Counter(w for x, (i, _) in zip(text, data, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+    other = [w for w in count if w not in model.vocabulary.index]
+    shape = maxent.shapes(pa.array(other))
+    n_of, kinds_of = np.bincount(shape, [count[w] for w in other], maxent.SHAPES), np.bincount(shape, minlength=maxent.SHAPES)
+    want = sorted((i, len(x) + 1, brute_score(model, symbols, [*x, None], count, n_of, kinds_of)) for x, (i, _) in zip(text, data, strict=True))
+    have = sorted(got[["doc_id", "n_tokens", "score"]].values.tolist())
+    assert [r[:2] for r in have] == [list(r[:2]) for r in want]
+    assert np.allclose([r[2] for r in have], [r[2] for r in want], atol=2e-3)
+    again = maxent.score(df.repartition(11, "text"), learn, known=known).toPandas()
+    assert np.allclose(sorted(again.score), sorted(got.score), atol=2e-3) and np.allclose(sorted(again.base_score), sorted(got.base_score))
+
+
+def test_keys_that_share_64_bits_are_told_apart():
+    keys = np.array([[5, 1], [5, 2], [6, 1], [5, 3]], np.uint64)
+    table = maxent.Table(keys[:3], np.array([10, 20, 30]))
+    assert table(keys).tolist() == [10, 20, 30, -1] and maxent.Table(keys[:0], np.zeros(0, np.int64))(keys).tolist() == [-1] * 4
+
+
+def test_sums_of_many_partitions(spark):
+    def f(batches):
+        out = np.zeros(20_000)
+        for b in batches:
+            np.add.at(out, b.column("id").to_numpy() * 37 % 20_000, 1.0)
+        return out
+
+    want = np.zeros(20_000)
+    np.add.at(want, np.arange(500) * 37 % 20_000, 1.0)
+    assert (summed(spark.range(500, numPartitions=23), f, fan=4) == want).all()
+    assert (summed(spark.range(0), f) == 0).all()
+
+
 def test_language_model_without_training_texts(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     got = maxent.score(df, F.lit(False)).collect()[0]
