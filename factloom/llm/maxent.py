@@ -218,6 +218,24 @@ def other_words(counts: DataFrame, v: Vocabulary) -> DataFrame:
     return counts.mapInArrow(tidy(run), "a long, b long, shape long, n long")
 
 
+def most_frequent(others: DataFrame, known: int) -> tuple[Table, int]:
+    """Counts of the most frequent of these words, `known` at most, and the most that any other word can have.
+
+    A histogram of counts gives the least count that is let in, so that no task sorts words or gets all of them.
+    """
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(1024 + 64 * F.log2(F.col("n") / 1024))).cast("long")
+    bars = sorted(((r.step, r["count"], r.most) for r in others.groupBy(step.alias("step")).agg(F.count("*").alias("count"), F.max("n").alias("most")).collect()), reverse=True)
+    total, least, most = 0, 1 << 60, 0
+    for at, count, high in bars:
+        total += count
+        if total > known:
+            most = high
+            break
+        least = at
+    got = others.filter(step >= least).select("a", "b", "n").toArrow()
+    return Table(np.stack([got.column(c).to_numpy().view(np.uint64) for c in "ab"], 1), got.column("n").to_numpy()), most
+
+
 def shape_counts(others: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The words of each shape, counted with and without their repeats."""
 
@@ -340,7 +358,7 @@ def _expected(model: Model, key: np.ndarray, n: np.ndarray, seen: bool) -> list[
             mine = (where >= a) & (where < z)
             mass = np.bincount((where[mine] - a) * MEMBERS + model.member[sym[mine]], n[mine], minlength=(z - a) * MEMBERS).reshape(-1, MEMBERS)
         else:
-            mass = np.exp(model.member_logs(own[a:z], c[a:z] // s, c[a:z] % s)) * total[a:z, None]
+            mass = np.exp(model.member_logs(own[a:z], c[a:z] // s, c[a:z] % s)) * total[a:z, None].astype(np.float32)
         _scatter(out[2], own[a:z], mass)
         for f in model.inner(own[a:z], c[a:z] // s, c[a:z] % s):
             _scatter(out[1], f, mass)
@@ -454,12 +472,11 @@ def score(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
     counts = cut(word_counts(learned))
     model, symbols = train(learned, words_=counts)
     v = model.vocabulary
-    others = other_words(counts, v)
+    others = cut(other_words(counts, v))
     n_of, kinds_of = shape_counts(others)
     train_tokens, types = int(symbols.sum()), int((symbols[: v.frequent] > 0).sum() + kinds_of.sum())
     base_total, shape_total, log_count = np.log10(train_tokens + types + 1.0), np.log10(n_of + kinds_of + 1.0), np.log10(symbols + 1.0)
-    got = others.orderBy(F.desc("n"), "a", "b").limit(known).select("a", "b", "n").toArrow()
-    held_by_all = Table(np.stack([got.column(c).to_numpy().view(np.uint64) for c in "ab"], 1), got.column("n").to_numpy())
+    held_by_all, least = most_frequent(others, known)
     every = len(held_by_all.n) >= kinds_of.sum()  # then a word that isn't there doesn't occur at all
 
     def own_rows(b: pa.RecordBatch, col: pa.Array) -> tuple[pa.Table, Tokens, np.ndarray, np.ndarray]:
@@ -487,7 +504,6 @@ def score(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "
 
         return _named(rows.mapInArrow(tidy(finished), SCORED), docs, id_col, train_tokens)
 
-    least = int(held_by_all.n.min()) if len(held_by_all.n) else train_tokens
     shards, copies = _sizes(rows, others, least)
 
     def emit(batches):
