@@ -1,7 +1,7 @@
 """Contiguous shards of nearly equal bytes, cut from global prefix sums.
 
-Rows are ordered by id once (only id, size and checksum travel, never the text), and that order is kept in the shared
-folder, so that its partitions stay the same for the three light passes that follow: bytes of each partition, rows of
+Rows are ordered once by a digest of the text and by id (only these, size and checksum travel, never the text), so that equal
+texts lie side by side, in one shard but for groups on a cut.  That order is kept in the shared folder, so that its partitions stay the same for the three light passes that follow: bytes of each partition, rows of
 each shard in each partition, and the assignment.  The driver sees one line for each partition and shard, never rows.
 """
 
@@ -44,17 +44,18 @@ def _walk(batches, before: dict[int, int], total: int, n: int):
 
 
 def shard_by_bytes(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Assigns each row of df to one of n_shards contiguous ranges of the order by id.
+    """Assigns each row of df to one of n_shards contiguous ranges of the order by text digest and id.
 
     Returns id, size (UTF-8 bytes of the text, 0 for null, plus 16), text_crc32 (of '' for null), law ('bytes'), shard,
     slot (from 0 without gaps in each shard) and grown_shard (null: this law doesn't say where rows go if shards are
-    added).  Shards differ from an equal share by less than the two rows at their ends.  Null ids come first; rows that
-    share an id are ordered by checksum, size and place in the input, so that one id with very many rows is dealt over
-    partitions and shards as any other rows are.  An empty table gives an empty result; other columns of df are ignored.
+    added).  Shards differ from an equal share by less than the two rows at their ends.  Rows with equal texts are neighbours:
+    they share a shard, unless one of the n_shards - 1 cuts falls among them, as it must where they are more than a shard
+    holds.  Among them rows go by id (null first), then by place in the input, so that a text or an id with very many rows is
+    dealt over partitions and shards as any other rows are.  An empty table gives an empty result; other columns of df are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("at"))
-    rows = cut(rows.orderBy(F.col("id").asc_nulls_first(), "text_crc32", "size", "at").drop("at"))
+    rows = df.select(F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("at"))
+    rows = cut(rows.orderBy("digest", "text_crc32", "size", F.col("id").asc_nulls_first(), "at").drop("digest", "at"))
     parts = sorted((r.part, r.bytes, r.rows) for r in rows.mapInArrow(_partition_totals, "part long, bytes long, rows long").collect())
     before, total = {}, 0
     for part, size, _ in parts:
@@ -88,4 +89,5 @@ def shard_by_bytes(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_i
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes; nulls, ties and repeats as in `shard_by_bytes`."""
     return shard_by_bytes(table(spark, sf_dir, "documents"))

@@ -30,11 +30,25 @@ def test_shards_are_contiguous_and_near_equal(spark):
     for shard, part in got.groupby("shard"):
         assert abs(part["size"].sum() - share) < 2 * got["size"].max()
         assert sorted(part.slot) == list(range(len(part)))
-    order = got.sort_values(["shard", "slot"]).doc_id.tolist()
-    assert math.isnan(order[0]) and order[1:] == sorted(order[1:])
     assert got.grown_shard.isna().all() and set(got.law) == {"bytes"}
 
 
+def test_shards_equal_a_plain_walk_and_keep_equal_texts_together(spark):
+    rows = [(i, f"text {i % 40} " + "x" * (i % 40 * 30), None) for i in range(300)] + [(None, None, None), (300, "", None), (301, "long " * 20_000, None)]
+    got = sharding.shard_by_bytes(docs(spark, rows).repartition(6), 9).toPandas()
+    text = {i: t or "" for i, t, _ in rows if i is not None}
+    got["text"] = ["" if math.isnan(i) else text[int(i)] for i in got.doc_id]
+    order = got.sort_values(["shard", "slot"])
+    runs = 1 + (order.text.to_numpy()[1:] != order.text.to_numpy()[:-1]).sum()
+    assert runs == order.text.nunique()  # equal texts are neighbours, and go by id
+    for _, part in order.groupby("text"):
+        assert part.doc_id.dropna().is_monotonic_increasing and part["size"].nunique() == 1
+    total, at = int(order["size"].sum()), 0
+    for size, shard in zip(order["size"], order.shard, strict=True):  # the shard in whose share the row's middle lies
+        assert shard == min((2 * at + size) * 9 // (2 * total), 8)
+        at += size
+
+
 def test_one_id_with_most_rows_is_dealt_over_shards(spark):
     got = sharding.shard_by_bytes(docs(spark, [(7, "same", None)] * 300 + [(i, "x", None) for i in range(30)]), 10).toPandas()
     assert got.groupby("shard")["size"].sum().std() < 40
