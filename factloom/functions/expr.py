@@ -101,12 +101,6 @@ def same_object(a_id: Column, a_literal: Column, b_id: Column, b_literal: Column
     return F.coalesce(a_id == b_id, a_literal == b_literal, F.lit(False))
 
 
-def duplicate_object(a_id: Column, a_literal: Column, b_id: Column, b_literal: Column, threshold: float = 0.85) -> Column:
-    """Entities must be equal; literals must be alike by `dice`."""
-    some = a_id.isNotNull() | b_id.isNotNull()
-    return F.when(some, F.coalesce(a_id == b_id, F.lit(False))).otherwise(F.coalesce(dice(tokens(a_literal), tokens(b_literal)) >= threshold, F.lit(False)))
-
-
 # --- closeness ---------------------------------------------------------------------------------------------------
 
 
@@ -210,6 +204,11 @@ def part_name(file: Column) -> Column:
     return F.regexp_replace(file, r"\.opus$", ".ogg")
 
 
+def backoff(attempt: Column, base: float, most: float, jitter: Column) -> Column:
+    """Seconds to wait before an attempt (from 0): base doubled each time, `most` at most, by 0.8 to 1.2 as jitter goes from 0 to 1."""
+    return F.least(F.lit(float(base)) * F.pow(F.lit(2.0), F.least(attempt, F.lit(60))), F.lit(float(most))) * (0.8 + 0.4 * jitter)
+
+
 def repair_mojibake(s: Column) -> Column:
     """UTF-8 read as Latin-1 is read anew, if all characters are bytes and these are valid UTF-8."""
     raw = F.encode(F.when(~s.rlike(r"[^\x{00}-\x{FF}]"), s), "ISO-8859-1")

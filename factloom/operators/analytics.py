@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +41,31 @@ def exact_median(c: Column) -> Column:
     return F.coalesce(F.median(c), F.lit(NO_REPLY))
 
 
-def upper_median(c: Column) -> Column:
-    """Element n div 2 of the sorted values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+def upper_median(df: DataFrame, c: str, most: int = 100_000) -> float | None:
+    """Element n div 2 of the sorted values that aren't null; None without values.
+
+    The range in which it lies is narrowed by approximate percentiles and exact counts until `most` values or a single one
+    are left, so no task holds them all.
+    """
+    rows = df.select(F.col(c).alias("x")).filter("x IS NOT NULL")
+    n = rows.count()
+    if not n:
+        return None
+    at = n // 2
+    while True:
+        edge = F.percentile_approx("x", [max(0.0, at / n - 0.01), min(1.0, at / n + 0.01)], 1000)
+        low, high = rows.agg(edge.alias("e")).first().e
+        got = rows.agg(F.count_if(F.col("x") < low).alias("below"), F.count_if(F.col("x") <= high).alias("upto")).first()
+        if got.below > at:  # the approximation missed it
+            rows, n = rows.filter(F.col("x") < low), got.below
+        elif got.upto <= at:
+            rows, n, at = rows.filter(F.col("x") > high), n - got.upto, at - got.upto
+        else:
+            rows, n, at = rows.filter(F.col("x").between(low, high)), got.upto - got.below, at - got.below
+        if low == high and got.below <= at + got.below < got.upto:
+            return low
+        if n <= most:
+            return rows.agg(F.element_at(F.array_sort(F.collect_list("x")), at + 1)).first()[0]
 
 
 def observed_times(messages: DataFrame, as_of: str, *keys: str) -> DataFrame:
@@ -129,21 +151,48 @@ def repeated_names(entities: DataFrame, show: int = 5) -> DataFrame:
     return g.filter("n > 1")
 
 
-def idle_points(messages: DataFrame, idle_seconds: int = 35 * 60, longest_seconds: int = 20 * 3600, until: str | None = None) -> DataFrame:
-    """When a consolidation would run: once in each stretch of idleness that is long enough, and after the longest interval
-    without a run.  A run takes no time; checks are continuous.  One line for each run: at (microseconds), reason.
+RUNS = "at long, reason string"
+
+
+def idle_points(messages: DataFrame, idle_seconds: int = 35 * 60, longest_seconds: int = 20 * 3600, until: str | None = None, start: str | None = None) -> DataFrame:
+    """When a consolidation would run: at (seconds since 1970) and reason.
+
+    It runs once in a stretch without messages, when that has lasted idle_seconds, and whenever longest_seconds have passed
+    since the last run or the start (the first message, if not given).  Any run within a stretch uses up its idle run.  A run
+    takes no time and checks are continuous; before `until`, else the last message, nothing is cut off.
 
-    Activity of all conversations is one series, so it is thinned first: only ends of stretches matter for the idle rule.
+    Activity of all conversations is one series.  Spells of idle_seconds keep their first and last second, which is all that the
+    rule asks for; so one task gets two rows for each spell of the whole span, however many messages there are.
     """
-    w = Window.orderBy("second")
-    seconds = messages.select(F.floor(X.micros(F.col("timestamp")) / 1_000_000).cast("long").alias("second")).distinct()
-    # a series over all partitions: each minute keeps its first and last second, which bounds what meets in one task
-    minutes = seconds.groupBy(F.floor(F.col("second") / 60).alias("m")).agg(F.min("second").alias("a"), F.max("second").alias("b"))
-    ends = minutes.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("second"))
-    ends = ends.withColumn("next", F.coalesce(F.lead("second").over(w), F.floor(X.as_of_micros(until) / 1_000_000) if until else F.lit(None)))
-    idle = ends.filter(F.col("next") - F.col("second") >= idle_seconds).select((F.col("second") + idle_seconds).alias("at"))
-    end = F.floor(X.as_of_micros(until) / 1_000_000) if until else F.lit(None)
-    runs = idle.withColumn("next", F.coalesce(F.lead("at").over(Window.orderBy("at")), end))
-    late = F.sequence(F.lit(1), F.floor((F.col("next") - F.col("at") - 1) / longest_seconds).cast("int"))
-    more = runs.filter((F.col("next") - F.col("at")) > longest_seconds).select("at", F.explode(late).alias("k")).select((F.col("at") + F.col("k") * longest_seconds).alias("at"))
-    return idle.select("at", F.lit("idle_threshold").alias("reason")).unionByName(more.select("at", F.lit("max_interval_fallback").alias("reason")))
+    second = F.floor(X.micros(F.col("timestamp")) / 1_000_000).cast("long")
+    spells = messages.filter(F.col("timestamp").isNotNull()).groupBy(F.floor(second / idle_seconds).alias("spell")).agg(F.min(second).alias("a"), F.max(second).alias("b"))
+    if start is not None or until is not None:
+        at = [F.floor(X.as_of_micros(t) / 1_000_000).cast("long") if t else F.lit(None).cast("long") for t in (start, until)]
+        spells = spells.withColumns({"start": at[0], "until": at[1]})
+    else:
+        spells = spells.withColumns({"start": F.lit(None).cast("long"), "until": F.lit(None).cast("long")})
+
+    def run(spells: pd.DataFrame) -> pd.DataFrame:
+        spells = spells.sort_values("spell")
+        begin, end = ((None if pd.isna(v) else int(v)) for v in (spells.start.iloc[0], spells.until.iloc[0]))
+        begin = int(spells.a.iloc[0]) if begin is None else begin
+        end = int(spells.b.iloc[-1]) if end is None else end
+        quiet = [(int(b), int(a)) for b, a in zip([begin, *spells.b], [*spells.a, end], strict=True)]  # from an activity to the next
+        last, out = begin, []
+
+        def fallbacks(before: int) -> None:
+            nonlocal last
+            while last + longest_seconds < before:
+                last += longest_seconds
+                out.append((last, "max_interval_fallback"))
+
+        for a, b in quiet:
+            if b - a >= idle_seconds and b <= end:
+                fallbacks(a + idle_seconds)
+                if last <= a or (last == begin and not out):
+                    last = a + idle_seconds
+                    out.append((last, "idle_threshold"))
+        fallbacks(end)
+        return pd.DataFrame(out, columns=["at", "reason"])
+
+    return spells.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, RUNS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import expr as X
 from factloom.operators.mutations import merge_duplicates
 from factloom.operators.retrieval import live
+from factloom.store import keep
 
 WITHIN_SECONDS, THRESHOLD = 24 * 3600, 0.85
 
@@ -16,42 +17,54 @@ def mergeable(edges: DataFrame) -> DataFrame:
     return edges.filter(live() & ~F.col("decay_locked") & ~F.col("is_correction"))
 
 
+def _rare_first(rows: DataFrame) -> DataFrame:
+    """rows with `w` (distinct words) as array `keys`: the words with which a row has to meet all that are alike.
+
+    Two sets with a Dice of t share at least t / (2 - t) of the words of either, so one of the first words of each, in one order
+    for all, is common to both.  The rarest come first.  Sets without words meet by the empty word.
+    """
+    words = rows.select("id", F.explode("w").alias("word"))
+    ranked = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
+    order = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("ranked"))
+    return rows.join(order, "id", "left").withColumn("ranked", F.coalesce("ranked", F.array(F.lit(""))))
+
+
 def duplicate_pairs(edges: DataFrame, within: int = WITHIN_SECONDS, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b), a before b, of duplicates.
 
-    Facts meet by subject, predicate and time bucket (a fact lies in its own and the next bucket), so that a subject with
-    very many facts is compared bucket by bucket.
+    Facts meet by subject, predicate, time bucket (a fact lies in its own and the next ones) and object: the entity, or the rarest
+    words of the literal.  A subject with very many different facts of a day is never compared all with all.
     """
     width = within * 1_000_000
-    rows = mergeable(edges).select("id", "subject_id", "predicate", "object_id", "object_literal", X.micros(F.col("first_seen")).alias("us"), X.tokens(F.col("object_literal")).alias("w"))
+    rows = mergeable(edges).select("id", "subject_id", "predicate", "object_id", X.micros(F.col("first_seen")).alias("us"), X.tokens(F.col("object_literal")).alias("w"))
     bucket = F.floor(F.col("us") / width) if width else F.col("us")
-    a = rows.withColumn("bucket", F.explode(F.array(bucket, bucket + 1, bucket - 1)))
-    b = rows.withColumn("bucket", bucket)
-    p, q = a.alias("p"), b.alias("q")
     near = (F.col("p.id") < F.col("q.id")) & (F.abs(F.col("p.us") - F.col("q.us")) <= width)
-    some = F.col("p.object_id").isNotNull() | F.col("q.object_id").isNotNull()
-    alike = F.when(some, F.coalesce(F.col("p.object_id") == F.col("q.object_id"), F.lit(False))).otherwise(X.dice(F.col("p.w"), F.col("q.w")) >= threshold)
-    on = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in ("subject_id", "predicate", "bucket")]
-    return p.join(q, [*on, near, alike]).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
 
+    def meet(one: DataFrame, *keys: str) -> DataFrame:
+        p = one.withColumn("bucket", F.explode(F.array(bucket, bucket + 1, bucket - 1))).alias("p")
+        q = one.withColumn("bucket", bucket).alias("q")
+        return p.join(q, [*[F.col(f"p.{k}") == F.col(f"q.{k}") for k in ("subject_id", "predicate", "bucket", *keys)], near])
 
-def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    entities = meet(rows.filter("object_id IS NOT NULL").drop("w"), "object_id").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+    literals = _rare_first(rows.filter("object_id IS NULL AND w IS NOT NULL").drop("object_id"))
+    some = F.size("w") - F.ceil(F.size("w") * threshold / (2 - threshold) - 1e-9) + 1
+    keyed = literals.withColumn("key", F.explode(F.slice("ranked", F.lit(1), F.greatest(some, F.lit(1)).cast("int")))).drop("ranked")
+    alike = X.dice(F.col("p.w"), F.col("q.w")) >= threshold
+    return entities.union(meet(keyed, "key").filter(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
+
+
+def clusters(pairs: DataFrame) -> DataFrame:
     """id and cluster (the smallest id that pairs lead to).  Labels spread along pairs and are followed to their own labels,
     until none changes."""
-    spark = pairs.sparkSession
-    checkpoints = bool(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None))
-    keep = (lambda df: df.checkpoint()) if checkpoints else (lambda df: df.persist())
     both = keep(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct())
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("cluster")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
         spread = labels.join(near, "id").select("id", F.least("cluster", "c").alias("cluster"))
-        jumped = spread.join(labels.toDF("cluster", "up"), "cluster", "left").select("id", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster"))
-        new = keep(jumped)
+        new = keep(spread.join(labels.toDF("cluster", "up"), "cluster", "left").select("id", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster")))
         if new.join(labels.toDF("id", "old"), "id").filter("cluster <> old").isEmpty():
             return new
         labels = new
-    raise RuntimeError("clusters did not settle")
 
 
 def cluster_members(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -66,5 +79,3 @@ def dedup_pass(edges: DataFrame, within: int = WITHIN_SECONDS, threshold: float
     out, bad = merge_duplicates(edges, members)
     merged = members.join(bad, "cluster", "left_anti").filter("rank > 1").agg(F.count("*").alias("merged"))
     return out, bad, merged
-
-

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import time
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import expr as X
+from factloom.store import keep
 
 THRESHOLD = -0.7
 #: Bytes of a response at most; of a transcription.
@@ -63,38 +65,65 @@ def extract(windows: DataFrame, call: Callable[[str], str], prompt: str = "promp
 TRANSCRIPT = "text string, language string, avg_logprob double, error string"
 
 
-def transcriber(call: Callable[[bytes], dict], attempts: int = 2) -> Callable[[Column], Column]:
-    """A column function from audio to (text, language, avg_logprob, error); a failure is tried again, then kept as error."""
+class Upstream(Exception):
+    """A model's answer with a status that isn't a success."""
+
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
+
+class Cancelled(Exception):
+    """Nobody waits for the answer any more."""
+
+
+def transcriber(call: Callable[..., dict], wait: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Callable[..., Column]:
+    """A column function from audio (and maybe a language hint) to (text, language, avg_logprob, error).
+
+    A server that restarts answers 502: that is tried once more after `wait` seconds.  Any other failure is kept as error at
+    once; a cancelled call gives the error `cancelled`.
+    """
+
+    def one(audio: bytes, language: str | None) -> dict:
+        for again in (True, False):
+            try:
+                got = call(audio, language) if language else call(audio)
+                logs = [s["avg_logprob"] for s in got.get("segments", [])]
+                return {"text": got["text"], "language": got.get("language"), "avg_logprob": sum(logs) / len(logs) if logs else 0.0, "error": None}
+            except Cancelled:
+                return {"error": "cancelled"}
+            except Upstream as e:
+                if e.status != 502 or not again:
+                    return {"error": f"status {e.status}"}
+                sleep(wait)
+            except Exception as e:  # noqa: BLE001 - any failure of the model is data here
+                return {"error": type(e).__name__}
+        raise AssertionError
 
     @F.pandas_udf(TRANSCRIPT)
-    def run(audio: pd.Series) -> pd.DataFrame:
-        out = []
-        for a in audio:
-            row = {"text": None, "language": None, "avg_logprob": None, "error": "no audio" if a is None else None}
-            for k in range(attempts if a is not None else 0):
-                try:
-                    got = call(bytes(a))
-                    logs = [s["avg_logprob"] for s in got.get("segments", [])]
-                    row = {"text": got["text"], "language": got.get("language"), "avg_logprob": sum(logs) / len(logs) if logs else 0.0, "error": None}
-                    break
-                except Exception as e:  # noqa: BLE001 - any failure of the model is data here
-                    row["error"] = f"{type(e).__name__} in attempt {k + 1}"
-            out.append(row)
-        return pd.DataFrame(out, columns=["text", "language", "avg_logprob", "error"])
-
-    return run.asNondeterministic()
+    def run(audio: pd.Series, language: pd.Series) -> pd.DataFrame:
+        rows = [{"error": "no audio"} if a is None else one(bytes(a), hint) for a, hint in zip(audio, language, strict=True)]
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], index=audio.index, dtype=float if c == "avg_logprob" else object) for c in ("text", "language", "avg_logprob", "error")})
+
+    udf = run.asNondeterministic()
+    return lambda audio, language=None: udf(audio, F.lit(None).cast("string") if language is None else language)
+
+
+def is_arabic(language: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(language)).isin("ar", "arabic"), F.lit(False))
 
 
 def escalate(language: Column, avg_logprob: Column, threshold: float = THRESHOLD) -> Column:
     """Arabic always needs the larger model, other languages below the threshold."""
-    return F.coalesce(F.lower(F.trim(language)).isin("ar", "arabic"), F.lit(False)) | F.coalesce(avg_logprob < threshold, F.lit(False))
+    return is_arabic(language) | F.coalesce(avg_logprob < threshold, F.lit(False))
 
 
-def transcribe_with_policy(rows: DataFrame, local: Callable[[Column], Column], larger: Callable[[Column], Column], audio: str = "content", threshold: float = THRESHOLD) -> DataFrame:
-    """The local model's transcript; where it failed or may be bad, the larger model's, unless that fails too."""
+def transcribe_with_policy(rows: DataFrame, local: Callable[..., Column], larger: Callable[..., Column], audio: str = "content", threshold: float = THRESHOLD) -> DataFrame:
+    """The local model's transcript; where it failed or may be bad, the larger model's, unless that fails too.  The larger model
+    is told of Arabic.  A cancelled call isn't tried elsewhere: its message stays unprocessed for a later recovery."""
     first = rows.withColumn("__a", local(F.col(audio)))
-    need = F.col("__a.error").isNotNull() | escalate(F.col("__a.language"), F.col("__a.avg_logprob"), threshold)
-    second = first.withColumn("__need", need).withColumn("__b", larger(F.when(F.col("__need"), F.col(audio))))
+    need = (F.col("__a.error").isNotNull() & (F.col("__a.error") != "cancelled")) | escalate(F.col("__a.language"), F.col("__a.avg_logprob"), threshold)
+    second = first.withColumn("__need", need).withColumn("__b", larger(F.when(F.col("__need"), F.col(audio)), F.when(is_arabic(F.col("__a.language")), F.lit("ar"))))
     use = F.col("__need") & F.col("__b.error").isNull()
     return second.withColumn("transcription", F.when(use, F.col("__b")).otherwise(F.col("__a"))).withColumn("escalated", use).drop("__a", "__b", "__need")
 
@@ -133,11 +162,31 @@ def summary(status: int, kind: str, body: bytes) -> str:
     return f"status={status} type={kind} length={len(body)} sha256={hashlib.sha256(body).hexdigest()[:8]}"
 
 
-def embed_missing(messages: DataFrame, embeddings: DataFrame, embed: Callable[[Column], Column] | None, rebuild: bool = False) -> DataFrame:
-    """message_id and vector of messages with text that have none (all, if rebuild)."""
+def careful_embedder(call: Callable[[list[str]], list[list[float]]], prefix: str = "") -> Callable[[Column], Column]:
+    """As `embedder`, but one text at a time, and a text for which the model fails gives null."""
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return call([prefix + (t or "")])[0]
+            except Exception:  # noqa: BLE001 - any failure of the model is data here
+                return None
+
+        return texts.map(one)
+
+    return embed.asNondeterministic()
+
+
+def embed_missing(messages: DataFrame, embeddings: DataFrame, embed: Callable[[Column], Column] | None, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
+    """message_id and vector of messages with text that have none (all, if rebuild), and what happened: one row with embedded,
+    already_embedded, skipped_no_text, failed.  Messages for which the embedder gives null failed; the others go on."""
     if embed is None:
         raise ValueError("an embedder is needed")
-    rows = messages.filter(X.usable_text().isNotNull())
-    if not rebuild:
-        rows = rows.join(embeddings.select(F.col("message_id").alias("id")), "id", "left_anti")
-    return rows.select(F.col("id").alias("message_id"), embed(X.usable_text()).alias("vector"))
+    have = embeddings.select(F.col("message_id").alias("id"), F.lit(not rebuild).alias("__have")).distinct()
+    rows = messages.dropDuplicates(["id"]).join(have, "id", "left").withColumns({"__have": F.coalesce("__have", F.lit(False)), "__text": X.usable_text()})
+    todo = ~F.col("__have") & F.col("__text").isNotNull()
+    tried = keep(rows.select(F.col("id").alias("message_id"), "__have", "__text", F.when(todo, embed(F.when(todo, F.col("__text")))).alias("vector")))
+    some = F.col("vector").isNotNull()
+    counts = tried.agg(F.count_if(some).alias("embedded"), F.count_if(F.col("__have")).alias("already_embedded"), F.count_if(~F.col("__have") & F.col("__text").isNull()).alias("skipped_no_text"), F.count_if(~F.col("__have") & F.col("__text").isNotNull() & ~some).alias("failed"))
+    return tried.filter(some).select("message_id", "vector"), counts

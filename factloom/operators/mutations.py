@@ -3,8 +3,6 @@ the others come back as conflicts."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,10 +131,34 @@ def resolve_senders(senders: DataFrame, entities: DataFrame, self_ids: DataFrame
     return rows.withColumn("name", F.when(F.col("own"), me).when(clash, F.raise_error(F.lit("a sender has the name of the self entity")).cast("string")).otherwise(F.col("sender"))).drop("norm", "own")
 
 
-def bootstrap_problems(entities: DataFrame, name: str) -> list[str]:
-    """Why a self entity of this name can't be made: all reasons at once."""
-    row = entities.agg(F.count_if(F.col("is_self")).alias("selves"), F.count_if((F.lower("canonical_name") == name.lower()) & ~F.col("is_self")).alias("named")).first()
-    return ["there is more than one self entity"] * (row.selves > 1) + ["another entity has this name"] * (row.named > 0) + ["the name is empty"] * (not name.strip())
+def bootstrap_problems(entities: DataFrame, name: str, others: tuple[str, ...] = ()) -> list[str]:
+    """Why a self entity of this name can't be made: all reasons at once.  others: aliases and identities, which no one else may
+    bear either."""
+    taken = [n.strip().lower() for n in (name, *others) if n.strip()]
+    lower = F.lower("canonical_name")
+    row = entities.agg(
+        F.count_if(F.col("is_self")).alias("selves"),
+        F.count_if(F.col("is_self") & (lower != name.strip().lower())).alias("renamed"),
+        F.array_sort(F.collect_set(F.when(~F.col("is_self") & lower.isin(*taken), lower))).alias("named"),
+    ).first()
+    return (
+        ["there is more than one self entity"] * (row.selves > 1)
+        + ["the self entity has another name"] * (row.renamed > 0)
+        + [f"another entity has this name: {n}" for n in row.named]
+        + ["the name is empty"] * (not name.strip())
+    )
+
+
+def bootstrap_self(entities: DataFrame, name: str, others: tuple[str, ...], as_of: str) -> DataFrame:
+    """The entities with exactly one self entity of this name, made if there is none.  Nothing is changed if there are problems:
+    all of them are raised at once.  Ids are strings; the same name gives the same id."""
+    if problems := bootstrap_problems(entities, name, others):
+        raise ValueError("; ".join(problems))
+    if not entities.filter("is_self").isEmpty():
+        return entities
+    given = {"id": X.uuid5(F.lit(f"entity:{name.strip().lower()}")), "type": F.lit("person"), "canonical_name": F.lit(name.strip()), "is_self": F.lit(True), "created_at": F.lit(as_of), "updated_at": F.lit(as_of)}
+    one = entities.sparkSession.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in entities.schema])
+    return entities.unionByName(one)
 
 
 def replace_by_key(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -170,7 +192,3 @@ def stale_claims(claims: DataFrame, edges: DataFrame, messages: DataFrame, as_of
     hits = c.join(facts, ["subject_id", "predicate"]).filter(X.same_object(F.col("object_id"), F.col("object_literal"), F.col("f_id"), F.col("f_lit")))
     judged = hits.groupBy("claim_id").agg(F.bool_or("alive").alias("alive"), F.bool_or(F.col("old") & (F.col("us") <= F.col("until"))).alias("late"))
     return claims.join(judged, "claim_id", "left").withColumn("stale", F.coalesce(~F.col("alive") & F.col("late"), F.lit(False))).drop("alive", "late")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

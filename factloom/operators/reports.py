@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom import schema as S
@@ -39,7 +40,7 @@ def zero_yield(windows: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, c: str = "confidence") -> DataFrame:
-    return df.agg(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), upper_median(F.col(c)).alias("median"))
+    return df.agg(F.count(c).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), F.lit(upper_median(df, c)).cast("double").alias("median"))
 
 
 def outliers(df: DataFrame, c: str = "confidence", n: int = 10) -> DataFrame:
@@ -48,12 +49,15 @@ def outliers(df: DataFrame, c: str = "confidence", n: int = 10) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, strata: str, n: int, seed: int) -> DataFrame:
-    """n rows in an order that the seed gives; with more than n rows, as many of each stratum as it takes, cut to n.  The
-    same seed gives the same rows."""
+    """All rows, if there are no more than n; else ceil(n / strata) rows of each stratum (all, if it has fewer), cut to n.  The
+    seed and the id give the order, so the same seed gives the same rows."""
     order = F.xxhash64(F.lit(seed), F.col("id"))
-    w = Window.partitionBy(strata).orderBy(order, "id")
-    ranked = df.withColumn("__r", F.row_number().over(w))
-    return ranked.orderBy("__r", order, "id").limit(n).drop("__r")
+    sizes = df.agg(F.count("*").alias("rows"), F.count_distinct(strata).alias("strata"), F.max(F.col(strata).isNull().cast("int")).alias("none")).first()
+    if sizes.rows <= n:
+        return df
+    each = -(-n // max(1, sizes.strata + (sizes.none or 0)))
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(strata).orderBy(order, "id")))
+    return ranked.filter(F.col("__r") <= each).orderBy(order, "id").limit(n).drop("__r")
 
 
 def drop_counts(events: DataFrame, reason: str = "drop_reason") -> DataFrame:
@@ -78,8 +82,63 @@ def merged_runs(runs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.coalesce(100.0 * F.try_divide(part, F.nullif(whole, F.lit(0))), F.lit(0.0))
+def read_usage(spark: SparkSession, path: str, agent: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Usage records (Parquet) of an agent and a time range, end excluded, with the names that usage_rollup takes."""
+    rows = spark.read.parquet(path).withColumnsRenamed({"timestamp_utc": "ts", "estimated_cost_usd": "cost"})
+    for c in ([F.col("agent") == agent] if agent else []) + ([F.col("ts") >= F.lit(start)] if start else []) + ([F.col("ts") < F.lit(end)] if end else []):
+        rows = rows.filter(c)
+    return rows
+
+
+def import_totals(results: DataFrame) -> DataFrame:
+    """results: conversation_id, messages, windows, triples, error (null: none).  Totals over conversations; one that failed counts
+    as a failure and with what it had done."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("messages", "windows", "triples")]
+    return results.agg(F.count_if(F.col("error").isNull()).alias("conversations"), *sums, F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def dry_run_report(windows: DataFrame, outcomes: DataFrame, triples: DataFrame, rejected: DataFrame, usage: DataFrame, months: float = 1.0) -> dict:
+    """What a trial run shows: pipeline counts, cost by model and path, and where failures gather.  All of it is small.
+
+    windows: window_id, is_candidate; outcomes: window_id, action; triples: id, confidence; rejected: reject_reason; usage: as
+    usage_rollup takes it.
+    """
+
+    def rows(df: DataFrame) -> list[dict]:
+        return [r.asDict() for r in df.collect()]
+
+    rollup = usage_rollup(usage)
+    return {
+        "windows": rows(candidate_rate(windows))[0],
+        "actions": rows(action_counts(outcomes))[0],
+        "confidence": rows(distribution(triples))[0],
+        "outliers": rows(outliers(triples).select("id", "confidence", "side")),
+        "zero_yield_windows": zero_yield(windows, outcomes).count(),
+        "rejected": {r["reject_reason"]: r["n"] for r in rows(tally(rejected, "reject_reason"))},
+        "usage": rows(rollup.orderBy("model", "path")),
+        "usage_by_model": rows(usage_totals(rollup, months).orderBy("model")),
+    }
+
+
+def as_json(report: dict) -> str:
+    return json.dumps(report, indent=2, sort_keys=True, default=str)
+
+
+def as_markdown(report: dict) -> str:
+    """The report as headed tables, a line a value; costs without a known price are marked as not measured."""
+    out = ["# Trial run", ""]
+    for name, value in report.items():
+        out += [f"## {name.replace('_', ' ').capitalize()}", ""]
+        if isinstance(value, dict):
+            out += [f"- {k}: {v}" for k, v in value.items()]
+        elif isinstance(value, list):
+            keys = list(value[0]) if value else []
+            out += ["| " + " | ".join(keys) + " |", "|" + " --- |" * len(keys)] if keys else ["none"]
+            out += ["| " + " | ".join("not measured" if k == "cost" and r.get("priced") == 0 else str(r[k]) for k in keys) + " |" for r in value]
+        else:
+            out.append(str(value))
+        out.append("")
+    return "\n".join(out)
 
 
 def write_report(text: str, path: str) -> None:

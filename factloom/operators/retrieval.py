@@ -162,9 +162,11 @@ def relevant_context(edges: DataFrame, as_of: str, top: int = 0, f: Filters = Fi
 
 
 def keyword_matches(edges: DataFrame, entities: DataFrame, query: str) -> DataFrame:
-    """Live facts with the query in subject name, predicate or literal."""
-    names = entities.select(F.col("id").alias("subject_id"), F.col("canonical_name").alias("subject_name"))
-    return edges.filter(live()).join(names, "subject_id").filter(contains(F.col("subject_name"), query) | contains(F.col("predicate"), query) | contains(F.col("object_literal"), query))
+    """Live facts with the query in subject name, predicate or literal.  Names are searched before edges meet them."""
+    named = entities.filter(contains(F.col("canonical_name"), query)).select(F.col("id").alias("subject_id"), F.lit(True).alias("__named"))
+    rows = edges.filter(live()).join(named, "subject_id", "left")
+    hits = rows.filter(F.col("__named") | contains(F.col("predicate"), query) | contains(F.col("object_literal"), query)).drop("__named")
+    return hits.join(entities.select(F.col("id").alias("subject_id"), F.col("canonical_name").alias("subject_name")), "subject_id")
 
 
 def keyword_search(edges: DataFrame, entities: DataFrame, query: str, limit: int = 50) -> DataFrame:
@@ -173,12 +175,24 @@ def keyword_search(edges: DataFrame, entities: DataFrame, query: str, limit: int
 
 
 def semantic_search(embeddings: DataFrame, messages: DataFrame, query: list[float], k: int = 10, distinct: bool = False) -> DataFrame:
-    """The messages nearest to the query.  A message with two vectors is found twice, unless distinct."""
+    """The messages nearest to the query.  A message with two vectors is found twice, unless distinct.
+
+    The nearest vectors are cut before they meet messages; if some of these have none, more are cut until k have one.
+    """
     near = embeddings.select("message_id", (1 - X.cosine(F.col("vector"), F.array(*[F.lit(float(v)) for v in query]))).alias("distance"))
     if distinct:
         near = near.groupBy("message_id").agg(F.min("distance").alias("distance"))
-    near = near.join(messages.withColumnRenamed("id", "message_id"), "message_id")
-    return near.orderBy(F.col("distance").asc_nulls_last(), "message_id").limit(k)
+    order, wide = [F.col("distance").asc_nulls_last(), F.col("message_id")], 2 * k
+    while True:
+        top = near.orderBy(*order).limit(wide).collect()
+        ids = list({r.message_id for r in top if r.message_id is not None})
+        found = messages.filter(F.col("id").isin(*ids)) if ids else messages.limit(0)
+        known = {r.id for r in found.select("id").collect()}
+        if len(top) < wide or sum(r.message_id in known for r in top) >= k:
+            break
+        wide *= 8
+    cut = near.sparkSession.createDataFrame([r for r in top if r.message_id in known][:k], near.schema)
+    return cut.join(found.withColumnRenamed("id", "message_id"), "message_id").orderBy(*order)
 
 
 # --- provenance and contacts -----------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom.functions import expr as X
+from factloom.store import keep
 
 IMPORTANCE = 0.5
 
@@ -64,61 +65,78 @@ def _same(a_id, a_lit, b_id, b_lit) -> bool:
 
 
 def fold_key(facts: list[dict], claims: list[dict]) -> Iterator[dict]:
-    """The claims of one subject and predicate in order; each sees what those before it did."""
+    """The claims of one subject and predicate in order; each sees what those before it did.  Facts are found by their object."""
 
     def is_live(f: dict) -> bool:
         return f["superseded_by"] is None and f["source_type"] != S.USER_DELETION
 
-    by_id = {f["id"]: f for f in facts}
+    facts = sorted(facts, key=lambda f: (f["first_us"], f["id"]))
+    by_object: dict[tuple, list[dict]] = {}
+    live = {}
+
+    def objects(x: dict) -> list[tuple]:
+        return [("id", x["object_id"])] * (x["object_id"] is not None) + [("lit", x["object_literal"])] * (x["object_literal"] is not None)
+
+    def old_values(x: dict) -> list[tuple]:
+        return [("id", x["object_id"])] * (x["object_id"] is not None) + [("old", x["object_literal"].strip().lower())] * (x["object_literal"] is not None)
+
+    def add(f: dict) -> dict:
+        for k in {*objects(f), *old_values(f)}:
+            by_object.setdefault(k, []).append(f)
+        if is_live(f):
+            live[f["id"]] = f
+        return f
+
+    def same(c: dict) -> list[dict]:
+        return [f for k in objects(c) for f in by_object.get(k, []) if _same(f["object_id"], f["object_literal"], c["object_id"], c["object_literal"])]
+
+    for f in facts:
+        add(f)
 
     def make(c: dict, correction: bool) -> dict:
         weight = 1.0 if correction else S.SOURCE_WEIGHTS[c["source_type"]]
-        return {
+        first, last = (c["at_us"], c["at_us"]) if correction else (c["first_us"], c["last_us"])
+        new = {
             "id": str(uuid.uuid5(X.NAMESPACE, f"edge:{c['claim_id']}")), "subject_id": c["subject_id"], "predicate": c["predicate"], "object_id": c["object_id"], "object_literal": c["object_literal"],
             "confidence": 1.0 if correction else c["confidence"] * weight, "importance": IMPORTANCE, "source_type": S.USER_CORRECTION if correction else c["source_type"], "source_weight": weight,
-            "source_message_ids": c["source_message_ids"], "first_us": c["first_us"], "last_us": c["last_us"], "decay_locked": correction, "superseded_by": None, "is_correction": correction, "until": c["last_us"], "changed": True,
+            "source_message_ids": c["source_message_ids"], "first_us": first, "last_us": last, "decay_locked": correction, "superseded_by": None, "is_correction": correction, "until": c["last_us"], "changed": True,
         }
+        facts.append(new)
+        return add(new)
 
-    def add(f: dict) -> dict:
-        facts.append(f)
-        by_id[f["id"]] = f
-        return f
-
-    def reinforce(f: dict, c: dict) -> str:
-        f["last_us"], f["first_us"], f["changed"] = max(f["last_us"], c["last_us"]), min(f["first_us"], c["first_us"]), True
+    def reinforce(f: dict, first: int, last: int) -> str:
+        f["last_us"], f["first_us"], f["changed"] = max(f["last_us"], last), min(f["first_us"], first), True
         return "reinforced"
 
-    def old_value(f: dict, c: dict) -> bool:
-        wanted = c["replaces_object"].strip().lower()
-        literal = f["object_literal"] is not None and f["object_literal"].strip().lower() == wanted
-        return literal or (f["object_id"] is not None and f["object_id"] == c["replaces_id"])
-
     def correct(c: dict) -> str:
-        alive = [f for f in facts if is_live(f)]
-        if not alive:
+        if not live:
             return "skipped_no_correction_target"
-        for f in alive:
-            if _same(f["object_id"], f["object_literal"], c["object_id"], c["object_literal"]):
-                return reinforce(f, c)
+        for f in same(c):
+            if is_live(f):
+                return reinforce(f, c["at_us"], c["at_us"])
+        targets = live
         if c["replaces_object"]:
-            alive = [f for f in alive if old_value(f, c)]
-            if not alive:
+            wanted = [("old", c["replaces_object"].strip().lower())] + [("id", c["replaces_id"])] * (c["replaces_id"] is not None)
+            targets = {f["id"]: f for k in wanted for f in by_object.get(k, []) if is_live(f)}
+            if not targets:
                 return "skipped_no_correction_target"
-        if len(alive) > 1:
+        if len(targets) > 1:
             return "skipped_ambiguous_correction_target"
-        new = add(make(c, True))
-        new["importance"] = alive[0]["importance"]
-        alive[0]["superseded_by"], alive[0]["changed"], alive[0]["until"] = new["id"], True, new["until"]
+        (old,) = targets.values()
+        new = make(c, True)
+        new["importance"] = old["importance"]
+        old["superseded_by"], old["changed"], old["until"] = new["id"], True, new["until"]
+        del live[old["id"]]
         return "corrected"
 
     def claim(c: dict) -> str:
-        same = [f for f in facts if _same(f["object_id"], f["object_literal"], c["object_id"], c["object_literal"])]
-        for f in same:
+        equal = same(c)
+        for f in equal:
             if is_live(f):
-                return reinforce(f, c)
-        if any(f["superseded_by"] is not None and f["until"] is not None and c["last_us"] <= f["until"] for f in same):
+                return reinforce(f, c["first_us"], c["last_us"])
+        if any(f["superseded_by"] is not None and f["until"] is not None and c["last_us"] <= f["until"] for f in equal):
             return "skipped_stale"
-        add(make(c, False))
+        make(c, False)
         return "created"
 
     for c in sorted(claims, key=lambda c: (c["window_seq"], c["triple_seq"])):
@@ -126,17 +144,52 @@ def fold_key(facts: list[dict], claims: list[dict]) -> Iterator[dict]:
     yield from ({"kind": "edge", **{k: v for k, v in f.items() if k not in ("until", "changed")}} for f in facts if f.get("changed"))
 
 
-def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """Stores resolved claims.  Each subject and predicate is a sequence of its own; all keys go side by side.
+def resolve_names(triples: DataFrame, entities: DataFrame, own_names: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Subjects and objects of extracted triples as entities: the triples with subject_id, object_id, object_literal, and the
+    entities to add (id, type, canonical_name).
+
+    triples: window_seq, triple_seq, subject, predicate, object, object_type.  A name (in either case) that is one's own (name,
+    alias, identity) is the self entity, whoever else bears it.  An unknown name becomes an entity with the type that its first
+    use asks for: a person as subject, by predicate as object.  Ids are strings; equal names give equal ids in every run.
+    """
+    own = F.array(*[F.lit(n.strip().lower()) for n in own_names]) if own_names else F.array().cast("array<string>")
+    me = entities.filter("is_self").orderBy("id").limit(1).select("id").scalar()
+    uses = triples.select("window_seq", "triple_seq", F.inline(F.array(F.struct(F.lit(0).alias("place"), F.col("subject").alias("name"), F.lit("person").alias("type")), F.struct(F.lit(1).alias("place"), F.when(F.col("object_type") == "entity", F.col("object")).alias("name"), X.object_entity_type(F.col("predicate")).alias("type")))))
+    named = uses.filter("name IS NOT NULL").withColumn("k", F.lower("name")).filter(~F.array_contains(own, F.lower(F.trim("name"))))
+    have = entities.groupBy(F.lower("canonical_name").alias("k")).agg(F.min("id").cast("string").alias("id"))
+    order = F.struct("window_seq", "triple_seq", "place")
+    new = named.join(have, "k", "left_anti").groupBy("k").agg(F.min_by("name", order).alias("canonical_name"), F.min_by("type", order).alias("type")).withColumn("id", X.uuid5(F.concat(F.lit("entity:"), F.col("k"))))
+    ids = have.unionByName(new.select("k", "id"))
+
+    def id_of(name: str, out: str):
+        return ids.select(F.col("k").alias(f"__{out}"), F.col("id").alias(f"__{out}_id"))
+
+    rows = triples.withColumns({"__s": F.lower("subject"), "__o": F.when(F.col("object_type") == "entity", F.lower("object"))})
+    rows = rows.join(id_of("subject", "s"), "__s", "left").join(id_of("object", "o"), "__o", "left")
+    mine = {c: F.array_contains(own, F.trim(F.col(c))) for c in ("__s", "__o")}
+    rows = rows.withColumns({
+        "subject_id": F.when(mine["__s"], me.cast("string")).otherwise(F.col("__s_id")),
+        "object_id": F.when(F.col("object_type") == "entity", F.when(mine["__o"], me.cast("string")).otherwise(F.col("__o_id"))),
+        "object_literal": F.when(F.col("object_type") != "entity", F.col("object")),
+    })
+    return rows.drop("__s", "__o", "__s_id", "__o_id"), new.select("id", "type", "canonical_name")
+
+
+def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_of: str, unit: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """Stores resolved claims.  Each subject and predicate is a sequence of its own; all keys go side by side, and a task takes
+    about `unit` claims, with all those of a key.
 
     claims: claim_id, window_seq, triple_seq, subject_id, predicate, object_id, object_literal, confidence, is_correction,
-    replaces_object, replaces_id, source_type, source_message_ids.  Times are those of the source messages, none after
-    now.  Returns the edges with all changes, and claim_id with its action.  Ids are strings.
+    replaces_object, replaces_id, source_type, source_message_ids, and maybe correction_source_index.  Times are those of the
+    source messages, none after now; those of a correction are its one message's, to which the index points in
+    source_message_ids (the window's first and last, if there is no such message).  Returns the edges with all changes, and claim_id with its action.  Ids are strings.
     """
     now = X.as_of_micros(as_of)
     at = messages.select(F.col("id").alias("m"), F.least(X.micros(F.col("timestamp")), now).alias("us"))
     seen = claims.select("claim_id", F.explode("source_message_ids").alias("m")).join(at, "m").groupBy("claim_id").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    timed = claims.join(seen, "claim_id", "left").withColumns({"first_us": F.coalesce("first_us", now), "last_us": F.coalesce("last_us", now)})
+    index = F.col("correction_source_index") if "correction_source_index" in claims.columns else F.lit(None).cast("int")
+    pointed = claims.withColumn("__m", F.when(index >= 0, F.get("source_message_ids", index))).join(at.toDF("__m", "at_us"), "__m", "left").drop("__m")
+    timed = pointed.join(seen, "claim_id", "left").withColumns({"first_us": F.coalesce("first_us", now), "last_us": F.coalesce("last_us", now)}).withColumn("at_us", F.coalesce("at_us", "first_us"))
     # only keys that have claims are folded; of the superseding facts, which may have another key, the time alone is needed
     touched = edges.join(claims.select("subject_id", "predicate").distinct(), ["subject_id", "predicate"], "left_semi")
     by = edges.select(F.col("id").alias("superseded_by"), F.least(X.micros(F.col("first_seen")), now).alias("seen"))
@@ -150,12 +203,18 @@ def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_o
             out = [dict(zip(cols, r, strict=True)) for r in zip(*cols.values(), strict=True)]
             return [r | {"source_message_ids": list(r["source_message_ids"] if r["source_message_ids"] is not None else [])} for r in out]
 
-        out = [[r.get(c) for c in names] for r in fold_key(rows(left), rows(right))]
+        keys: dict[tuple, tuple[list, list]] = {}
+        for side, frame in enumerate((left, right)):
+            for r in rows(frame):
+                keys.setdefault((r["subject_id"], r["predicate"]), ([], []))[side].append(r)
+        out = [[r.get(c) for c in names] for one in keys.values() for r in fold_key(*one)]
         return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(names)})
 
     names = [c.split()[0] for c in FOLDED.split(", ")]
     left = facts.select("subject_id", "predicate", *[c for c in names if c in facts.columns and c not in ("subject_id", "predicate")], "until")
-    folded = left.groupBy("subject_id", "predicate").cogroup(timed.groupBy("subject_id", "predicate")).applyInPandas(fold, FOLDED).persist()
+    units = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), claims.count() // unit)
+    at_unit = F.pmod(F.xxhash64("subject_id", "predicate"), F.lit(units)).alias("unit")
+    folded = keep(left.select("*", at_unit).groupBy("unit").cogroup(timed.select("*", at_unit).groupBy("unit")).applyInPandas(fold, FOLDED))
     changed = folded.filter("kind = 'edge'")
     rate = X.default_decay_rate(F.col("predicate"))
     as_time = {"first_seen": F.timestamp_micros("first_us"), "last_reinforced": F.timestamp_micros("last_us"), "decay_rate": rate}

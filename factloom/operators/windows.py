@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions import expr as X
 from factloom.operators.analytics import unprocessed_with_text
@@ -23,38 +25,52 @@ def live_windows(messages: DataFrame, key: str = "conversation_id", size: int =
     """window_index of each message under the live rule: a message begins a window if the open one has `size` messages or
     began more than `seconds` before; elapsed time counts from the window's first message.
 
-    Runs of messages with gaps of more than `seconds` begin windows for certain, so only the messages between such
-    gaps are folded together: a stretch, not a conversation, is what one array holds.
+    Messages after gaps of more than `seconds` begin windows for certain, so stretches between such gaps go to tasks of their
+    own.  A stretch streams through its task in order and takes three numbers of memory, however long it is.
     """
-    at = X.micros(F.col("timestamp"))
     w = Window.partitionBy(key).orderBy("timestamp", "id")
-    rows = messages.withColumn("__us", at).withColumn("__gap", F.coalesce(F.col("__us") - F.lag("__us").over(w) > seconds * 1_000_000, F.lit(True)))
-    rows = rows.withColumn("__stretch", F.sum(F.col("__gap").cast("int")).over(w))
-    stretch = rows.groupBy(key, "__stretch").agg(F.array_sort(F.collect_list(F.struct(F.col("__us").alias("us"), F.col("id")))).alias("xs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["n"] == 0) | (acc["n"] >= size) | (x["us"] - acc["first"] > seconds * 1_000_000)
-        index = F.when(new, acc["index"] + 1).otherwise(acc["index"])
-        return F.struct(
-            index.alias("index"),
-            F.when(new, F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
-            F.when(new, x["us"]).otherwise(acc["first"]).alias("first"),
-            F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), index.alias("i")))).alias("out"),
-        )
-
-    id_type = dict(messages.dtypes)["id"]
-    start = F.struct(F.lit(-1).alias("index"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("first"), F.array().cast(f"array<struct<id:{id_type},i:int>>").alias("out"))
-    folded = stretch.select(key, "__stretch", F.aggregate("xs", start, step).alias("f")).select(key, "__stretch", F.inline("f.out"))
+    rows = messages.withColumn("__us", X.micros(F.col("timestamp"))).withColumn("__gap", F.coalesce(F.col("__us") - F.lag("__us").over(w) > seconds * 1_000_000, F.lit(True)))
+    rows = rows.withColumn("__stretch", F.sum(F.col("__gap").cast("int")).over(w)).drop("__gap")
+    limit = seconds * 1_000_000
+
+    def fold(batches):
+        last, index, n, first = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for k, us in zip(zip(b.column(key).to_pylist(), b.column("__stretch").to_pylist(), strict=True), b.column("__us").to_pylist(), strict=True):
+                if k != last:
+                    last, index, n, first = k, 0, 1, us
+                elif n >= size or us - first > limit:
+                    index, n, first = index + 1, 1, us
+                else:
+                    n += 1
+                out.append(index)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "__i"])
+
+    placed = rows.repartition(key, "__stretch").sortWithinPartitions(key, "__stretch", "timestamp", "id").mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("__i", T.IntegerType())]))
     # windows of earlier stretches come first
-    counts = folded.groupBy(key, "__stretch").agg((F.max("i") + 1).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = folded.join(before.select(key, "__stretch", "before"), [key, "__stretch"]).select("id", (F.col("i") + F.col("before")).cast("int").alias("window_index"))
-    return messages.join(placed, "id")
+    counts = placed.groupBy(key, "__stretch").agg((F.max("__i") + 1).alias("n"))
+    earlier = Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col(key).alias("__k"), F.col("__stretch").alias("__s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    joined = placed.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__stretch") == F.col("__s")))
+    return joined.withColumn("window_index", (F.col("__i") + F.col("__before")).cast("int")).select(*messages.columns, "window_index")
+
+
+def recoverable(messages: DataFrame, entities: DataFrame) -> DataFrame:
+    """What was stored but not processed, with the sender's name as speaker; null where the sender isn't known, which fails the
+    message alone."""
+    names = entities.select(F.col("id").alias("sender_id"), F.col("canonical_name").alias("speaker"))
+    return messages.filter(~F.col("processed") & X.usable_text().isNotNull()).join(names, "sender_id", "left")
+
+
+def recovery_windows(messages: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Live windows of what was stored but not processed.  With entities, messages of unknown senders are left out, and
+    recovery_errors counts them."""
+    return live_windows(unprocessed_with_text(messages) if entities is None else recoverable(messages, entities).filter("speaker IS NOT NULL"))
 
 
-def recovery_windows(messages: DataFrame) -> DataFrame:
-    """Live windows of what was stored but not processed."""
-    return live_windows(unprocessed_with_text(messages))
+def recovery_errors(messages: DataFrame, entities: DataFrame) -> DataFrame:
+    return recoverable(messages, entities).agg(F.count_if(F.col("speaker").isNull()).alias("errors"), F.count_if(F.col("speaker").isNotNull()).alias("recovered"))
 
 
 def window_rows(rows: DataFrame, key: str = "conversation_id") -> DataFrame:

@@ -62,12 +62,16 @@ def relevant_context_pruned(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT e.id, subject_id, predicate, importance FROM edges e JOIN entities s ON s.id = subject_id
-WHERE {LIVE} AND (contains(lower(canonical_name), '00001') OR contains(lower(predicate), '00001') OR contains(lower(object_literal), '00001') OR contains(lower(predicate), 'goal'))
+WHERE {LIVE} AND (contains(lower(canonical_name), '00001') OR contains(lower(predicate), '00001') OR contains(lower(object_literal), '00001'))
 ORDER BY importance DESC, first_seen DESC, e.id LIMIT 50""")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    edges, people = T.edges(spark, d), T.entities(spark, d)
-    both = R.keyword_matches(edges, people, "00001").unionByName(R.keyword_matches(edges, people, "GOAL")).dropDuplicates(["id"])
-    return both.orderBy(F.desc("importance"), X.micros(F.col("first_seen")).desc(), "id").limit(50).select("id", "subject_id", "predicate", "importance")
+    return R.keyword_search(T.edges(spark, d), T.entities(spark, d), "00001").select("id", "subject_id", "predicate", "importance")
+
+
+@query(f"""SELECT e.id, canonical_name FROM edges e JOIN entities s ON s.id = subject_id
+WHERE {LIVE} AND (contains(lower(canonical_name), 'goal') OR contains(lower(predicate), 'goal') OR contains(lower(object_literal), 'goal'))""")
+def keyword_matches(spark: SparkSession, d: str) -> DataFrame:
+    return R.keyword_matches(T.edges(spark, d), T.entities(spark, d), "GOAL").select("id", F.col("subject_name").alias("canonical_name"))
 
 
 @query("SELECT id, subject_id, object_id, epoch_us(first_seen) AS first_seen_us FROM edges WHERE subject_id = 7 OR object_id = 7")
@@ -156,19 +160,24 @@ def live_facts_by_subject_predicate(spark: SparkSession, d: str) -> DataFrame:
     return R.facts_about(T.edges(spark, d), 7, "likes", only_live=True).select("id")
 
 
-@query(f""", w AS (SELECT DISTINCT subject_id, predicate, object_id FROM edges WHERE object_id < 10)
-SELECT id, subject_id, predicate FROM (SELECT e.*, row_number() OVER (PARTITION BY e.subject_id, e.predicate, e.object_id ORDER BY first_seen, id) AS n FROM edges e JOIN w ON e.subject_id = w.subject_id AND e.predicate = w.predicate AND e.object_id = w.object_id WHERE {LIVE}) WHERE n = 1""")
+_WANTED = """, w AS (SELECT DISTINCT subject_id, predicate, object_id, object_literal FROM edges)"""
+_EQUAL = "e.subject_id = w.subject_id AND e.predicate = w.predicate AND coalesce(e.object_id = w.object_id, e.object_literal = w.object_literal, false)"
+
+
+def _wanted(edges: DataFrame) -> DataFrame:
+    return edges.select("subject_id", "predicate", "object_id", "object_literal").distinct()
+
+
+@query(_WANTED + f""" SELECT id, subject_id, predicate FROM (SELECT e.*, row_number() OVER (PARTITION BY e.subject_id, e.predicate, w.object_id, w.object_literal ORDER BY first_seen, id) AS n FROM edges e JOIN w ON {_EQUAL} WHERE {LIVE}) WHERE n = 1""")
 def matching_live_facts(spark: SparkSession, d: str) -> DataFrame:
     edges = T.edges(spark, d)
-    wanted = edges.filter("object_id < 10").select("subject_id", "predicate", "object_id", F.lit(None).cast("string").alias("object_literal")).distinct()
-    return R.matching_live(edges, wanted).select("id", "subject_id", "predicate")
+    return R.matching_live(edges, _wanted(edges)).select("id", "subject_id", "predicate")
 
 
-@query("""SELECT e.id FROM edges e WHERE superseded_by IS NOT NULL AND EXISTS (SELECT 1 FROM edges w WHERE w.subject_id = e.subject_id AND w.predicate = e.predicate AND w.object_id = e.object_id AND w.object_id < 10)""")
+@query(_WANTED + f" SELECT e.id FROM edges e JOIN w ON {_EQUAL} WHERE superseded_by IS NOT NULL")
 def superseded_matching_facts(spark: SparkSession, d: str) -> DataFrame:
     edges = T.edges(spark, d)
-    wanted = edges.filter("object_id < 10").select("subject_id", "predicate", "object_id", F.lit(None).cast("string").alias("object_literal")).distinct()
-    return R.superseded_matches(edges, wanted).select("id")
+    return R.superseded_matches(edges, _wanted(edges)).select("id")
 
 
 @query("SELECT id, epoch_us(timestamp) AS timestamp_us FROM messages WHERE conversation_id = 7 AND timestamp >= TIMESTAMP '2024-01-10'")
@@ -463,10 +472,10 @@ def reinforce_fold(spark: SparkSession, d: str) -> DataFrame:
 
 def _ops(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
-    return T.read(spark, d, "events").filter(e % 13 == 0).select((F.floor(e / 2)).cast("long").alias("target"), e.alias("seq"), (e + 10_000_000_000).alias("new_id"))
+    return T.read(spark, d, "events").select((F.floor(e / 2)).cast("long").alias("target"), e.alias("seq"), (e + 10_000_000_000).alias("new_id"))
 
 
-_OPS = """, ops AS (SELECT event_id // 2 AS target, event_id AS seq, event_id + 10000000000 AS new_id FROM events WHERE event_id % 13 = 0),
+_OPS = """, ops AS (SELECT event_id // 2 AS target, event_id AS seq, event_id + 10000000000 AS new_id FROM events),
 judged AS (SELECT ops.*, e.superseded_by AS old, e.predicate, e.importance, e.id IS NULL AS missing, row_number() OVER (PARTITION BY target ORDER BY seq) AS n FROM ops LEFT JOIN edges e ON e.id = target),
 good AS (SELECT * FROM judged WHERE NOT missing AND old IS NULL AND n = 1)"""
 
@@ -492,12 +501,12 @@ def change_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f""", latest AS (SELECT e.id, max(epoch_us(m.timestamp)) AS t FROM (SELECT id, unnest(source_message_ids) AS mid FROM edges) e JOIN messages m ON m.id = e.mid GROUP BY 1),
 facts AS (SELECT e.*, e.superseded_by IS NULL AND e.source_type <> 'user_deletion' AS alive, coalesce(l.t, epoch_us(b.first_seen)) AS until FROM edges e LEFT JOIN edges b ON b.id = e.superseded_by LEFT JOIN latest l ON l.id = b.id),
-claims AS (SELECT id AS claim_id, subject_id, predicate, object_id, object_literal, epoch_us(first_seen) AS us FROM edges WHERE id % 5 = 0)
+claims AS (SELECT id AS claim_id, subject_id, predicate, object_id, object_literal, epoch_us(first_seen) AS us FROM edges)
 SELECT claim_id, coalesce(NOT bool_or(alive) AND bool_or(superseded_by IS NOT NULL AND us <= until), false) AS stale
 FROM claims c LEFT JOIN facts f ON f.subject_id = c.subject_id AND f.predicate = c.predicate AND coalesce(f.object_id = c.object_id, f.object_literal = c.object_literal, false) GROUP BY claim_id""")
 def stale_guard(spark: SparkSession, d: str) -> DataFrame:
     edges = T.edges(spark, d)
-    claims = edges.filter("id % 5 = 0").select(F.col("id").alias("claim_id"), "subject_id", "predicate", "object_id", "object_literal", F.col("first_seen").alias("at"))
+    claims = edges.select(F.col("id").alias("claim_id"), "subject_id", "predicate", "object_id", "object_literal", F.col("first_seen").alias("at"))
     return mutations.stale_claims(claims, edges, T.messages(spark, d), AS_OF).select("claim_id", "stale")
 
 
@@ -515,23 +524,39 @@ def triple_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", triples.reject_reason().alias("reject_reason"))
 
 
-@query(""", s AS (SELECT DISTINCT epoch_us(timestamp) // 1000000 AS a FROM messages), g AS (SELECT a, coalesce(lead(a) OVER (ORDER BY a), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS b FROM s),
-idle AS (SELECT a + 2100 AS run_at FROM g WHERE b - a >= 2100), runs AS (SELECT run_at, coalesce(lead(run_at) OVER (ORDER BY run_at), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS nxt FROM idle)
-SELECT run_at, 'idle_threshold' AS reason FROM idle
-UNION ALL SELECT run_at + k * 72000, 'max_interval_fallback' FROM runs, unnest(generate_series(1, (nxt - run_at - 1) // 72000)) AS t(k)""")
+@query()
 def idle_trigger_points(spark: SparkSession, d: str) -> DataFrame:
     return A.idle_points(T.messages(spark, d), until=AS_OF).withColumnRenamed("at", "run_at")
 
 
-@query("SELECT c_custkey AS id, CASE WHEN length(regexp_replace(c_name, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 THEN regexp_replace(c_name, '[^0-9]', '', 'g') || '@s.whatsapp.net' END AS identity FROM customer")
+#: A quiet stretch k begins at a and may have an idle run at i; m fallbacks after the last run r come before i.
+_SQL["idle_trigger_points"] = T.SQL.replace("WITH messages", "WITH RECURSIVE messages", 1) + """, s AS (SELECT DISTINCT epoch_us(timestamp) // 1000000 AS a FROM messages),
+g AS (SELECT a, coalesce(lead(a) OVER (ORDER BY a), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS b FROM s),
+q AS (SELECT a, a + 2100 AS i, row_number() OVER (ORDER BY a) AS k FROM g WHERE b - a >= 2100),
+fold AS (
+  SELECT 0::BIGINT AS k, (SELECT min(a) FROM s) AS r, (SELECT min(a) FROM s) AS was, 0::BIGINT AS m, false AS fires, 0::BIGINT AS i
+  UNION ALL
+  SELECT q.k, CASE WHEN x.m = 0 OR f.r + x.m * 72000 <= q.a THEN q.i ELSE f.r + x.m * 72000 END, f.r, x.m, x.m = 0 OR f.r + x.m * 72000 <= q.a, q.i
+  FROM fold f JOIN q ON q.k = f.k + 1, LATERAL (SELECT greatest(0, (q.i - f.r - 1) // 72000) AS m) x)
+SELECT i AS run_at, 'idle_threshold' AS reason FROM fold WHERE fires
+UNION ALL SELECT was + j * 72000, 'max_interval_fallback' FROM fold, unnest(generate_series(1, m)) AS t(j)
+UNION ALL SELECT r + j * 72000, 'max_interval_fallback' FROM (SELECT r, (epoch_us(TIMESTAMP '2024-02-15') // 1000000 - r - 1) // 72000 AS m FROM fold ORDER BY k DESC LIMIT 1), unnest(generate_series(1, m)) AS t(j)"""
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '49' || digits || '@s.whatsapp.net' WHEN 1 THEN digits || '@s.whatsapp.net' WHEN 2 THEN digits || '@lid' WHEN 4 THEN c_name END AS identity
+FROM (SELECT c_custkey, c_name, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer)""")
 def identity_normalisation(spark: SparkSession, d: str) -> DataFrame:
-    c = T.read(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("id"), X.normalise_identity(F.concat(F.lit("+"), F.regexp_replace("c_name", "[^0-9]", ""))).alias("identity"))
+    c = T.read(spark, d, "customer").withColumn("digits", F.regexp_replace("c_name", "[^0-9]", ""))
+    k, digits = F.col("c_custkey") % 6, F.col("digits")
+    form = F.when(k == 0, F.concat(F.lit("+49 ("), digits, F.lit(")"))).when(k == 1, F.concat(digits, F.lit(":3@c.us"))).when(k == 2, F.concat(F.lit("\t"), digits, F.lit(".1@lid"))).when(k == 3, F.concat(digits, F.lit("@g.us"))).when(k == 4, F.concat(F.col("c_name"), F.lit("  "))).otherwise("ab")
+    return c.select(F.col("c_custkey").alias("id"), X.normalise_identity(form).alias("identity"))
 
 
-@query("SELECT id, CASE WHEN object_id IS NULL = (object_literal IS NULL) THEN 'object_xor' END AS rule FROM edges WHERE (object_id IS NULL) = (object_literal IS NULL)")
+@query("""SELECT id, unnest(list_filter([CASE WHEN id % 3 = 0 AND id % 7 = 0 OR id % 3 <> 0 AND id % 5 = 0 THEN 'object_xor' END, CASE WHEN id % 11 = 0 THEN 'sources_set' END], lambda x: x IS NOT NULL)) AS rule FROM edges""")
 def edge_audit(spark: SparkSession, d: str) -> DataFrame:
-    return S.edge_violations(T.edges(spark, d))
+    e = T.edges(spark, d)  # some rows are broken: both objects, none, no sources
+    literal = F.when(F.col("object_id").isNotNull() & (F.col("id") % 7 == 0), "both").when(F.col("id") % 5 != 0, F.col("object_literal"))
+    return S.edge_violations(e.withColumns({"object_literal": literal, "source_message_ids": F.when(F.col("id") % 11 != 0, F.col("source_message_ids"))}))
 
 
 # --- more changes, provenance and reports ------------------------------------------------------------------------
@@ -618,14 +643,36 @@ def history_windows(spark: SparkSession, d: str) -> DataFrame:
     return windows.count_windows(T.messages(spark, d), "conversation_id", "timestamp", "id").select("id", "window_index")
 
 
-@query("""SELECT id, CASE WHEN chat LIKE '%@g.us' THEN 'group' WHEN chat = 'status@broadcast' THEN 'status_broadcast' WHEN chat LIKE '%@broadcast' THEN 'broadcast_list' WHEN is_edit THEN 'edit' END AS drop_reason
-FROM (SELECT event_id::VARCHAR AS id, CASE event_id % 5 WHEN 0 THEN '1@g.us' WHEN 1 THEN 'status@broadcast' WHEN 2 THEN '9@broadcast' ELSE user_id || '@s.whatsapp.net' END AS chat, event_id % 7 = 0 AS is_edit FROM events)""")
+@query("""SELECT event_id::VARCHAR AS id, CASE event_id % 10 WHEN 0 THEN 'group' WHEN 1 THEN 'status_broadcast' WHEN 2 THEN 'broadcast_list' WHEN 3 THEN 'newsletter' WHEN 4 THEN 'history_sync'
+  WHEN 5 THEN 'edit' WHEN 6 THEN 'unsupported_type' WHEN 7 THEN 'voice_unsupported_live' END AS drop_reason FROM events""")
 def live_drop_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _live(spark, d).select("id", live.drop_reason().alias("drop_reason"))
+
+
+@query("SELECT event_id::VARCHAR AS id, 'after_stop' AS drop_reason FROM events")
+def live_drop_reasons_after_stop(spark: SparkSession, d: str) -> DataFrame:
+    return _live(spark, d).select("id", live.drop_reason(stopped=True).alias("drop_reason"))
+
+
+def _live(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a connection made of the test table: each reason to drop one has a tenth."""
     e = F.col("event_id")
-    chat = F.when(e % 5 == 0, "1@g.us").when(e % 5 == 1, "status@broadcast").when(e % 5 == 2, "9@broadcast").otherwise(F.concat(F.col("user_id").cast("string"), F.lit("@s.whatsapp.net")))
+    k, person = e % 10, F.concat(F.col("user_id").cast("string"), F.lit("@s.whatsapp.net"))
+    chat = F.when(k == 0, "1@g.us").when(k == 1, "status@broadcast").when(k == 2, "9@broadcast").when(k == 3, "4@newsletter").when(k == 9, F.concat(F.col("user_id").cast("string"), F.lit(":2@lid"))).otherwise(person)
     none = F.lit(None)
-    rows = T.read(spark, d, "events").select(e.cast("string").alias("id"), chat.alias("chat"), (e % 7 == 0).alias("is_edit"), F.lit("message").alias("kind"), F.col("props").alias("conversation"), none.cast("struct<text:string>").alias("extended"), none.cast("struct<caption:string,url:string>").alias("image"), none.cast("struct<caption:string,url:string>").alias("video"), none.cast("struct<url:string>").alias("audio"))
-    return rows.select("id", live.drop_reason().alias("drop_reason"))
+    audio = F.when(k == 7, F.struct(F.lit("u").alias("url")))
+    image = F.when((k == 8) & (e % 20 == 8), F.struct(F.col("props").alias("caption"), F.lit("i").alias("url")))
+    return T.read(spark, d, "events").select(
+        e.cast("string").alias("id"), chat.alias("chat"), chat.alias("sender"), F.when(e % 20 == 9, person).alias("sender_alt"), none.cast("string").alias("recipient_alt"), (k == 8).alias("from_me"), (k == 5).alias("is_edit"), F.col("ts").alias("timestamp"),
+        F.when(k == 4, "history_sync").otherwise("message").alias("kind"), F.when(~k.isin(6, 7) & image.isNull(), F.col("props")).alias("conversation"), none.cast("struct<text:string>").alias("extended"), image.alias("image"), none.cast("struct<caption:string,url:string>").alias("video"), audio.alias("audio"),
+    )
+
+
+@query("SELECT event_id::VARCHAR AS external_id, user_id || CASE WHEN event_id % 10 = 9 AND event_id % 20 <> 9 THEN '@lid' ELSE '@s.whatsapp.net' END AS conversation_id, CASE WHEN event_id % 20 = 8 THEN 'image' ELSE 'text' END AS media_type, props AS text, CASE WHEN event_id % 20 = 8 THEN 'i' END AS media_url, CASE WHEN event_id % 10 = 8 THEN 'me@s.whatsapp.net' WHEN event_id % 20 = 9 THEN user_id || '@s.whatsapp.net' ELSE user_id || '@lid' END AS sender_external_id FROM events WHERE event_id % 10 >= 8")
+def live_messages(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "hidden string, person string")
+    got = live.normalise(live.canonical(_live(spark, d), none, "me@s.whatsapp.net"))
+    return got.select("external_id", "conversation_id", "media_type", "text", "media_url", "sender_external_id")
 
 
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN true WHEN id % 3 = 1 THEN coalesce(v < -0.7, false) ELSE false END AS larger FROM (SELECT event_id AS id, -value / 100 AS v FROM events)")
@@ -634,3 +681,245 @@ def transcription_escalation(spark: SparkSession, d: str) -> DataFrame:
     language = F.when(e % 3 == 0, " Arabic ").when(e % 3 == 1, "en")
     logs = F.when(e % 3 != 2, -F.col("value") / 100)
     return T.read(spark, d, "events").select(e.alias("id"), models.escalate(language, logs).alias("larger"))
+
+
+# --- exports made of the test tables, and read again ---------------------------------------------------------------
+
+
+@query(""", t AS (SELECT conv_id, turn, min(role) AS role FROM conversations WHERE turn IS NOT NULL AND role IS NOT NULL GROUP BY 1, 2)
+SELECT conv_id::VARCHAR AS conversation_id, role AS sender, CASE WHEN turn % 4 = 2 THEN 'image' ELSE 'text' END AS media_type,
+  CASE turn % 4 WHEN 0 THEN 'said ' || turn WHEN 1 THEN 'said ' || turn || chr(10) || 'and more' END AS text, epoch_us(TIMESTAMP '2024-03-01 07:00:00') + turn * 60000000 AS at FROM t WHERE turn % 4 <> 3""")
+def text_export_messages(spark: SparkSession, d: str) -> DataFrame:
+    t = T.read(spark, d, "conversations").filter("turn IS NOT NULL AND role IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    k, stamp = F.col("turn") % 4, F.date_format(F.expr("TIMESTAMP_NTZ '2024-03-01 08:00:00' + make_dt_interval(0, 0, turn, 0)"), "dd/MM/yy, HH:mm:ss")
+    body = F.when(k == 2, "image omitted").when(k == 3, "sticker omitted").when(k == 1, F.concat(F.lit("said "), F.col("turn").cast("string"), F.lit("\nand more"))).otherwise(F.concat(F.lit("said "), F.col("turn").cast("string")))
+    line = F.concat(F.lit("["), stamp, F.lit("] "), F.col("role"), F.lit(": "), body)
+    files = t.groupBy(F.col("conv_id").cast("string").alias("conversation_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
+    got = exports.parse_text_exports(files, "Europe/Berlin")
+    return got.select("conversation_id", F.col("sender_external_id").alias("sender"), "media_type", "text", us("timestamp", "at"))
+
+
+@query("""SELECT user_id::VARCHAR AS conversation_id, CASE event_id % 5 WHEN 1 THEN 'image' WHEN 2 THEN 'voice' ELSE 'text' END AS media_type, CASE WHEN event_id % 5 <> 2 THEN 'café ' || event_id END AS text, event_id * 1000000 AS at FROM events WHERE event_id % 5 < 3""")
+def json_thread_messages(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    uri = F.array(F.struct(F.lit("a").alias("uri")))
+    none = F.lit(None)
+    m = F.struct(
+        F.lit("x").alias("sender_name"), (e * 1000).alias("timestamp_ms"), F.when(e % 5 != 3, F.concat(F.lit("caf\u00c3\u00a9 "), e.cast("string"))).alias("content"), (e % 5 == 4).alias("is_unsent"),
+        F.when(e % 5 == 1, uri).alias("photos"), none.cast(exports.REF).alias("videos"), F.when(e % 5 == 2, uri).alias("audio_files"), none.cast("struct<link:string,share_text:string>").alias("share"),
+    )
+    threads = T.read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("thread_path")).agg(F.array_sort(F.collect_list(m), lambda a, b: F.when(a["timestamp_ms"] < b["timestamp_ms"], -1).when(a["timestamp_ms"] > b["timestamp_ms"], 1).otherwise(0)).alias("messages"))
+    return exports.parse_threads(threads.withColumn("title", F.lit(""))).select("conversation_id", "media_type", "text", us("timestamp", "at"))
+
+
+# --- triples -----------------------------------------------------------------------------------------------------
+
+#: For each two events a fact (the even one) and a claim (the odd one) of a subject of their own; the claim's window has three
+#: messages, and a correction points at one of them.
+_STORED = """, f AS (SELECT event_id AS id, event_id // 2 AS s, 'v' || event_id % 4 AS lit, epoch_us(ts) AS us FROM events WHERE event_id % 2 = 0),
+c AS (SELECT event_id AS claim_id, event_id // 2 AS s, 'v' || event_id % 3 AS lit, event_id % 5 < 2 AS corr, [event_id, event_id - 1, event_id // 2] AS ids, least(value / 100, 1) AS conf FROM events WHERE event_id % 2 = 1),
+t AS (SELECT claim_id, min(us) AS lo, max(us) AS hi FROM (SELECT claim_id, unnest(ids) AS m FROM c) JOIN (SELECT event_id AS m, epoch_us(ts) AS us FROM events) USING (m) GROUP BY 1),
+p AS (SELECT c.claim_id, epoch_us(e.ts) AS us FROM c JOIN events e ON e.event_id = c.ids[claim_id % 3 + 1]),
+j AS (SELECT c.*, f.id, f.lit AS old, f.us AS fus, t.lo, t.hi, coalesce(p.us, t.lo) AS pt, CASE WHEN f.id IS NULL THEN CASE WHEN corr THEN 'skipped_no_correction_target' ELSE 'created' END WHEN f.lit = c.lit THEN 'reinforced' WHEN corr THEN 'corrected' ELSE 'created' END AS action
+  FROM c JOIN t USING (claim_id) LEFT JOIN p USING (claim_id) LEFT JOIN f USING (s))"""
+
+
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e, ev = F.col("event_id"), T.read(spark, d, "events")
+    s, lit = F.floor(e / 2).cast("string"), lambda n: F.concat(F.lit("v"), (e % n).cast("string"))
+    given = {"id": e.cast("string"), "subject_id": s, "predicate": F.lit("likes"), "object_literal": lit(4), "confidence": F.lit(0.5), "importance": F.lit(0.25), "source_type": F.lit("whatsapp_text"), "source_weight": F.lit(1.0), "source_message_ids": F.array(e.cast("string")), "first_seen": F.col("ts"), "last_reinforced": F.col("ts"), "decay_rate": F.lit(S.STABLE), "decay_locked": F.lit(False), "is_correction": F.lit(False)}
+    edges = ev.filter(e % 2 == 0).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.EDGES])
+    ids = F.array(*[x.cast("long").cast("string") for x in (e, e - 1, F.floor(e / 2))])
+    claims = ev.filter(e % 2 == 1).select(e.cast("string").alias("claim_id"), e.alias("window_seq"), F.lit(0).alias("triple_seq"), s.alias("subject_id"), F.lit("likes").alias("predicate"), F.lit(None).cast("string").alias("object_id"), lit(3).alias("object_literal"), F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"), (e % 5 < 2).alias("is_correction"), F.lit(None).cast("string").alias("replaces_object"), F.lit(None).cast("string").alias("replaces_id"), F.lit("voice_transcript").alias("source_type"), ids.alias("source_message_ids"), (e % 3).cast("int").alias("correction_source_index"))
+    return triples.store_triples(edges, claims, ev.select(e.cast("string").alias("id"), F.col("ts").alias("timestamp")), AS_OF)
+
+
+@query(_STORED + " SELECT claim_id::VARCHAR AS claim_id, action FROM j")
+def store_triples_actions(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d)[1]
+
+
+@query(_STORED + """ SELECT f.s::VARCHAR AS subject_id, f.lit AS object_literal, coalesce(j.action = 'corrected', false) AS gone, 0.5 AS confidence,
+  CASE WHEN j.action = 'reinforced' THEN least(f.us, CASE WHEN corr THEN j.pt ELSE j.lo END) ELSE f.us END AS first_us, CASE WHEN j.action = 'reinforced' THEN greatest(f.us, CASE WHEN corr THEN j.pt ELSE j.hi END) ELSE f.us END AS last_us FROM f LEFT JOIN j ON j.id = f.id
+UNION ALL SELECT s::VARCHAR, lit, false, CASE WHEN action = 'corrected' THEN 1.0 ELSE round(conf * 0.95, 9) END, CASE WHEN action = 'corrected' THEN pt ELSE lo END, CASE WHEN action = 'corrected' THEN pt ELSE hi END FROM j WHERE action IN ('created', 'corrected')""")
+def store_triples(spark: SparkSession, d: str) -> DataFrame:
+    out, _ = _stored(spark, d)
+    return out.select("subject_id", "object_literal", F.col("superseded_by").isNotNull().alias("gone"), F.round("confidence", 9).alias("confidence"), us("first_seen", "first_us"), us("last_reinforced", "last_us"))
+
+
+_NAMES = """, x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'customer#' || lpad((user_id % 40)::VARCHAR, 9, '0') WHEN 1 THEN ' me ' ELSE 'Someone ' || user_id % 30 END AS subject, 'Thing ' || user_id % 20 AS object, event_id % 3 = 0 AS is_entity, CASE WHEN event_id % 5 = 0 THEN 'pet_of' ELSE 'likes' END AS predicate FROM events),
+uses AS (SELECT event_id, 0 AS place, subject AS name, 'person' AS type FROM x WHERE event_id % 4 <> 1 UNION ALL SELECT event_id, 1, object, CASE WHEN predicate = 'pet_of' THEN 'person' ELSE 'object' END FROM x WHERE is_entity)"""
+
+
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e, u = F.col("event_id"), F.col("user_id").cast("long")
+    subject = F.when(e % 4 == 0, F.concat(F.lit("customer#"), F.lpad((u % 40).cast("string"), 9, "0"))).when(e % 4 == 1, " me ").otherwise(F.concat(F.lit("Someone "), (u % 30).cast("string")))
+    rows = T.read(spark, d, "events").select(e.alias("window_seq"), F.lit(0).alias("triple_seq"), subject.alias("subject"), F.when(e % 5 == 0, "pet_of").otherwise("likes").alias("predicate"), F.concat(F.lit("Thing "), (u % 20).cast("string")).alias("object"), F.when(e % 3 == 0, "entity").otherwise("literal").alias("object_type"))
+    return triples.resolve_names(rows, T.entities(spark, d), ("Self", "Me"))
+
+
+@query(_NAMES + " SELECT arg_min(name, event_id * 2 + place) AS canonical_name, arg_min(type, event_id * 2 + place) AS type FROM uses WHERE NOT EXISTS (SELECT 1 FROM entities WHERE lower(canonical_name) = lower(name)) GROUP BY lower(name)")
+def resolved_new_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d)[1].select("canonical_name", "type")
+
+
+@query(_NAMES + """ SELECT event_id, CASE WHEN event_id % 4 = 1 THEN '-1' ELSE (SELECT min(id)::VARCHAR FROM entities WHERE lower(canonical_name) = lower(subject)) END AS known_subject, CASE WHEN NOT is_entity THEN object END AS object_literal, is_entity AS has_object_id FROM x""")
+def resolved_triples(spark: SparkSession, d: str) -> DataFrame:
+    rows, new = _resolved(spark, d)
+    known = rows.join(new.select(F.col("id").alias("subject_id"), F.lit(True).alias("is_new")), "subject_id", "left")
+    return known.select(F.col("window_seq").alias("event_id"), F.when(F.col("is_new").isNull(), F.col("subject_id")).alias("known_subject"), "object_literal", F.col("object_id").isNotNull().alias("has_object_id"))
+
+
+@query(""", m AS (SELECT id, sender_id FROM messages), w AS (SELECT event_id AS id, [event_id, event_id - 1, event_id + 1000000000] AS ids, event_id % 5 - 1 AS i FROM events)
+SELECT w.id, coalesce(i >= 0 AND i < 3 AND m.sender_id = -1, false) AS is_correction FROM w LEFT JOIN m ON m.id = CASE WHEN i BETWEEN 0 AND 2 THEN ids[i + 1] END""")
+def trusted_corrections(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = T.read(spark, d, "events").select(e.alias("id"), F.array(e, e - 1, e + 1_000_000_000).alias("window_ids"), (e % 5 - 1).cast("int").alias("correction_source_index"), F.lit(True).alias("is_correction"))
+    return triples.trusted_corrections(rows, T.messages(spark, d), T.entities(spark, d)).select("id", "is_correction")
+
+
+@query("SELECT event_id AS id, 'a' AS subject, value AS confidence, event_id % 3 = 2 AS bad FROM events WHERE event_id % 3 <> 1")
+def parsed_model_output(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    good = F.concat(F.lit('```json\n[{"subject":"a","predicate":"likes","object":"b","object_type":"literal","confidence":'), F.col("value").cast("string"), F.lit("}]\n```"))
+    rows = T.read(spark, d, "events").select(e.alias("id"), F.when(e % 3 == 0, good).when(e % 3 == 1, "[]").otherwise("none found").alias("output"), "value")
+    got = triples.parse_output(rows)
+    bad = F.col("parse_error").isNotNull()
+    return got.select("id", F.lit("a").alias("subject"), F.when(bad, F.col("value")).otherwise(F.col("confidence")).alias("confidence"), bad.alias("bad"))
+
+
+# --- scalar functions and small lookups -----------------------------------------------------------------------------
+
+
+@query("SELECT event_id AS id, event_id % 3 = 0 AS candidate FROM events")
+def triage_answers(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    answer = F.when(e % 3 == 0, "  candidate: yes").when(e % 3 == 1, "NOISE candidate")
+    return T.read(spark, d, "events").select(e.alias("id"), models.is_candidate(answer).alias("candidate"))
+
+
+@query("""SELECT event_id AS id, coalesce(round(value / CASE event_id % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.4 END, 6), 0) AS original, CASE WHEN event_id % 2 = 0 AND ts < TIMESTAMP '2024-01-15' THEN 'event_past' WHEN event_id % 2 = 0 THEN 'event_future' ELSE 'likes' END AS tense,
+  CASE WHEN event_id % 2 = 0 THEN 0.0001 ELSE 0.004621 END AS rate, CASE WHEN event_id % 2 = 0 THEN 'person' ELSE 'object' END AS type, chr(8230) || right(event_id::VARCHAR, 4) AS tail,
+  'id ' || CASE WHEN event_id + 10000000 >= 10000000 THEN chr(8230) || right((event_id + 10000000)::VARCHAR, 4) END AS redacted, event_id || '.ogg' AS file, CASE WHEN event_id % 2 = 0 THEN 'Me' ELSE 'You' END AS speaker, round(least(3 * pow(2, event_id % 9), 300) * (0.8 + 0.4 * value / 100), 6) AS wait
+FROM events""")
+def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
+    e, even = F.col("event_id"), F.col("event_id") % 2 == 0
+    weight = F.when(e % 3 == 0, 0.95).when(e % 3 == 1, 0.4).otherwise(0.0)
+    text = e.cast("string")
+    return T.read(spark, d, "events").select(
+        e.alias("id"), F.round(X.reconstructed_confidence(F.col("value"), weight), 6).alias("original"), X.event_tense(F.when(even, "event_future").otherwise("likes"), F.col("ts"), "2024-01-15 00:00:00").alias("tense"),
+        X.default_decay_rate(F.when(even, "pet_of").otherwise("no such predicate")).alias("rate"), X.object_entity_type(F.when(even, "family_member_of").otherwise("likes")).alias("type"), X.keep_last_four(text).alias("tail"),
+        X.cut_digits(F.concat(F.lit("id "), (e + 10_000_000).cast("string"))).alias("redacted"), X.part_name(F.concat(text, F.lit(".opus"))).alias("file"), X.speaker(even, F.lit("Me"), F.lit("You")).alias("speaker"),
+        F.round(X.backoff(e % 9, 3, 300, F.col("value") / 100), 6).alias("wait"),
+    )
+
+
+@query("""SELECT event_id AS id, '{"i":' || event_id % 8 || ',"ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","speaker":"s","text":"' || replace(props, '"', '\\"') || '"}' AS line FROM events""")
+def prompt_lines(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return T.read(spark, d, "events").select(e.alias("id"), X.prompt_line(e % 8, F.col("ts"), F.lit("s"), F.col("props")).alias("line"))
+
+
+@query("SELECT id, contains(object_literal, '%') AS percent, contains(lower(object_literal), 'k') AS letter FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'K% off' ELSE object_literal END AS object_literal FROM edges) WHERE object_literal IS NOT NULL")
+def literal_search(spark: SparkSession, d: str) -> DataFrame:
+    e = T.edges(spark, d).withColumn("object_literal", F.when(F.col("id") % 2 == 0, "K% off").otherwise(F.col("object_literal"))).filter("object_literal IS NOT NULL")
+    return e.select("id", R.contains(F.col("object_literal"), "%").alias("percent"), R.contains(F.col("object_literal"), "K").alias("letter"))
+
+
+@query("SELECT id FROM messages WHERE conversation_id = (SELECT min(conversation_id) FROM messages) AND external_id = (SELECT min(external_id) FROM messages WHERE conversation_id = (SELECT min(conversation_id) FROM messages)) ORDER BY id LIMIT 1")
+def message_by_external_id(spark: SparkSession, d: str) -> DataFrame:
+    m = T.messages(spark, d)
+    c = m.agg(F.min("conversation_id")).first()[0]
+    x = m.filter(F.col("conversation_id") == c).agg(F.min("external_id")).first()[0]
+    return R.message_by_external_id(m, c, x).select("id")
+
+
+@query("SELECT vec_id AS message_id, len(embedding) AS width FROM embeddings WHERE vec_id = 3")
+def embedding_by_message(spark: SparkSession, d: str) -> DataFrame:
+    return R.embedding_of(T.embeddings(spark, d), 3).select("message_id", F.size("vector").cast("long").alias("width"))
+
+
+@query("SELECT e.id FROM edges e WHERE e.id IN (SELECT user_id FROM events)")
+def edges_by_id_table(spark: SparkSession, d: str) -> DataFrame:
+    return R.by_id_table(T.edges(spark, d), T.read(spark, d, "events").select("user_id")).select("id")
+
+
+@query("SELECT id FROM messages WHERE id IN (2, 4, 400)")
+def messages_by_ids(spark: SparkSession, d: str) -> DataFrame:
+    return R.by_ids(T.messages(spark, d), [2, 4, 400]).select("id")
+
+
+@query(_RECENCY.replace(", recent", _KINDS + ", recent", 1) + " SELECT contact_id, last FROM recent WHERE contact_id = (SELECT min(contact_id) FROM recent)")
+def relationship_of_contact(spark: SparkSession, d: str) -> DataFrame:
+    stats = A.relationship_stats(T.messages(spark, d), T.edges(spark, d), ME, AS_OF)
+    return R.relationship(stats, stats.agg(F.min("contact_id")).first()[0]).select("contact_id", "last")
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+def status_tally(spark: SparkSession, d: str) -> DataFrame:
+    return reports.tally(T.read(spark, d, "events").select(F.col("event_type").alias("status")))
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN round(-value, 6) ELSE round((-value - 1) / 2, 6) END AS segments, CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN round(value, 6) ELSE round((value + 0.25) / 2, 6) END AS mean, CASE event_id % 3 WHEN 1 THEN value WHEN 2 THEN least(value, 0.25) END AS least FROM events")
+def transcript_metrics(spark: SparkSession, d: str) -> DataFrame:
+    e, v = F.col("event_id"), F.col("value")
+    segments = F.when(e % 3 == 1, F.array(F.struct((-v).alias("avg_logprob")))).when(e % 3 == 2, F.array(F.struct((-v).alias("avg_logprob")), F.struct(F.lit(-1.0).alias("avg_logprob")))).otherwise(F.array().cast("array<struct<avg_logprob:double>>"))
+    words = F.when(e % 3 == 1, F.array(F.struct(v.alias("probability")))).when(e % 3 == 2, F.array(F.struct(v.alias("probability")), F.struct(F.lit(0.25).alias("probability")))).otherwise(F.array().cast("array<struct<probability:double>>"))
+    rows = T.read(spark, d, "events").select(e.alias("id"), models.segment_mean(segments).alias("s"), models.word_metrics(words).alias("w"))
+    return rows.select("id", F.round("s", 6).alias("segments"), F.round("w.mean", 6).alias("mean"), F.col("w.least").alias("least"))
+
+
+# --- rows put in, changed and taken out; recovery; totals ---------------------------------------------------------
+
+
+@query("SELECT id, CASE WHEN id >= 20000000000 THEN epoch_us(TIMESTAMP '2024-02-15') ELSE epoch_us(first_seen) END AS first_us FROM (SELECT id, first_seen FROM edges UNION ALL SELECT id + 20000000000, first_seen FROM edges WHERE predicate = 'likes')")
+def inserted_edges(spark: SparkSession, d: str) -> DataFrame:
+    e, none = T.edges(spark, d), F.lit(None).cast("timestamp_ntz")
+    new = e.filter("predicate = 'likes'").withColumns({"id": F.col("id") + 20_000_000_000, "first_seen": none, "last_reinforced": none})
+    return mutations.store_memory(e, new, AS_OF).select("id", us("first_seen", "first_us"))
+
+
+@query("SELECT subject_id AS contact_id, max(n)::DOUBLE AS frequency FROM (SELECT subject_id, 1 AS n FROM edges UNION ALL SELECT subject_id, 2 FROM edges WHERE predicate = 'likes') GROUP BY 1")
+def upsert_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = T.edges(spark, d)
+    old = e.select(F.col("subject_id").alias("contact_id"), F.lit(1.0).alias("frequency")).distinct()
+    return mutations.replace_by_key(old, e.filter("predicate = 'likes'").select(F.col("subject_id").alias("contact_id"), F.lit(2.0).alias("frequency")).distinct(), "contact_id")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'Renamed' ELSE canonical_name END AS canonical_name FROM entities WHERE id % 7 <> 0")
+def updated_entities(spark: SparkSession, d: str) -> DataFrame:
+    e = T.entities(spark, d)
+    new = mutations.update_rows(e, e.filter("id % 3 = 0").select("id", F.lit("Renamed").alias("canonical_name")), "canonical_name")
+    return mutations.delete_rows(new, e.filter("id % 7 = 0").select("id")).select("id", "canonical_name")
+
+
+_LOST = f" FROM messages m LEFT JOIN entities s ON s.id = m.sender_id WHERE NOT processed AND {_TEXT}"
+
+
+@query("SELECT count(*) FILTER (s.id IS NULL) AS errors, count(*) FILTER (s.id IS NOT NULL) AS recovered" + _LOST.replace("entities s", "(SELECT id FROM entities WHERE id % 2 <> 0) s"))
+def recovery_errors(spark: SparkSession, d: str) -> DataFrame:
+    return windows.recovery_errors(T.messages(spark, d), T.entities(spark, d).filter("id % 2 <> 0"))
+
+
+@query("SELECT m.id, conversation_id" + _LOST + " AND s.id IS NOT NULL")
+def recovery_windows(spark: SparkSession, d: str) -> DataFrame:
+    got = windows.recovery_windows(T.messages(spark, d), T.entities(spark, d))
+    return got.select("id", "conversation_id")
+
+
+@query("SELECT count(*) FILTER (error IS NULL) AS conversations, sum(messages)::BIGINT AS messages, sum(windows)::BIGINT AS windows, sum(triples)::BIGINT AS triples, count(*) FILTER (error IS NOT NULL) AS failed FROM (SELECT conversation_id, count(*) AS messages, count(*) // 8 AS windows, max(id) AS triples, CASE WHEN conversation_id % 3 = 0 THEN 'x' END AS error FROM messages GROUP BY 1)")
+def import_totals(spark: SparkSession, d: str) -> DataFrame:
+    c = F.count("*")
+    return reports.import_totals(T.messages(spark, d).groupBy("conversation_id").agg(c.alias("messages"), F.floor(c / 8).alias("windows"), F.max("id").alias("triples")).withColumn("error", F.when(F.col("conversation_id") % 3 == 0, "x")))
+
+
+@query("SELECT event_type, least(count(*), 12) AS n FROM events GROUP BY 1")
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.read(spark, d, "events").select(F.col("event_id").alias("id"), "event_type")
+    return reports.stratified_sample(rows, "event_type", 60, 1).groupBy("event_type").agg(F.count("*").alias("n"))  # five types
+
+
+@query("SELECT window_id, ids, 'text' AS kind FROM (SELECT conversation_id AS window_id, count(*) AS ids FROM messages WHERE media_type = 'text' GROUP BY 1)")
+def merged_runs(spark: SparkSession, d: str) -> DataFrame:
+    n = T.messages(spark, d).filter("media_type = 'text'").groupBy(F.col("conversation_id").alias("window_id")).agg(F.count("*").alias("ids"))
+    return reports.merged_runs([n.filter("window_id % 2 = 0"), n.filter("window_id % 2 <> 0").withColumn("extra", F.lit(1))]).select("window_id", "ids", F.lit("text").alias("kind"))

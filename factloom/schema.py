@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,7 +87,3 @@ def expect(df: DataFrame, schema: T.StructType) -> DataFrame:
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)} (schema version {VERSION})")
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__or__, conditions, F.lit(False))

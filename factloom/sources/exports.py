@@ -121,17 +121,18 @@ def _raw(rows: DataFrame, platform: str) -> DataFrame:
     return rows.select("external_id", F.lit(platform).alias("platform"), "conversation_id", F.col("sender").alias("sender_external_id"), F.col("stamp").alias("timestamp"), "media_type", "text", "media_url", "position")
 
 
-def parse_text_exports(files: DataFrame) -> DataFrame:
-    """Messages of text exports (clock times are taken as UTC), with their position in the file."""
-    rows = split_files(files).filter("stamp IS NOT NULL").withColumn("c", classified(F.col("body"))).filter("c.media_type IS NOT NULL")
+def parse_text_exports(files: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Messages of text exports, with their position in the file.  zone: where the clock times of the export were taken."""
+    rows = split_files(files).filter("stamp IS NOT NULL").withColumn("stamp", F.to_utc_timestamp("stamp", zone).cast("timestamp_ntz"))
+    rows = rows.withColumn("c", classified(F.col("body"))).filter("c.media_type IS NOT NULL")
     rows = rows.select("conversation_id", "position", "sender", "body", "stamp", "c.*")
     return _raw(with_external_ids(rows, TEXT_PREFIX, F.col("body"), "position"), "whatsapp")
 
 
-def read_text_exports(spark: SparkSession, folder: str) -> DataFrame:
+def read_text_exports(spark: SparkSession, folder: str, zone: str = "UTC") -> DataFrame:
     """All *.txt of a folder (not below it); the file's name without ending is the conversation."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
-    return parse_text_exports(files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("conversation_id"), "value"))
+    return parse_text_exports(files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("conversation_id"), "value"), zone)
 
 
 REF = "array<struct<uri:string>>"

@@ -6,10 +6,12 @@ nothing has arrived for a while.  Message times decide the rule, arrival times a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import threading
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -95,7 +97,68 @@ def first_seen_only(messages: DataFrame) -> DataFrame:
     return keyed.dropDuplicates(["conversation_id", "__k"]).drop("__k")
 
 
-def drain(query) -> None:
-    """Takes in what has arrived, then stops."""
-    query.processAllAvailable()
+def drain(query, seconds: float = 30.0) -> bool:
+    """Takes in what has arrived, for `seconds` at most, then stops; whether all of it was taken in."""
+    done = threading.Thread(target=lambda: _quietly(query.processAllAvailable), daemon=True)
+    done.start()
+    done.join(seconds)
+    whole = not done.is_alive()
     query.stop()
+    return whole
+
+
+def _quietly(f) -> None:
+    try:
+        f()
+    except Exception:  # noqa: BLE001 - the query was stopped before all was taken in
+        pass
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The windows that a stopped query left open, as its other windows: closed_by is `shutdown`.  Their messages count as
+    processed only once the caller has done so; until then recovery finds them."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    return state.select(F.col("key.conversation_id").alias("conversation_id"), F.col("value.index").alias("window_index"), F.col("value.ids").alias("ids"), F.lit("shutdown").alias("closed_by")).filter(F.size("ids") > 0)
+
+
+class Intake:
+    """A sink for writeStream.foreachBatch that tries again, and an intake gate.
+
+    store(batch, number) stores one micro-batch.  A failure is tried `attempts` times, with waits that double; then the batch fails
+    and the stream with it, so that it is read again after a restart.  Batches that were stored before are known by their
+    number and left out.  After close() nothing more is let in; wait() tells whether what was under way has ended in time.
+    """
+
+    def __init__(self, store: Callable[[DataFrame, int], None], attempts: int = 3, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep):
+        self.store, self.attempts, self.pause, self.sleep = store, attempts, wait, sleep
+        self.forwarded = self.duplicates = self.retries = self.failed = 0
+        self.last, self.open, self.idle = -1, True, threading.Event()
+        self.idle.set()
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if not self.open:
+            raise RuntimeError("intake closed")
+        if number <= self.last:
+            self.duplicates += 1
+            return
+        self.idle.clear()
+        try:
+            for k in range(self.attempts):
+                try:
+                    self.store(batch, number)
+                    self.forwarded, self.last = self.forwarded + 1, number
+                    return
+                except Exception:
+                    if k == self.attempts - 1:
+                        self.failed += 1
+                        raise
+                    self.retries += 1
+                    self.sleep(self.pause * 2**k)
+        finally:
+            self.idle.set()
+
+    def close(self) -> None:
+        self.open = False
+
+    def wait(self, seconds: float) -> bool:
+        return self.idle.wait(seconds)

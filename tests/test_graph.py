@@ -61,7 +61,8 @@ def test_reply_pairs(spark):
 
 def test_medians(spark):
     df = spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40)], "x double")
-    assert df.select(A.exact_median(F.col("x")).alias("m"), A.upper_median(F.col("x")).alias("u")).first() == (25, 30)
+    assert df.select(A.exact_median(F.col("x")).alias("m")).first().m == 25 and A.upper_median(df, "x") == 30
+    assert A.upper_median(df.limit(0), "x") is None
     assert df.limit(0).select(A.exact_median(F.col("x"))).first()[0] == -1
 
 
@@ -161,7 +162,7 @@ def test_entities_are_made_once(spark):
     people = spark.createDataFrame([("1", "Ann", False), ("0", "Me", True)], "id string, canonical_name string, is_self boolean")
     wanted = spark.createDataFrame([("ANN", "person", 1), ("Bob", "topic", 2), ("bob", "person", 3)], "name string, type string, seq int")
     assert [tuple(r) for r in mutations.get_or_create(people, wanted).collect()] == [("Bob", "topic")]
-    assert mutations.bootstrap_problems(people, "ann") == ["another entity has this name"]
+    assert mutations.bootstrap_problems(people, "ann") == ["the self entity has another name", "another entity has this name: ann"]
     ids = spark.createDataFrame([("whatsapp", "12345678@s.whatsapp.net")], "platform string, identity string")
     senders = spark.createDataFrame([("whatsapp", "+1234 5678"), ("whatsapp", "Zoe")], "platform string, sender string")
     assert {r.sender: r.name for r in mutations.resolve_senders(senders, people, ids).collect()} == {"+1234 5678": "Me", "Zoe": "Zoe"}
@@ -169,11 +170,11 @@ def test_entities_are_made_once(spark):
         mutations.resolve_senders(spark.createDataFrame([("whatsapp", "me")], "platform string, sender string"), people, ids).collect()
 
 
-CLAIM = "claim_id string, window_seq int, triple_seq int, subject_id string, predicate string, object_id string, object_literal string, confidence double, is_correction boolean, replaces_object string, replaces_id string, source_type string, source_message_ids array<string>"
+CLAIM = "claim_id string, window_seq int, triple_seq int, subject_id string, predicate string, object_id string, object_literal string, confidence double, is_correction boolean, replaces_object string, replaces_id string, source_type string, source_message_ids array<string>, correction_source_index int"
 
 
-def claim(id_, lit, seq, correction=False, replaces=None, sources=("m1",)):
-    return (id_, seq, 0, "s", "likes", None, lit, 0.8, correction, replaces, None, "voice_transcript", list(sources))
+def claim(id_, lit, seq, correction=False, replaces=None, sources=("m1",), index=None):
+    return (id_, seq, 0, "s", "likes", None, lit, 0.8, correction, replaces, None, "voice_transcript", list(sources), index)
 
 
 def store(spark, facts, claims, extra=()):
@@ -204,6 +205,84 @@ def test_old_claims_do_not_bring_facts_back(spark, until, action):
     assert store(spark, facts, [claim("1", "tea", 1)])[1] == {"1": action}
 
 
+def test_a_correction_has_the_time_of_its_message(spark):
+    window = ("m", "m1", "late")  # days 0, 1 and 5
+    out, acts = store(spark, [edge("a", "tea", day=2)], [claim("1", "juice", 1, True, sources=window, index=1)])
+    (new,) = [r for r in out.values() if r.is_correction]
+    assert acts == {"1": "corrected"} and new.first_seen == new.last_reinforced == T0 + dt.timedelta(days=1)
+    out, acts = store(spark, [edge("a", "tea", day=2)], [claim("1", "tea", 1, True, sources=window, index=2)])
+    assert acts == {"1": "reinforced"} and (out["a"].first_seen, out["a"].last_reinforced) == (T0 + dt.timedelta(days=2), T0 + dt.timedelta(days=5))
+    out, _ = store(spark, [edge("a", "tea", day=2)], [claim("1", "tea", 1, sources=window)])
+    assert (out["a"].first_seen, out["a"].last_reinforced) == (T0, T0 + dt.timedelta(days=5))
+
+
+def test_names_become_entities(spark):
+    people = spark.createDataFrame([("1", "Ann", False), ("0", "Zoe", True)], "id string, canonical_name string, is_self boolean")
+    rows = [(1, 0, "ANN", "likes", "Tea", "entity"), (1, 1, " zoe d ", "pet_of", "Rex", "entity"), (2, 0, "rex", "likes", "tea", "entity"), (2, 1, "Bo", "likes", "sun", "literal")]
+    got, new = triples.resolve_names(spark.createDataFrame(rows, "window_seq int, triple_seq int, subject string, predicate string, object string, object_type string"), people, ("Zoe", "Zoe D"))
+    made = {r.canonical_name: r for r in new.collect()}
+    assert {n: r.type for n, r in made.items()} == {"Tea": "object", "Rex": "person", "Bo": "person"}
+    ids = {(r.window_seq, r.triple_seq): (r.subject_id, r.object_id, r.object_literal) for r in got.collect()}
+    assert ids == {(1, 0): ("1", made["Tea"].id, None), (1, 1): ("0", made["Rex"].id, None), (2, 0): (made["Rex"].id, made["Tea"].id, None), (2, 1): (made["Bo"].id, None, "sun")}
+
+
+def plain_runs(times, idle, longest, start, end):
+    """The trigger's rule, a second at a time."""
+    activity = run = start
+    done, out = False, []
+    for now in range(start, end + 1):
+        if now - activity >= idle and not done:
+            out.append((now, "idle_threshold"))
+            run, done = now, True
+        elif now - run >= longest and now < end:
+            out.append((now, "max_interval_fallback"))
+            run, done = now, True
+        if now in times:
+            activity, done = now, False
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_idle_runs_equal_the_rule_second_by_second(spark, seed):
+    rng, at, times = random.Random(seed), 0, [0]
+    for _ in range(rng.choice([5, 60])):
+        at += rng.choice([3, 17, 59, 61, 200] if seed % 2 else [7, 11])
+        times.append(at)
+    end = at + rng.choice([10, 500])
+    m = messages(spark, [(f"c{k % 3}", "a", t) for k, t in enumerate(times)])
+    base = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
+    got = A.idle_points(m, 60, 97, until=str(T0 + dt.timedelta(seconds=end)))
+    assert sorted((r.at - base, r.reason) for r in got.collect()) == plain_runs(set(times), 60, 97, 0, end)
+
+
+def test_a_busy_series_has_fallback_runs(spark):
+    m = messages(spark, [("c", "a", 600 * k) for k in range(6 * 24 * 3)])  # three days, a message every ten minutes
+    got = A.idle_points(m).collect()
+    assert [r.reason for r in got] == ["max_interval_fallback"] * 3
+
+
+def test_self_entity_is_made_once(spark):
+    none = spark.createDataFrame([("1", "person", "Ann", False, None, None, None)], S.ENTITIES)
+    made = mutations.bootstrap_self(none, "Zoe", ("+49 30 1",), AS_OF)
+    assert [(r.canonical_name, r.type) for r in made.filter("is_self").collect()] == [("Zoe", "person")]
+    assert mutations.bootstrap_self(made, "ZOE", (), AS_OF).count() == 2
+    with pytest.raises(ValueError, match="another name.*another entity has this name: ann"):
+        mutations.bootstrap_self(made, "Zo", ("Ann",), AS_OF)
+
+
+def test_recovery_counts_messages_of_unknown_senders(spark):
+    m = messages(spark, [("c", "a", 0), ("c", "gone", 1), ("c", "a", 2)])
+    people = spark.createDataFrame([("a", "Ann")], "id string, canonical_name string")
+    assert {r.id for r in windows.recovery_windows(m, people).collect()} == {0, 2}
+    assert windows.recovery_errors(m, people).first().asDict() == {"errors": 1, "recovered": 2}
+
+
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_one_busy_conversation_streams_through_its_window_rule(spark, n):
+    got = windows.live_windows(messages(spark, [("c", "a", 20 * k) for k in range(n)])).groupBy("window_index").count()
+    assert {r["count"] for r in got.collect()} == {10} and got.count() == n // 10
+
+
 def test_only_own_messages_correct(spark):
     m = spark.createDataFrame([("m1", "me"), ("m2", "a")], "id string, sender_id string")
     people = spark.createDataFrame([("me", True), ("a", False)], "id string, is_self boolean")
@@ -223,12 +302,30 @@ def test_reports(spark):
     df = spark.createDataFrame([(i, f"f{i % 3}", float(i)) for i in range(30)], "id int, file string, confidence double")
     sample = reports.stratified_sample(df, "file", 7, 1)
     assert sample.count() == 7 and {r.file for r in sample.collect()} == {"f0", "f1", "f2"}
+    uneven = spark.createDataFrame([(i, "a" if i else "b") for i in range(101)], "id int, file string")
+    assert reports.stratified_sample(uneven, "file", 10, 1).count() == 6
     assert reports.stratified_sample(df, "file", 99, 1).count() == 30
     assert reports.distribution(df).first().median == 15
     kinds = spark.createDataFrame([(i, f"k{i % 40}") for i in range(80)], "id int, event_type string")
     assert reports.event_counts(kinds).filter("event_type = '(other)'").first().n == 16
 
 
+def test_trial_run_report(spark, tmp_path):
+    w = spark.createDataFrame([(1, True), (2, True), (3, False)], "window_id int, is_candidate boolean")
+    o = spark.createDataFrame([(1, "created"), (1, "corrected")], "window_id int, action string")
+    t = spark.createDataFrame([(1, 0.5), (2, 0.9)], "id int, confidence double")
+    bad = spark.createDataFrame([("unknown_predicate",)], "reject_reason string")
+    usage = spark.createDataFrame([("m", "chat", 1, 2, 3, 0.0, False, "x", T0)], "model string, path string, prompt_tokens long, completion_tokens long, total_tokens long, estimated_cost_usd double, price_found boolean, agent string, timestamp_utc timestamp")
+    usage.write.parquet(f"{tmp_path}/usage")
+    read = reports.read_usage(spark, f"{tmp_path}/usage", "x", "2024-01-31", "2024-02-02")
+    got = reports.dry_run_report(w, o, t, bad, read, 2)
+    assert got["windows"]["candidates"] == 2 and got["actions"]["created"] == 1 and got["zero_yield_windows"] == 1 and got["rejected"] == {"unknown_predicate": 1}
+    assert reports.read_usage(spark, f"{tmp_path}/usage", "x", "2024-02-02").count() == 0
+    assert '"zero_yield_windows": 1' in reports.as_json(got) and "| m | chat | 1 | 1 | 2 | 3 | not measured | 0 |" in reports.as_markdown(got)
+    reports.write_report(reports.as_markdown(got), f"{tmp_path}/r.md")
+    assert (tmp_path / "r.md").stat().st_mode & 0o777 == 0o600
+
+
 def test_snapshots(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     assert s.versions() == []

@@ -3,6 +3,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
+
 from factloom.operators.windows import live_windows as batch_windows
 from factloom.streaming import live_windows as L
 
@@ -34,6 +36,8 @@ def test_stream_equals_batch(spark, tmp_path):
         want.setdefault((r.conversation_id, r.window_index), []).append(r.id)
     last = {c: max(i for k, i in want if k == c) for c in "ab"}
     assert got == {tuple(v) for (c, i), v in want.items() if i < last[c]}  # the last window of each is still open
+    left = L.open_windows(spark, f"{tmp_path}/cp").collect()
+    assert {(r.conversation_id, r.window_index, tuple(r.ids)) for r in left} == {(c, last[c], tuple(want[c, last[c]])) for c in "ab"}
 
 
 def test_first_message_of_a_key_stays(spark, tmp_path):
@@ -46,3 +50,23 @@ def test_flush_and_open_windows():
     assert w.flush() is None
     assert w.add("a", 0) is None and w.add("b", -5) is None and w.flush() == ["a", "b"]
     assert w.add("c", 0) is None and w.add("d", 300_000_001) == ["c"]
+
+
+def test_intake_tries_again_and_closes():
+    calls, waits = [], []
+
+    def store(batch, number):
+        calls.append(number)
+        if len(calls) in (1, 2) or number == 9:
+            raise OSError
+
+    sink = L.Intake(store, attempts=3, wait=0.5, sleep=waits.append)
+    sink("rows", 0)
+    sink("rows", 0)
+    assert (calls, waits, sink.forwarded, sink.retries, sink.duplicates) == ([0, 0, 0], [0.5, 1.0], 1, 2, 1)
+    with pytest.raises(OSError):
+        sink("rows", 9)
+    sink.close()
+    with pytest.raises(RuntimeError, match="closed"):
+        sink("rows", 10)
+    assert sink.failed == 1 and sink.wait(0)
