@@ -59,7 +59,8 @@ class Windows(StatefulProcessor):
         return LiveWindow(self.size, self.seconds, list(ids), first), index
 
     def _frame(self, key, rows: list[tuple[int, list[str], str]]) -> pd.DataFrame:
-        return pd.DataFrame({"conversation_id": [key[0]] * len(rows), "window_index": [r[0] for r in rows], "ids": [r[1] for r in rows], "closed_by": [r[2] for r in rows]})
+        cols = {"conversation_id": [key[0]] * len(rows), "window_index": [r[0] for r in rows], "ids": [r[1] for r in rows], "closed_by": [r[2] for r in rows]}
+        return pd.DataFrame({c: pd.Series(v, dtype="int64" if c == "window_index" else object) for c, v in cols.items()})  # typed also without rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         window, index = self._load()

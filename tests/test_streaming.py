@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 import pytest
 
@@ -52,6 +53,21 @@ def test_flush_and_open_windows():
     assert w.add("c", 0) is None and w.add("d", 300_000_001) == ["c"]
 
 
+def test_the_timer_closes_an_idle_window(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", L.PROVIDER)
+    spark.createDataFrame([("1", "a", T0, None), ("2", "a", T0, None)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    q = L.live_windows(stream, idle=1).writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 120
+        while time.time() < end and not spark.table("timed").count():
+            time.sleep(1)
+        assert [(r.ids, r.closed_by) for r in spark.table("timed").collect()] == [(["1", "2"], "idle")]
+    finally:
+        L.drain(q, 5)
+    assert not q.isActive
+
+
 def test_intake_tries_again_and_closes():
     calls, waits = [], []
 
