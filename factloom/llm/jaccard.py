@@ -403,6 +403,7 @@ def one_of_each(df: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; nulls, texts without words, ties and repeats as in `jaccard_groups`."""
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 

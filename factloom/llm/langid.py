@@ -152,13 +152,19 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", keep: list[
 
 
 def recognised(docs: DataFrame, learn_from: Column) -> DataFrame:
-    """The rows of docs in a language that the model knows and tells apart, learned where learn_from holds."""
+    """The rows of docs in a language that the model knows and tells apart, learned where learn_from holds.
+
+    Null, empty and letterless texts go.  Rows are judged one by one, so equal texts stay or go together and repeats stay
+    repeated.  Without anything to learn from no language is known, and no row stays.
+    """
     model = train(docs.filter(learn_from))
     out = identify(docs, model)
     return out.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, learned from those whose crc32 modulo 3 is not 1.  Null, empty and letterless texts are `und`; a row that
+    repeats is judged each time; rows without lang teach nothing; see `identify`."""
     docs = table(spark, sf_dir, "documents")
     held = is_remainder(F.col("doc_id"), 3, 1)
     model = train(docs.filter(~held))

@@ -121,4 +121,5 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null texts are empty, equal texts give equal values, repeats a row each; see `media_column`."""
     return media_column(table(spark, sf_dir, "documents"))

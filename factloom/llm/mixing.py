@@ -106,7 +106,11 @@ def mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX
 
 
 def mixed(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The mix itself: df's columns, each row as often as `mix` says."""
+    """The mix itself: df's columns, each row as often as `mix` says.
+
+    Rows of equal id, text and source are taken equally often; a null source is a source of its own, and a text without
+    words (null, empty) fills no target: it comes as often as its hash and its source's thresholds say.
+    """
     small = cut(measured(df.select("doc_id", "text", F.col("source").cast("string").alias("source"))).drop("text"))
     plan = thresholds(small, weights, max_repeat)
     rows = with_copies(df.withColumn("h", row_hash(F.col("doc_id"), F.col("text"))), plan).filter("copies > 0")
@@ -114,6 +118,7 @@ def mixed(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null source is a source, a null text has no words; rows wholly alike are taken alike; see `mix`."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

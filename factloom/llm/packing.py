@@ -217,4 +217,5 @@ def pack(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_co
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null and empty texts are one token; rows that share an id are packed each by itself; see `pack`."""
     return pack(table(spark, sf_dir, "documents"))

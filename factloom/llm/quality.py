@@ -236,7 +236,11 @@ def judge(docs: DataFrame, labels: DataFrame, learn_from, keep: tuple[str, ...]
 
 
 def good(docs: DataFrame, labels: DataFrame, learn_from) -> DataFrame:
-    """The rows of docs (doc_id, text and others) with a score of KEEP_FROM or more."""
+    """The rows of docs (doc_id, text and others) with a score of KEEP_FROM or more.
+
+    A null text counts as empty.  Rows are judged one by one, so equal texts stay or go together and repeats stay repeated.
+    Without labels to learn from all rows stay.
+    """
     model = train(with_statistics(docs.filter(learn_from), ["doc_id"]).join(labels.select("doc_id", "quality").distinct(), "doc_id"))
     if model is None:
         return docs
@@ -249,6 +253,7 @@ def good(docs: DataFrame, labels: DataFrame, learn_from) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null and empty texts get a score as others do, equal texts equal ones, repeats a row each; see `judge`."""
     held = is_remainder(F.col("doc_id"), 3, 1)
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))

@@ -166,6 +166,7 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_co
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings; vectors with a null or non-finite component take no part, ties go to smaller ids; see `top_k`."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
 
 
