@@ -36,6 +36,8 @@ class Params:
     #: A shingle is very frequent from so many nodes on; so many of them are known to all tasks at most.
     hot: int = 1000
     max_hot: int = 100_000
+    #: Bits of a set's first digest; fewer only serve to test what happens when digests of different sets meet.
+    digest_bits: int = 64
     #: Bytes of one unit of work, about.
     unit_bytes: int = 24 << 20
 
@@ -73,14 +75,25 @@ def shingle_sets(col: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]
     return h, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))]).astype(np.int64)
 
 
-def digests(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set."""
+#: Salts of a set's first and second digest.
+DIGEST, SECOND = 0xA0761D6478BD642F, 0x8EBC6AF09C88C6E3
+NONE = np.zeros(0, np.int64)
+
+
+def _digest(h: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64)])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ np.uint64(salt)), dtype=np.uint64)])
         n = np.diff(bounds).astype(np.uint64)
         return mix64(total[bounds[1:]] - total[bounds[:-1]] + n * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
 
 
+def digests(h: np.ndarray, bounds: np.ndarray, twins: np.ndarray = NONE, bits: int = 64) -> np.ndarray:
+    """What names each set: its first digest, or its second where the first is one of `twins`, which different sets share."""
+    dig = _digest(h, bounds, DIGEST) & np.int64(-1 if bits == 64 else (1 << bits) - 1)
+    shared = np.isin(dig, twins) if len(twins) else NONE
+    return np.where(shared, _digest(h, bounds, SECOND), dig) if shared.any() else dig
+
+
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """values[bounds[i]:bounds[i + 1]] as bytes, for each i."""
     raw = np.ascontiguousarray(values)
@@ -117,23 +130,25 @@ def _take(h: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> tuple[np.ndarr
 
 
 def measured(df: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """id, n, dig for each row (kind 0; dig null for empty sets), and shingles frequent in a slice (kind 1: dig, n)."""
+    """id, n, both digests of each row (kind 0; null for empty sets), and shingles frequent in a slice (kind 1: dig, n)."""
+
+    names = ["kind", "id", "n", "dig", "second"]
 
     def run(batches):
         fresh = _Fresh()
         for b, col in slices(batches, text_col, SLICE):
             ids = b.column(b.schema.get_field_index(id_col))
             h, bounds = shingle_sets(col, p.width)
-            n, dig = np.diff(bounds), digests(h, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n)), pa.int32()), ids, pa.array(n), pa.array(dig, mask=n == 0)], ["kind", "id", "n", "dig"])
+            n, dig = np.diff(bounds), digests(h, bounds, bits=p.digest_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n)), pa.int32()), ids, pa.array(n), pa.array(dig, mask=n == 0), pa.array(_digest(h, bounds, SECOND), mask=n == 0)], names)
             own, count = np.unique(_take(h, bounds, fresh(dig, n > 0))[0], return_counts=True)
             often = count >= 4
             if often.any():
                 k = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), pa.nulls(k, ids.type), pa.array(count[often]), pa.array(own[often].view(np.int64))], ["kind", "id", "n", "dig"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k), pa.int32()), pa.nulls(k, ids.type), pa.array(count[often]), pa.array(own[often].view(np.int64)), pa.nulls(k, pa.int64())], names)
 
     rows = df.select(id_col, text_col)
-    return rows.mapInArrow(tidy(run), f"kind int, id {dict(rows.dtypes)[id_col]}, n long, dig long")
+    return rows.mapInArrow(tidy(run), f"kind int, id {dict(rows.dtypes)[id_col]}, n long, dig long, second long")
 
 
 def _range(n: np.ndarray) -> np.ndarray:
@@ -141,7 +156,7 @@ def _range(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(1.2 - 1e-9)).astype(np.int64)
 
 
-def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets: int) -> DataFrame:
+def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets: int, twins: np.ndarray) -> DataFrame:
     """The first shingles of each node, packed by bucket of the shingle: (h, dig, n, sure) side by side.
 
     A very frequent shingle would bring very many nodes together.  Its nodes meet slice by slice (sure is 1), and one
@@ -152,7 +167,7 @@ def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets:
         fresh, part, count = _Fresh(), TaskContext.get().partitionId(), 0
         for _, col in slices(batches, text_col, SLICE):
             h, bounds = shingle_sets(col, p.width)
-            dig = digests(h, bounds)
+            dig = digests(h, bounds, twins, p.digest_bits)
             keep = fresh(dig, np.diff(bounds) > 0)
             h, bounds = _take(h, bounds, keep)
             dig, n = dig[keep], np.diff(bounds)
@@ -242,7 +257,7 @@ def _key(dig: np.ndarray, id_hash: np.ndarray) -> np.ndarray:
     return dig ^ id_hash
 
 
-def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.ndarray, full: bool) -> DataFrame:
+def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.ndarray, full: bool, twins: np.ndarray) -> DataFrame:
     """dig, n, map (bitmap) and, if full, members of the nodes whose first document passes the filter."""
     names = ["dig", "n", "map", *["members"] * full]
 
@@ -250,7 +265,7 @@ def sets_of(df: DataFrame, p: Params, id_col: str, text_col: str, filter_: np.nd
         fresh = _Fresh()
         for b, col in slices(batches, text_col, SLICE):
             h, bounds = shingle_sets(col, p.width)
-            dig = digests(h, bounds)
+            dig = digests(h, bounds, twins, p.digest_bits)
             ok = _passes(filter_, _key(dig, b.column("id_hash").to_numpy())) & (np.diff(bounds) > 0)
             keep = fresh(dig, ok)
             h, bounds = _take(h, bounds, keep)
@@ -348,11 +363,17 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     than `width` words are one shingle).  component_id is the smallest id that links lead to, its own included.  Null
     and empty texts, and those without words, have no shingle and no link: their component is their own id.  Rows that
     share an id count each by itself.  A null id counts as larger than any other.  Whole texts count, of any length.
-    Sets are compared by 64-bit hashes of their shingles.
+    Sets are compared by 64-bit hashes of their shingles; two digests of 64 bits tell different sets apart.
     """
     spark = df.sparkSession
     rows = cut(measured(df, p, id_col, text_col))
-    docs = rows.filter("kind = 0").select("id", "n", "dig")
+    docs = rows.filter("kind = 0").select("id", "n", "dig", "second")
+    nodes = cut(docs.filter("n > 0").groupBy("dig").agg(F.min("id").alias("first"), F.min("second").alias("low"), F.max("second").alias("high")))
+    twins = nodes.filter("low <> high").select("dig").toArrow().column("dig").to_numpy()  # n documents have about n * n / 2^65
+    if len(twins):
+        shared = F.broadcast(spark.createDataFrame([(int(x),) for x in twins], "dig long")).withColumn("shared", F.lit(True))
+        docs = docs.join(shared, "dig", "left").withColumn("dig", F.when(F.col("shared"), F.col("second")).otherwise(F.col("dig")))
+        nodes = docs.filter("n > 0").groupBy("dig").agg(F.min("id").alias("first"))
     hot = rows.filter("kind = 1").groupBy("dig").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.hot).orderBy(F.desc("n"), "dig").limit(p.max_hot).toArrow()
     hot = np.sort(hot.column("dig").to_numpy().view(np.uint64))
     total = docs.agg(F.sum("n")).first()[0] or 0
@@ -362,17 +383,16 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def keys(found: DataFrame) -> DataFrame:
         return found.select(F.col("dig").bitwiseXOR(F.xxhash64("first")).alias("key"))
 
-    nodes = docs.filter("n > 0").groupBy("dig").agg(F.min("id").alias("first"))
-    met = cut(groups(prefixes(df, p, text_col, hot, buckets), p))
+    met = cut(groups(prefixes(df, p, text_col, hot, buckets, twins), p))
     members = cut(met.filter("gid IS NOT NULL").select("gid", F.col("a").alias("dig")).distinct())
     edges = met.filter("gid IS NULL").select("a", "b")
-    survivors = cut(members.select("dig").union(edges.select("a")).union(edges.select("b")).distinct().join(nodes, "dig"))
+    survivors = cut(members.select("dig").union(edges.select("a")).union(edges.select("b")).distinct().join(nodes.select("dig", "first"), "dig"))
     filter_ = bloom(keys(survivors))
-    maps = cut(sets_of(df, p, id_col, text_col, filter_, False))
+    maps = cut(sets_of(df, p, id_col, text_col, filter_, False, twins))
     size = members.join(maps, "dig").agg(F.sum(F.length("map") + 32)).first()[0] or 0
     candidates = connected_components(edges.union(candidate_links(members, maps, max(parts, int(size / p.unit_bytes) + 1))))
     filter_ = bloom(keys(survivors.join(candidates.select(F.col("node").alias("dig")), "dig")))
-    sets = cut(sets_of(df, p, id_col, text_col, filter_, True))
+    sets = cut(sets_of(df, p, id_col, text_col, filter_, True, twins))
     size = sets.agg(F.sum(F.length("members") + F.length("map"))).first()[0] or 0
     labels = link_components(candidates, sets, p, max(parts, int(size / p.unit_bytes) + 1)).toDF("dig", "root")
     linked = labels.join(survivors, "dig")
@@ -390,7 +410,8 @@ def one_of_each(df: DataFrame, p: Params = Params()) -> DataFrame:  # noqa: B008
     words link with nothing, so all of them stay.
     """
     columns = df.columns
-    key = F.xxhash64(*(F.col(c) for c in columns))
+    # two hashes of 64 bits: one alone would take some different rows for equal among 10^10
+    key = F.struct(F.xxhash64(*(F.col(c) for c in columns)).alias("a"), F.xxhash64(F.lit(1), *(F.col(c) for c in columns)).alias("b"))
     ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key"))
     found = cut(jaccard_groups(df.select(ids.alias("row"), "text"), "row", "text", p).filter("n_shingles > 0"))
     goes = found.filter("row <> component_id").select(F.col("row.key").alias("__key")).distinct()

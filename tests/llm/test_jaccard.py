@@ -62,7 +62,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(max_group=4, max_block=3, hot=5), jaccard.Params(hot=4, max_block=5)])
+@pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(max_group=4, max_block=3, hot=5), jaccard.Params(hot=4, max_block=5), jaccard.Params(digest_bits=6)])
 def test_components_equal_brute_force(spark, p):
     rows = corpus()
     df = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, component_id int").repartition(4)
