@@ -195,25 +195,78 @@ def prefixes(df: DataFrame, p: Params, text_col: str, hot: np.ndarray, buckets:
             some = np.flatnonzero(np.diff(ends))
             cut_ = np.append(ends[some], ends[-1])
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), _binary(h[order], cut_), _binary(dig[node][order], cut_), _binary(n[node][order].astype(np.int32), cut_), _binary(sure[order].astype(np.uint8), cut_)], ["bucket", "h", "dig", "n", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), part, np.int32)), _binary(h[order], cut_), _binary(dig[node][order], cut_), _binary(n[node][order].astype(np.int32), cut_), _binary(sure[order].astype(np.uint8), cut_)], ["bucket", "part", "h", "dig", "n", "sure"])
 
-    return df.select(text_col).mapInArrow(tidy(run), "bucket int, h binary, dig binary, n binary, sure binary")
+    return df.select(text_col).mapInArrow(tidy(run), PACKED)
+
+
+PACKED = "bucket int, part int, h binary, dig binary, n binary, sure binary"
+
+
+def _entries(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries (h, dig, n, sure) of packed rows by h and size; where each h begins, and each run of sizes in it."""
+    h, dig, n, sure = _joined(t.column("h"), np.uint64), _joined(t.column("dig"), np.int64), _joined(t.column("n"), np.int32), _joined(t.column("sure"), np.uint8)
+    order = np.lexsort((255 - sure, dig, n, h))
+    h, dig, n, sure = h[order], dig[order], n[order].astype(np.int64), sure[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (dig[1:] != dig[:-1])
+    h, dig, n, sure = h[new], dig[new], n[new], sure[new]
+    first = np.ones(len(h), bool)
+    first[1:] = h[1:] != h[:-1]
+    # leads stand for nodes of up to 1.2 times their size or less: of similar nodes they differ by under 1.8
+    start = np.flatnonzero(first)
+    led = np.repeat(np.maximum.reduceat(sure, start) == 2, np.diff(np.append(start, len(h)))) if len(h) else first
+    begin = first.copy()
+    begin[1:] |= np.where(led[1:], n[1:] > 2 * n[:-1], OVER * n[1:] > UNDER * n[:-1])
+    return h, dig, n, sure, start, np.flatnonzero(begin)
+
+
+def thinned(packed: DataFrame, p: Params) -> tuple[DataFrame, DataFrame | None]:
+    """The packed rows without those nodes of a shingle that one task couldn't hold, and the edges (a, b) that join these.
+
+    A bucket outgrows a task only if a shingle of it has very many nodes: one that isn't frequent in any slice but occurs
+    in very many, or the leads of a very frequent one.  Such a bucket is dealt in parts; a shingle with `hot` nodes in a part
+    is treated there as a very frequent one in a slice.  This goes on until no bucket is too large or nothing gives way.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        h, dig, n, sure, start, runs = _entries(t)
+        count = np.diff(np.append(start, len(h)))
+        heavy = np.repeat((count >= p.hot) & (sure[start] != 1), count)
+        size = np.diff(np.append(runs, len(h)))
+        lead = np.repeat(dig[runs], size)
+        edge = heavy & (lead != dig)
+        range_ = _range(n)
+        last = np.append((h[1:] != h[:-1]) | (range_[1:] != range_[:-1]), True)
+        keep = ~heavy | last
+        left = [x[keep].tobytes() for x in (h, dig, n.astype(np.int32), np.where(heavy, 2, sure).astype(np.uint8))]
+        edges = int(edge.sum())
+        one = [t.column("bucket").slice(0, 1).combine_chunks(), t.column("chunk").slice(0, 1).combine_chunks(), *(pa.array([x]) for x in left), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())]
+        two = [*(pa.nulls(edges, x.type) for x in one[:6]), pa.array(lead[edge]), pa.array(dig[edge])]
+        return pa.table([pa.concat_arrays([x, y]) for x, y in zip(one, two, strict=True)], ["bucket", "part", "h", "dig", "n", "sure", "a", "b"])
+
+    columns, edges, before = ["bucket", "part", "h", "dig", "n", "sure"], None, None
+    packed = cut(packed)
+    while True:
+        bytes_ = (F.sum(F.length("h")) * 21 / 8).alias("bytes")
+        large = packed.groupBy("bucket").agg(bytes_).filter(F.col("bytes") > 3 * p.unit_bytes)
+        total = large.agg(F.sum("bytes")).first()[0]
+        if not total or (before is not None and total > 0.9 * before):
+            return packed, edges
+        before = total
+        tagged = packed.join(large.select("bucket", F.ceil(F.col("bytes") / p.unit_bytes).cast("int").alias("chunks")), "bucket", "left")
+        dealt = tagged.filter("chunks IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("part", "h"), F.col("chunks")).cast("int"))
+        out = cut(dealt.drop("chunks", "part").groupBy("bucket", "chunk").applyInArrow(tidy_table(run), f"{PACKED}, a long, b long"))
+        more = out.filter("bucket IS NULL").select("a", "b")
+        edges = more if edges is None else edges.union(more)
+        packed = cut(tagged.filter("chunks IS NULL").select(*columns).union(out.filter("bucket IS NOT NULL").select(*columns)))
 
 
 def groups(packed: DataFrame, p: Params) -> DataFrame:
     """Nodes that share one of their first shingles and may be similar by size: (gid, dig), or sure edges (a, b)."""
 
     def run(t: pa.Table) -> pa.Table:
-        h, dig, n, sure = _joined(t.column("h"), np.uint64), _joined(t.column("dig"), np.int64), _joined(t.column("n"), np.int32), _joined(t.column("sure"), np.uint8)
-        order = np.lexsort((dig, n, h))
-        h, dig, n, sure = h[order], dig[order], n[order].astype(np.int64), sure[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (dig[1:] != dig[:-1])
-        h, dig, n, sure = h[new], dig[new], n[new], sure[new]
-        begin = np.ones(len(h), bool)
-        # leads stand for nodes of up to 1.2 times their size or less: of similar nodes they differ by under 1.8
-        begin[1:] = (h[1:] != h[:-1]) | np.where(sure[1:] == 2, n[1:] > 2 * n[:-1], OVER * n[1:] > UNDER * n[:-1])
-        start = np.flatnonzero(begin)
+        h, dig, n, sure, _, start = _entries(t)
         size = np.diff(np.append(start, len(h)))
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(dig.view(np.uint64)), dtype=np.uint64)])
@@ -383,9 +436,11 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def keys(found: DataFrame) -> DataFrame:
         return found.select(F.col("dig").bitwiseXOR(F.xxhash64("first")).alias("key"))
 
-    met = cut(groups(prefixes(df, p, text_col, hot, buckets, twins), p))
+    packed, more = thinned(prefixes(df, p, text_col, hot, buckets, twins), p)
+    met = cut(groups(packed, p))
     members = cut(met.filter("gid IS NOT NULL").select("gid", F.col("a").alias("dig")).distinct())
     edges = met.filter("gid IS NULL").select("a", "b")
+    edges = edges if more is None else edges.union(more)
     survivors = cut(members.select("dig").union(edges.select("a")).union(edges.select("b")).distinct().join(nodes.select("dig", "first"), "dig"))
     filter_ = bloom(keys(survivors))
     maps = cut(sets_of(df, p, id_col, text_col, filter_, False, twins))

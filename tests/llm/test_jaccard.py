@@ -83,6 +83,23 @@ def test_near_copies_meet_across_slices_that_a_longer_text_leads(spark):
     assert {c for d, _, c in got} == {0, 10_000}
 
 
+def test_near_copies_meet_through_a_shingle_that_no_slice_finds_frequent(spark, monkeypatch):
+    # three texts of each size in each partition: too few to be frequent there, too many in all for one task
+    rows = []
+    for part in range(12):
+        for k in range(3):
+            rows.append((100 * part + k, " ".join(f"x{part}.{k}" if i == 50 else f"p{i}" for i in range(104))))
+            rows.append((10_000 + 100 * part + k, " ".join([f"p{i}" for i in range(104)] + [f"q{i}" for i in range(60)] + [f"end{part}.{k}"])))
+            rows.append((20_000 + 100 * part + k, " ".join(f"y{part}.{k}.{i}" for i in range(30))))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, text string")
+    found, real = [], jaccard.thinned
+    monkeypatch.setattr(jaccard, "thinned", lambda *a: found.append(real(*a)) or found[-1])
+    for hot in (4, 1000):
+        got = jaccard.jaccard_groups(df, p=jaccard.Params(hot=hot, unit_bytes=600)).toPandas().values.tolist()
+        assert sorted((repr(d), n, repr(c)) for d, n, c in got) == brute(rows)
+    assert found[0][1].count() > 0 and found[1][1].count() == 0
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
