@@ -176,3 +176,32 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     assert counts[0] == len(rows) - 3 and counts[2] <= counts[1]
     assert out.select("doc_id").distinct().count() <= counts[2]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+
+
+def stored_tables(spark, folder, rows):
+    """Writes documents with clashing extra columns, and labels of the ids below 100."""
+    extra = "score double, n long, dig string, size int, __key string, lang_pred string"
+    data = [(*r, 0.5, 1, "d", 2, "k", "zz") for r in rows]
+    spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stored_tables(spark, tmp_path, [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "piece", "start", "length", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_pipeline_with_long_texts_repeats_and_clashing_columns(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["kel", "mor", "tis", "und", "wek", "lun"], k=40)) + ".", "aa", "s", 1) for i in range(60)]
+    long = " ".join(rng.choices(["kel", "mor", "tis", "und", "wek", "lun"], k=150_000)) + "."
+    rows += [(60, long, "aa", "s", 1), *[rows[5]] * 20, *[(200 + i, rows[6][1], "aa", None, 1) for i in range(20)]]
+    stored_tables(spark, tmp_path, rows)
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "start", "length").collect()
+    # one row of each group stays; the only source left meets its target with each document once
+    assert {r.doc_id for r in got} == set(range(61)) and sum(r.piece == 0 for r in got) == 61
+    pieces = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 60)
+    assert [p for p, *_ in pieces] == list(range(len(pieces))) and all(n == 2048 for *_, n in pieces[:-1]) and len(pieces) > 50

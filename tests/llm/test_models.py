@@ -56,6 +56,66 @@ def test_codewords_are_far_apart_and_columns_split_the_languages():
         assert code.shape[0] == n and (n == 1 or min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= code.shape[1] // 4)
 
 
+def plain_grams(text):
+    """Bucket counts of a text's 1-, 2- and 3-byte sequences, a byte at a time."""
+    out, back = np.zeros(langid.BUCKETS), [32, 32]
+    for c in "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text).encode():
+        b = c if 97 <= c <= 122 or c >= 128 else 32
+        if b != 32 or back[1] != 32:
+            for gram, seed in ((b, 0x9E3779B1), (back[1] << 8 | b, 0x85EBCA6B), (back[0] << 16 | back[1] << 8 | b, 0xC2B2AE35)):
+                h = (gram + 1) * seed % 2**32
+                out[(h ^ h >> 15) >> 7 & langid.BUCKETS - 1] += 1
+        back = [back[1], b]
+    return out
+
+
+def plain_decoding(by_language, texts):
+    """(language, score, ambiguous) of each text: bit classifiers, loss of each codeword, the least one."""
+    names = sorted(by_language)
+    code = langid.codewords(len(names))
+    share = []
+    for name in names:
+        counts = sum(plain_grams(t) for t in by_language[name]) + langid.SMOOTHING
+        share.append(counts / counts.sum())
+    weights, trust, scale = [], [], []
+    for k in range(code.shape[1]):
+        one, two = ([share[i] for i in range(len(names)) if code[i, k] == bit] for bit in (1, -1))
+        w = np.log(sum(one) / len(one)) - np.log(sum(two) / len(two))
+        margins = [float(share[i] @ w) * code[i, k] for i in range(len(names))]
+        weights.append(w)
+        trust.append(max(min(margins), 0) / max(sum(margins) / len(margins), 1e-9))
+        scale.append(sum(abs(m) for m in margins) / len(margins))
+    out = []
+    for t in texts:
+        grams = plain_grams(t)
+        f = [math.tanh(float(grams @ w) / max(grams.sum(), 1) / max(c, 1e-9)) for w, c in zip(weights, scale, strict=True)]
+        loss = [sum(q * math.log1p(math.exp(-3 * x * bit)) for q, x, bit in zip(trust, f, row, strict=True)) / sum(trust) for row in code]
+        best = min(range(len(names)), key=lambda i: (round(loss[i], 9), i))
+        rest = sorted(loss[:best] + loss[best + 1 :])
+        out.append((names[best], 1 / sum(math.exp(6 * (loss[best] - x)) for x in loss), rest[0] - loss[best] < langid.NARROW))
+    return out
+
+
+def test_languages_equal_brute_force(spark, rows):
+    learn = [(i, t, lang) for i, t, lang, *_ in rows[:90]]
+    ask = [t for _, t, *_ in rows[90:130]] + ["kelmor zouvieu", "É", "a", "xyz " * 400, "Kel\nMOR-tis 7"]
+    df = spark.createDataFrame(learn + [(-1, "123 !", "aa"), (-2, "kel", None), (-3, None, "bb")], "doc_id long, text string, lang string")
+    model = langid.train(df.repartition(5))
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "i long, text string"), model).orderBy("i").collect()
+    by = {lang: [t for _, t, x in learn if x == lang] for lang in STEMS}
+    want = plain_decoding(by, ask)
+    assert [(r.lang_pred, r.ambiguous) for r in got] == [(name, narrow) for name, _, narrow in want]
+    assert np.allclose([r.score for r in got], [x for _, x, _ in want], atol=1e-4)
+
+
+def test_languages_that_tie_go_to_the_first_and_are_ambiguous(spark):
+    same = "kel mor tis kelmor"
+    df = spark.createDataFrame([(1, same, "bb"), (2, same, "aa"), (3, "zou vieu queé", "cc")], "doc_id long, text string, lang string")
+    got = langid.identify(df, langid.train(df)).orderBy("doc_id").collect()
+    assert [(r.lang_pred, r.ambiguous) for r in got] == [("aa", True), ("aa", True), ("cc", False)]
+    assert [r.doc_id for r in langid.recognised(df, F.lit(True)).collect()] == [3]
+
+
 def test_language_without_training_rows_or_with_one_language(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, None, "aa")], "doc_id long, text string, lang string")
     assert langid.train(df) is None
@@ -87,6 +147,38 @@ def test_quality_without_labels_and_without_rows(spark, rows):
     assert (quality.judge(frame(spark, rows[:3]), one, F.lit(True)).toPandas().score > 0.9).all()
 
 
+def test_quality_equals_brute_force(spark, rows):
+    labels = spark.createDataFrame([(i, q) for i, *_, q in rows], "doc_id long, quality int")
+    df = spark.createDataFrame([r[:2] for r in rows[:300]], "doc_id long, text string")
+    joined = quality.with_statistics(df.repartition(7), ["doc_id"]).join(labels, "doc_id")
+    model = quality.train(joined)
+    got = joined.select("stats", "quality", F.xxhash64("doc_id").alias("h")).collect()
+    x, y = np.array([r.stats for r in got], float), np.array([r.quality for r in got], float)
+    kept = np.array([(r.h >> 20) % (1 << 20) >= int((1 << 20) * quality.CALIBRATION) for r in got])
+    mean, spread = x.mean(0), x.std(0)
+    spread[spread < 1e-6] = 1
+    rng, d, m = np.random.default_rng(7), x.shape[1], quality.FEATURES
+    w, b = rng.normal(0, 1 / quality.WIDTH, (d, m)), rng.uniform(0, 2 * np.pi, m)
+    design = []
+    for row in x:
+        z = np.clip((row - mean) / spread, -8, 8)
+        design.append([*(math.sqrt(2 / m) * math.cos(float(z @ w[:, k]) + b[k]) for k in range(m)), *z, 1.0])
+    design = np.array(design)
+    # weighted ridge as least squares over added rows, which never forms the normal equations
+    share = {q: 0.5 * kept.sum() / (y[kept] == q).sum() for q in (0.0, 1.0)}
+    root = np.sqrt([share[q] for q in y[kept]])
+    penalty = np.sqrt([*[quality.RIDGE * kept.sum()] * (m + d), 1e-9])
+    beta = np.linalg.lstsq(np.vstack([design[kept] * root[:, None], np.diag(penalty)]), np.concatenate([y[kept] * root, np.zeros(m + d + 1)]), rcond=None)[0]
+    raw = design @ beta
+    assert np.allclose(model.raw(x), raw, atol=1e-6)
+    # the isotonic value at a point: the largest, over beginnings, of the least mean over ends
+    order = np.argsort(raw[~kept])
+    points, truth = raw[~kept][order], y[~kept][order]
+    level = [max(min(truth[i : j + 1].mean() for j in range(k, len(truth))) for i in range(k + 1)) for k in range(len(truth))]
+    want = np.clip(0.99 * np.interp(raw, points, level) + 0.01 * np.clip(raw, 0, 1), 0, 1)
+    assert np.allclose(model.score(x), want, atol=1e-3)
+
+
 def test_statistics_do_not_depend_on_neighbours():
     texts = ["Abc def.\nAbc def.\n", "", "ÜBER!! ALLES", "x" * 10_000]
     together = quality.statistics(pa.array(texts, pa.large_string()))
