@@ -38,11 +38,13 @@ def test_equal_payloads_give_equal_files_whatever_is_beside_them():
 
 
 def reference_bits(file):
-    """The entropy-coded bits of each scan and the tables, read the plain way."""
-    at, tables, scans, restart = 2, {}, [], 0
+    """The entropy-coded bits of each scan, the tables and the frame's header, read the plain way."""
+    at, tables, scans, restart, frame = 2, {}, [], 0, b""
     while file[at + 1] != 0xD9:
         m, n = file[at + 1], struct.unpack(">H", file[at + 2 : at + 4])[0]
         body, at = file[at + 4 : at + 2 + n], at + 2 + n
+        if m == 0xC2:
+            frame = body
         if m == 0xC4:
             tables[body[0]] = body[1:]
         if m == 0xDD:
@@ -62,29 +64,128 @@ def reference_bits(file):
                     cur.append(file[at])
                     at += 1
             scans.append((body, [*lanes, bytes(cur)]))
-    return tables, scans, restart
+    return tables, scans, restart, frame
 
 
-def test_first_scan_by_a_plain_decoder():
-    text = ("Progressive scans, " * 40).encode()
-    tables, scans, restart = reference_bits(units([text])[0].media)
-    assert restart == 1 and len(scans) == len(jpeg.SCRIPT)
-    counts, symbols, codes, code, k = tables[0][:16], tables[0][16:], {}, 0, 0
-    for size in range(1, 17):
-        for _ in range(counts[size - 1]):
-            codes[f"{code:0{size}b}"] = symbols[k]
+class Bits:
+    """Bits of one segment, one after the other."""
+
+    def __init__(self, data):
+        self.bits, self.at = "".join(f"{b:08b}" for b in data), 0
+
+    def take(self, n):
+        self.at += n
+        assert self.at <= len(self.bits)
+        return int(self.bits[self.at - n : self.at] or "0", 2)
+
+    def symbol(self, codes):
+        n = next(n for n in range(1, 17) if self.bits[self.at : self.at + n] in codes)
+        self.at += n
+        return codes[self.bits[self.at - n : self.at]]
+
+    def value(self, n):
+        v = self.take(n)
+        return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+
+def code_words(table):
+    out, code, k = {}, 0, 16
+    for n in range(1, 17):
+        for _ in range(table[n - 1]):
+            out[f"{code:0{n}b}"] = table[k]
             code, k = code + 1, k + 1
         code <<= 1
-    payload = padded(text)
-    for lane, data in enumerate(scans[0][1][: len(payload) // 384]):
-        bits, last = "".join(f"{b:08b}" for b in data), [0, 0, 0]
-        for block in range(6):
-            n = next(i for i in range(1, 17) if bits[:i] in codes)
-            size, bits = codes[bits[:n]], bits[n:]
-            v = int(bits[:size] or "0", 2)
-            bits, comp = bits[size:], max(0, block - 3)
-            last[comp] += v if not size or v >> (size - 1) else v - (1 << size) + 1
-            assert last[comp] == (payload[(lane * 6 + block) * 64] - 128) >> 1
+    return out
+
+
+def first_pass(bits, block, codes, low, high, left):
+    k = low
+    while k <= high:
+        zeros, size = divmod(bits.symbol(codes), 16)
+        if not size and zeros < 15:
+            assert not zeros  # a segment is one block, so no run of ended blocks is longer
+            return
+        k += zeros
+        if size:
+            block[k] = bits.value(size) * 2**left
+        k += 1
+
+
+def refining_pass(bits, block, codes, low, high, left):
+    def correct(k):
+        if bits.take(1):
+            block[k] += 2**left if block[k] > 0 else -(2**left)
+
+    k = low
+    while k <= high:
+        zeros, size = divmod(bits.symbol(codes), 16)
+        if not size and zeros < 15:
+            assert not zeros
+            break
+        assert size <= 1
+        new = (2**left if bits.take(1) else -(2**left)) if size else 0
+        while k <= high and (block[k] or zeros):
+            if block[k]:
+                correct(k)
+            else:
+                zeros -= 1
+            k += 1
+        if k <= high:
+            block[k] = new
+        k += 1
+    for rest in range(k, high + 1):
+        if block[rest]:
+            correct(rest)
+
+
+def plain_units(file):
+    """All coefficients of a file, units by rows, a bit at a time."""
+    tables, scans, restart, frame = reference_bits(file)
+    assert restart == 1 and len(scans) == len(jpeg.SCRIPT)
+    rows, cols = (x // 16 for x in struct.unpack(">HH", frame[1:5]))
+    parts = [[[0] * 64 for _ in range(rows * cols * n)] for n in (4, 1, 1)]
+    places = [[(0, (2 * r + i) * 2 * cols + 2 * c + j) for i in (0, 1) for j in (0, 1)] + [(1, r * cols + c), (2, r * cols + c)] for r in range(rows) for c in range(cols)]
+    for head, lanes in scans:
+        low, high, bits_ = head[-3:]
+        before, left = divmod(bits_, 16)
+        inside = [(head[1 + 2 * k] - 1, head[2 + 2 * k]) for k in range(head[0])]
+        todo = places if len(inside) == 3 else [[(inside[0][0], k)] for k in range(len(parts[inside[0][0]]))]
+        assert len(lanes) == len(todo)
+        for data, blocks in zip(lanes, todo, strict=True):
+            bits, last = Bits(data), [0, 0, 0]
+            for comp, at in blocks:
+                block, which = parts[comp][at], dict(inside)[comp]
+                if low == 0 and before:
+                    block[0] += bits.take(1) * 2**left
+                elif low == 0:
+                    last[comp] += bits.value(bits.symbol(code_words(tables[which >> 4])))
+                    block[0] = last[comp] * 2**left
+                else:
+                    (refining_pass if before else first_pass)(bits, block, code_words(tables[16 | which & 15]), low, high, left)
+            assert len(bits.bits) - bits.at < 8 and "0" not in bits.bits[bits.at :]
+    return np.array([[parts[c][k] for c, k in unit] for unit in places])
+
+
+def test_all_scans_by_a_plain_decoder():
+    payload = padded(("Progressive scans, é " * 60).encode())
+    got = plain_units(units([payload])[0].media).reshape(-1, 64)
+    n = len(payload) // 64
+    assert (got[:n].ravel() + 128).astype(np.uint8).tobytes() == payload and not got[n:].any()
+
+
+def test_sparse_coefficients_by_a_plain_decoder():
+    """Long runs of zeros before and between values that the first pass, the second or neither sees."""
+    rng = np.random.default_rng(8)
+    blocks = rng.choice([0, 0, 0, 0, 0, 0, 1, -1, 2, -3, 300, -511], (6, jpeg.PER_UNIT, 64)).astype(np.int16)
+    blocks[0] = 0
+    blocks[1, :, :60] = 0
+    blocks[2, :, 20:] = 0
+    blocks[3, :, 1:63], blocks[3, :, 63] = 0, -1
+    wide, high = jpeg.grid(np.array([6]))
+    (file,) = jpeg.encode(np.concatenate([blocks, np.zeros((int(wide[0] * high[0]) - 6, jpeg.PER_UNIT, 64), np.int16)]), wide, high, [b"6"])
+    assert (plain_units(file)[:6] == blocks).all()
+    (im,) = jpeg.decode([file])
+    assert (media.from_image(im).reshape(-1, jpeg.PER_UNIT, 64)[:6] == blocks).all()
 
 
 def test_headers_are_read_and_other_files_refused():
