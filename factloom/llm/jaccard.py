@@ -273,9 +273,10 @@ def groups(packed: DataFrame, p: Params) -> DataFrame:
             gid = mix64(total[start + size] - total[start] + size.astype(np.uint64)).view(np.int64)
         some = size > 1
         any_sure = np.maximum.reduceat(sure, start) > 0 if len(start) else some
-        _, first = np.unique(gid, return_index=True)
+        # of groups of the same nodes one is kept: one that is joined untested, if there is any, for its nodes stand for others
+        order = np.lexsort((~any_sure, gid))
         once = np.zeros(len(gid), bool)
-        once[first] = True
+        once[order[np.append(True, gid[order][1:] != gid[order][:-1])[: len(gid)]]] = True
         test = some & once & ~any_sure & (size <= p.max_group)
         star = some & once & ~test
         row_test, row_star = np.repeat(test, size), np.repeat(star & some, size)

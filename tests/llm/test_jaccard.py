@@ -100,6 +100,81 @@ def test_near_copies_meet_through_a_shingle_that_no_slice_finds_frequent(spark,
     assert found[0][1].count() > 0 and found[1][1].count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["1", "2", "8"])
+def test_leads_that_share_an_ordinary_shingle_too_still_stand_for_their_slices(spark, partitions):
+    # 1,200 texts, any two of which share 8 of 10 shingles, behind a leading text in each of two slices.  The leads are unlike, but
+    # share one ordinary shingle, and one frequent one with the 1,200, which all of them have first among their frequent ones.
+    def texts(salt):
+        c, d, e = ([f"{x}{salt}.{i}" for i in range(12)] for x in "cde")
+        other = [*c[:4], *e[4:7], *c[7:]]
+        return ["s", *c], ["s", *other], [*c[7:], *d[:7]], c[:11], other[:11]
+
+    def first(words):
+        return int(jaccard.shingle_sets(pa.array([" ".join(words)], pa.large_string()))[0][0])
+
+    def unlucky(one, two, body, *_):
+        frequent = first(body[:5])
+        return first(one[:5]) < frequent == first(body) == first(one[1:]) == first(two[1:])
+
+    one, two, body, *fill = next(t for t in map(texts, range(100_000)) if unlucky(*t))
+    rows = []
+    for part, lead in enumerate((one, two)):
+        near = [(10 + 600 * part + k, " ".join([*body, f"own{part}.{k}"])) for k in range(600)]
+        long = [(5000 + 2000 * part + 600 * i + k, " ".join([*f, *(f"u{part}.{i}.{k}.{j}" for j in range(20))])) for i, f in enumerate(fill) for k in range(550)]
+        rows.append([(part, " ".join(lead)), *near, *long])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame(spark.sparkContext.parallelize([0, 1], 2).flatMap(lambda part: rows[part]), "doc_id long, text string")
+        got = jaccard.jaccard_groups(df).toPandas()
+        assert set(got[(got.doc_id >= 10) & (got.doc_id < 1210)].component_id) == {10}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_equal_node_sets_are_joined_untested_if_any_of_them_stands_for_others(spark):
+    # the same two nodes under two shingles of one bucket: once to be tested, once as leads, in either order
+    for sure in ([0, 0, 2, 2], [2, 2, 0, 0]):
+        cells = [np.array([1, 1, 2, 2], np.uint64), np.array([10, 20, 10, 20], np.int64), np.array([9, 9, 9, 9], np.int32), np.array(sure, np.uint8)]
+        packed = spark.createDataFrame([(0, 0, *(bytearray(c.tobytes()) for c in cells))], jaccard.PACKED)
+        got = jaccard.groups(packed, jaccard.Params()).collect()
+        assert [(r.gid, r.a, r.b) for r in got] == [(None, 10, 20)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_slices_with_leads_that_share_ordinary_shingles(spark, seed):
+    rng = random.Random(seed)
+    rows, doc = [], 0
+    runs = [[f"r{r}.{i}" for i in range(30)] for r in range(3)]
+    bits = [[f"b{r}.{i}" for i in range(5)] for r in range(4)]
+    for part in range(8):
+        mine = []
+        for _ in range(rng.randint(4, 9)):
+            run = rng.choice(runs)
+            kind = rng.random()
+            if kind < 0.6:  # near copies of a run
+                words = list(run)
+                words[rng.randrange(30)] = f"x{doc}"
+            elif kind < 0.8:  # pieces of a run and of what leads share
+                words = [*rng.choice(bits), *run[:6], *rng.choice(bits), f"y{doc}"]
+            else:
+                words = [f"z{doc}.{i}" for i in range(rng.randint(1, 9))] + rng.choice(bits)
+            mine.append((doc, " ".join(words)))
+            doc += 1
+        rng.shuffle(mine)
+        rows += [(part, *m) for m in mine]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 64).map(lambda r: r[1:]), "doc_id long, text string").coalesce(8)
+    want = brute([r[1:] for r in rows])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "3"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = jaccard.jaccard_groups(df, p=jaccard.Params(hot=4)).toPandas().values.tolist()
+            assert sorted((repr(d), n, repr(c)) for d, n, c in got) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
