@@ -177,22 +177,14 @@ def keyword_search(edges: DataFrame, entities: DataFrame, query: str, limit: int
 def semantic_search(embeddings: DataFrame, messages: DataFrame, query: list[float], k: int = 10, distinct: bool = False) -> DataFrame:
     """The messages nearest to the query.  A message with two vectors is found twice, unless distinct.
 
-    The nearest vectors are cut before they meet messages; if some of these have none, more are cut until k have one.
+    Only ids and distances meet the ids of messages; one top-k follows, and its k rows meet the messages.
     """
     near = embeddings.select("message_id", (1 - X.cosine(F.col("vector"), F.array(*[F.lit(float(v)) for v in query]))).alias("distance"))
     if distinct:
         near = near.groupBy("message_id").agg(F.min("distance").alias("distance"))
-    order, wide = [F.col("distance").asc_nulls_last(), F.col("message_id")], 2 * k
-    while True:
-        top = near.orderBy(*order).limit(wide).collect()
-        ids = list({r.message_id for r in top if r.message_id is not None})
-        found = messages.filter(F.col("id").isin(*ids)) if ids else messages.limit(0)
-        known = {r.id for r in found.select("id").collect()}
-        if len(top) < wide or sum(r.message_id in known for r in top) >= k:
-            break
-        wide *= 8
-    cut = near.sparkSession.createDataFrame([r for r in top if r.message_id in known][:k], near.schema)
-    return cut.join(found.withColumnRenamed("id", "message_id"), "message_id").orderBy(*order)
+    order = [F.col("distance").asc_nulls_last(), F.col("message_id")]
+    known = near.join(messages.select(F.col("id").alias("message_id")).distinct(), "message_id", "left_semi")
+    return known.orderBy(*order).limit(k).join(messages.withColumnRenamed("id", "message_id"), "message_id").orderBy(*order)
 
 
 # --- provenance and contacts -----------------------------------------------------------------------------------

@@ -11,15 +11,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that the session names.  A session on this machine alone gets a folder
-    of it; on a cluster it is an error if none is named."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names.  A session on this machine alone gets a folder of it; on a cluster it is an error
+    if none is named."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
