@@ -9,11 +9,13 @@ padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,27 +24,40 @@ from factloom.llm.common import slices, table, text_bytes, tidy
 MAX_TOKENS, END = 2048, 1
 #: Distinct stretches of text whose ids a task remembers, at most; it then begins anew.
 REMEMBERED = 400_000
+#: Stretches that are encoded together, and which can be.
+LINE, EASY = 1000, re.compile(r" ?\S+")
 #: Lead bytes of white space beyond ASCII.  Before a stretch, any character that begins so counts as white space.
 SPACES_2, SPACES_3 = ((0xC2, 0x85), (0xC2, 0xA0)), ((0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
 
 
 def stretches(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The texts cut before each run of ASCII white space that something other than white space precedes; each text's bounds.
+    """The texts cut into stretches, and each text's bounds among them.
 
-    A byte-level tokenizer's pattern never joins what lies on both sides of such a cut, nor looks past it.
+    A byte-level tokenizer's pattern never joins what lies on both sides of such a cut, nor looks past it: before each run of ASCII
+    white space that something other than white space precedes, behind a line feed that is such a run by itself, and (unless
+    a text may hold a special token) between a letter and a mark of ASCII.
     """
     data, offsets = text_bytes(col)
+    n = len(data)
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    solid = (data > 32) & (data != 127)
-    one, two = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)  # the bytes one and two places before
+    plain = (data > 32) & (data < 127)
+    one, two = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # the bytes one and two places before
     one[1:], two[2:] = data[:-1], data[:-2]
+    solid = plain | (data > 127)
     for x, y in SPACES_2:
         solid &= ~((one == x) & (data == y))
     for x, y in SPACES_3:
         solid &= ~((two == x) & (one == y))
-    begins = np.zeros(len(data) + 1, bool)
+    begins = np.zeros(n + 1, bool)
     begins[1:-1] = space[1:] & solid[:-1]
     begins[offsets] = True
+    begins[1:-1] |= (data[:-1] == 10) & begins[:-2] & (plain | (data == 0xC3))[1:]
+    if not pc.any(pc.match_substring(col, "<|")).as_py():
+        low = data | 32
+        ascii_letter = (low >= 97) & (low <= 122)
+        letter = (ascii_letter & (data < 128)) | ((one == 0xC3) & (data != 0x97) & (data != 0xB7))
+        mark = plain & ~ascii_letter & ~((data >= 48) & (data <= 57))
+        begins[1:-1] |= mark[1:] & letter[:-1]
     begins[-1] = True
     at = np.flatnonzero(begins)
     parts = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
@@ -59,25 +74,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of stretches without white space but for a blank before: many to a text, with line feeds between them."""
+        lines = self._encode(["\n".join(words[i : i + LINE]) for i in range(0, len(words), LINE)])
+        out = []
+        for k, ids in enumerate(lines):
+            ends = np.flatnonzero(ids == self.feed).tolist()
+            out += [ids[a:z] for a, z in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True)]
+            if len(out) != min(len(words), (k + 1) * LINE):
+                raise ValueError("the tokenizer joins line feeds with what is beside them")
+        return out
+
     def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        odd = dict.fromkeys(w for w in new if not EASY.fullmatch(w) or "<|" in w)
+        easy = [w for w in new if w not in odd] if odd else new
+        got = self._many(easy) + self._encode(odd)
         n = np.fromiter(map(len, got), np.int64, len(got))
         k = len(self.known)
         used = int(self.ends[k])
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))
+        flat = np.concatenate(got)
         while used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while k + len(new) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[used : used + len(flat)] = flat
         self.ends[k + 1 : k + 1 + len(new)] = used + np.cumsum(n)
-        self.known.update(zip(new, range(k, k + len(new)), strict=True))
+        self.known.update(zip([*easy, *odd], range(k, k + len(new)), strict=True))
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and each text's bounds."""
@@ -214,7 +246,7 @@ def pack_harmonic(df: DataFrame, path: str | None = None, id_col: str = "doc_id"
 
     def run(batches):
         encoder, bins = Encoder(path), Bins(TaskContext.get().partitionId(), room, id_col, with_ids)
-        for b, col in slices(batches, text_col, 2 << 20):
+        for b, col in slices(batches, text_col, 4 << 20):
             yield bins.add(b.column(b.schema.get_field_index(id_col)), *encoder(col))
         last = bins.close()
         if last is not None:
