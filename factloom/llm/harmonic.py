@@ -98,7 +98,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         odd = dict.fromkeys(w for w in new if not EASY.fullmatch(w) or "<|" in w)
         easy = [w for w in new if w not in odd] if odd else new
-        got = self._many(easy) + self._encode(odd)
+        got = self._many(easy) + self._encode(list(odd))
         n = np.fromiter(map(len, got), np.int64, len(got))
         k = len(self.known)
         used = int(self.ends[k])
