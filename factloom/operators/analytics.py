@@ -159,26 +159,28 @@ def idle_points(messages: DataFrame, idle_seconds: int = 35 * 60, longest_second
 
     It runs once in a stretch without messages, when that has lasted idle_seconds, and whenever longest_seconds have passed
     since the last run or the start (the first message, if not given).  Any run within a stretch uses up its idle run.  A run
-    takes no time and checks are continuous; before `until`, else the last message, nothing is cut off.
+    takes no time and checks are continuous.  The start counts as activity, and nothing before it does; what comes after `until`
+    (the last message, if not given) doesn't count, and no run is later.  A start without any message has its runs too.
 
     Activity of all conversations is one series.  Spells of idle_seconds keep their first and last second, which is all that the
     rule asks for; so one task gets two rows for each spell of the whole span, however many messages there are.
     """
+    at = [F.floor(X.as_of_micros(t) / 1_000_000).cast("long") if t else F.lit(None).cast("long") for t in (start, until)]
     second = F.floor(X.micros(F.col("timestamp")) / 1_000_000).cast("long")
-    spells = messages.filter(F.col("timestamp").isNotNull()).groupBy(F.floor(second / idle_seconds).alias("spell")).agg(F.min(second).alias("a"), F.max(second).alias("b"))
-    if start is not None or until is not None:
-        at = [F.floor(X.as_of_micros(t) / 1_000_000).cast("long") if t else F.lit(None).cast("long") for t in (start, until)]
-        spells = spells.withColumns({"start": at[0], "until": at[1]})
-    else:
-        spells = spells.withColumns({"start": F.lit(None).cast("long"), "until": F.lit(None).cast("long")})
-
-    def run(spells: pd.DataFrame) -> pd.DataFrame:
-        spells = spells.sort_values("spell")
-        begin, end = ((None if pd.isna(v) else int(v)) for v in (spells.start.iloc[0], spells.until.iloc[0]))
-        begin = int(spells.a.iloc[0]) if begin is None else begin
-        end = int(spells.b.iloc[-1]) if end is None else end
-        quiet = [(int(b), int(a)) for b, a in zip([begin, *spells.b], [*spells.a, end], strict=True)]  # from an activity to the next
-        last, out = begin, []
+    within = F.col("timestamp").isNotNull() & F.coalesce(second >= at[0], F.lit(True)) & F.coalesce(second <= at[1], F.lit(True))
+    spells = messages.filter(within).groupBy(F.floor(second / idle_seconds).alias("spell")).agg(F.min(second).alias("a"), F.max(second).alias("b")).select("a", "b")
+    bounds = messages.sparkSession.range(1).select(at[0].alias("a"), at[1].alias("b"), F.lit(True).alias("bound"))
+    spells = spells.withColumn("bound", F.lit(False)).unionByName(bounds)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        spells = rows[~rows["bound"]].sort_values("a")
+        begin, end = ((None if pd.isna(v) else int(v)) for v in rows.loc[rows["bound"], ["a", "b"]].iloc[0])
+        last, out = None, []
+        if len(spells) or (begin is not None and end is not None):
+            begin = int(spells["a"].iloc[0]) if begin is None else begin
+            end = int(spells["b"].iloc[-1]) if end is None else end
+            last = begin
+        quiet = [(int(b), int(a)) for b, a in zip([begin, *spells["b"]], [*spells["a"], end], strict=True)] if last is not None else []
 
         def fallbacks(before: int) -> None:
             nonlocal last
@@ -186,13 +188,14 @@ def idle_points(messages: DataFrame, idle_seconds: int = 35 * 60, longest_second
                 last += longest_seconds
                 out.append((last, "max_interval_fallback"))
 
-        for a, b in quiet:
-            if b - a >= idle_seconds and b <= end:
+        for a, b in quiet:  # from an activity to the next
+            if b - a >= idle_seconds:
                 fallbacks(a + idle_seconds)
                 if last <= a or (last == begin and not out):
                     last = a + idle_seconds
                     out.append((last, "idle_threshold"))
-        fallbacks(end)
+        if last is not None:
+            fallbacks(end)
         return pd.DataFrame(out, columns=["at", "reason"])
 
     return spells.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, RUNS)

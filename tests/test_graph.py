@@ -248,11 +248,19 @@ def test_idle_runs_equal_the_rule_second_by_second(spark, seed):
     for _ in range(rng.choice([5, 60])):
         at += rng.choice([3, 17, 59, 61, 200] if seed % 2 else [7, 11])
         times.append(at)
-    end = at + rng.choice([10, 500])
     m = messages(spark, [(f"c{k % 3}", "a", t) for k, t in enumerate(times)])
     base = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
-    got = A.idle_points(m, 60, 97, until=str(T0 + dt.timedelta(seconds=end)))
-    assert sorted((r.at - base, r.reason) for r in got.collect()) == plain_runs(set(times), 60, 97, 0, end)
+    for start, end in [(0, at + rng.choice([10, 500])), (rng.randint(0, at), at + 300), (rng.randint(0, at // 2), rng.randint(at // 2, at)), (at + 50, at + 400)]:
+        got = A.idle_points(m, 60, 97, until=str(T0 + dt.timedelta(seconds=end)), start=str(T0 + dt.timedelta(seconds=start)) if start else None)
+        within = {t for t in times if start <= t <= end}
+        assert sorted((r.at - base, r.reason) for r in got.collect()) == plain_runs(within, 60, 97, start, end), (start, end)
+
+
+def test_idle_runs_without_messages(spark):
+    m = messages(spark, [("c", "a", 0)]).limit(0)
+    assert A.idle_points(m).count() == A.idle_points(m, until=AS_OF).count() == 0
+    got = A.idle_points(m, 60, 1000, start="2024-01-01 00:00:00", until="2024-01-01 00:20:00").collect()
+    assert [(r.reason, r.at % 86400) for r in got] == [("idle_threshold", 60), ("max_interval_fallback", 1060)]
 
 
 def test_a_busy_series_has_fallback_runs(spark):
