@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import expr as X
 from factloom.operators.retrieval import live
+from factloom.store import keep
 
 GROUP_SHARE = 0.25
 GROUP_REPLY_SECONDS = 1800
@@ -47,7 +48,7 @@ def upper_median(df: DataFrame, c: str, most: int = 100_000) -> float | None:
     The range in which it lies is narrowed by approximate percentiles and exact counts until `most` values or a single one
     are left, so no task holds them all.
     """
-    rows = df.select(F.col(c).alias("x")).filter("x IS NOT NULL")
+    rows = keep(df.select(F.col(c).alias("x")).filter("x IS NOT NULL"))
     n = rows.count()
     if not n:
         return None

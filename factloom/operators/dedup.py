@@ -53,6 +53,39 @@ def duplicate_pairs(edges: DataFrame, within: int = WITHIN_SECONDS, threshold: f
     return entities.union(meet(keyed, "key").filter(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct())
 
 
+def duplicate_links(edges: DataFrame, within: int = WITHIN_SECONDS, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) that lead wherever `duplicate_pairs` lead, as many as facts, about, instead of all pairs.
+
+    Facts of one subject, predicate and object (the entity, or the set of words) in one time bucket are all duplicates: each is
+    linked with the bucket's first.  Two buckets side by side are linked from the one's last to the other's first, if these are near
+    enough; no other fact of theirs is nearer.  Of different sets of words only one representative for each bucket meets others.
+    """
+    width = within * 1_000_000
+    us = X.micros(F.col("first_seen"))
+    words = F.array_sort(X.tokens(F.col("object_literal")))
+    rows = mergeable(edges).filter("object_id IS NOT NULL OR object_literal IS NOT NULL")
+    rows = rows.select("id", "subject_id", "predicate", F.col("object_id").cast("string").alias("object"), F.when(F.col("object_id").isNull(), words).alias("w"), us.alias("us"), (F.floor(us / width) if width else us).alias("bucket"))
+    key = ["subject_id", "predicate", "object", "w"]
+    rows = keep(rows.withColumn("k", F.xxhash64(*key)))  # a short name for the join back; the groups themselves go by the key
+    ends = rows.groupBy(*key, "k", "bucket").agg(F.min(F.struct("us", "id")).alias("first"), F.max(F.struct("us", "id")).alias("last"), F.count("*").alias("n"))
+    ends = keep(ends)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in key]
+    star = rows.alias("r").join(ends.filter("n > 1").alias("e"), [F.col("r.k") == F.col("e.k"), F.col("r.bucket") == F.col("e.bucket"), *same]).filter((F.col("r.id") != F.col("e.first.id"))).select(F.col("e.first.id").alias("a"), F.col("r.id").alias("b"))
+    w = Window.partitionBy(*key).orderBy("bucket")
+    chain = ends.withColumn("before", F.lag("last").over(w)).filter(F.col("first.us") - F.col("before.us") <= width).select(F.col("before.id").alias("a"), F.col("first.id").alias("b"))
+    # representatives of different sets of words
+    sets = ends.filter("w IS NOT NULL").select(F.xxhash64("k", "bucket").alias("id"), "subject_id", "predicate", "bucket", "w", "first", "last")
+    ranked = _rare_first(sets.select("id", "w").distinct())
+    some = F.greatest(F.size("w") - F.ceil(F.size("w") * threshold / (2 - threshold) - 1e-9) + 1, F.lit(1)).cast("int")
+    keyed = sets.join(ranked.select("id", "ranked"), "id").withColumn("key", F.explode(F.slice("ranked", F.lit(1), some))).drop("ranked")
+    p = keyed.withColumn("to", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1))).alias("p")
+    near = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.id") < F.col("q.id")) | (F.col("p.bucket") < F.col("q.bucket")) & (F.col("q.first.us") - F.col("p.last.us") <= width)
+    met = p.join(keyed.alias("q"), [F.col("p.subject_id") == F.col("q.subject_id"), F.col("p.predicate") == F.col("q.predicate"), F.col("p.to") == F.col("q.bucket"), F.col("p.key") == F.col("q.key"), near])
+    different = met.filter((F.col("p.w") != F.col("q.w")) & (X.dice(F.col("p.w"), F.col("q.w")) >= threshold))
+    across = different.select(F.when(F.col("p.bucket") == F.col("q.bucket"), F.col("p.first.id")).otherwise(F.col("p.last.id")).alias("a"), F.col("q.first.id").alias("b")).distinct()
+    return star.union(chain).union(across)
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """id and cluster (the smallest id that pairs lead to).  Labels spread along pairs and are followed to their own labels,
     until none changes."""
@@ -68,14 +101,14 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def cluster_members(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """cluster, id and rank; the first seen ranks first and survives."""
+    """cluster, id and rank; the first seen ranks first and survives.  pairs: all duplicates, or links that lead as far."""
     rows = clusters(pairs).join(edges.select("id", "first_seen"), "id")
-    return rows.select("cluster", "id", F.row_number().over(Window.partitionBy("cluster").orderBy("first_seen", "id")).alias("rank"))
+    return keep(rows.select("cluster", "id", F.row_number().over(Window.partitionBy("cluster").orderBy("first_seen", "id")).alias("rank")))
 
 
 def dedup_pass(edges: DataFrame, within: int = WITHIN_SECONDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The edges after merging, conflicts, and how many facts were merged away."""
-    members = cluster_members(edges, duplicate_pairs(edges, within, threshold))
+    members = cluster_members(edges, duplicate_links(edges, within, threshold))
     out, bad = merge_duplicates(edges, members)
     merged = members.join(bad, "cluster", "left_anti").filter("rank > 1").agg(F.count("*").alias("merged"))
     return out, bad, merged

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom.functions import expr as X
-from factloom.operators.retrieval import live
+from factloom.operators.retrieval import live, meet_by_object
 
 
 def insert_edges(edges: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
@@ -182,13 +182,16 @@ def delete_rows(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 def stale_claims(claims: DataFrame, edges: DataFrame, messages: DataFrame, as_of: str) -> DataFrame:
     """claims: claim_id, subject_id, predicate, object_id, object_literal, at.  Adds stale: an equal fact was superseded,
-    by one whose latest source (else first sight) isn't before the claim, and no equal fact is live."""
+    by one whose latest source (else first sight) isn't before the claim, and no equal fact is live.
+
+    Of equal facts one row goes on to meet claims: whether one is live, and when the last of them was superseded."""
     now = X.as_of_micros(as_of)
     sources = edges.select(F.col("id").alias("by"), F.explode("source_message_ids").alias("id"))
     latest = sources.join(messages.select("id", F.least(X.micros(F.col("timestamp")), now).alias("t")), "id").groupBy("by").agg(F.max("t").alias("latest"))
     by = edges.select(F.col("id").alias("by"), F.least(X.micros(F.col("first_seen")), now).alias("seen")).join(latest, "by", "left").select("by", F.coalesce("latest", "seen").alias("until"))
-    facts = edges.join(by, F.col("superseded_by") == F.col("by"), "left").select("subject_id", "predicate", F.col("object_id").alias("f_id"), F.col("object_literal").alias("f_lit"), live().alias("alive"), F.col("superseded_by").isNotNull().alias("old"), "until")
-    c = claims.withColumn("us", F.least(X.micros(F.col("at")), now))
-    hits = c.join(facts, ["subject_id", "predicate"]).filter(X.same_object(F.col("object_id"), F.col("object_literal"), F.col("f_id"), F.col("f_lit")))
-    judged = hits.groupBy("claim_id").agg(F.bool_or("alive").alias("alive"), F.bool_or(F.col("old") & (F.col("us") <= F.col("until"))).alias("late"))
-    return claims.join(judged, "claim_id", "left").withColumn("stale", F.coalesce(~F.col("alive") & F.col("late"), F.lit(False))).drop("alive", "late")
+    facts = edges.join(by, F.col("superseded_by") == F.col("by"), "left")
+    facts = facts.groupBy("subject_id", "predicate", "object_id", "object_literal").agg(F.bool_or(live()).alias("alive"), F.max(F.when(F.col("superseded_by").isNotNull(), F.col("until"))).alias("late"))
+    asked = claims.select("claim_id", "subject_id", "predicate", F.col("object_id").alias("w_id"), F.col("object_literal").alias("w_lit"), F.least(X.micros(F.col("at")), now).alias("us"))
+    hits = meet_by_object(facts, asked)
+    judged = hits.groupBy("claim_id").agg(F.bool_or("alive").alias("__alive"), F.bool_or(F.coalesce(F.col("us") <= F.col("late"), F.lit(False))).alias("__late"))
+    return claims.join(judged, "claim_id", "left").withColumn("stale", F.coalesce(~F.col("__alive") & F.col("__late"), F.lit(False))).drop("__alive", "__late")

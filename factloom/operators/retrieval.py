@@ -91,17 +91,39 @@ def facts_about(edges: DataFrame, subject, predicate: str, only_live: bool = Fal
     return rows.filter(live()) if only_live else rows
 
 
+def meet_by_object(facts: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
+    """facts beside the wanted rows (subject_id, predicate, w_id, w_lit, and others) of the same object, as `expr.same_object` has it.
+
+    By entity where both have one, else by literal: two joins by object, so the facts of a subject and predicate never meet all that
+    is asked of these.  No fact meets a wanted row in both.
+    """
+    key = [F.col("f.subject_id") == F.col("w.subject_id"), F.col("f.predicate") == F.col("w.predicate")]
+    f, w = facts.alias("f"), wanted.alias("w")
+    rest = [F.col(f"w.{c}") for c in wanted.columns if c not in ("subject_id", "predicate")]
+    ids = f.join(w, [*key, F.col("f.object_id") == F.col("w.w_id")], how).select("f.*", *rest)
+    literals = f.join(w, [*key, F.col("f.object_literal") == F.col("w.w_lit"), F.col("f.object_id").isNull() | F.col("w.w_id").isNull()], how).select("f.*", *rest)
+    return ids.unionByName(literals)
+
+
+def _wanted(wanted: DataFrame, *more: str) -> DataFrame:
+    return wanted.select("subject_id", "predicate", F.col("object_id").alias("w_id"), F.col("object_literal").alias("w_lit"), *more)
+
+
 def matching_live(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (subject_id, predicate, object_id, object_literal) the first live edge with that object."""
-    w = wanted.select("subject_id", "predicate", F.col("object_id").alias("w_id"), F.col("object_literal").alias("w_lit"))
-    hits = edges.filter(live()).join(w, ["subject_id", "predicate"]).filter(X.same_object(F.col("object_id"), F.col("object_literal"), F.col("w_id"), F.col("w_lit")))
-    first = Window.partitionBy("subject_id", "predicate", "w_id", "w_lit").orderBy(X.micros(F.col("first_seen")), "id")
-    return hits.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "w_id", "w_lit")
+    """For each wanted (subject_id, predicate, object_id, object_literal) the first live edge with that object.
+
+    Of equal facts only the first goes on to meet what is wanted, so neither facts nor wanted rows of a busy key multiply."""
+    order = F.struct(X.micros(F.col("first_seen")).alias("us"), F.col("id"))
+    by = ["subject_id", "predicate", "object_id", "object_literal"]
+    first = edges.filter(live()).groupBy(*by).agg(F.min_by(F.struct(*edges.columns), order).alias("e"), F.min(order).alias("o"))
+    w = _wanted(wanted).distinct()
+    hits = meet_by_object(first, w).groupBy("subject_id", "predicate", "w_id", "w_lit").agg(F.min_by("e", "o").alias("e"))
+    return hits.select("e.*")
 
 
 def superseded_matches(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    w = wanted.select("subject_id", "predicate", F.col("object_id").alias("w_id"), F.col("object_literal").alias("w_lit"))
-    return edges.filter(F.col("superseded_by").isNotNull()).join(w, ["subject_id", "predicate"]).filter(X.same_object(F.col("object_id"), F.col("object_literal"), F.col("w_id"), F.col("w_lit"))).drop("w_id", "w_lit")
+    """The superseded edges with a wanted object, once for each wanted row."""
+    return meet_by_object(edges.filter(F.col("superseded_by").isNotNull()), _wanted(wanted)).select(*edges.columns)
 
 
 def conversation_range(messages: DataFrame, conversation, since: str) -> DataFrame:

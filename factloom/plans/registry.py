@@ -446,7 +446,7 @@ clusters AS (SELECT id, min(r) AS cluster FROM reach GROUP BY id)"""
 
 @query()
 def dedup_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.clusters(dedup.duplicate_pairs(T.edges(spark, d)))
+    return dedup.clusters(dedup.duplicate_links(T.edges(spark, d)))
 
 
 _SQL["dedup_clusters"] = _CLUSTERS + " SELECT id, cluster FROM clusters"
@@ -455,7 +455,7 @@ _SQL["dedup_clusters"] = _CLUSTERS + " SELECT id, cluster FROM clusters"
 @query()
 def merge_survivors(spark: SparkSession, d: str) -> DataFrame:
     edges = T.edges(spark, d)
-    members = dedup.cluster_members(edges, dedup.duplicate_pairs(edges))
+    members = dedup.cluster_members(edges, dedup.duplicate_links(edges))
     out, _ = mutations.merge_duplicates(edges, members)
     return out.join(members.filter("rank = 1").select("id"), "id", "left_semi").select("id", us("last_reinforced"), F.size("source_message_ids").cast("long").alias("sources"))
 
