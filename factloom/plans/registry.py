@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import schema as S
 from factloom.functions import expr as X
 from factloom.operators import analytics as A
-from factloom.operators import dedup, models, mutations, reports, triples, windows
+from factloom.operators import dedup, models, mutations, reports, triples, vectors, windows
 from factloom.operators import retrieval as R
 from factloom.sources import exports, live
 from factloom.sources import fixtures as T
@@ -114,6 +114,46 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
     return found.select("message_id", F.round(1 - F.col("distance"), 5).alias("similarity"))
 
 
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return T.embeddings(spark, d).filter("message_id % 100 = 0").select(F.col("message_id").alias("query_id"), "vector")
+
+
+_NEAR = """, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+near AS (SELECT query_id, vec_id AS message_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 12) AS s FROM q, embeddings)"""
+_FIRST_TEN = "SELECT query_id, rank::INTEGER AS rank, message_id, round({s}, 5) AS {as_} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, message_id) AS rank FROM {rows}) WHERE rank <= 10"
+
+
+@query(_NEAR + _FIRST_TEN.format(s="s", as_="similarity", rows="near"))
+def vector_top_k_many(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nearest(T.embeddings(spark, d), _asked(spark, d)).withColumn("similarity", F.round("similarity", 5))
+
+
+@query(_NEAR + _FIRST_TEN.format(s="1 - s", as_="distance", rows="near JOIN (SELECT id FROM messages WHERE NOT processed) m ON m.id = message_id"))
+def semantic_search_many(spark: SparkSession, d: str) -> DataFrame:
+    found = vectors.semantic_search_many(T.embeddings(spark, d), T.messages(spark, d).filter("NOT processed"), _asked(spark, d))
+    return found.withColumn("distance", F.round("distance", 5))
+
+
+@query(_NEAR + f""", best AS (SELECT query_id, e.id, max(s) AS similarity FROM (SELECT id, unnest(source_message_ids) AS message_id FROM edges WHERE {LIVE}) e LEFT JOIN near USING (message_id) GROUP BY ALL),
+all_ AS (SELECT q.query_id, d.*, best.similarity FROM q CROSS JOIN decayed d LEFT JOIN best ON best.id = d.id AND best.query_id = q.query_id WHERE {LIVE}),
+pool AS (SELECT *, coalesce(similarity, 0) AS sim FROM all_ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC NULLS LAST, last_reinforced DESC, id) <= 50)
+SELECT query_id, id, round(0.5 * sim + 0.3 * eff + 0.2 * importance, 5) AS score FROM pool WHERE NOT ({PRUNE})
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * sim + 0.3 * eff + 0.2 * importance DESC, sim DESC, last_reinforced DESC, id) <= 10""")
+def relevant_context_many(spark: SparkSession, d: str) -> DataFrame:
+    got = vectors.relevant_context_many(T.edges(spark, d), T.embeddings(spark, d), _asked(spark, d), AS_OF, top=10)
+    return got.select("query_id", "id", F.round("score", 5).alias("score"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, count(*) AS indexed, true AS enough FROM embeddings")
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the ten nearest to each query, nine in ten and more are found through the index, with the fewest probes that do."""
+    embeddings, asked = T.embeddings(spark, d), _asked(spark, d)
+    index = vectors.VectorIndex.build(embeddings, vectors.fit_cells(embeddings))
+    probes = vectors.probes_for(index, embeddings, asked)
+    share = vectors.recall(index.search(embeddings, asked, 10, probes), vectors.nearest(embeddings, asked))
+    return index.rows.agg(F.count("*").alias("indexed")).select(F.lit(asked.count()).cast("long").alias("queries"), "indexed", F.lit(share >= 0.9).alias("enough"))
+
+
 _BEST = f""", near AS (SELECT vec_id AS message_id, {_DISTANCE.replace("vector", "embedding", 1)} AS s FROM embeddings),
 best AS (SELECT e.id, max(s) AS similarity FROM (SELECT id, unnest(source_message_ids) AS message_id FROM edges) e LEFT JOIN near USING (message_id) GROUP BY e.id)"""
 
@@ -529,9 +569,13 @@ def idle_trigger_points(spark: SparkSession, d: str) -> DataFrame:
     return A.idle_points(T.messages(spark, d), until=AS_OF).withColumnRenamed("at", "run_at")
 
 
-#: A quiet stretch k begins at a and may have an idle run at i; m fallbacks after the last run r come before i.
-_SQL["idle_trigger_points"] = T.SQL.replace("WITH messages", "WITH RECURSIVE messages", 1) + """, s AS (SELECT DISTINCT epoch_us(timestamp) // 1000000 AS a FROM messages),
-g AS (SELECT a, coalesce(lead(a) OVER (ORDER BY a), epoch_us(TIMESTAMP '2024-02-15') // 1000000) AS b FROM s),
+def _idle_sql(until: str, start: str | None = None) -> str:
+    """A quiet stretch k begins at a and may have an idle run at i; m fallbacks after the last run r come before i."""
+    end = f"epoch_us(TIMESTAMP '{until}') // 1000000"
+    begin = f"epoch_us(TIMESTAMP '{start}') // 1000000" if start else None
+    within = f" WHERE epoch_us(timestamp) // 1000000 BETWEEN {begin or 0} AND {end}" + (f" UNION SELECT {begin}" if begin else "")
+    return T.SQL.replace("WITH messages", "WITH RECURSIVE messages", 1) + f""", s AS (SELECT DISTINCT epoch_us(timestamp) // 1000000 AS a FROM messages{within}),
+g AS (SELECT a, coalesce(lead(a) OVER (ORDER BY a), {end}) AS b FROM s),
 q AS (SELECT a, a + 2100 AS i, row_number() OVER (ORDER BY a) AS k FROM g WHERE b - a >= 2100),
 fold AS (
   SELECT 0::BIGINT AS k, (SELECT min(a) FROM s) AS r, (SELECT min(a) FROM s) AS was, 0::BIGINT AS m, false AS fires, 0::BIGINT AS i
@@ -540,7 +584,19 @@ fold AS (
   FROM fold f JOIN q ON q.k = f.k + 1, LATERAL (SELECT greatest(0, (q.i - f.r - 1) // 72000) AS m) x)
 SELECT i AS run_at, 'idle_threshold' AS reason FROM fold WHERE fires
 UNION ALL SELECT was + j * 72000, 'max_interval_fallback' FROM fold, unnest(generate_series(1, m)) AS t(j)
-UNION ALL SELECT r + j * 72000, 'max_interval_fallback' FROM (SELECT r, (epoch_us(TIMESTAMP '2024-02-15') // 1000000 - r - 1) // 72000 AS m FROM fold ORDER BY k DESC LIMIT 1), unnest(generate_series(1, m)) AS t(j)"""
+UNION ALL SELECT r + j * 72000, 'max_interval_fallback' FROM (SELECT r, ({end} - r - 1) // 72000 AS m FROM fold ORDER BY k DESC LIMIT 1), unnest(generate_series(1, m)) AS t(j)"""
+
+
+_SQL["idle_trigger_points"] = _idle_sql("2024-02-15")
+_WITHIN = "2024-01-08 00:00:30", "2024-01-21 12:34:56"
+
+
+@query()
+def idle_trigger_points_within(spark: SparkSession, d: str) -> DataFrame:
+    return A.idle_points(T.messages(spark, d), start=_WITHIN[0], until=_WITHIN[1]).withColumnRenamed("at", "run_at")
+
+
+_SQL["idle_trigger_points_within"] = _idle_sql(_WITHIN[1], _WITHIN[0])
 
 
 @query("""SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN '49' || digits || '@s.whatsapp.net' WHEN 1 THEN digits || '@s.whatsapp.net' WHEN 2 THEN digits || '@lid' WHEN 4 THEN c_name END AS identity
@@ -747,6 +803,65 @@ def store_triples(spark: SparkSession, d: str) -> DataFrame:
     return out.select("subject_id", "object_literal", F.col("superseded_by").isNotNull().alias("gone"), F.round("confidence", 9).alias("confidence"), us("first_seen", "first_us"), us("last_reinforced", "last_us"))
 
 
+_SAID = T.SQL.replace("WITH messages", "WITH RECURSIVE messages", 1) + """, x AS (SELECT event_id AS w, user_id % 40 + 1 AS s, CASE WHEN event_id % 7 = 0 THEN event_id // 2 ELSE event_id END AS m FROM events),
+t AS (
+  SELECT w, 0 AS seq, s, 'likes' AS p, CASE WHEN w % 3 = 0 THEN 'e:thing ' || w % 4 ELSE 'l:v' || w % 5 END AS o, w % 5 = 0 AS corr,
+         CASE (w // 5) % 4 WHEN 2 THEN 'v' || (w // 5) % 5 WHEN 3 THEN 'thing ' || (w // 5) % 4 END AS rep, m FROM x
+  UNION ALL SELECT w, 1, s, 'works_at', 'l:w' || w % 3, w % 11 = 0, NULL, m FROM x),
+c AS (SELECT t.*, corr AND g.sender_id = -1 AS own, epoch_us(g.timestamp) AS us, row_number() OVER (PARTITION BY s, p ORDER BY w, seq) AS n FROM t JOIN messages g ON g.id = t.m),
+f AS (
+  SELECT DISTINCT s, p, 0::BIGINT AS n, []::VARCHAR[] AS live, []::STRUCT(o VARCHAR, u BIGINT)[] AS dead, NULL::VARCHAR AS action, 0::BIGINT AS w, 0 AS seq FROM t
+  UNION ALL
+  SELECT s, p, n, CASE action WHEN 'created' THEN list_append(live, o) WHEN 'corrected' THEN list_append(list_filter(live, lambda v: v <> hits[1]), o) ELSE live END,
+         CASE action WHEN 'corrected' THEN list_append(dead, {'o': hits[1], 'u': us}) ELSE dead END, action, w, seq
+  FROM (SELECT *, CASE WHEN own AND len(live) = 0 THEN 'skipped_no_correction_target' WHEN list_contains(live, o) THEN 'reinforced' WHEN own AND len(hits) = 0 THEN 'skipped_no_correction_target'
+                       WHEN own AND len(hits) > 1 THEN 'skipped_ambiguous_correction_target' WHEN own THEN 'corrected'
+                       WHEN len(list_filter(dead, lambda v: v.o = o AND us <= v.u)) > 0 THEN 'skipped_stale' ELSE 'created' END AS action
+        FROM (SELECT f.s, f.p, c.n, f.live, f.dead, c.o, c.own, c.us, c.w, c.seq, list_filter(f.live, lambda v: c.rep IS NULL OR v = 'l:' || c.rep OR v = 'e:' || c.rep) AS hits
+              FROM f JOIN c ON c.s = f.s AND c.p = f.p AND c.n = f.n + 1)))"""
+
+
+def _extracted(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Two triples of each event, as a model would answer: several claims for each person and predicate, some of them corrections
+    that name an old value (in another case, as an entity, as blanks) or none, and some said before what was corrected."""
+    e = F.col("event_id")
+    fifth = F.floor(e / 5)
+
+    def text(head: str, n) -> F.Column:
+        return F.concat(F.lit(head), n.cast("string"))
+
+    subject = F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") % 40 + 1).cast("string"), 9, "0"))
+    likes = {
+        "subject": F.upper(subject), "predicate": F.lit("likes"), "object": F.when(e % 3 == 0, text("Thing ", e % 4)).otherwise(text("v", e % 5)), "object_type": F.when(e % 3 == 0, "entity").otherwise("literal"),
+        "confidence": F.lit(0.5), "is_correction": e % 5 == 0, "correction_source_index": F.lit(0),
+        "replaces_object": F.when(fifth % 4 == 1, "  ").when(fifth % 4 == 2, text(" V", fifth % 5)).when(fifth % 4 == 3, text("THING ", fifth % 4)),
+    }
+    works = likes | {"subject": subject, "predicate": F.lit("works_at"), "object": text("w", e % 3), "object_type": F.lit("literal"), "is_correction": e % 11 == 0, "replaces_object": F.lit(None).cast("string")}
+    output = F.to_json(F.array(*[F.struct(*[v.alias(k) for k, v in t.items()]) for t in (likes, works)]))
+    m = F.when(e % 7 == 0, F.floor(e / 2)).otherwise(e)
+    said = T.read(spark, d, "events").select(e.alias("window_seq"), F.array(m).alias("window_ids"), F.lit("whatsapp_text").alias("source_type"), output.alias("output"))
+    return triples.store_extracted(said, spark.createDataFrame([], S.EDGES), T.entities(spark, d), T.messages(spark, d), ("Self",), AS_OF)
+
+
+@query()
+def extracted_actions(spark: SparkSession, d: str) -> DataFrame:
+    return _extracted(spark, d)["outcomes"].select("window_seq", "triple_seq", "action")
+
+
+_SQL["extracted_actions"] = _SAID + " SELECT w AS window_seq, seq AS triple_seq, action FROM f WHERE n > 0"
+
+
+@query()
+def extracted_live_facts(spark: SparkSession, d: str) -> DataFrame:
+    got = _extracted(spark, d)
+    names = got["entities"].select(F.col("id").alias("object_id"), F.concat(F.lit("e:"), F.lower("canonical_name")).alias("named"))
+    rows = got["edges"].filter(R.live()).join(names, "object_id", "left")
+    return rows.select(F.col("subject_id").cast("long").alias("subject_id"), "predicate", F.coalesce("named", F.concat(F.lit("l:"), F.col("object_literal"))).alias("object"))
+
+
+_SQL["extracted_live_facts"] = _SAID + " SELECT s AS subject_id, p AS predicate, unnest(live) AS object FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY s, p ORDER BY n DESC) = 1)"
+
+
 _NAMES = """, x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'customer#' || lpad((user_id % 40)::VARCHAR, 9, '0') WHEN 1 THEN ' me ' ELSE 'Someone ' || user_id % 30 END AS subject, 'Thing ' || user_id % 20 AS object, event_id % 3 = 0 AS is_entity, CASE WHEN event_id % 5 = 0 THEN 'pet_of' ELSE 'likes' END AS predicate FROM events),
 uses AS (SELECT event_id, 0 AS place, subject AS name, 'person' AS type FROM x WHERE event_id % 4 <> 1 UNION ALL SELECT event_id, 1, object, CASE WHEN predicate = 'pet_of' THEN 'person' ELSE 'object' END FROM x WHERE is_entity)"""
 
