@@ -805,9 +805,9 @@ def store_triples(spark: SparkSession, d: str) -> DataFrame:
 
 _SAID = T.SQL.replace("WITH messages", "WITH RECURSIVE messages", 1) + """, x AS (SELECT event_id AS w, user_id % 40 + 1 AS s, CASE WHEN event_id % 7 = 0 THEN event_id // 2 ELSE event_id END AS m FROM events),
 t AS (
-  SELECT w, 0 AS seq, s, 'likes' AS p, CASE WHEN w % 3 = 0 THEN 'e:thing ' || w % 4 ELSE 'l:v' || w % 5 END AS o, w % 5 = 0 AS corr,
-         CASE (w // 5) % 4 WHEN 2 THEN 'v' || (w // 5) % 5 WHEN 3 THEN 'thing ' || (w // 5) % 4 END AS rep, m FROM x
-  UNION ALL SELECT w, 1, s, 'works_at', 'l:w' || w % 3, w % 11 = 0, NULL, m FROM x),
+  SELECT w, 0 AS seq, s, 'likes' AS p, CASE WHEN w % 3 = 0 THEN 'e:thing ' || (w // 300 + n) % 4 ELSE 'l:v' || (w // 300 + n) % 7 END AS o, n > 0 AS corr,
+         CASE (w // 5) % 4 WHEN 2 THEN 'v' || (w // 300) % 7 WHEN 3 THEN 'thing ' || (w // 300) % 4 END AS rep, m FROM (SELECT *, CASE WHEN w % 5 = 0 THEN 3 ELSE 0 END AS n FROM x)
+  UNION ALL SELECT w, 1, s, 'works_at', 'l:w' || (w // 500 + (w % 11 = 0)::INTEGER) % 3, w % 11 = 0, NULL, m FROM x),
 c AS (SELECT t.*, corr AND g.sender_id = -1 AS own, epoch_us(g.timestamp) AS us, row_number() OVER (PARTITION BY s, p ORDER BY w, seq) AS n FROM t JOIN messages g ON g.id = t.m),
 f AS (
   SELECT DISTINCT s, p, 0::BIGINT AS n, []::VARCHAR[] AS live, []::STRUCT(o VARCHAR, u BIGINT)[] AS dead, NULL::VARCHAR AS action, 0::BIGINT AS w, 0 AS seq FROM t
@@ -831,12 +831,13 @@ def _extracted(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         return F.concat(F.lit(head), n.cast("string"))
 
     subject = F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") % 40 + 1).cast("string"), 9, "0"))
+    now, new = F.floor(e / 300), F.when(e % 5 == 0, 3).otherwise(0)  # what is liked changes with time; a correction is ahead of it
     likes = {
-        "subject": F.upper(subject), "predicate": F.lit("likes"), "object": F.when(e % 3 == 0, text("Thing ", e % 4)).otherwise(text("v", e % 5)), "object_type": F.when(e % 3 == 0, "entity").otherwise("literal"),
-        "confidence": F.lit(0.5), "is_correction": e % 5 == 0, "correction_source_index": F.lit(0),
-        "replaces_object": F.when(fifth % 4 == 1, "  ").when(fifth % 4 == 2, text(" V", fifth % 5)).when(fifth % 4 == 3, text("THING ", fifth % 4)),
+        "subject": F.upper(subject), "predicate": F.lit("likes"), "object": F.when(e % 3 == 0, text("Thing ", (now + new) % 4)).otherwise(text("v", (now + new) % 7)), "object_type": F.when(e % 3 == 0, "entity").otherwise("literal"),
+        "confidence": F.lit(0.5), "is_correction": new > 0, "correction_source_index": F.lit(0),
+        "replaces_object": F.when(fifth % 4 == 1, "  ").when(fifth % 4 == 2, text(" V", now % 7)).when(fifth % 4 == 3, text("THING ", now % 4)),
     }
-    works = likes | {"subject": subject, "predicate": F.lit("works_at"), "object": text("w", e % 3), "object_type": F.lit("literal"), "is_correction": e % 11 == 0, "replaces_object": F.lit(None).cast("string")}
+    works = likes | {"subject": subject, "predicate": F.lit("works_at"), "object": text("w", (F.floor(e / 500) + (e % 11 == 0).cast("int")) % 3), "object_type": F.lit("literal"), "is_correction": e % 11 == 0, "replaces_object": F.lit(None).cast("string")}
     output = F.to_json(F.array(*[F.struct(*[v.alias(k) for k, v in t.items()]) for t in (likes, works)]))
     m = F.when(e % 7 == 0, F.floor(e / 2)).otherwise(e)
     said = T.read(spark, d, "events").select(e.alias("window_seq"), F.array(m).alias("window_ids"), F.lit("whatsapp_text").alias("source_type"), output.alias("output"))
