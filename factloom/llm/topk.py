@@ -1,20 +1,22 @@
 """Exact top-k inner products by term-at-a-time accumulation.
 
-Each query block is a bounded broadcast (QUERY_BLOCK rows); candidates stay where they are.  For each chunk of
+Each query block is a bounded broadcast (QUERY_BLOCK rows), and its result lies in the shared folder before the next one is read;
+candidates stay where they are.  For each chunk of
 candidates the components become postings (term -> candidates with a non-zero weight); each term's sparse query
 weights scatter its postings into a dense score array.  Every task keeps its best k a query; a merge picks the rest.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table, tidy
+from factloom.llm.common import checkpoint_dir, cut, table, tidy
 
 K, EVERY, SCALE = 20, 20, 64
 #: Queries in one broadcast, and the rows and columns of one score array.
@@ -124,6 +126,28 @@ def _search(queries: np.ndarray, k: int):
     return run
 
 
+def query_blocks(asked: DataFrame) -> Iterator[tuple[bool, pa.Table]]:
+    """Whether there is one block only, and the rows of asked in blocks of QUERY_BLOCK at most.
+
+    The driver holds one block: they are numbered once, and more than one lie in the shared folder.
+    """
+    spark = asked.sparkSession
+    kept = cut(asked.withColumn("__i", F.monotonically_increasing_id()))
+    counts = kept.groupBy(F.shiftright("__i", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # a line a partition
+    total = sum(r.n for r in counts)
+    if total <= QUERY_BLOCK:
+        yield True, kept.drop("__i").toArrow()
+        return
+    before = zip([r.p for r in counts], np.cumsum([0, *(r.n for r in counts)])[:-1].tolist(), strict=True)
+    offsets = spark.createDataFrame(list(before), "p long, before long")
+    folder = f"{checkpoint_dir(spark)}/queries-{uuid.uuid4().hex}"
+    placed = kept.withColumn("p", F.shiftright("__i", 33)).join(offsets, "p")
+    block = F.floor((F.col("before") + F.col("__i") - F.shiftleft("p", 33)) / QUERY_BLOCK).cast("int")
+    placed.select(*asked.columns, block.alias("__block")).write.partitionBy("__block").parquet(folder)
+    for b in range(-(-total // QUERY_BLOCK)):
+        yield False, spark.read.schema(asked.schema).parquet(f"{folder}/__block={b}").toArrow()
+
+
 def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k rows with the highest integer inner product for each query row.
 
@@ -136,33 +160,30 @@ def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_co
     """
     spark = df.sparkSession
     rows = quantised(df, id_col, vector_col)
-    asked = rows.filter(is_query)
-    out, after, parts = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"), None, []
-    while True:  # bounded blocks of queries, in order of id and vector
-        left = asked if after is None else asked.filter((F.col("id") > after[0]) | ((F.col("id") == after[0]) & (F.col("x") > F.array(*[F.lit(v).cast("long") for v in after[1]]))))
-        ordered = left.groupBy("id", "x").count().orderBy("id", "x").limit(QUERY_BLOCK).toArrow()
-        if not ordered.num_rows:
+    found = f"{checkpoint_dir(spark)}/topk-{uuid.uuid4().hex}"
+    single, out = True, spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for single, block in query_blocks(rows.filter(is_query).groupBy("id", "x").count()):
+        if not block.num_rows:
             break
-        block = ordered.combine_chunks()
+        block = block.combine_chunks()
         x = block.column("x").combine_chunks()
         width = max(1, int(np.diff(x.offsets.to_numpy(zero_copy_only=False)).max(initial=0)))
         queries = _matrix(x, width)
         own = np.array([min(MOST, sum(v * v for v in q)) for q in queries.tolist()], np.int64)
-        found = rows.mapInArrow(tidy(_search(queries, k + 1)), "q int, id long, score long")
+        scored = rows.mapInArrow(tidy(_search(queries, k + 1)), "q int, id long, score long")
         asked_rows = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(queries)), pa.int32()), "query_id": block.column("id"), "own": pa.array(own, pa.int64()), "n": block.column("count")}))
         w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-        best = found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).join(F.broadcast(asked_rows), "q")
+        best = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1).join(F.broadcast(asked_rows), "q")
         # one row with the query's id and its product with itself is the query's own
         mine = (F.col("id") == F.col("query_id")) & (F.col("score") == F.col("own"))
         self_at = F.min(F.when(mine, F.col("r"))).over(Window.partitionBy("q"))
         best = best.withColumn("self_at", F.coalesce(self_at, F.lit(k + 2))).filter((F.col("r") != F.col("self_at")) & (F.col("r") - (F.col("r") > F.col("self_at")).cast("int") <= k))
         fits = F.when(F.abs("score") < MOST, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
         best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-        parts.append(best.select("query_id", (F.col("r") - (F.col("r") > F.col("self_at")).cast("int")).cast("int").alias("rank"), F.col("id").alias("vec_id"), fits.alias("score")))
-        if block.num_rows < QUERY_BLOCK:
-            break
-        after = (block.column("id")[-1].as_py(), x[-1].as_py())
-    return reduce(DataFrame.unionAll, parts, out) if parts else out
+        out = best.select("query_id", (F.col("r") - (F.col("r") > F.col("self_at")).cast("int")).cast("int").alias("rank"), F.col("id").alias("vec_id"), fits.alias("score"))
+        if not single:
+            out.write.mode("append").parquet(found)
+    return out if single else spark.read.schema(out.schema).parquet(found)
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
