@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import expr as X
 from factloom.operators.analytics import unprocessed_with_text
+from factloom.store import keep
 
 COUNT_SIZE = 8
 LIVE_SIZE, LIVE_SECONDS = 10, 300
@@ -21,39 +26,121 @@ def count_windows(rows: DataFrame, key: str, *order: str, size: int = COUNT_SIZE
     return rows.withColumn("window_index", F.floor((F.row_number().over(w) - 1) / n).cast("int"))
 
 
+@dataclass
+class Piece:
+    """The part of one conversation that one partition holds, in order."""
+
+    times: np.ndarray
+
+    def starts(self, size: int, limit: int) -> np.ndarray:
+        """Where the next window begins, for a window that begins at each place; len(times) if not in this piece."""
+        late = np.searchsorted(self.times, self.times + limit, side="right")
+        return np.minimum(np.arange(len(self.times)) + size, late)
+
+
+def walked(times: np.ndarray, entries: list[int], size: int, limit: int) -> dict[int, tuple[int, int]]:
+    """For each entry (where the open window began): how many windows begin after it, and where the last of them begins.
+
+    Ways that meet go on as one, so all entries together cost little more than one of them.
+    """
+    after = Piece(times).starts(size, limit)
+    out, met = {}, {}
+    for entry in entries:
+        way, at = [entry], entry
+        while at not in met and after[at] < len(times):
+            at = int(after[at])
+            way.append(at)
+        more, last = met.get(at, (0, at))
+        for k, place in enumerate(way):
+            met.setdefault(place, (more + len(way) - 1 - k, last))
+        out[entry] = met[entry]
+    return out
+
+
 def live_windows(messages: DataFrame, key: str = "conversation_id", size: int = LIVE_SIZE, seconds: int = LIVE_SECONDS) -> DataFrame:
     """window_index of each message under the live rule: a message begins a window if the open one has `size` messages or
     began more than `seconds` before; elapsed time counts from the window's first message.
 
-    Messages after gaps of more than `seconds` begin windows for certain, so stretches between such gaps go to tasks of their
-    own.  A stretch streams through its task in order and takes three numbers of memory, however long it is.
+    Messages are sorted once, by conversation and time, so a busy conversation lies in many partitions.  A window that is open at
+    a partition's end began among the last `size` messages before it: each partition tells, for every such beginning, how many
+    windows follow and where the last one begins.  These short tables are put together in order, and each partition then
+    numbers its messages from the window that is open at its beginning.  The driver sees `size` + 2 short lines a partition.
     """
-    w = Window.partitionBy(key).orderBy("timestamp", "id")
-    rows = messages.withColumn("__us", X.micros(F.col("timestamp"))).withColumn("__gap", F.coalesce(F.col("__us") - F.lag("__us").over(w) > seconds * 1_000_000, F.lit(True)))
-    rows = rows.withColumn("__stretch", F.sum(F.col("__gap").cast("int")).over(w)).drop("__gap")
-    limit = seconds * 1_000_000
+    limit, kind = seconds * 1_000_000, messages.schema[key].dataType
+    rows = keep(messages.withColumn("__us", X.micros(F.col("timestamp"))).orderBy(key, "__us", "id"))
 
-    def fold(batches):
-        last, index, n, first = None, 0, 0, 0
+    def held(batches) -> list[tuple[object, list[int]]]:
+        """The partition's pieces: key and times."""
+        out: list[tuple[object, list[int]]] = []
+        for b in batches:
+            for k, us in zip(b.column("key").to_pylist(), b.column("us").to_pylist(), strict=True):
+                if not out or out[-1][0] != k:
+                    out.append((k, []))
+                out[-1][1].append(us)
+        return out
+
+    line = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", kind), T.StructField("last", kind), T.StructField("pieces", T.IntegerType()), T.StructField("tail", T.ArrayType(T.LongType()))])
+
+    def ends(batches):
+        p = held(batches)
+        if p:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([p[0][0]]), pa.array([p[-1][0]]), pa.array([len(p)], pa.int32()), pa.array([p[-1][1][-size:]], pa.list_(pa.int64()))], ["part", "first", "last", "pieces", "tail"])
+
+    short = rows.select(F.col(key).alias("key"), F.col("__us").alias("us"))
+    known = sorted(short.mapInArrow(ends, line).collect(), key=lambda r: r.part)
+    halo, tail = {}, []  # times of the last messages before a partition, of the conversation that goes on in it
+    for i, r in enumerate(known):
+        tail = tail if i and known[i - 1].last == r.first else []
+        halo[r.part] = tail
+        tail = (tail if r.pieces == 1 else []) + list(r.tail)
+        tail = tail[-size:]
+
+    def tables(batches):
+        p, part = held(batches), TaskContext.get().partitionId()
+        if p:
+            before = halo[part]
+            times = np.array(before + p[0][1], np.int64)
+            after = Piece(times).starts(size, limit)
+            entries = [c for c in range(len(before)) if after[c] >= len(before)] if before else [0]
+            found = [(c, n, len(times) - at) for c, (n, at) in walked(times, entries, size, limit).items()]
+            if len(p) > 1:
+                n, at = walked(np.array(p[-1][1], np.int64), [0], size, limit)[0]
+                found.append((-1, n, len(p[-1][1]) - at))
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), *(pa.array(x, pa.int32()) for x in zip(*found, strict=True))], ["part", "entry", "windows", "back"])
+
+    found = {(r.part, r.entry): (r.windows, r.back) for r in short.mapInArrow(tables, "part int, entry int, windows int, back int").collect()}
+    opened, index, back = {}, 0, 0  # the window that is open at a partition's beginning: index, messages, first time
+    for r in known:
+        entry = 0
+        if halo[r.part]:
+            entry = len(halo[r.part]) - back
+            opened[r.part] = (index, back, halo[r.part][entry])
+        else:
+            index = 0
+        n, back = found[r.part, entry]
+        index += n
+        if r.pieces > 1:
+            index, back = found[r.part, -1]
+
+    def number(batches):
+        last, begun, index, n, first = None, False, 0, 0, 0
+        entry = opened.get(TaskContext.get().partitionId())
         for b in batches:
             out = []
-            for k, us in zip(zip(b.column(key).to_pylist(), b.column("__stretch").to_pylist(), strict=True), b.column("__us").to_pylist(), strict=True):
-                if k != last:
+            for k, us in zip(b.column(key).to_pylist(), b.column("__us").to_pylist(), strict=True):
+                if not begun and entry is not None:
+                    last, (index, n, first) = k, entry
+                if not begun and entry is None or k != last:
                     last, index, n, first = k, 0, 1, us
                 elif n >= size or us - first > limit:
                     index, n, first = index + 1, 1, us
                 else:
                     n += 1
+                begun = True
                 out.append(index)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "__i"])
-
-    placed = rows.repartition(key, "__stretch").sortWithinPartitions(key, "__stretch", "timestamp", "id").mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("__i", T.IntegerType())]))
-    # windows of earlier stretches come first
-    counts = placed.groupBy(key, "__stretch").agg((F.max("__i") + 1).alias("n"))
-    earlier = Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col(key).alias("__k"), F.col("__stretch").alias("__s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
-    joined = placed.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__stretch") == F.col("__s")))
-    return joined.withColumn("window_index", (F.col("__i") + F.col("__before")).cast("int")).select(*messages.columns, "window_index")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "window_index"])
+
+    return rows.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("window_index", T.IntegerType())])).select(*messages.columns, "window_index")
 
 
 def recoverable(messages: DataFrame, entities: DataFrame) -> DataFrame:
