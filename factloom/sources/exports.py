@@ -123,7 +123,12 @@ def _raw(rows: DataFrame, platform: str) -> DataFrame:
 
 def parse_text_exports(files: DataFrame, zone: str = "UTC") -> DataFrame:
     """Messages of text exports, with their position in the file.  zone: where the clock times of the export were taken."""
-    rows = split_files(files).filter("stamp IS NOT NULL").withColumn("stamp", F.to_utc_timestamp("stamp", zone).cast("timestamp_ntz"))
+    return text_messages(split_files(files), zone)
+
+
+def text_messages(split: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Messages of what `split_files` gives, or `large_exports.split_lines`."""
+    rows = split.filter("stamp IS NOT NULL").withColumn("stamp", F.to_utc_timestamp("stamp", zone).cast("timestamp_ntz"))
     rows = rows.withColumn("c", classified(F.col("body"))).filter("c.media_type IS NOT NULL")
     rows = rows.select("conversation_id", "position", "sender", "body", "stamp", "c.*")
     return _raw(with_external_ids(rows, TEXT_PREFIX, F.col("body"), "position"), "whatsapp")
@@ -131,7 +136,7 @@ def parse_text_exports(files: DataFrame, zone: str = "UTC") -> DataFrame:
 
 def read_text_exports(spark: SparkSession, folder: str, zone: str = "UTC") -> DataFrame:
     """All *.txt of a folder (not below it); the file's name without ending is the conversation."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)  # as an option it would be overridden
     return parse_text_exports(files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("conversation_id"), "value"), zone)
 
 
