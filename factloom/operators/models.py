@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import expr as X
-from factloom.store import keep
+from factloom.store import committed, keep
 
 THRESHOLD = -0.7
 #: Bytes of a response at most; of a transcription.
@@ -190,3 +190,33 @@ def embed_missing(messages: DataFrame, embeddings: DataFrame, embed: Callable[[C
     some = F.col("vector").isNotNull()
     counts = tried.agg(F.count_if(some).alias("embedded"), F.count_if(F.col("__have")).alias("already_embedded"), F.count_if(~F.col("__have") & F.col("__text").isNull()).alias("skipped_no_text"), F.count_if(~F.col("__have") & F.col("__text").isNotNull() & ~some).alias("failed"))
     return tried.filter(some).select("message_id", "vector"), counts
+
+
+def backfill(messages: DataFrame, embeddings: DataFrame, embed: Callable[[Column], Column], folder: str, chunk: int = 100_000, rebuild: bool = False) -> DataFrame:
+    """`embed_missing` in chunks that outlive the run: message_id and vector of all messages that had text and no vector (all, if
+    rebuild) when the folder's first run began.
+
+    What is to be done is written down once, dealt into chunks of about `chunk` messages by a hash.  A chunk is a job of its own and
+    counts as done when its vectors are committed in the folder; a run that goes on in the same folder takes the plan that lies
+    there, leaves out chunks that are done, and asks the model about no message of these again.  A message for which the embedder
+    gives null has no row; it is asked again by a backfill in a new folder.  A folder belongs to one backfill at a time.
+    """
+    spark = messages.sparkSession
+    plan, done = f"{folder}/plan", f"{folder}/vectors"
+    if not committed(spark, plan):
+        have = embeddings.select(F.col("message_id").alias("id")).distinct()
+        rows = messages.dropDuplicates(["id"]).withColumn("text", X.usable_text()).filter("text IS NOT NULL")
+        todo = keep((rows if rebuild else rows.join(have, "id", "left_anti")).select(F.col("id").alias("message_id"), "text"))
+        chunks = max(1, -(-todo.count() // chunk))
+        todo.withColumn("chunk", F.pmod(F.xxhash64("message_id"), F.lit(chunks)).cast("int")).repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(plan)
+    id_type = dict(messages.dtypes)["id"]
+    kind = f"message_id {id_type}, vector array<float>"
+    asked = spark.read.schema(f"message_id {id_type}, text string, chunk int").parquet(plan)
+    todo = sorted(r.chunk for r in asked.select("chunk").distinct().collect())
+    if not todo:
+        return spark.createDataFrame([], kind)
+    for k in todo:
+        if not committed(spark, f"{done}/chunk={k}"):
+            some = asked.filter(F.col("chunk") == k).select("message_id", embed(F.col("text")).alias("vector"))
+            some.filter(F.col("vector").isNotNull()).write.mode("overwrite").parquet(f"{done}/chunk={k}")
+    return spark.read.schema(kind).parquet(done).select("message_id", "vector")

@@ -29,6 +29,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def committed(spark: SparkSession, folder: str) -> bool:
+    """Whether a write into this folder has come to its end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
