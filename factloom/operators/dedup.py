@@ -89,7 +89,7 @@ def duplicate_links(edges: DataFrame, within: int = WITHIN_SECONDS, threshold: f
 def clusters(pairs: DataFrame) -> DataFrame:
     """id and cluster (the smallest id that pairs lead to).  Labels spread along pairs and are followed to their own labels,
     until none changes."""
-    both = keep(pairs.union(pairs.select("b", "a")).toDF("a", "b").distinct())
+    both = keep(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("cluster")))
     while True:
         near = both.join(labels.toDF("b", "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
@@ -100,6 +100,38 @@ def clusters(pairs: DataFrame) -> DataFrame:
         labels = new
 
 
+def links_with_new(old: DataFrame, new: DataFrame, within: int = WITHIN_SECONDS, threshold: float = THRESHOLD) -> DataFrame:
+    """Links that lead wherever pairs with a new fact lead.  Of the old facts only those of a new one's subject, predicate and time
+    bucket, or of the buckets beside it, take part."""
+    width = within * 1_000_000
+    us = X.micros(F.col("first_seen"))
+    bucket = F.floor(us / width) if width else us
+    touched = mergeable(new).select("subject_id", "predicate", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket")).distinct()
+    near = old.withColumn("__bucket", bucket).join(touched, ["subject_id", "predicate", "__bucket"], "left_semi").select(*old.columns)
+    return duplicate_links(near.unionByName(new.select(*old.columns)), within, threshold)
+
+
+def merged_clusters(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The clusters (id, cluster) that labels and more links (a, b) make.  Links join whole clusters: only clusters that a link
+    touches are looked at, not their members' links."""
+    of = labels.select("id", "cluster")
+
+    def whose(rows: DataFrame, end: str) -> DataFrame:
+        return rows.join(of.toDF(end, f"{end}_in"), end, "left").withColumn(end, F.coalesce(f"{end}_in", end)).drop(f"{end}_in")
+
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    fresh = ends.join(of, "id", "left_anti").select("id", F.col("id").alias("cluster"))
+    between = keep(whose(whose(links.select("a", "b"), "a"), "b").filter("a <> b").select("a", "b").distinct())
+    moved = clusters(between).toDF("cluster", "__to")
+    return of.unionByName(fresh).join(moved, "cluster", "left").select("id", F.coalesce("__to", "cluster").alias("cluster"))
+
+
+def dedup_new(labels: DataFrame, old: DataFrame, new: DataFrame, within: int = WITHIN_SECONDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The clusters of old and new facts together, from the old facts' clusters (id, cluster; as `clusters` gives them for the old
+    facts) without comparing old facts with each other again.  Facts that are no longer mergeable need a full pass."""
+    return keep(merged_clusters(labels, links_with_new(old, new, within, threshold)))
+
+
 def cluster_members(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """cluster, id and rank; the first seen ranks first and survives.  pairs: all duplicates, or links that lead as far."""
     rows = clusters(pairs).join(edges.select("id", "first_seen"), "id")

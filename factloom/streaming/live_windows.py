@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from factloom.functions import expr as X
 from factloom.operators.windows import LIVE_SECONDS, LIVE_SIZE
+from factloom.store import committed
 
 IDLE_SECONDS = 300
 OUTPUT = "conversation_id string, window_index long, ids array<string>, closed_by string"
@@ -127,13 +128,16 @@ class Intake:
 
     store(batch, number) stores one micro-batch.  A failure is tried `attempts` times, with waits that double; then the batch fails
     and the stream with it, so that it is read again after a restart.  Batches that were stored before are known by their
-    number and left out.  After close() nothing more is let in; wait() tells whether what was under way has ended in time.
+    number and left out.  stored() tells the last number that lies with the data, and is asked once, at the start: after a
+    restart a batch that was stored is then left out too.  Without it only this object remembers, and store must be idempotent.
+    After close() nothing more is let in; wait() tells whether what was under way has ended in time.
     """
 
-    def __init__(self, store: Callable[[DataFrame, int], None], attempts: int = 3, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, store: Callable[[DataFrame, int], None], attempts: int = 3, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep, stored: Callable[[], int | None] | None = None):
         self.store, self.attempts, self.pause, self.sleep = store, attempts, wait, sleep
         self.forwarded = self.duplicates = self.retries = self.failed = 0
-        self.last, self.open, self.idle = -1, True, threading.Event()
+        last = stored() if stored else None
+        self.last, self.open, self.idle = -1 if last is None else last, True, threading.Event()
         self.idle.set()
 
     def __call__(self, batch: DataFrame, number: int) -> None:
@@ -163,3 +167,19 @@ class Intake:
 
     def wait(self, seconds: float) -> bool:
         return self.idle.wait(seconds)
+
+
+def numbered_store(folder: str) -> tuple[Callable[[DataFrame, int], None], Callable[[SparkSession], int | None]]:
+    """store and stored for an Intake that writes each batch to a folder of its number: a folder whose write came to its end is
+    the mark, so data and number are committed at once, and a batch that was cut off is written anew."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    def stored(spark: SparkSession) -> int | None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return max((int(n[6:]) for n in names if n.startswith("batch=") and committed(spark, f"{folder}/{n}")), default=None)
+
+    return store, stored

@@ -34,6 +34,22 @@ def test_links_lead_as_far_as_all_pairs(spark, seed, within):
     assert got == want and want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches_of_new_facts_give_the_clusters_of_a_full_pass(spark, seed):
+    rng = random.Random(seed)
+    texts = ["a b c d e f g", "b a c d e f g h", "a b c d e f", "x", "", "a b c d e f g h i j k l", "a b c d e f g h i j k"]
+    rows = [(f"{i:03d}", f"s{i % 2}", f"e{rng.randint(0, 1)}" if i % 4 == 0 else None, rng.choice(texts) if i % 4 else None, float(rng.choice([0, 40, 99, 100, 101, 250, 800, 1801])), None) for i in range(90)]
+    rng.shuffle(rows)
+    e = facts(spark, rows)
+    cuts = [0, *sorted(rng.sample(range(1, 90), 3)), 90]
+    labels = dedup.clusters(dedup.duplicate_links(e.limit(0)))
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        old, new = (e.filter(F.col("id").isin(*[r[0] for r in part])) if part else e.limit(0) for part in (rows[:a], rows[a:z]))
+        labels = dedup.dedup_new(labels, old, new, 100)
+    want = {(r.id, r.cluster) for r in dedup.clusters(dedup.duplicate_links(e, 100)).collect()}
+    assert {(r.id, r.cluster) for r in labels.collect()} == want and want
+
+
 def test_a_busy_key_of_equal_facts_and_claims_takes_as_many_rows_as_it_has(spark):
     n = 20_000
     e = facts(spark, [("x", "s", None, "same words", 0.0, None)]).crossJoin(spark.range(n).withColumnRenamed("id", "k"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom import schema as S
+from factloom.functions import expr as X
 from factloom.operators import analytics as A
 from factloom.operators import dedup, mutations, reports, triples, windows
 from factloom.operators import retrieval as R
@@ -342,3 +344,23 @@ def test_snapshots(spark, tmp_path):
     assert (s.read("a").count(), s.read("a", 1).count(), s.read("b").count(), s.versions()) == (4, 3, 1, [1, 2])
     with pytest.raises(LookupError):
         s.read("c")
+
+
+def test_a_summary_is_of_people_only(spark):
+    people = spark.createDataFrame([("1", "person", "Ann"), ("2", "place", "Rome")], "id string, type string, canonical_name string")
+    none, stats = spark.createDataFrame([], S.EDGES), spark.createDataFrame([], S.RELATIONSHIP_STATS)
+    assert [r.canonical_name for r in R.contact_summary(people, none, stats, "1", AS_OF).collect()] == ["Ann"]
+    assert R.contact_summary(people, none, stats, "3", AS_OF).count() == 0
+    with pytest.raises(Exception, match="not a person"):
+        R.contact_summary(people, none, stats, "2", AS_OF).collect()
+    with pytest.raises(NotImplementedError):
+        R.style_profile("1")
+
+
+def test_a_prompt_holds_vocabulary_and_messages(spark):
+    rows = spark.createDataFrame([(0, "Ann", 'say "hi"\n{messages}'), (1, None, "x")], "i int, who string, text string").withColumn("ts", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    line = X.prompt_line(F.col("i"), F.col("ts"), F.col("who"), F.col("text"))
+    got = rows.orderBy("i").agg(X.prompt("Only {vocabulary}.\n{messages}\nEnd", F.collect_list(line)).alias("p")).first().p
+    head, *lines, end = got.split("\n")
+    assert head == f"Only {', '.join(S.PREDICATES)}." and end == "End"
+    assert [json.loads(x) for x in lines] == [{"i": 0, "ts": "2024-01-02 03:04:05", "speaker": "Ann", "text": 'say "hi"\n{messages}'}, {"i": 1, "ts": "2024-01-02 03:04:05", "text": "x"}]

@@ -86,3 +86,16 @@ def test_intake_tries_again_and_closes():
     with pytest.raises(RuntimeError, match="closed"):
         sink("rows", 10)
     assert sink.failed == 1 and sink.wait(0)
+
+
+def test_a_restarted_intake_leaves_out_what_was_stored(spark, tmp_path):
+    folder = f"{tmp_path}/out"
+    store, stored = L.numbered_store(folder)
+    batch = spark.createDataFrame([("1", "a", T0, None)], SCHEMA)
+    first = L.Intake(store, stored=lambda: stored(spark))
+    first(batch, 0)
+    first(batch, 1)
+    again = L.Intake(store, stored=lambda: stored(spark))
+    for n in (0, 1, 2):
+        again(batch, n)
+    assert (again.duplicates, again.forwarded) == (2, 1) and spark.read.parquet(folder).count() == 3
