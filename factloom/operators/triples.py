@@ -298,9 +298,8 @@ def fold_rounds(facts: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFra
 def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_of: str, unit: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Stores resolved claims.  The claims of one subject and predicate count in order; all keys go side by side.
 
-    Keys without corrections are folded by object, as aggregates; so are, between their corrections, keys with more than `unit`
-    claims and facts (see `fold_rounds`).  The few others, with corrections, go through `fold_key`, about `unit` claims and facts in a
-    task.  claims: claim_id, window_seq, triple_seq, subject_id, predicate, object_id, object_literal, confidence, is_correction,
+    Keys with up to `unit` claims and facts go through `fold_key`, about as many in a task.  Larger ones are no sequence in one task:
+    between their corrections they are folded by object, as aggregates (see `fold_rounds`).  claims: claim_id, window_seq, triple_seq, subject_id, predicate, object_id, object_literal, confidence, is_correction,
     replaces_object, replaces_id, source_type, source_message_ids, and maybe correction_source_index.  Times are those of the
     source messages, none after now; those of a correction are its one message's, to which the index points in
     source_message_ids (the window's first and last, if there is no such message).  Returns the edges with all changes, and
@@ -313,29 +312,32 @@ def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_o
     pointed = claims.withColumn("__m", F.when(index >= 0, F.get("source_message_ids", index))).join(at.toDF("__m", "at_us"), "__m", "left").drop("__m")
     timed = pointed.join(seen, "claim_id", "left").withColumns({"first_us": F.coalesce("first_us", now), "last_us": F.coalesce("last_us", now)}).withColumn("at_us", F.coalesce("at_us", "first_us"))
     # which way a key takes: only keys that have claims are folded
-    asked = claims.groupBy(*KEY).agg(F.count("*").alias("n"), F.bool_or("is_correction").alias("barred"))
+    asked = claims.groupBy(*KEY).agg(F.count("*").alias("n"))
     held = edges.join(asked.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("m"))
-    keys = keep(asked.join(held, KEY, "left").select(*KEY, (F.col("n") + F.coalesce("m", F.lit(0))).alias("rows"), (~F.col("barred") | (F.col("n") + F.coalesce("m", F.lit(0)) > unit)).alias("wide")))
-    timed = keep(timed.join(keys.select(*KEY, "wide"), KEY))
+    rows = F.col("n") + F.coalesce("m", F.lit(0))
+    keys = keep(asked.join(held, KEY, "left").select(*KEY, rows.alias("rows"), (rows > unit).alias("wide")))
+    size = keys.agg(F.sum(F.when(~F.col("wide"), F.col("rows"))).alias("narrow"), F.count_if("wide").alias("wide")).first()
+    hold = keep if size.wide else lambda df: df  # read twice only then
+    marked = keys.select(*KEY, "wide")
+    timed = hold(timed.join(marked, KEY) if size.wide else timed.withColumn("wide", F.lit(False)))
     # of the superseding facts, which may have another key, the time alone is needed
-    touched = edges.join(keys.select(*KEY, "wide"), KEY)
+    touched = edges.join(marked, KEY)
     needed = touched.filter("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("id")).distinct()
     ends = edges.select("id", "first_seen", "source_message_ids").join(needed, "id", "left_semi")
     by = ends.select(F.col("id").alias("superseded_by"), F.least(X.micros(F.col("first_seen")), now).alias("seen"))
     src = ends.select(F.col("id").alias("superseded_by"), F.explode("source_message_ids").alias("m")).join(at, "m").groupBy("superseded_by").agg(F.max("us").alias("latest"))
     until = by.join(src, "superseded_by", "left").select("superseded_by", F.coalesce("latest", "seen").alias("until"))
-    facts = keep(touched.join(until, "superseded_by", "left").withColumns({"first_us": X.micros(F.col("first_seen")), "last_us": X.micros(F.col("last_reinforced"))}))
+    facts = hold(touched.join(until, "superseded_by", "left").withColumns({"first_us": X.micros(F.col("first_seen")), "last_us": X.micros(F.col("last_reinforced"))}))
 
     names = [c.split()[0] for c in FOLDED.split(", ")]
     own = [c for c in names if c not in ("kind", "claim_id", "action")]
-    changed, outcomes = fold_rounds(facts.filter("wide"), timed.filter("wide"))
-    changed = changed.select(*own)
-    narrow = keys.filter("NOT wide").agg(F.sum("rows")).first()[0]
-    if narrow:
-        folded = keep(_fold_tasks(facts.filter("NOT wide"), timed.filter("NOT wide"), max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), narrow // max(1, unit))))
-        changed = changed.unionByName(folded.filter("kind = 'edge'").select(*own))
-        outcomes = outcomes.unionByName(folded.filter("kind = 'outcome'").select("claim_id", "action"))
-    changed = keep(changed)
+    units = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size.narrow or 0) // max(1, unit))
+    folded = keep(_fold_tasks(facts.filter("NOT wide"), timed.filter("NOT wide"), units))
+    changed = folded.filter("kind = 'edge'").select(*own)
+    outcomes = folded.filter("kind = 'outcome'").select("claim_id", "action")
+    if size.wide:
+        large, done = fold_rounds(facts.filter("wide"), timed.filter("wide"))
+        changed, outcomes = keep(changed.unionByName(large.select(*own))), outcomes.unionByName(done)
     rate = X.default_decay_rate(F.col("predicate"))
     as_time = {"first_seen": F.timestamp_micros("first_us"), "last_reinforced": F.timestamp_micros("last_us"), "decay_rate": rate}
     new = changed.select(*[as_time.get(f.name, F.col(f.name) if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in edges.schema])

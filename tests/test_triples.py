@@ -20,17 +20,17 @@ def sequences(seed):
     messages = [(f"m{i}", DAY + rng.randint(0, 40) * 1_000_000) for i in range(40)]
     values = [("e1", None), ("e2", None), (None, "v1"), (None, "V1"), (None, " v2 "), (None, "v3")]
     edges, claims = [], []
-    for k in range(14):
+    for k in range(9):
         key = (f"s{k}", rng.choice(["likes", "works_at"]))
         own = [f"{k}.{i}" for i in range(rng.randint(0, 5))]
         for i in own:
             obj, lit = rng.choice(values)
             by = rng.choice([None, None, rng.choice(own)])
             edges.append((i, *key, obj, lit, 0.5, rng.random(), rng.choice(["whatsapp_text", "whatsapp_text", S.USER_DELETION]), 1.0, rng.sample([m for m, _ in messages], 2) if rng.random() < 0.7 else [], DAY + rng.randint(0, 9) * 1_000_000, DAY + rng.randint(9, 40) * 1_000_000, 0.1, False, by, False))
-        for n in range(rng.randint(1, 14)):
+        for n in range(rng.randint(1, 11)):
             obj, lit = rng.choice(values)
             sources = rng.sample([m for m, _ in messages], rng.randint(0, 3))
-            claims.append((f"c{k}.{n}", n // 3, n % 3, *key, obj, lit, rng.random(), rng.random() < (0.2 if k % 3 else 0.0), rng.choice([None, None, " ", "V1 ", "e2 name", "nothing"]), None, rng.choice(["whatsapp_text", "voice_transcript"]), sources, rng.choice([None, 0, 1, 7])))
+            claims.append((f"c{k}.{n}", n // 3, n % 3, *key, obj, lit, rng.random(), rng.random() < (0.18 if k % 3 else 0.0), rng.choice([None, None, " ", "V1 ", "e2 name", "nothing"]), None, rng.choice(["whatsapp_text", "voice_transcript"]), sources, rng.choice([None, 0, 1, 7])))
     claims = [(*c[:10], "e2" if c[9] == "e2 name" else None, *c[11:]) for c in claims]
     return edges, claims, messages
 
