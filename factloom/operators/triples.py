@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from factloom import schema as S
 from factloom.functions import expr as X
@@ -21,12 +23,14 @@ IMPORTANCE = 0.5
 def parse_output(rows: DataFrame, output: str = "output") -> DataFrame:
     """One row a triple of each row's model output (a JSON array, maybe in a code fence), with triple_seq; output that is no
     such array gives one row with parse_error."""
-    parsed = F.from_json(X.strip_fence(F.col(output)), f"array<{S.TRIPLE.simpleString()}>", {"mode": "PERMISSIVE"})
-    ok = X.strip_fence(F.col(output)).startswith("[") & parsed.isNotNull()
     rest = [c for c in rows.columns if c != output]
-    good = rows.filter(ok).select(*rest, F.posexplode(parsed).alias("triple_seq", "t")).select(*rest, "triple_seq", "t.*", F.lit(None).cast("string").alias("parse_error"))
-    bad = rows.filter(~F.coalesce(ok, F.lit(False))).select(*rest, F.lit("not a JSON array").alias("parse_error"))
-    return good.unionByName(bad, allowMissingColumns=True)
+    kind = f"array<{S.TRIPLE.simpleString()}>"
+    # one step each: a filter over the parsed array, or an inner explode, would have it parsed again
+    text = rows.select(*rest, X.strip_fence(F.col(output)).alias("__text"))
+    parsed = text.select(*rest, F.when(F.col("__text").startswith("["), F.from_json("__text", kind, {"mode": "PERMISSIVE"})).alias("__all"))
+    each = parsed.select(*rest, F.col("__all").isNull().alias("__bad"), F.posexplode_outer("__all").alias("triple_seq", "t"))
+    out = each.filter(F.col("triple_seq").isNotNull() | F.col("__bad"))
+    return out.select(*rest, "triple_seq", "t.*", F.when(F.col("__bad"), "not a JSON array").alias("parse_error"))
 
 
 def reject_reason() -> Column:
@@ -65,14 +69,16 @@ def _same(a_id, a_lit, b_id, b_lit) -> bool:
     return a_lit is not None and a_lit == b_lit
 
 
-def fold_key(facts: list[dict], claims: list[dict]) -> Iterator[dict]:
-    """The claims of one subject and predicate in order; each sees what those before it did.  Facts are found by their object."""
+def fold_key(facts: list[dict], claims: Iterable[dict]) -> Iterator[dict]:
+    """The claims of one subject and predicate in their order; each sees what those before it did.  Live facts are found by their object
+    or old value, of superseded ones only the latest time counts, so a claim costs the same after many corrections as after few."""
 
     def is_live(f: dict) -> bool:
         return f["superseded_by"] is None and f["source_type"] != S.USER_DELETION
 
     facts = sorted(facts, key=lambda f: (f["first_us"], f["id"]))
-    by_object: dict[tuple, list[dict]] = {}
+    by_object: dict[tuple, dict[str, dict]] = {}  # live facts, in order
+    late: dict[tuple, int] = {}  # until when what was superseded was said
     live = {}
 
     def objects(x: dict) -> list[tuple]:
@@ -81,15 +87,27 @@ def fold_key(facts: list[dict], claims: list[dict]) -> Iterator[dict]:
     def old_values(x: dict) -> list[tuple]:
         return [("id", x["object_id"])] * (x["object_id"] is not None) + ([("old", x["object_literal"].strip().lower())] if x["object_literal"] is not None else [])
 
+    def gone(f: dict) -> None:
+        """Takes note of a superseded fact; a literal without an entity is also like that of a claim with one."""
+        for k in objects(f) + [("alone", f["object_literal"])] * (f["object_id"] is None and f["object_literal"] is not None):
+            if f["until"] is not None:
+                late[k] = max(late.get(k, f["until"]), f["until"])
+
     def add(f: dict) -> dict:
-        for k in {*objects(f), *old_values(f)}:
-            by_object.setdefault(k, []).append(f)
         if is_live(f):
+            for k in {*objects(f), *old_values(f)}:
+                by_object.setdefault(k, {})[f["id"]] = f
             live[f["id"]] = f
+        elif f["superseded_by"] is not None:
+            gone(f)
         return f
 
     def same(c: dict) -> list[dict]:
-        return [f for k in objects(c) for f in by_object.get(k, []) if _same(f["object_id"], f["object_literal"], c["object_id"], c["object_literal"])]
+        return [f for k in objects(c) for f in by_object.get(k, {}).values() if _same(f["object_id"], f["object_literal"], c["object_id"], c["object_literal"])]
+
+    def is_stale(c: dict) -> bool:
+        keys = [("lit", c["object_literal"])] if c["object_id"] is None else [("id", c["object_id"]), ("alone", c["object_literal"])]
+        return any(k in late and c["last_us"] <= late[k] for k in keys)
 
     for f in facts:
         add(f)
@@ -100,7 +118,7 @@ def fold_key(facts: list[dict], claims: list[dict]) -> Iterator[dict]:
         new = {
             "id": str(uuid.uuid5(X.NAMESPACE, f"edge:{c['claim_id']}")), "subject_id": c["subject_id"], "predicate": c["predicate"], "object_id": c["object_id"], "object_literal": c["object_literal"],
             "confidence": 1.0 if correction else c["confidence"] * weight, "importance": IMPORTANCE, "source_type": S.USER_CORRECTION if correction else c["source_type"], "source_weight": weight,
-            "source_message_ids": c["source_message_ids"], "first_us": first, "last_us": last, "decay_locked": correction, "superseded_by": None, "is_correction": correction, "until": c["last_us"], "changed": True,
+            "source_message_ids": c["source_message_ids"] or [], "first_us": first, "last_us": last, "decay_locked": correction, "superseded_by": None, "is_correction": correction, "until": c["last_us"], "changed": True,
         }
         facts.append(new)
         return add(new)
@@ -113,12 +131,11 @@ def fold_key(facts: list[dict], claims: list[dict]) -> Iterator[dict]:
         if not live:
             return "skipped_no_correction_target"
         for f in same(c):
-            if is_live(f):
-                return reinforce(f, c["at_us"], c["at_us"])
+            return reinforce(f, c["at_us"], c["at_us"])
         targets = live
         if (c["replaces_object"] or "").strip():
             wanted = [("old", c["replaces_object"].strip().lower())] + [("id", c["replaces_id"])] * (c["replaces_id"] is not None)
-            targets = {f["id"]: f for k in wanted for f in by_object.get(k, []) if is_live(f)}
+            targets = {i: f for k in wanted for i, f in by_object.get(k, {}).items()}
             if not targets:
                 return "skipped_no_correction_target"
         if len(targets) > 1:
@@ -128,19 +145,20 @@ def fold_key(facts: list[dict], claims: list[dict]) -> Iterator[dict]:
         new["importance"] = old["importance"]
         old["superseded_by"], old["changed"], old["until"] = new["id"], True, new["until"]
         del live[old["id"]]
+        for k in {*objects(old), *old_values(old)}:
+            del by_object[k][old["id"]]
+        gone(old)
         return "corrected"
 
     def claim(c: dict) -> str:
-        equal = same(c)
-        for f in equal:
-            if is_live(f):
-                return reinforce(f, c["first_us"], c["last_us"])
-        if any(f["superseded_by"] is not None and f["until"] is not None and c["last_us"] <= f["until"] for f in equal):
+        for f in same(c):
+            return reinforce(f, c["first_us"], c["last_us"])
+        if is_stale(c):
             return "skipped_stale"
         make(c, False)
         return "created"
 
-    for c in sorted(claims, key=lambda c: (c["window_seq"], c["triple_seq"], c["claim_id"])):
+    for c in claims:
         yield {"kind": "outcome", "claim_id": c["claim_id"], "action": correct(c) if c["is_correction"] else claim(c)}
     yield from ({"kind": "edge", **{k: v for k, v in f.items() if k not in ("until", "changed")}} for f in facts if f.get("changed"))
 
@@ -298,8 +316,9 @@ def fold_rounds(facts: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFra
 def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_of: str, unit: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Stores resolved claims.  The claims of one subject and predicate count in order; all keys go side by side.
 
-    Keys with up to `unit` claims and facts go through `fold_key`, about as many in a task.  Larger ones are no sequence in one task:
-    between their corrections they are folded by object, as aggregates (see `fold_rounds`).  claims: claim_id, window_seq, triple_seq, subject_id, predicate, object_id, object_literal, confidence, is_correction,
+    Keys go through `fold_key`, which reads their claims in order and holds their facts only.  Those of more than `unit` claims and
+    facts for each of their corrections are no sequence in one task: between corrections they are folded by object, as aggregates
+    (see `fold_rounds`).  A round takes several jobs, so a key with more corrections than that stays a sequence.  claims: claim_id, window_seq, triple_seq, subject_id, predicate, object_id, object_literal, confidence, is_correction,
     replaces_object, replaces_id, source_type, source_message_ids, and maybe correction_source_index.  Times are those of the
     source messages, none after now; those of a correction are its one message's, to which the index points in
     source_message_ids (the window's first and last, if there is no such message).  Returns the edges with all changes, and
@@ -312,14 +331,14 @@ def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_o
     pointed = claims.withColumn("__m", F.when(index >= 0, F.get("source_message_ids", index))).join(at.toDF("__m", "at_us"), "__m", "left").drop("__m")
     timed = pointed.join(seen, "claim_id", "left").withColumns({"first_us": F.coalesce("first_us", now), "last_us": F.coalesce("last_us", now)}).withColumn("at_us", F.coalesce("at_us", "first_us"))
     # which way a key takes: only keys that have claims are folded
-    asked = claims.groupBy(*KEY).agg(F.count("*").alias("n"))
+    asked = claims.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if("is_correction").alias("c"))
     held = edges.join(asked.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("m"))
     rows = F.col("n") + F.coalesce("m", F.lit(0))
-    keys = keep(asked.join(held, KEY, "left").select(*KEY, rows.alias("rows"), (rows > unit).alias("wide")))
-    size = keys.agg(F.sum(F.when(~F.col("wide"), F.col("rows"))).alias("narrow"), F.count_if("wide").alias("wide")).first()
-    hold = keep if size.wide else lambda df: df  # read twice only then
+    keys = keep(asked.join(held, KEY, "left").select(*KEY, (rows > unit * (F.col("c") + 1)).alias("wide")))
+    wide = not keys.filter("wide").isEmpty()
+    hold = keep if wide else lambda df: df  # read twice only then
     marked = keys.select(*KEY, "wide")
-    timed = hold(timed.join(marked, KEY) if size.wide else timed.withColumn("wide", F.lit(False)))
+    timed = hold(timed.join(marked, KEY) if wide else timed.withColumn("wide", F.lit(False)))
     # of the superseding facts, which may have another key, the time alone is needed
     touched = edges.join(marked, KEY)
     needed = touched.filter("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("id")).distinct()
@@ -331,11 +350,10 @@ def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_o
 
     names = [c.split()[0] for c in FOLDED.split(", ")]
     own = [c for c in names if c not in ("kind", "claim_id", "action")]
-    units = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size.narrow or 0) // max(1, unit))
-    folded = keep(_fold_tasks(facts.filter("NOT wide"), timed.filter("NOT wide"), units))
+    folded = keep(_fold_tasks(facts.filter("NOT wide"), timed.filter("NOT wide")))
     changed = folded.filter("kind = 'edge'").select(*own)
     outcomes = folded.filter("kind = 'outcome'").select("claim_id", "action")
-    if size.wide:
+    if wide:
         large, done = fold_rounds(facts.filter("wide"), timed.filter("wide"))
         changed, outcomes = keep(changed.unionByName(large.select(*own))), outcomes.unionByName(done)
     rate = X.default_decay_rate(F.col("predicate"))
@@ -344,26 +362,36 @@ def store_triples(edges: DataFrame, claims: DataFrame, messages: DataFrame, as_o
     return edges.join(new.select("id"), "id", "left_anti").select(*edges.columns).unionByName(new), outcomes
 
 
-def _fold_tasks(facts: DataFrame, claims: DataFrame, units: int) -> DataFrame:
-    """`fold_key` for all keys, dealt to tasks by a hash: rows of FOLDED."""
-    names = [c.split()[0] for c in FOLDED.split(", ")]
+def _fold_tasks(facts: DataFrame, claims: DataFrame) -> DataFrame:
+    """`fold_key` for all keys, each in one partition and in order there: rows of FOLDED."""
+    names, columns = [c.split()[0] for c in FOLDED.split(", ")], to_arrow_schema(StructType.fromDDL(FOLDED))
+
+    def packed(some: list[dict], filled: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in some], f.type) if f.name in filled else pa.nulls(len(some), f.type) for f in columns], schema=columns)
 
-    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        def rows(p: pd.DataFrame) -> list[dict]:
-            cols = {c: [None if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else v for v in p[c]] for c in p.columns}
-            out = [dict(zip(cols, r, strict=True)) for r in zip(*cols.values(), strict=True)]
-            return [r | {"source_message_ids": list(r["source_message_ids"] if r["source_message_ids"] is not None else [])} for r in out]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def folded() -> Iterator[dict]:
+            for _, one in groupby((r for b in batches for r in b.to_pylist()), lambda r: (r["subject_id"], r["predicate"])):
+                held, first = [], None
+                for r in one:  # facts come before claims
+                    if r["claim_id"] is not None:
+                        first = r
+                        break
+                    held.append(r | {"source_message_ids": r["source_message_ids"] or []})
+                yield from fold_key(held, one if first is None else chain([first], one))
 
-        keys: dict[tuple, tuple[list, list]] = {}
-        for side, frame in enumerate((left, right)):
-            for r in rows(frame):
-                keys.setdefault((r["subject_id"], r["predicate"]), ([], []))[side].append(r)
-        out = [[r.get(c) for c in names] for one in keys.values() for r in fold_key(*one)]
-        return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(names)})
+        out = folded()
+        while some := list(islice(out, 10_000)):
+            done = [r for r in some if r["kind"] == "outcome"]
+            yield packed(done, ["kind", "claim_id", "action"])
+            if len(done) < len(some):
+                yield packed([r for r in some if r["kind"] == "edge"], names)
 
     left = facts.select(*KEY, *[c for c in names if c in facts.columns and c not in KEY], "until")
-    at_unit = F.pmod(F.xxhash64(*KEY), F.lit(units)).alias("unit")
-    return left.select("*", at_unit).groupBy("unit").cogroup(claims.select("*", at_unit).groupBy("unit")).applyInPandas(fold, FOLDED)
+    asked = ["claim_id", "window_seq", "triple_seq", *KEY, "object_id", "object_literal", "confidence", "is_correction", "replaces_object", "replaces_id", "source_type", "source_message_ids", "first_us", "last_us", "at_us"]
+    rows = left.unionByName(claims.select(*asked), allowMissingColumns=True)
+    order = [*KEY, F.col("claim_id").isNotNull(), "window_seq", "triple_seq", "claim_id"]
+    return rows.repartition(*KEY).sortWithinPartitions(*order).mapInArrow(fold, FOLDED)
 
 
 def store_extracted(windows: DataFrame, edges: DataFrame, entities: DataFrame, messages: DataFrame, own_names: tuple[str, ...] | Registry, as_of: str, batch: str = "", corrections: bool = True, unit: int = 20_000) -> dict[str, DataFrame]:

@@ -140,3 +140,17 @@ def test_a_bulk_import_makes_ordinary_claims_of_corrections(spark):
     assert [r.action for r in got["outcomes"].collect()] == ["created", "created"]
     nothing = triples.store_extracted(windows(spark, rows).limit(0), got["edges"], people, messages, ("Me",), AS_OF)
     assert nothing["edges"].count() == 2 and nothing["outcomes"].count() == nothing["refused"].count() == 0
+
+
+def test_a_key_with_very_many_corrections_takes_no_round_for_each(spark):
+    # each correction replaces the value before it, and a value comes back after nine others; what was said no later is stale
+    n = F.col("id")
+    value = F.when(n % 3 == 2, F.greatest(F.floor(n / 3) - 1, F.lit(0))).otherwise(F.floor(n / 3)) % 10
+    claims = spark.range(3000).select(F.concat(F.lit("c"), "id").alias("claim_id"), n.alias("window_seq"), F.lit(0).alias("triple_seq"), F.lit("s").alias("subject_id"), F.lit("likes").alias("predicate"), F.lit(None).cast("string").alias("object_id"), F.concat(F.lit("v"), value).alias("object_literal"), F.lit(0.5).alias("confidence"), (n % 3 == 0).alias("is_correction"), F.lit(None).cast("string").alias("replaces_object"), F.lit(None).cast("string").alias("replaces_id"), F.lit("whatsapp_text").alias("source_type"), F.array(F.concat(F.lit("m"), F.when(n % 3 == 2, n - 2).otherwise(n).cast("string"))).alias("source_message_ids"))
+    messages = spark.range(3000).select(F.concat(F.lit("m"), "id").alias("id"), F.timestamp_micros(n + DAY - 86_400_000_000).alias("timestamp"))
+    before = spark._jsc.sc().dagScheduler().nextJobId()
+    out, actions = triples.store_triples(spark.createDataFrame([], S.EDGES), claims, messages, AS_OF, unit=100)
+    got = {r.action: r.n for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
+    assert got == {"skipped_no_correction_target": 1, "created": 1, "corrected": 999, "reinforced": 1000, "skipped_stale": 999}
+    assert out.filter("superseded_by IS NULL").count() == 1
+    assert spark._jsc.sc().dagScheduler().nextJobId() - before < 100
