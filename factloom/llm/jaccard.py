@@ -290,6 +290,7 @@ def groups(packed: DataFrame, p: Params) -> DataFrame:
 
 def bloom(keys: DataFrame) -> np.ndarray:
     """A filter of at most 2^25 bits over the column `key`; a full one lets all pass."""
+    keys = cut(keys)
     n = keys.count()
     bits = 1 << min(25, max(10, int(8 * n).bit_length()))
     at = keys.select(F.pmod("key", F.lit(bits)).cast("int").alias("at")).union(keys.select(F.pmod(F.shiftright("key", 30), F.lit(bits)).cast("int")))
@@ -347,7 +348,7 @@ def candidate_links(members: DataFrame, sets: DataFrame, units: int) -> DataFram
         pairs = nodes[np.array(links, np.int64).reshape(-1, 2)]
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    rows = members.join(sets.select("dig", "n", "map"), "dig").select(F.pmod(F.xxhash64("gid"), F.lit(units)).alias("unit"), "gid", "dig", "n", "map")
+    rows = members.join(sets.select("dig", "n", "map").hint("merge"), "dig").select(F.pmod(F.xxhash64("gid"), F.lit(units)).alias("unit"), "gid", "dig", "n", "map")
     return rows.groupBy("unit").applyInArrow(tidy_table(run), "a long, b long")
 
 
@@ -387,12 +388,12 @@ def link_components(components: DataFrame, sets: DataFrame, p: Params, units: in
     """node and root of the components that exact links make within candidate components (node, root)."""
     n_of = components.groupBy("root").agg(F.count("*").alias("nodes"))
     blocks = F.ceil(F.col("nodes") / p.max_block).cast("int")
-    placed = cut(components.join(n_of, "root").select(F.col("node").alias("dig"), "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    placed = cut(components.join(n_of.hint("merge"), "root").select(F.col("node").alias("dig"), "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
     one = F.col("blocks") == 1
     unit = F.when(one, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(units)).cast("string")))
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = placed.withColumn("to", F.explode(to)).select(F.coalesce(unit, F.concat_ws(":", F.col("root").cast("string"), F.col("to").cast("string"))).alias("unit"), "root", "dig", F.col("dig").alias("label"))
-    links = cut(exact_links(first.join(sets, "dig").select("unit", "root", "dig", "label", "n", "map", "members")))
+    links = cut(exact_links(first.join(sets.hint("merge"), "dig").select("unit", "root", "dig", "label", "n", "map", "members")))
     labels = connected_components(links)
     large = placed.filter(~one)
     if large.isEmpty():
@@ -428,9 +429,12 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shared = F.broadcast(spark.createDataFrame([(int(x),) for x in twins], "dig long")).withColumn("shared", F.lit(True))
         docs = docs.join(shared, "dig", "left").withColumn("dig", F.when(F.col("shared"), F.col("second")).otherwise(F.col("dig")))
         nodes = docs.filter("n > 0").groupBy("dig").agg(F.min("id").alias("first"))
-    hot = rows.filter("kind = 1").groupBy("dig").agg(F.sum("n").alias("n")).filter(F.col("n") >= p.hot).orderBy(F.desc("n"), "dig").limit(p.max_hot).toArrow()
-    hot = np.sort(hot.column("dig").to_numpy().view(np.uint64))
-    total = docs.agg(F.sum("n")).first()[0] or 0
+    # the sum of all sizes comes first, then what is frequent
+    counts = rows.groupBy("kind", F.when(F.col("kind") == 1, F.col("dig")).alias("h")).agg(F.sum("n").alias("n")).filter((F.col("kind") == 0) | (F.col("n") >= p.hot))
+    counts = counts.orderBy("kind", F.desc("n"), "h").limit(p.max_hot + 1).toArrow()
+    kind = counts.column("kind").to_numpy()
+    hot = np.sort(counts.column("h").drop_null().to_numpy().view(np.uint64)[: p.max_hot])
+    total = int(counts.column("n").to_numpy()[kind == 0].sum())
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, int(total * 0.21 * 21 / p.unit_bytes))
 
@@ -442,20 +446,20 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = cut(met.filter("gid IS NOT NULL").select("gid", F.col("a").alias("dig")).distinct())
     edges = met.filter("gid IS NULL").select("a", "b")
     edges = edges if more is None else edges.union(more)
-    survivors = cut(members.select("dig").union(edges.select("a")).union(edges.select("b")).distinct().join(nodes.select("dig", "first"), "dig"))
+    survivors = cut(members.select("dig").union(edges.select("a")).union(edges.select("b")).distinct().join(nodes.select("dig", "first").hint("merge"), "dig"))
     filter_ = bloom(keys(survivors))
     maps = cut(sets_of(df, p, id_col, text_col, filter_, False, twins))
-    size = members.join(maps, "dig").agg(F.sum(F.length("map") + 32)).first()[0] or 0
+    size = members.join(maps.hint("merge"), "dig").agg(F.sum(F.length("map") + 32)).first()[0] or 0
     candidates = connected_components(edges.union(candidate_links(members, maps, max(parts, int(size / p.unit_bytes) + 1))))
-    filter_ = bloom(keys(survivors.join(candidates.select(F.col("node").alias("dig")), "dig")))
+    filter_ = bloom(keys(survivors.join(candidates.select(F.col("node").alias("dig")).hint("merge"), "dig")))
     sets = cut(sets_of(df, p, id_col, text_col, filter_, True, twins))
     size = sets.agg(F.sum(F.length("members") + F.length("map"))).first()[0] or 0
     labels = link_components(candidates, sets, p, max(parts, int(size / p.unit_bytes) + 1)).toDF("dig", "root")
-    linked = labels.join(survivors, "dig")
+    linked = labels.join(survivors.hint("merge"), "dig")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
-    component = linked.join(smallest, "root").select("dig", "component")
-    known = nodes.join(component, "dig", "left").select("dig", F.coalesce("component", "first").alias("component"))
-    out = docs.join(known, "dig", "left")
+    component = linked.join(smallest.hint("merge"), "root").select("dig", "component")
+    known = nodes.join(component.hint("merge"), "dig", "left").select("dig", F.coalesce("component", "first").alias("component"))
+    out = docs.join(known.hint("merge"), "dig", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from factloom.llm import jaccard, sigtree
-from factloom.llm.components import connected_components
+from factloom.llm.components import connected_components, stars
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -195,6 +195,43 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[i] for i in range(13)} == {0} and {got[i] for i in range(100, 120)} == {100} and got[200] == 200
 
 
+def test_components_take_few_jobs(spark):
+    """The driver plans each job and keeps what it needs for it, so rounds of small jobs fill its memory."""
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(0, 400, (300, 2))]
+    df = spark.createDataFrame(edges, "a long, b long").coalesce(1).checkpoint()
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "")
+    try:
+        got = dict(connected_components(df).collect())
+        jobs = len(sc.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    assert {got[i] for i in range(301)} == {0}
+    assert jobs <= 16
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 50, 10_000])
+def test_stars_keep_components(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (200, 2))] + [(500, 500), (3, 3), (501, 500), (502, 502)]
+
+    def components(edges):
+        up = {x: x for e in edges for x in e}
+        for _ in up:
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    with_batches = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    got = [tuple(r) for r in stars(with_batches, chunk).collect()]
+    assert all(a <= b for a, b in got) and components(got) == components(edges)
+    found = dict(connected_components(with_batches).collect())
+    want = components(edges)
+    assert set(found) == set(want) and len({(found[x], want[x]) for x in want}) == len(set(want.values())) == len(set(found.values()))
+
+
 def test_tree_links_equal_brute_force():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 5000).astype(np.uint64)
