@@ -18,6 +18,8 @@ from factloom.functions.identity import Registry, nfc_trim
 from factloom.store import keep
 
 IMPORTANCE = 0.5
+#: Names that are sent to all tasks; where there are more, triples and names meet by a shuffle.
+FEW_NAMES = 100_000
 
 
 def parse_output(rows: DataFrame, output: str = "output") -> DataFrame:
@@ -180,21 +182,25 @@ def resolve_names(triples: DataFrame, entities: DataFrame, own_names: tuple[str,
     """
     registry = own_names if isinstance(own_names, Registry) else Registry("", tuple(own_names))
     me = entities.filter("is_self").orderBy("id").limit(1).select("id").scalar()
-    names = triples.select(F.inline(F.array(F.struct(F.col("subject").alias("name")), F.struct(F.when(F.col("object_type") == "entity", F.col("object")).alias("name"))))).filter("name IS NOT NULL").distinct()
-    own = keep(names.filter(registry.is_self_name(F.col("name"))).select("name", F.lit(True).alias("own")))
     uses = triples.select("window_seq", "triple_seq", F.inline(F.array(F.struct(F.lit(0).alias("place"), F.col("subject").alias("name"), F.lit("person").alias("type")), F.struct(F.lit(1).alias("place"), F.when(F.col("object_type") == "entity", F.col("object")).alias("name"), X.object_entity_type(F.col("predicate")).alias("type")))))
-    named = uses.filter("name IS NOT NULL").join(own, "name", "left_anti").withColumn("k", F.lower("name"))
+    # of each name its first use is all that counts, so triples are aggregated before anything is joined
+    first = keep(uses.filter("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("window_seq", "triple_seq", "place", "type")).alias("first")))
+    own = keep(first.select("name").filter(registry.is_self_name(F.col("name"))).select("name", F.lit(True).alias("own")))
+    named = first.join(own, "name", "left_anti").withColumn("k", F.lower("name"))
     have = _ids_by_name(entities)
-    order = F.struct("window_seq", "triple_seq", "place")
-    new = named.join(have, "k", "left_anti").groupBy("k").agg(F.min_by("name", order).alias("canonical_name"), F.min_by("type", order).alias("type")).withColumn("id", X.uuid5(F.concat(F.lit("entity:"), F.col("k"))))
-    ids = have.unionByName(new.select("k", "id"))
+    new = named.join(have, "k", "left_anti").groupBy("k").agg(F.min_by("name", "first").alias("canonical_name"), F.min("first")["type"].alias("type"))
+    new = keep(new.withColumn("id", X.uuid5(F.concat(F.lit("entity:"), F.col("k")))))
     replaced = F.nullif(X.strip(F.col("replaces_object")), F.lit("")) if "replaces_object" in triples.columns else F.lit(None).cast("string")
+    asked = first.select(F.lower("name").alias("k")).union(triples.select(F.lower(replaced).alias("k")).distinct()).distinct()
+    ids = keep(have.unionByName(new.select("k", "id")).join(asked, "k", "left_semi"))
+    few = first.count() + ids.count() <= FEW_NAMES  # else every join would shuffle all triples
+    sent = F.broadcast if few else lambda df: df
 
     def looked_up(rows: DataFrame, name: str, out: str) -> DataFrame:
-        return rows.join(ids.select(F.col("k").alias(name), F.col("id").alias(out)), name, "left")
+        return rows.join(sent(ids.select(F.col("k").alias(name), F.col("id").alias(out))), name, "left")
 
     def mine(rows: DataFrame, name: str, out: str) -> DataFrame:
-        return rows.join(own.select(F.col("name").alias(name), F.col("own").alias(out)), name, "left")
+        return rows.join(sent(own.select(F.col("name").alias(name), F.col("own").alias(out))), name, "left")
 
     rows = triples.withColumns({"__s": F.lower("subject"), "__o": F.when(F.col("object_type") == "entity", F.lower("object")), "__r": F.lower(replaced), "__on": F.when(F.col("object_type") == "entity", F.col("object")), "__sn": F.col("subject")})
     for name in ("__s", "__o", "__r"):

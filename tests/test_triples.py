@@ -154,3 +154,23 @@ def test_a_key_with_very_many_corrections_takes_no_round_for_each(spark):
     assert got == {"skipped_no_correction_target": 1, "created": 1, "corrected": 999, "reinforced": 1000, "skipped_stale": 999}
     assert out.filter("superseded_by IS NULL").count() == 1
     assert spark._jsc.sc().dagScheduler().nextJobId() - before < 100
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_few_names_are_sent_to_the_triples(spark, monkeypatch, few):
+    monkeypatch.setattr(triples, "FEW_NAMES", 100_000 if few else 0)
+    rows = [(i, 0, f"Per {i % 3}", "likes", f"Thing {i % 2}", "entity", " per 1 " if i == 5 else None) for i in range(40)]
+    people = spark.createDataFrame([(-1, "person", "Self", True), (7, "person", "PER 1", False)], "id long, type string, canonical_name string, is_self boolean")
+    given = spark.createDataFrame(rows, "window_seq int, triple_seq int, subject string, predicate string, object string, object_type string, replaces_object string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, new = triples.resolve_names(given, people, ("Per 2",))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" not in plan) == few  # else all triples are shuffled for each kind of name
+        assert sorted((r.type, r.canonical_name) for r in new.collect()) == [("object", "Thing 0"), ("object", "Thing 1"), ("person", "Per 0")]
+        found = {r.window_seq: r for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[1].subject_id == "7" and found[2].subject_id == "-1" and found[5].replaces_id == "7" and found[4].replaces_id is None
+    assert len(found) == 40 and found[0].object_id == found[2].object_id != found[1].object_id
